@@ -42,10 +42,11 @@ def composition(seq) -> dict[str, Column]:
 def dinucleotide_frequencies(seq) -> dict[str, Column]:
     pairs = dinucleotides(seq)
     n = F.nullif(F.length(col(seq)) - 1, F.lit(0))
-    return {
-        a + b: F.coalesce(F.size(F.filter(pairs, lambda p, ab=a + b: p == ab)) / n, F.lit(0.0))
-        for a in "ATGC" for b in "ATGC"
-    }
+
+    def share(pair):
+        return F.coalesce(F.size(F.filter(pairs, lambda p: p == pair)) / n, F.lit(0.0))
+
+    return {a + b: share(a + b) for a in "ATGC" for b in "ATGC"}
 
 
 def structural(seq) -> dict[str, Column]:

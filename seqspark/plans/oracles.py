@@ -6,6 +6,8 @@ prefix sums over single steps, regions from inequality joins.
 
 from __future__ import annotations
 
+import re
+
 from seqspark.operators import classify, clusters, disease
 from seqspark.operators.g4 import BIPARTITE, FOUR_RUNS, TANDEM, TRIPLEX
 from seqspark.operators.imotif import AC_PATTERNS, SEED
@@ -68,10 +70,11 @@ def curvature(text: str) -> str:
     )
 
 
-def motif_rows(source: str, cls: str, subtype: str, score: str, detail: str = "''", spacer: str = "''", text="motif") -> str:
+def motif_rows(source: str, cls: str, subtype: str, score: str, detail: str = "''", spacer: str = "''", text="motif", digits=6) -> str:
+    score = f"round({score}, {digits})" if digits else f"CAST({score} AS DOUBLE)"
     return (
         f"SELECT seq_id, start_pos, end_pos, {cls} AS class, {subtype} AS subtype, "
-        f"CAST(end_pos - start_pos + 1 AS INT) AS length, {text} AS sequence, round({score}, 6) AS score, "
+        f"CAST(end_pos - start_pos + 1 AS INT) AS length, {text} AS sequence, {score} AS score, "
         f"{detail} AS detail, {spacer} AS spacer FROM {source}"
     )
 
@@ -297,16 +300,18 @@ def disease_sql(gene: bool) -> str:
       FROM dmatch LEFT JOIN pdim USING (repeat_type) WHERE k = 1) WHERE clinical_significance <> 'Benign')"""
 
 
+STICKY_RAW, EGZ_RAW = (re.sub(r"round\((.*), 6\) AS score", r"\1 AS score", r) for r in (STICKY_ROWS, EGZ_ROWS))
+
 # --- the core motif set ---------------------------------------------------------------------
 
 CORE = ",\n".join([LONG_TRACTS, STICKY, EGZ, G4MULTI, G4TRI, IMOTIF, disease_sql(False)]) + f""",
-    core0 AS ({motif_rows('long_tracts', "'Curved DNA'", "'Local Curvature'", curvature('motif'))}
-      UNION ALL {STICKY_ROWS} UNION ALL {EGZ_ROWS}
-      UNION ALL {motif_rows('g4multi', "'G-Quadruplex Family'", "'Multimeric G4'", 'mean')}
-      UNION ALL {motif_rows('g4tri', "'G-Quadruplex Family'", "'G-Triplex intermediate'", 'mean')}
-      UNION ALL {motif_rows('icand', "'i-motif family'", 'subtype', 'score')}
-      UNION ALL {motif_rows('dis', "'Disease-Associated Motif'", "replace(disease_name, ' ', '_') || '_repeat'", 'risk_score')}),
-    core AS MATERIALIZED (SELECT *, score AS sc FROM core0)"""
+    core0 AS ({motif_rows('long_tracts', "'Curved DNA'", "'Local Curvature'", curvature('motif'), digits=0)}
+      UNION ALL {STICKY_RAW} UNION ALL {EGZ_RAW}
+      UNION ALL {motif_rows('g4multi', "'G-Quadruplex Family'", "'Multimeric G4'", 'mean', digits=0)}
+      UNION ALL {motif_rows('g4tri', "'G-Quadruplex Family'", "'G-Triplex intermediate'", 'mean', digits=0)}
+      UNION ALL {motif_rows('icand', "'i-motif family'", 'subtype', 'score', digits=0)}
+      UNION ALL {motif_rows('dis', "'Disease-Associated Motif'", "replace(disease_name, ' ', '_') || '_repeat'", 'risk_score', digits=0)}),
+    core AS MATERIALIZED (SELECT * FROM core0)"""
 
 
 def on_core(body: str, *ctes: str) -> str:
@@ -607,7 +612,7 @@ def oracle_sql() -> dict[str, str]:
         "disease_repeats": dis_q(
             "SELECT * EXCLUDE (motif, repeat_type) REPLACE (" + r6("risk_score", "instability_score", "population_percentile", "conservation_score") + ") FROM dis"
         ),
-        "core_motifs": on_core("SELECT * EXCLUDE (sc) FROM core"),
+        "core_motifs": on_core("SELECT * REPLACE (round(score, 6) AS score) FROM core"),
         "g4_priority": on_core(
             f"SELECT class, subtype, count(*) AS n FROM core c WHERE class <> 'G-Quadruplex Family' OR {G4_RANK} = (SELECT min({G4_RANK}) "
             "FROM core k WHERE k.class = c.class AND k.seq_id = c.seq_id AND k.start_pos = c.start_pos AND k.end_pos = c.end_pos) GROUP BY class, subtype"
@@ -625,9 +630,10 @@ def oracle_sql() -> dict[str, str]:
             "round(n_motifs * 0.2, 6) AS interaction_strength, round(total * (1 + n_motifs * 0.2) * length / longest, 6) AS score FROM hyb", HYB
         ),
         "longest_hybrids": on_core(
-            "SELECT h.seq_id, h.start_pos, h.end_pos, h.length, count(*) AS overlap_count, 'Longest hybrid: ' || h.length || 'bp, ' || count(*) || ' overlapping motifs, Classes=' || h.classes AS summary "
+            "SELECT seq_id, start_pos, end_pos, length, overlap_count, 'Longest hybrid: ' || length || 'bp, ' || overlap_count || ' overlapping motifs, Classes=' || classes AS summary FROM ("
+            "SELECT h.seq_id, h.start_pos, h.end_pos, h.length, h.classes, count(*) AS overlap_count "
             "FROM (SELECT *, array_to_string(list_sort(list_distinct(cl)), '+') AS classes, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, len(list_distinct(cl)) DESC, start_pos) AS k FROM hyb) h "
-            "JOIN core c ON c.seq_id = h.seq_id AND c.start_pos <= h.end_pos AND c.end_pos >= h.start_pos WHERE k = 1 GROUP BY ALL", HYB
+            "JOIN core c ON c.seq_id = h.seq_id AND c.start_pos <= h.end_pos AND c.end_pos >= h.start_pos WHERE h.k = 1 GROUP BY h.seq_id, h.start_pos, h.end_pos, h.length, h.classes)", HYB
         ),
         "cluster_windows": on_core(
             "SELECT * EXCLUDE (kinds) REPLACE (" + r6("diversity_index", "interaction_score", "cooperative_score") + "), array_to_string(kinds, '; ') AS motif_types FROM clw", CLW
