@@ -237,7 +237,8 @@ def profile_clusters(regions: DataFrame, k: int = 5) -> DataFrame:
         "span", F.col("end_pos") - F.col("start_pos")
     )
     features = ["motif_count", "diversity_index", "interaction_score", "cooperative_score", "n_types", "span"]
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    # the fit passes over the regions many times
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).persist()
     model = BisectingKMeans(k=k, seed=1, featuresCol="features", predictionCol="profile").fit(rows)
     return model.transform(rows).drop("features")
 

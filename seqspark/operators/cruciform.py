@@ -25,10 +25,14 @@ def cruciform_candidates(seqs: DataFrame) -> DataFrame:
         "seq_id", (F.col("inner_end") - F.col("arm") + 1).alias("start_pos"), "arm", "spacer", total.alias("length"),
         S.cruciform_score(F.col("arm"), F.col("spacer"), total).alias("score"),
     ).where(F.col("score") >= MIN_SCORE)
-    best = rows.groupBy("seq_id", "start_pos").agg(
-        F.max_by(F.struct("arm", "spacer", "length", "score"), F.struct(F.col("arm"), -F.col("spacer"))).alias("b")
+    # arm and spacer in one number, so that a hash aggregate finds the best
+    best = rows.groupBy("seq_id", "start_pos").agg(F.max(F.col("arm") * 8 + (7 - F.col("spacer"))).alias("_b"))
+    best = best.select(
+        "seq_id", "start_pos", F.floor(F.col("_b") / 8).cast("int").alias("arm"), (7 - F.col("_b") % 8).alias("spacer")
     )
-    return best.select("seq_id", "start_pos", "b.*").withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
+    best = best.withColumn("length", 2 * F.col("arm") + F.col("spacer"))
+    score = S.cruciform_score(F.col("arm"), F.col("spacer"), F.col("length"))
+    return best.withColumn("score", score).withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
 
 
 def cruciform(seqs: DataFrame) -> DataFrame:

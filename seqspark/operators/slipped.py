@@ -26,45 +26,77 @@ SEED = 16
 TAIL_BITS, TAIL_TEXT = 10, 1024
 
 
+START = "array<struct<at:int,spacer:int,tail:int>>"
+
+
+def _starts():
+    """All starts of one run: without spacer every start, with a spacer only the few that matter.
+
+    Where d bases match behind a start, the unit of d without spacer is longer and wins, so a
+    spacer of 1 to 3 is left with the starts whose match is shorter than d.
+    """
+    d, stop = F.col("d"), F.col("run_start") + F.col("run_len")
+    plain = F.when(
+        d <= MAX_UNIT,
+        F.transform(
+            S.span(F.col("run_start"), stop - d),
+            lambda i: F.struct(i.alias("at"), F.lit(0).alias("spacer"), F.lit(0).alias("tail")),
+        ),
+    ).otherwise(F.array().cast(START))
+
+    def tail(i, third):
+        """Bases that go on behind the second copy like the first one; nearly always a few."""
+        near = S.let(
+            F.substring("sequence", i, third + TAIL_TEXT),
+            lambda text: S.longest_common_prefix(text, F.lit(1), third + 1, TAIL_BITS),
+        )
+        full = S.longest_common_prefix("sequence", i, i + third)
+        return S.let(near, lambda t: F.when(t >= TAIL_TEXT - 1, full).otherwise(t))
+
+    def spaced(spacer):
+        unit = d - spacer
+        first = F.when(d > MAX_UNIT, F.col("run_start")).otherwise(F.greatest("run_start", stop - d + 1))
+        return F.when(
+            unit.between(24, MAX_UNIT),
+            F.transform(
+                S.span(first, stop - unit),
+                lambda i: F.struct(i.alias("at"), F.lit(spacer).alias("spacer"), tail(i, d + unit).alias("tail")),
+            ),
+        ).otherwise(F.array().cast(START))
+
+    return F.concat(plain, *[spaced(n) for n in range(1, MAX_SPACER + 1)])
+
+
 def direct_repeat_candidates(seqs: DataFrame) -> DataFrame:
     """Per start the longest unit (then the smallest spacer) that reaches the score limit."""
     runs = equal_runs(seqs.select("seq_id", "sequence"), SEED, MIN_UNIT, MAX_UNIT + MAX_SPACER)
-    stop = F.col("run_start") + F.col("run_len")
-    rows = runs.withColumn("spacer", F.explode(S.span(F.lit(0), F.lit(MAX_SPACER))))
-    rows = rows.withColumn("unit", F.col("d") - F.col("spacer"))
-    rows = rows.where(F.col("unit").between(MIN_UNIT, MAX_UNIT) & (F.col("run_len") >= F.col("unit")))
-    rows = rows.where((F.col("spacer") == 0) | (F.col("unit") >= 24))
-    # where d bases match behind a start, the unit of d without spacer is longer and wins
-    first = F.when((F.col("spacer") == 0) | (F.col("d") > MAX_UNIT), F.col("run_start")).otherwise(
-        F.greatest("run_start", stop - F.col("d") + 1)
+    # the sequence is left behind before a run becomes one row per start
+    rows = T.unnest(runs, ["seq_id", "d", (F.col("run_start") + F.col("run_len")).alias("stop")], _starts(), "s")
+    rows = rows.select(
+        "seq_id", F.col("s.at").alias("start_pos"), F.col("s.spacer").alias("spacer"),
+        (F.col("d") - F.col("s.spacer")).alias("unit"), (F.col("stop") - F.col("s.at")).alias("reach"),
+        F.col("s.tail").alias("tail"),
     )
-    rows = rows.withColumn("start_pos", F.explode(S.span(first, stop - F.col("unit"))))
-    rows = rows.withColumn("reach", stop - F.col("start_pos"))
-    rows = rows.withColumn(
-        "copies", F.when(F.col("spacer") == 0, 1 + F.floor(F.col("reach") / F.col("unit"))).otherwise(2).cast("int")
+    copies = F.when(F.col("spacer") == 0, 1 + F.floor(F.col("reach") / F.col("unit"))).otherwise(2).cast("int")
+    length = F.when(F.col("spacer") == 0, F.col("unit") + F.col("reach")).otherwise(
+        2 * F.col("unit") + F.col("spacer") + F.col("tail")
     )
-    # behind a spaced pair the start of the unit may go on; nearly always for a few bases only
-    third = F.col("d") + F.col("unit")
-    near = F.substring("sequence", F.col("start_pos"), third + TAIL_TEXT)
-    short_tail = S.let(near, lambda text: S.longest_common_prefix(text, F.lit(1), third + 1, TAIL_BITS))
-    full_tail = S.longest_common_prefix("sequence", F.col("start_pos"), F.col("start_pos") + third)
-    spaced = F.col("spacer") > 0
-    tail = S.let(short_tail, lambda t: F.when(t >= TAIL_TEXT - 1, full_tail).otherwise(t))
-    rows = T.computed(rows, tail=F.when(spaced, tail).otherwise(0))
-    rows = rows.withColumn(
-        "length",
-        F.when(F.col("spacer") == 0, F.col("unit") + F.col("reach"))
-        .otherwise(2 * F.col("unit") + F.col("spacer") + F.col("tail")).cast("int"),
+    rows = rows.withColumn("copies", copies).withColumn("length", length)
+    rows = rows.where(
+        S.direct_repeat_score(F.col("unit"), F.col("copies"), F.col("length"), F.col("spacer")) >= MIN_SCORE
     )
-    rows = rows.withColumn(
-        "score", S.direct_repeat_score(F.col("unit"), F.col("copies"), F.col("length"), F.col("spacer"))
-    ).where(F.col("score") >= MIN_SCORE)
-    best = rows.groupBy("seq_id", "start_pos").agg(
-        F.max_by(
-            F.struct("unit", "spacer", "copies", "length", "score"), F.struct(F.col("unit"), -F.col("spacer"))
-        ).alias("b")
+    # unit, spacer and length in one number, so that a hash aggregate finds the best
+    packed = (F.col("unit") * 8 + (7 - F.col("spacer"))).cast("long") * F.lit(1 << 32) + F.col("length")
+    best = rows.groupBy("seq_id", "start_pos").agg(F.max(packed).alias("_b"))
+    head = F.shiftright("_b", 32)
+    best = best.select(
+        "seq_id", "start_pos", F.floor(head / 8).cast("int").alias("unit"),
+        (7 - head % 8).cast("int").alias("spacer"), (F.col("_b") % F.lit(1 << 32)).cast("int").alias("length"),
     )
-    return best.select("seq_id", "start_pos", "b.*").withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
+    copies = F.when(F.col("spacer") == 0, F.floor(F.col("length") / F.col("unit"))).otherwise(2).cast("int")
+    best = best.withColumn("copies", copies)
+    score = S.direct_repeat_score(F.col("unit"), F.col("copies"), F.col("length"), F.col("spacer"))
+    return best.withColumn("score", score).withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
 
 
 # One alternative per unit length, tried in this order at every position.  Copy numbers and the

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqspark.operators.scan import computed
 from seqspark.sources.fasta import spread
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,10 +45,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, g in enumerate(GENES):
         gene = F.when(F.col("doc_id") % len(GENES) == i, F.lit(g)).otherwise(gene)
     body = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, BASES)
-    seq = F.concat(body, F.lit(FILLER), cassette, F.lit(FILLER))
-    return spread(docs).select(
+    rows = computed(spread(docs), sequence=F.concat(body, F.lit(FILLER), cassette, F.lit(FILLER)))
+    return rows.select(
         F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"), gene.alias("gene"),
-        seq.alias("sequence"), F.length(seq).alias("length"),
+        "sequence", F.length("sequence").alias("length"),
     )
 
 
