@@ -37,7 +37,7 @@ def _packed(bases: np.ndarray, k: int) -> np.ndarray:
             if total is None:
                 total, have = out, width
             else:
-                m = len(bases) - have - width + 1
+                m = max(len(bases) - have - width + 1, 0)
                 total, have = (total[:m] << np.uint32(2 * width)) | out[have:have + m], have + width
         todo >>= 1
         if todo:

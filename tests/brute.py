@@ -130,7 +130,7 @@ def pick_covered(rows, share=0.5):
     return chosen
 
 
-def test_texts(seed=7):
+def sample_texts(seed=7):
     rng = random.Random(seed)
     arm = random_dna(rng, 22)
     unit = random_dna(rng, 60)

@@ -7,7 +7,7 @@ from tests import brute
 
 @pytest.fixture(scope="module")
 def texts():
-    return brute.test_texts()
+    return brute.sample_texts()
 
 
 def by_seq(rows):
