@@ -40,6 +40,12 @@ def core_motifs(seqs: DataFrame) -> DataFrame:
 _kept: dict = {}
 
 
+def _quick_build(spark: SparkSession) -> None:
+    """Plans here have thousands of column calls; call-site capture makes each of them several
+    times slower to build.  Only error messages change."""
+    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
 def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Core motifs and sequences, kept for the other queries of the session."""
     key = (id(spark._jsparkSession), sf_dir)
@@ -50,11 +56,19 @@ def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _on_core(build):
-    return lambda spark, sf_dir: build(*_core(spark, sf_dir))
+    def query(spark, sf_dir):
+        _quick_build(spark)
+        return build(*_core(spark, sf_dir))
+
+    return query
 
 
 def _on_seqs(build):
-    return lambda spark, sf_dir: build(sequences(spark, sf_dir))
+    def query(spark, sf_dir):
+        _quick_build(spark)
+        return build(sequences(spark, sf_dir))
+
+    return query
 
 
 POS = ["seq_id", "start_pos", "end_pos"]
@@ -246,7 +260,7 @@ def genes(m, q):
 
 
 def _on_disease(build):
-    return lambda spark, sf_dir: _doubles(build(disease.disease_repeats(sequences(spark, sf_dir), "gene")))
+    return _on_seqs(lambda q: _doubles(build(disease.disease_repeats(q, "gene"))))
 
 
 def queries() -> dict:
