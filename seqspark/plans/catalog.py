@@ -40,12 +40,6 @@ def core_motifs(seqs: DataFrame) -> DataFrame:
 _kept: dict = {}
 
 
-def _quick_build(spark: SparkSession) -> None:
-    """Plans here have thousands of column calls; call-site capture makes each of them several
-    times slower to build.  Only error messages change."""
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-
-
 def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Core motifs and sequences, kept for the other queries of the session."""
     key = (id(spark._jsparkSession), sf_dir)
@@ -57,7 +51,6 @@ def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _on_core(build):
     def query(spark, sf_dir):
-        _quick_build(spark)
         return build(*_core(spark, sf_dir))
 
     return query
@@ -65,7 +58,6 @@ def _on_core(build):
 
 def _on_seqs(build):
     def query(spark, sf_dir):
-        _quick_build(spark)
         return build(sequences(spark, sf_dir))
 
     return query
