@@ -17,12 +17,34 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict_language(docs, language.fit(docs, language.HELD_OUT))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.quality_rules import judge
+
+    judged = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.importance import resample
+
+    out = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", "n_ngrams", "log_weight", "score", "kept")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.llm.token_output import token_digests
 
@@ -35,12 +57,16 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_mixture_packing": op4_mixture_packing,
-        "op8_token_output": op8_token_output,
-        "op9_pieces": op9_pieces,
-    }
+    found = (
+        op1_language, op4_mixture_packing, op6_quality_rules, op7_importance, op8_token_output, op9_pieces, op10_main_text)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

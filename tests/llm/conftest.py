@@ -4,7 +4,7 @@ import pytest
 ODD = [
     None, "", " ", "\n\t", "a", "a b c", "  two  spaces\n\n\tand \x85 lines   \x1c sep", "it's I'LL don't 'S 12 345,6 €",
     "été café é İstanbul ΣαΣ ﬁ 漢字かな \U0001d518\U0001f600‍\U0001f680", "x▁y ▁▁ z▁", "<|endoftext|> a  <|endoftext|>b <|startoftext|>",
-    "a\x00b \x07", "　wide space  ", "word " * 3000, "x" * 20000, " lead", "trail ", "trail  ", "<s> </s>",
+    "a\x00b \x07", "　wide space  ", "word " * 3000, "x" * 20000, " lead", "trail ", "Don't, stop! (ok) A.B ,x word, ÄÖÜß, Ÿ. ª² <|ENDOFTEXT|> x|y | z", "same word Same WORD word, " * 30, "trail  ", "<s> </s>",
 ]
 
 
