@@ -24,6 +24,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, language.fit(docs, language.HELD_OUT))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.llm.packing import pack
 
@@ -65,7 +71,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language, op4_mixture_packing, op6_quality_rules, op7_importance, op8_token_output, op9_pieces, op10_main_text)
+        op1_language, op3_simhash, op4_mixture_packing, op6_quality_rules, op7_importance, op8_token_output,
+        op9_pieces, op10_main_text,
+    )
     return {f.__name__: f for f in found}
 
 
