@@ -36,6 +36,12 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.repeated_text import repeat_digests
+
+    return repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.llm.quality_rules import judge
 
@@ -69,10 +75,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language, op3_simhash, op4_mixture_packing, op6_quality_rules, op7_importance, op8_token_output,
-        op9_pieces, op10_main_text,
+        op1_language, op3_simhash, op4_mixture_packing, op5_repeated_text, op6_quality_rules, op7_importance,
+        op8_token_output, op9_pieces, op10_main_text, pipeline,
     )
     return {f.__name__: f for f in found}
 

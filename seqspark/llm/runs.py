@@ -115,22 +115,25 @@ def _later(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def picked(runs: DataFrame, bits: int, low: int, question: str) -> DataFrame:
-    """(block, found): the prefixes that `question` picks of each block, as a list of binaries.
+    """(block, found, notes): the prefixes that `question` picks of each block, as a list of binaries.
 
     'repeated': keys found more than once in all blocks. 'later': keys that a block of a smaller number has as well;
-    there a block's keys must be distinct.
+    there a block's keys must be distinct. Rows of a negative range are notes of a block to itself, handed through.
     """
     ask: Callable[[list[np.ndarray]], list[np.ndarray]] = {"repeated": _repeated, "later": _later}[question]
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
+        number = int(group["range"].iloc[0])
+        if number < 0:
+            return pd.DataFrame({"block": group["block"], "data": None, "note": group["data"]})
         group = group.sort_values("block")
-        first = np.uint64(int(group["range"].iloc[0]) << (16 + 8 * low))
+        first = np.uint64(number << (16 + 8 * low))
         found = ask([unpacked_run(x, low) for x in group["data"]])
-        rows = [(b, (first | x).astype("<u8").tobytes()) for b, x in zip(group["block"], found) if len(x)]
-        return pd.DataFrame(rows, columns=["block", "data"])
+        rows = [(b, (first | x).astype("<u8").tobytes(), None) for b, x in zip(group["block"], found) if len(x)]
+        return pd.DataFrame(rows, columns=["block", "data", "note"])
 
-    answers = runs.groupBy("range").applyInPandas(answer, "block long, data binary")
-    return answers.groupBy("block").agg(F.collect_list("data").alias("found"))
+    answers = runs.groupBy("range").applyInPandas(answer, "block long, data binary, note binary")
+    return answers.groupBy("block").agg(F.collect_list("data").alias("found"), F.collect_list("note").alias("notes"))
 
 
 def prefix_set(found: list[bytes] | None) -> np.ndarray:
