@@ -24,6 +24,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, language.fit(docs, language.HELD_OUT))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.llm.simhash import near_duplicates
 
@@ -83,8 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language, op3_simhash, op4_mixture_packing, op5_repeated_text, op6_quality_rules, op7_importance,
-        op8_token_output, op9_pieces, op10_main_text, pipeline,
+        op1_language, op2_neighbours, op3_simhash, op4_mixture_packing, op5_repeated_text, op6_quality_rules,
+        op7_importance, op8_token_output, op9_pieces, op10_main_text, pipeline,
     )
     return {f.__name__: f for f in found}
 
