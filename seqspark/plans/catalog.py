@@ -136,7 +136,7 @@ def imotif_windows(q):
 
 def disease_table(q):
     return _rounded(
-        disease.disease_repeats(q, "gene").drop("motif", "clinical_features", "pmids", "repeat_type"),
+        disease.disease_repeats(q, "gene").drop("motif", "repeat_type"),
         "risk_score", "instability_score", "population_percentile", "conservation_score",
     )
 

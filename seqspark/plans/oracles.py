@@ -258,15 +258,15 @@ DDIM = "ddim AS (SELECT * FROM (VALUES {}) t({}))".format(
     ", ".join(disease.disorders()[0]),
 )
 PDIM = "pdim AS (SELECT * FROM (VALUES {}) t(repeat_type, pop_mean, pop_std, p95))".format(
-    ", ".join(f"('{k}', {m}, {s}, {p})" for k, m, s, p in disease._table(disease.POPULATION))
+    ", ".join(f"('{k}', {m}, {s}, {p})" for k, m, s, p in disease.POPULATION)
 )
 
 
-def lookup(table: str, extra: str = "") -> str:
-    rows = disease._table(table)
-    if extra:
-        return " ".join(f"WHEN repeat_type = '{k}' AND repeat_count > {n} THEN '{'; '.join(v)}'" for k, n, *v in rows)
-    return " ".join(f"WHEN repeat_type = '{k}' THEN '{'; '.join(v)}'" for k, *v in rows)
+def lookup(rows: list[tuple]) -> str:
+    """CASE branches by repeat type and, where a row has a number, the copies above which it holds."""
+    return " ".join(
+        f"WHEN repeat_type = '{kind}'" + "".join(f" AND repeat_count > {n}" for n in least) + f" THEN '{text}'"
+        for kind, *least, text in rows)
 
 
 def disease_sql(gene: bool) -> str:
@@ -286,6 +286,7 @@ def disease_sql(gene: bool) -> str:
           WHEN 'Likely Pathogenic' THEN 'Likely pathogenic - consider clinical confirmation, ' || inheritance || ' inheritance'
           ELSE 'Variant of uncertain significance - monitor research updates, consider family studies' END AS genetic_counseling FROM (
       SELECT seq_id, gene, start_pos, end_pos, motif, repeat_unit, repeat_type, repeat_count, disease_id, disease_name, gene_symbol, inheritance,
+        clinical_features, pmids,
         normal_min || '-' || normal_max AS normal_range, threshold,
         CASE WHEN repeat_count >= threshold THEN 'Pathogenic' WHEN repeat_count > normal_max AND repeat_count >= threshold * 0.8 THEN 'Likely Pathogenic'
              WHEN repeat_count > normal_max THEN 'Variant of Uncertain Significance' ELSE 'Benign' END AS clinical_significance,
@@ -296,7 +297,7 @@ def disease_sql(gene: bool) -> str:
         CASE WHEN pop_mean IS NULL THEN 50 ELSE greatest(0, least(100, 50 + (repeat_count - pop_mean) / pop_std * 50 / 3)) END :: DOUBLE AS population_percentile,
         CASE WHEN repeat_count < threshold THEN 'No specific targets identified' {lookup(disease.THERAPY)} ELSE 'No specific targets identified' END AS therapeutic_target,
         100 * (0.4 * {frac('motif', 'GC')} + 0.6 * len(list_distinct(string_split(motif[1:9], ''))) / 9.0) AS conservation_score,
-        CASE {lookup(disease.STRUCTURAL_IMPACT, 'n')} ELSE 'Minimal structural impact predicted' END AS structural_impact
+        CASE {lookup(disease.STRUCTURAL_IMPACT)} ELSE 'Minimal structural impact predicted' END AS structural_impact
       FROM dmatch LEFT JOIN pdim USING (repeat_type) WHERE k = 1) WHERE clinical_significance <> 'Benign')"""
 
 
