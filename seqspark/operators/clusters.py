@@ -190,16 +190,14 @@ def cluster_windows(motifs: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def merge_clusters(windows: DataFrame) -> DataFrame:
     """Join overlapping windows: counts add up, types unite, scores and label take the maximum."""
-    rows = islands(windows, out="region")
-    spans = rows.groupBy("seq_id", "region").agg(
+    spans = islands(windows, out="region").groupBy("seq_id", "region").agg(
         F.max("end_pos").alias("end_pos"), F.sum("motif_count").alias("motif_count"),
         F.max("diversity_index").alias("diversity_index"), F.max("interaction_score").alias("interaction_score"),
         F.max("cooperative_score").alias("cooperative_score"), F.max("clinical_level").alias("clinical_level"),
+        # distinct lists of types: as many as there are sets of types, not as windows
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("motif_types")))).alias("motif_types"),
     )
-    kinds = rows.select("seq_id", "region", F.explode("motif_types").alias("t")).groupBy("seq_id", "region").agg(
-        F.sort_array(F.collect_set("t")).alias("motif_types")
-    )
-    return spans.join(kinds, ["seq_id", "region"]).select(
+    return spans.select(
         "seq_id", F.col("region").cast("int").alias("start_pos"), "end_pos", "motif_count", "motif_types",
         "diversity_index", "interaction_score", "cooperative_score",
         label(F.col("clinical_level")).alias("clinical_significance"),

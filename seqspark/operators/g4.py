@@ -121,10 +121,15 @@ def g4_family(seqs: DataFrame) -> DataFrame:
 
 
 def g4_priority_filter(motifs: DataFrame) -> DataFrame:
-    """Of G4 rows with the same coordinates keep the one of highest priority."""
-    is_g4 = F.col("class") == CLASS
-    order = Window.partitionBy("seq_id", "start_pos", "end_pos").orderBy(
+    """Of G4 rows with the same coordinates keep the one of highest priority.
+
+    One pass: rows of other classes are told apart by class and a spread number, so that they form
+    groups of their own and no place is hot.
+    """
+    is_g4 = F.coalesce(F.col("class") == CLASS, F.lit(False))
+    other = F.when(~is_g4, F.xxhash64("seq_id", "class", "subtype", "start_pos", "end_pos"))
+    order = Window.partitionBy("seq_id", "start_pos", "end_pos", other).orderBy(
         priority("subtype"), F.desc("score"), F.col("subtype")
     )
-    g4 = motifs.where(is_g4).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return motifs.where(~is_g4 | F.col("class").isNull()).unionByName(g4)
+    rows = motifs.withColumn("_n", F.row_number().over(order))
+    return rows.where(~is_g4 | (F.col("_n") == 1)).drop("_n")

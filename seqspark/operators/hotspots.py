@@ -69,26 +69,32 @@ def merge_hotspots(windows: DataFrame) -> DataFrame:
     Counts and scores are added up, so a motif counts once for each window it touches; the
     diversity figures are taken anew from the joined counts.
     """
-    rows = islands(windows, out="region")
-    spans = rows.groupBy("seq_id", "region").agg(
-        F.max("end_pos").alias("end_pos"), F.sum("motif_count").alias("motif_count"), F.sum("score").alias("score"),
-        F.count(F.lit(1)).alias("n_windows"),
+    rows = islands(windows, out="region").select(
+        "seq_id", "region", "end_pos", "motif_count", "score", F.posexplode("parts").alias("_part", "_p")
     )
-    parts = rows.select("seq_id", "region", F.inline("parts")).groupBy("seq_id", "region", "class", "subtype").agg(
-        F.sum("n").alias("n")
+    # the figures of a window are in its first part's row only, so one chain of aggregates does all
+    once = lambda c: F.when(F.col("_part") == 0, F.col(c))
+    parts = rows.groupBy("seq_id", "region", F.col("_p.class").alias("class"), F.col("_p.subtype").alias("subtype")).agg(
+        F.sum("_p.n").alias("n"), F.max("end_pos").alias("end_pos"), F.sum(once("motif_count")).alias("motif_count"),
+        F.sum(once("score")).alias("score"), F.count(once("motif_count")).alias("n_windows"),
     )
-    by_class = parts.groupBy("seq_id", "region", "class").agg(F.sum("n").alias("n"))
-    kinds = parts.groupBy("seq_id", "region").agg(
-        F.count(F.lit(1)).alias("subclass_diversity"), F.count_distinct("subtype").alias("subtype_diversity"),
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.concat_ws(":", "class", "subtype"), "n")))
-        ).alias("subclass_breakdown"),
+    by_class = parts.groupBy("seq_id", "region", "class").agg(
+        F.sum("n").alias("n"), F.max("end_pos").alias("end_pos"), F.sum("motif_count").alias("motif_count"),
+        F.sum("score").alias("score"), F.sum("n_windows").alias("n_windows"),
+        F.collect_list(F.struct("subtype", "n")).alias("kinds"),
     )
-    classes = by_class.groupBy("seq_id", "region").agg(
-        F.count(F.lit(1)).alias("class_diversity"),
+    named = F.transform(F.col("kinds"), lambda k: F.struct(F.concat_ws(":", "class", k["subtype"]).alias("key"), k["n"].alias("value")))
+    out = by_class.withColumn("named", named).groupBy("seq_id", "region").agg(
+        F.max("end_pos").alias("end_pos"), F.sum("motif_count").alias("motif_count"), F.sum("score").alias("score"),
+        F.sum("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("class_diversity"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "n")))).alias("class_breakdown"),
+        F.sort_array(F.flatten(F.collect_list("named"))).alias("entries"),
+        F.flatten(F.collect_list(F.transform("kinds", lambda k: k["subtype"]))).alias("subtypes"),
+    ).select(
+        "*", F.size("entries").cast("long").alias("subclass_diversity"),
+        F.size(F.array_distinct("subtypes")).cast("long").alias("subtype_diversity"),
+        F.map_from_entries("entries").alias("subclass_breakdown"),
     )
-    out = spans.join(kinds, ["seq_id", "region"]).join(classes, ["seq_id", "region"])
     return out.select(
         "seq_id", F.col("region").cast("int").alias("start_pos"), "end_pos",
         (F.col("end_pos") - F.col("region") + 1).cast("int").alias("length"), "n_windows", "motif_count",

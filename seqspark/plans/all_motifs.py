@@ -10,12 +10,13 @@ from seqspark.operators import (
     cruciform, curved, disease, g4, hotspots, hybrid, imotif, rloop, slipped, triplex, zdna,
 )
 from seqspark.operators.clusters import (
-    cluster_motifs, clusters, hybrid_structure_motifs, hybrid_structures,
+    cluster_motifs, cluster_windows, hybrid_structure_motifs, hybrid_structures, merge_clusters,
 )
 from seqspark.operators.conservation import with_conservation
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import MOTIF_COLUMNS, union
 from seqspark.sources.fasta import valid_sequences
+from seqspark.sources.stored import stored
 
 # Selection order of classes and subtypes when overlaps are removed.
 SELECTION_ORDER = [
@@ -37,15 +38,15 @@ def detectors(seqs: DataFrame, gene: str | None = None) -> DataFrame:
     )
 
 
-def valid_motifs(motifs: DataFrame, seqs: DataFrame) -> DataFrame:
+def valid_motifs(motifs: DataFrame, lengths: DataFrame) -> DataFrame:
     """Rows with all required fields and 1 <= start <= end <= sequence length."""
     required = ["class", "subtype", "start_pos", "end_pos", "length", "sequence"]
     complete = F.lit(True)
     for c in required:
         complete = complete & F.col(c).isNotNull()
-    rows = motifs.join(seqs.select("seq_id", F.col("length").alias("_n")), "seq_id")
-    inside = (F.col("start_pos") >= 1) & (F.col("start_pos") <= F.col("end_pos")) & (F.col("end_pos") <= F.col("_n"))
-    return rows.where(complete & inside).drop("_n")
+    rows = motifs.where(complete & (F.col("start_pos") >= 1) & (F.col("start_pos") <= F.col("end_pos")))
+    rows = rows.join(lengths.select("seq_id", F.col("length").alias("_n")), "seq_id")
+    return rows.where(F.col("end_pos") <= F.col("_n")).drop("_n")
 
 
 def select_by_priority(motifs: DataFrame, order=None, share: float = 0.5) -> DataFrame:
@@ -81,25 +82,22 @@ def all_motifs(
     ``nonoverlap`` keeps the best motifs per region, ``report_hotspots`` adds cluster regions,
     ``gene`` names a column used to match disorders, ``conservation`` adds the shuffle statistic.
 
-    The found motifs are small next to the sequences and feed hybrids, selection and regions, so
-    they are kept (memory, then disk) instead of being detected again for each use.
+    The found motifs are small next to the sequences and feed hybrids, selection and regions. Each
+    stage is written once to the shared folder and read by the next, so plans stay short and a lost
+    executor costs no more than the stage at work.
     """
     seqs = valid_sequences(seqs)
-    lengths = seqs.select("seq_id", "name", "length")
-    found = valid_motifs(detectors(seqs, gene), lengths).persist()
-    motifs = union([found, hybrid.hybrid_motifs(found, seqs)])
+    lengths = stored(seqs.select("seq_id", "name", "length"), "lengths")
+    found = stored(valid_motifs(detectors(seqs, gene), lengths), "found-motifs")
+    motifs = union([found, stored(hybrid.hybrid_motifs(found, seqs), "hybrids")])
     if nonoverlap:
-        motifs = select_by_priority(motifs)
+        motifs = stored(select_by_priority(motifs), "selected")
     if report_hotspots:
-        motifs = motifs.persist()
-        with_regions = union([motifs, hotspots.hotspot_motifs(motifs, lengths)])
-        motifs = union(
-            [
-                with_regions,
-                cluster_motifs(clusters(with_regions, lengths)),
-                hybrid_structure_motifs(hybrid_structures(with_regions)),
-            ]
-        )
+        regions = stored(hotspots.hotspot_motifs(motifs, lengths), "hotspots")
+        with_regions = union([motifs, regions])
+        windows = stored(cluster_windows(with_regions, lengths), "cluster-windows")
+        pairs = stored(hybrid_structures(with_regions), "hybrid-structures")
+        motifs = union([with_regions, cluster_motifs(merge_clusters(windows)), hybrid_structure_motifs(pairs)])
     motifs = with_probability(motifs)
     if conservation:
         motifs = with_conservation(motifs)

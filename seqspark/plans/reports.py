@@ -78,8 +78,13 @@ def class_subtype_counts(motifs: DataFrame) -> DataFrame:
 
 
 def score_pivot(motifs: DataFrame, classes: list[str]) -> DataFrame:
-    """Mean score, one row per subtype and one column per class, 0 where there is none."""
-    return motifs.groupBy("subtype").pivot("class", classes).agg(F.avg("score")).fillna(0.0)
+    """Mean score, one row per subtype and one column per class, 0 where there is none.
+
+    A class that is not listed is an error, not a silent gap.
+    """
+    known = F.col("class").isin(classes)
+    checked = F.when(known, F.col("class")).otherwise(F.raise_error(F.concat(F.lit("class not listed: "), "class")))
+    return motifs.withColumn("class", checked).groupBy("subtype").pivot("class", classes).agg(F.avg("score")).fillna(0.0)
 
 
 def distribution(motifs: DataFrame, value: str, by: str = "class") -> DataFrame:
@@ -133,13 +138,12 @@ def gc_category(gc) -> Column:
 
 
 def sequence_comparison(motifs: DataFrame, seqs: DataFrame, classes: list[str]) -> DataFrame:
-    """Per sequence: GC, category, motif density and count and density of every class."""
-    counts = motifs.groupBy("seq_id").pivot("class", classes).agg(F.count(F.lit(1)))
+    """Per sequence: GC, category, motif density (of all motifs) and count and density of the classes."""
+    of_class = [F.count_if(F.col("class") == c).alias(f"_{i}") for i, c in enumerate(classes)]
+    counts = motifs.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_all"), *of_class)
     rows = seqs.select("seq_id", "name", "length", S.gc_content("sequence").alias("gc")).join(counts, "seq_id", "left")
-    counted = [F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in classes]
-    total = counted[0]
-    for c in counted[1:]:
-        total = total + c
+    counted = [F.coalesce(F.col(f"_{i}"), F.lit(0)) for i in range(len(classes))]
+    total = F.coalesce("_all", F.lit(0))
     out = rows.select(
         "seq_id", "name", "length", "gc", gc_category(F.col("gc")).alias("gc_category"), total.alias("n_motifs"),
         per_kb(total, "length").alias("motif_density"),
@@ -273,7 +277,7 @@ def class_intersections(motifs: DataFrame, classes: list[str], top: int = 15) ->
     """Bases covered by one, two or three classes at once, the largest first.
 
     Intervals of a class are joined, so at every breakpoint a sum of powers of two says which
-    classes are open; no base is ever a row of its own.
+    classes are open; no base is ever a row of its own. A class that is not listed is an error.
     """
     from seqspark.operators.intervals import islands
 
@@ -282,7 +286,8 @@ def class_intersections(motifs: DataFrame, classes: list[str], top: int = 15) ->
         F.max("end_pos").alias("end_pos")
     ).withColumnRenamed("island", "start_pos")
     bit = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(1 << i))])
-    merged = islands(merged, out="stretch", order=["end_pos", "class"]).withColumn("bit", bit[F.col("class")])
+    merged = islands(merged, out="stretch", order=["end_pos", "class"]).withColumn("bit", F.coalesce(
+        F.try_element_at(bit, F.col("class")), F.raise_error(F.concat(F.lit("class not listed: "), "class")).cast("int")))
     events = merged.select(
         "seq_id", "stretch", F.inline(F.array(
             F.struct(F.col("start_pos").alias("pos"), F.col("bit").alias("delta")),
