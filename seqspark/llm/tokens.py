@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -10,37 +11,83 @@ import numpy as np
 
 from seqspark.llm.shared import WHITE, ChunkTable
 
+WHITESPACE = re.compile(f"[{WHITE}]")
 #: A run of non-space with the one space before it; else white space as the byte-level pattern splits it.
 _BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: The word-level tokenizer drops white space, so no token crosses it.
-_WORD_LEVEL = re.compile(f"[^{WHITE}]+")
+#: The word-level tokenizer drops white space and parts letters from marks, so no token crosses these places.
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_WORD_LEVEL = re.compile(f"[{_LATIN}]+(?=[.,;:!?|#$%&*]+(?:[{WHITE}]|\\Z))|[^{WHITE}]+")
+#: Chunks that are encoded as one text.
+JOINED = 400
 
 
-@lru_cache(maxsize=4)
-def table(path: str) -> tuple[re.Pattern, ChunkTable, list[str]]:
-    """Chunk pattern, chunk table and special strings of the tokenizer file at `path`, once per worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import json
+class ChunkEncoder:
+    """Ids of chunks. Many are joined to one text, whose ids are dealt back by the bytes that each token stands for."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.word_level = settings["normalizer"] is not None
+        self.special = [x["content"] for x in settings["added_tokens"]]
+        # Both vocabularies write one character for a byte, but for the mark of a word's end.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token.removesuffix("</w>") if self.word_level else token)
+
+    def __call__(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(chunks)
+        alone, joined = [], []
+        for i, c in enumerate(chunks):
+            (joined if self._plain(c) else alone).append(i)
+        groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
+        between = " " if self.word_level else ""
+        for group, found in zip(groups, self._ids([between.join([chunks[i] for i in g]) for g in groups])):
+            upto = np.cumsum(self.bytes[found])
+            ends = np.cumsum([len(chunks[i].encode()) for i in group])
+            cuts = np.searchsorted(upto, ends) + 1
+            if len(upto) == cuts[-1] and np.array_equal(upto[cuts - 1], ends):
+                for i, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()):
+                    out[i] = found[a:b]
+            else:
+                alone += group
+        for i, ids in zip(alone, self._ids([chunks[i] for i in alone])):
+            out[i] = ids
+        return out
 
-    from tokenizers import Tokenizer
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    tokenizer = Tokenizer.from_file(path)
-    settings = json.loads(tokenizer.to_str())
-    word_level = any(x.get("type") == "Split" for x in (settings["pre_tokenizer"].get("pretokenizers") or []))
+    def _plain(self, chunk: str) -> bool:
+        """Whether the chunk keeps its bytes and its borders beside other such chunks."""
+        if self.word_level:
+            return chunk.islower() and chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0100")
+        return chunk[0] == " " and len(chunk) > 1 and not WHITESPACE.match(chunk, 1)
+
+
+@lru_cache(maxsize=4)
+def table(path: str) -> tuple[ChunkEncoder, ChunkTable]:
+    """Encoder and chunk table of the tokenizer file at `path`, once per worker."""
+    encoder = ChunkEncoder(path)
+    return encoder, ChunkTable(encoder)
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    special = [x["content"] for x in settings["added_tokens"]]
-    return (_WORD_LEVEL if word_level else _BYTE_LEVEL), ChunkTable(encode), special
+def chunks_of(encoder: ChunkEncoder, text: str | None) -> list[str]:
+    """A text that holds the string of a special token is one chunk, since that may join what it touches."""
+    if not text:
+        return []
+    lower = text
+    if encoder.word_level and (text.isascii() or max(text) < "\u0100"):  # lower case is then the tokenizer's own
+        lower = text.lower()
+    if any(x in lower for x in encoder.special):
+        return [text]
+    return (_WORD_LEVEL if encoder.word_level else _BYTE_LEVEL).findall(lower)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of `texts` one after another, and where each text's ids begin (the last entry: where they end).
-
-    A text that holds the string of a special token is one chunk, since a special token may join what it touches.
-    """
-    pattern, chunks, special = table(path)
-    return chunks.texts([
-        ([text] if any(x in text for x in special) else pattern.findall(text)) if text else [] for text in texts
-    ])
+    """All ids of `texts` one after another, and where each text's ids begin (the last entry: where they end)."""
+    encoder, chunks = table(path)
+    return chunks.texts([chunks_of(encoder, text) for text in texts])
