@@ -54,12 +54,31 @@ def imotifs(seqs: DataFrame) -> DataFrame:
     return greedy(rows, [F.asc("subtype")] + best_first(), overlap="shared_end")
 
 
+def _between(islands: DataFrame, opening: str) -> DataFrame:
+    """In each island of A and C the stretch from the first ``opening`` to the last CCC, of 12 bases or more.
+
+    That is the one hit of opening{3,}[AC]{6,}C{3,} in an island, found without backtracking.
+    """
+    first = F.instr("motif", opening * 3)
+    last = F.length("motif") - F.instr(F.reverse("motif"), "CCC") + 1
+    found = (first > 0) & F.col("motif").contains("CCC") & (last - first >= 11)
+    rows = islands.where(found).withColumn("_first", first).withColumn("_last", last)
+    start = F.col("start_pos") + F.col("_first") - 1
+    return rows.select(
+        "seq_id", start.alias("start_pos"), (F.col("start_pos") + F.col("_last") - 1).alias("end_pos"),
+        F.expr("substring(motif, _first, _last - _first + 1)").alias("motif"),
+    )
+
+
 def ac_candidates(seqs: DataFrame) -> DataFrame:
     """Hits of the three patterns that reach 15 bases, have CCC and score 10 or more."""
+    # possessive, as Java recurses once for each turn of a group that may go back
+    islands = T.scan(seqs, "[AC]{12,}", cut="[GT]")
+    rows = [_between(islands, "C"), T.scan(seqs, AC_PATTERNS[1] + "+", cut="[GT]"), _between(islands, "A")]
     out = None
-    for number, pattern in enumerate(AC_PATTERNS, start=1):
-        rows = T.scan(seqs, pattern, cut="[GT]").withColumn("pattern_no", F.lit(number))
-        out = rows if out is None else out.unionByName(rows)
+    for number, found in enumerate(rows, start=1):
+        found = found.withColumn("pattern_no", F.lit(number))
+        out = found if out is None else out.unionByName(found)
     out = out.where((F.length("motif") >= 15) & (S.fraction("motif", "AC") >= 0.6) & F.col("motif").contains("CCC"))
     return out.withColumn("score", S.ac_motif_score("motif")).where(F.col("score") >= 10.0)
 
