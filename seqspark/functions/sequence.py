@@ -166,22 +166,6 @@ def imotif_score(seq, window: int = 25) -> Column:
     return F.array_max(sliding_means(ramp_array(seq, "C", "G"), window))
 
 
-def longest_common_prefix(text, i, j, bits: int = 31) -> Column:
-    """Length of the common prefix of text[i..] and text[j..] (1-based, i < j)."""
-    text = col(text)
-    room = F.length(text) - j + 1
-    steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda acc, s: F.when(
-            (acc + s.cast("long") <= room)
-            & (F.substring(text, i + acc, s) == F.substring(text, j + acc, s)),
-            acc + s,
-        ).otherwise(acc),
-    )
-
-
 # --- class specific scores ------------------------------------------------------------------
 
 

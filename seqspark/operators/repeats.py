@@ -64,8 +64,40 @@ def _per_row(owner, order, columns, n_rows):
     )
 
 
-def _equal_runs(texts: pd.Series, k: int, nearest: int, farthest: int) -> pd.Series:
-    """Maximal runs with s[i] == s[i + d]: at (0-based), d, len >= k."""
+def _spaced_starts(bases, starts, row, at, d, size, spacers: int, units: tuple[int, int]) -> np.ndarray:
+    """Per run the starts of two copies with a spacer: at (0-based), spacer, tail.
+
+    The unit is d less the spacer. Where d bases match behind a start, the unit of d without spacer is longer
+    and wins, so only starts whose match is shorter than d matter, or all where d is beyond the longest unit.
+    The tail, bases that go on behind the second copy like the first one, comes from the run of equal bases
+    at the distance of d and a unit, worked out once for each distance.
+    """
+    stop, out = at + size, np.empty(len(at), object)
+    out[:] = [[] for _ in range(len(at))]
+    first = np.where(d > units[1], at, np.maximum(at, stop - d + 1))
+    for spacer in range(1, spacers + 1):
+        unit = d - spacer
+        count = np.where((unit >= units[0]) & (unit <= units[1]), np.maximum(stop - unit - first + 1, 0), 0)
+        some = np.flatnonzero(count)
+        far, known = d[some] + unit[some], None
+        for place in np.lexsort((far, row[some])):
+            run, distance = some[place], far[place]
+            key = (row[run], distance)
+            if key != known:
+                text = bases[starts[row[run]]:starts[row[run] + 1]]
+                differ = np.flatnonzero(text[:-distance] != text[distance:]) if distance < len(text) else np.zeros(0, np.int64)
+                ends = np.append(differ, max(len(text) - distance, 0))
+                known = key
+            i = np.arange(first[run], first[run] + count[run])
+            tail = np.maximum(ends[np.minimum(np.searchsorted(ends, i), len(ends) - 1)] - i, 0)
+            out[run] += [{"at": a, "spacer": spacer, "tail": t} for a, t in zip(i.tolist(), tail.tolist())]
+    return out
+
+
+def _equal_runs(
+    texts: pd.Series, k: int, nearest: int, farthest: int, spacers: int = 0, units: tuple[int, int] = (0, 0),
+) -> pd.Series:
+    """Maximal runs with s[i] == s[i + d]: at (0-based), d, len >= k, and with ``spacers`` their spaced starts."""
     bases, starts = _concat(texts)
     ends = starts[1:]
     at, dist = [], []
@@ -91,6 +123,8 @@ def _equal_runs(texts: pd.Series, k: int, nearest: int, farthest: int) -> pd.Ser
     head = np.flatnonzero(first)
     size = np.diff(np.append(head, len(at))) + k - 1
     cols = {"at": at[head] - starts[row[head]], "d": dist[head], "len": size}
+    if spacers:
+        cols["spaced"] = _spaced_starts(bases, starts, row[head], cols["at"], cols["d"], size, spacers, units)
     return _per_row(row[head], np.arange(len(head)), cols, len(texts))
 
 
@@ -134,16 +168,22 @@ def _folded(texts: pd.Series, k: int, max_spacer: int, max_arm: int, complement:
     return _per_row(row, np.lexsort((spacers, at, row)), cols, len(texts))
 
 
-def equal_runs(seqs: DataFrame, k: int, nearest: int, farthest: int) -> DataFrame:
-    """Adds run_start (1-based), d, run_len: text[i] = text[i + d] over the run."""
+def equal_runs(
+    seqs: DataFrame, k: int, nearest: int, farthest: int, spacers: int = 0, units: tuple[int, int] = (0, 0),
+) -> DataFrame:
+    """seq_id, run_start (1-based), d, run_len: text[i] = text[i + d] over the run; spaced: see above (at 0-based).
+
+    The sequence itself is left behind.
+    """
 
-    @F.pandas_udf("array<struct<at:int,d:int,len:int>>")
+    @F.pandas_udf("array<struct<at:int,d:int,len:int,spaced:array<struct<at:int,spacer:int,tail:int>>>>")
     def runs(texts: pd.Series) -> pd.Series:
-        return _equal_runs(texts, k, nearest, farthest)
+        return _equal_runs(texts, k, nearest, farthest, spacers, units)
 
-    rows = seqs.where(F.length("sequence") >= k + nearest).withColumn("_r", F.explode(runs("sequence")))
+    rows = seqs.where(F.length("sequence") >= k + nearest).select("seq_id", F.explode(runs("sequence")).alias("_r"))
     return rows.select(
-        *seqs.columns, (F.col("_r.at") + 1).alias("run_start"), F.col("_r.d").alias("d"), F.col("_r.len").alias("run_len")
+        "seq_id", (F.col("_r.at") + 1).alias("run_start"), F.col("_r.d").alias("d"), F.col("_r.len").alias("run_len"),
+        F.col("_r.spaced").alias("spaced"),
     )
 
 

@@ -21,20 +21,13 @@ MIN_SCORE = 10.0
 # unit is at least 24, because a shorter one is beaten by the repeat without spacer.
 MAX_SPACER = 3
 SEED = 16
-
-
-TAIL_BITS, TAIL_TEXT = 10, 1024
-
+SPACED_UNIT = 24
 
 START = "array<struct<at:int,spacer:int,tail:int>>"
 
 
 def _starts():
-    """All starts of one run: without spacer every start, with a spacer only the few that matter.
-
-    Where d bases match behind a start, the unit of d without spacer is longer and wins, so a
-    spacer of 1 to 3 is left with the starts whose match is shorter than d.
-    """
+    """All starts of one run: without spacer every start, with a spacer those that the run step lists."""
     d, stop = F.col("d"), F.col("run_start") + F.col("run_len")
     plain = F.when(
         d <= MAX_UNIT,
@@ -43,34 +36,16 @@ def _starts():
             lambda i: F.struct(i.alias("at"), F.lit(0).alias("spacer"), F.lit(0).alias("tail")),
         ),
     ).otherwise(F.array().cast(START))
-
-    def tail(i, third):
-        """Bases that go on behind the second copy like the first one; nearly always a few."""
-        near = S.let(
-            F.substring("sequence", i, third + TAIL_TEXT),
-            lambda text: S.longest_common_prefix(text, F.lit(1), third + 1, TAIL_BITS),
-        )
-        full = S.longest_common_prefix("sequence", i, i + third)
-        return S.let(near, lambda t: F.when(t >= TAIL_TEXT - 1, full).otherwise(t))
-
-    def spaced(spacer):
-        unit = d - spacer
-        first = F.when(d > MAX_UNIT, F.col("run_start")).otherwise(F.greatest("run_start", stop - d + 1))
-        return F.when(
-            unit.between(24, MAX_UNIT),
-            F.transform(
-                S.span(first, stop - unit),
-                lambda i: F.struct(i.alias("at"), F.lit(spacer).alias("spacer"), tail(i, d + unit).alias("tail")),
-            ),
-        ).otherwise(F.array().cast(START))
-
-    return F.concat(plain, *[spaced(n) for n in range(1, MAX_SPACER + 1)])
+    spaced = F.transform(
+        F.coalesce("spaced", F.array().cast(START)),
+        lambda x: F.struct((x["at"] + 1).alias("at"), x["spacer"].alias("spacer"), x["tail"].alias("tail")),
+    )
+    return F.concat(plain, spaced)
 
 
 def direct_repeat_candidates(seqs: DataFrame) -> DataFrame:
     """Per start the longest unit (then the smallest spacer) that reaches the score limit."""
-    runs = equal_runs(seqs.select("seq_id", "sequence"), SEED, MIN_UNIT, MAX_UNIT + MAX_SPACER)
-    # the sequence is left behind before a run becomes one row per start
+    runs = equal_runs(seqs, SEED, MIN_UNIT, MAX_UNIT + MAX_SPACER, MAX_SPACER, (SPACED_UNIT, MAX_UNIT))
     rows = T.unnest(runs, ["seq_id", "d", (F.col("run_start") + F.col("run_len")).alias("stop")], _starts(), "s")
     rows = rows.select(
         "seq_id", F.col("s.at").alias("start_pos"), F.col("s.spacer").alias("spacer"),

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from seqspark.operators import imotif
+from seqspark.operators import imotif, slipped
 
 
 def test_ac_islands_match_the_patterns(spark, make):
@@ -31,3 +31,11 @@ def test_ac_motifs_on_arrays(spark, make, unit):
     begin = time.time()
     imotif.ac_candidates(q).count()
     assert time.time() - begin < 30
+
+
+@pytest.mark.parametrize("unit", ["CAG", "A", "AT"])
+def test_direct_repeats_on_arrays(spark, make, unit):
+    q = make([(unit * 24_000)[:24_000]])
+    begin = time.time()
+    assert slipped.direct_repeat_candidates(q).count() > 0
+    assert time.time() - begin < 30
