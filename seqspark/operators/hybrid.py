@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqspark.operators.intervals import BIN, islands, overlap_join, running_max_before
+from seqspark.operators.intervals import BIN, islands, overlap_join, running_max_before, with_copy_no
 from seqspark.operators.motifs import as_motifs
 
 CLASS = "Hybrid"
@@ -32,11 +32,11 @@ def hybrid_regions(motifs: DataFrame) -> DataFrame:
 
     At every motif end with two or more open motifs of two or more classes, the region from the
     last rise to two open motifs up to that end.  Ends come before starts at one position, and
-    ends at one position come in the order of (start, class, subtype).
+    ends at one position come in the order of (start, class, subtype, copy).
     """
-    m = motifs.select("seq_id", "class", "subtype", "start_pos", "end_pos", "length", "score")
-    stretch = islands(m, out="stretch", order=[F.col("end_pos"), F.col("class"), F.col("subtype")])
-    tie = F.struct("start_pos", "class", "subtype")
+    m = with_copy_no(motifs).select("seq_id", "class", "subtype", "motif_no", "start_pos", "end_pos", "length", "score")
+    stretch = islands(m, out="stretch", order=[F.col("end_pos"), F.col("class"), F.col("subtype"), F.col("motif_no")])
+    tie = F.struct("start_pos", "class", "subtype", "end_pos", "motif_no")
     events = stretch.select(
         "*", F.inline(F.array(
             F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("delta")),
@@ -51,20 +51,21 @@ def hybrid_regions(motifs: DataFrame) -> DataFrame:
     rise = F.when((F.col("delta") == 1) & (F.col("open") == 2), F.col("pos"))
     events = events.withColumn("region_start", F.last(rise, ignorenulls=True).over(order))
     ends = events.where((F.col("delta") == -1) & (F.col("open") >= 1)).select(
-        "seq_id", "class", "subtype", "region_start", F.col("start_pos").alias("own_start"),
+        "seq_id", "class", "subtype", "motif_no", "region_start", F.col("start_pos").alias("own_start"),
         F.col("end_pos").alias("start_pos"), "end_pos",
     )
     # motifs open at that end: they cover its position
     pairs = overlap_join(ends, m, BIN)
     still_open = (F.col("r_end_pos") > F.col("end_pos")) | (
-        F.struct("r_start_pos", "r_class", "r_subtype") >= F.struct("own_start", "class", "subtype")
+        F.struct("r_start_pos", "r_class", "r_subtype", "r_motif_no")
+        >= F.struct("own_start", "class", "subtype", "motif_no")
     )
     pairs = pairs.where(still_open)
     part = F.struct(
         F.col("r_start_pos").alias("start_pos"), F.col("r_end_pos").alias("end_pos"), F.col("r_class").alias("class"),
         F.col("r_subtype").alias("subtype"), F.col("r_score").alias("score"),
     )
-    rows = pairs.groupBy("seq_id", "region_start", "end_pos", "own_start", "class", "subtype").agg(
+    rows = pairs.groupBy("seq_id", "region_start", "end_pos", "own_start", "class", "subtype", "motif_no").agg(
         F.sort_array(F.collect_list(part)).alias("contributing"),
         F.count(F.lit(1)).cast("int").alias("n_motifs"),
         F.max("r_length").alias("longest"),

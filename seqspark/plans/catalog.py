@@ -10,42 +10,44 @@ from seqspark.operators import (
     classify, clusters, conservation, cruciform, curved, disease, g4, hotspots, hybrid, imotif, intervals, rloop, scan,
     slipped, triplex, zdna,
 )
-from seqspark.operators.motifs import as_motifs, union
+from seqspark.operators.motifs import union
 from seqspark.plans import reports
 from seqspark.plans.all_motifs import all_motifs, detectors, select_by_priority
 from seqspark.sources import fasta
+from seqspark.sources.stored import stored
 from seqspark.sources.tables import sequences
 
 CORE_CLASSES = [
-    "Curved DNA", "Triplex", "Z-DNA", "G-Quadruplex Family", "i-motif family", disease.CLASS,
+    "Curved DNA", "R-loop", "Triplex", "Z-DNA", "G-Quadruplex Family", "i-motif family", disease.CLASS,
 ]
 R6 = lambda c: F.round(c, 6)
 
 
 def core_motifs(seqs: DataFrame) -> DataFrame:
-    """The motifs found by pattern alone: the common input of the interval and report queries."""
-    tracts = curved.poly_at_tracts(seqs)
-    return union(
+    """The detectors whose rows have SQL: the common input of the interval and report queries.
+
+    Slipped, cruciform and H-DNA are left out here, as SQL for them is missing; ``all_motifs`` has them.
+    Scores are rounded to six places, so that SQL and Spark sum up the same numbers.
+    """
+    rows = union(
         [
-            as_motifs(tracts, curved.CLASS, "Local Curvature", S.curvature_score("motif"), "TractCurvature"),
-            triplex.sticky_dna(seqs), zdna.egz(seqs),
-            as_motifs(g4.multimeric_candidates(seqs), g4.CLASS, "Multimeric G4", F.col("mean"), "G4Hunter_Mean"),
-            as_motifs(g4.triplex_candidates(seqs), g4.CLASS, "G-Triplex intermediate", F.col("mean"), "G4Hunter_Mean"),
-            as_motifs(imotif.imotif_candidates(seqs), imotif.CLASS, F.col("subtype"), F.col("score"), "CRamp"),
+            curved.curved_dna(seqs), triplex.sticky_dna(seqs), zdna.egz(seqs), zdna.zdna(seqs), rloop.rloops(seqs),
+            g4.g4_family(seqs), imotif.imotifs(seqs), imotif.ac_motifs(seqs),
             disease.as_motif_rows(disease.disease_repeats(seqs)),
         ]
     )
+    return rows.withColumn("score", R6(F.col("score")))
 
 
 _kept: dict = {}
 
 
 def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Core motifs and sequences, kept for the other queries of the session."""
-    key = (id(spark._jsparkSession), sf_dir)
+    """Core motifs, written once to the shared folder for the other queries of the session, and sequences."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         seqs = sequences(spark, sf_dir)
-        _kept[key] = (core_motifs(seqs).persist(), seqs)
+        _kept[key] = (stored(core_motifs(seqs), "core-motifs"), seqs)
     return _kept[key]
 
 

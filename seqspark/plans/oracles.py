@@ -301,18 +301,36 @@ def disease_sql(gene: bool) -> str:
       FROM dmatch LEFT JOIN pdim USING (repeat_type) WHERE k = 1) WHERE clinical_significance <> 'Benign')"""
 
 
-STICKY_RAW, EGZ_RAW = (re.sub(r"round\((.*), 6\) AS score", r"\1 AS score", r) for r in (STICKY_ROWS, EGZ_ROWS))
-
 # --- the core motif set ---------------------------------------------------------------------
 
-CORE = ",\n".join([LONG_TRACTS, STICKY, EGZ, G4MULTI, G4TRI, IMOTIF, disease_sql(False)]) + f""",
-    core0 AS ({motif_rows('long_tracts', "'Curved DNA'", "'Local Curvature'", curvature('motif'), digits=0)}
-      UNION ALL {STICKY_RAW} UNION ALL {EGZ_RAW}
-      UNION ALL {motif_rows('g4multi', "'G-Quadruplex Family'", "'Multimeric G4'", 'mean', digits=0)}
-      UNION ALL {motif_rows('g4tri', "'G-Quadruplex Family'", "'G-Triplex intermediate'", 'mean', digits=0)}
-      UNION ALL {motif_rows('icand', "'i-motif family'", 'subtype', 'score', digits=0)}
-      UNION ALL {motif_rows('dis', "'Disease-Associated Motif'", "replace(disease_name, ' ', '_') || '_repeat'", 'risk_score', digits=0)}),
-    core AS MATERIALIZED (SELECT * FROM core0)"""
+# Each class as its own query has it: common table expressions, then rows.
+CURVED_PARTS = [
+    TRACTS, CHAINS, LONG_TRACTS, f"both_kinds AS (SELECT *, score AS raw FROM ({GCURVE} UNION ALL {LCURVE}))",
+    greedy("curved", "both_kinds", "raw DESC, subtype, start_pos, end_pos", False),
+]
+CURVED_ROWS = "SELECT * EXCLUDE (raw) FROM curved"
+RLOOP_PARTS = [RLFS["m1"], RLFS["m2"], ZONES, REZ]
+G4_PARTS = [G4RUN, G4BI, G4MULTI, G4TRI, G4ALL, greedy("g4sel", "g4all", f"{G4_RANK}, {BEST}", True)]
+G4_ROWS = motif_rows("g4sel", "'G-Quadruplex Family'", "subtype", "mean")
+IMOTIF_PARTS = [
+    IMOTIF, "iall AS (SELECT *, length(motif) AS length FROM icand)", greedy("isel", "iall", "subtype, " + BEST, True),
+]
+IMOTIF_ROWS = motif_rows("isel", "'i-motif family'", "subtype", "score")
+AC_PARTS = [AC, greedy("asel", "accand", "p, start_pos", True)]
+AC_ROWS = motif_rows(
+    "asel", "'i-motif family'", "subtype", "score",
+    f"'A3=' || {n_re('motif', 'A{3,}')} || ';C3=' || {n_re('motif', 'C{3,}')}",
+)
+DISEASE_ROWS = motif_rows(
+    "dis", "'Disease-Associated Motif'", "replace(disease_name, ' ', '_') || '_repeat'", "risk_score",
+)
+# copy_no tells apart rows that are equal in place, class and subtype.
+CORE = ",\n".join(
+    [*CURVED_PARTS, STICKY, EGZ, ZSEG, *RLOOP_PARTS, *G4_PARTS, *IMOTIF_PARTS, *AC_PARTS, disease_sql(False)]
+) + ",\n    core AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id, start_pos, end_pos, class, subtype ORDER BY score) AS copy_no FROM (" + " UNION ALL BY NAME ".join(
+    f"(SELECT * FROM ({rows}))"
+    for rows in [CURVED_ROWS, STICKY_ROWS, EGZ_ROWS, Z_ROWS, RL_ROWS, G4_ROWS, IMOTIF_ROWS, AC_ROWS, DISEASE_ROWS]
+) + "))"
 
 
 def on_core(body: str, *ctes: str) -> str:
@@ -344,16 +362,16 @@ HOT_MERGED = MERGE.format(name="hotr", source="hot") + """,
         string_agg(split_part(subtype, ':', 1) || '(' || n || ')', '; ' ORDER BY class || ':' || subtype) AS subclass_detail FROM hotk GROUP BY ALL),
     hotm AS (SELECT seq_id, CAST(region AS INT) AS start_pos, max(end_pos) AS end_pos, count(*) AS n_windows, CAST(sum(motif_count) AS BIGINT) AS motif_count, sum(score) AS score, region
       FROM hotr GROUP BY seq_id, region)"""
-HYB = """hk AS MATERIALIZED (SELECT seq_id, class, subtype, start_pos, end_pos, length, score FROM core),
+HYB = """hk AS MATERIALIZED (SELECT seq_id, class, subtype, copy_no, start_pos, end_pos, length, score FROM core),
     rises AS MATERIALIZED (SELECT m.seq_id, m.start_pos AS pos, m.class, m.subtype, m.end_pos,
         (SELECT count(*) FROM hk k WHERE k.seq_id = m.seq_id AND k.end_pos >= m.start_pos
-           AND (k.start_pos, k.class, k.subtype) <= (m.start_pos, m.class, m.subtype)) AS open_now FROM hk m),
-    hraw AS MATERIALIZED (SELECT m.seq_id, m.end_pos, m.start_pos AS own, m.class AS c, m.subtype AS st,
+           AND (k.start_pos, k.class, k.subtype, k.end_pos, k.copy_no) <= (m.start_pos, m.class, m.subtype, m.end_pos, m.copy_no)) AS open_now FROM hk m),
+    hraw AS MATERIALIZED (SELECT m.seq_id, m.end_pos, m.start_pos AS own, m.class AS c, m.subtype AS st, m.copy_no AS cn,
         (SELECT max(pos) FROM rises r WHERE r.seq_id = m.seq_id AND r.pos <= m.end_pos AND r.open_now = 2) AS start_pos,
         list({'start_pos': k.start_pos, 'class': k.class, 'subtype': k.subtype}) AS members,
         count(*) AS n_motifs, max(k.length) AS longest, sum(k.score) AS total, list_sort(list(k.class)) AS cl, list_sort(list(k.class || ':' || k.subtype)) AS sl
       FROM hk m JOIN hk k ON k.seq_id = m.seq_id AND k.start_pos <= m.end_pos
-        AND (k.end_pos > m.end_pos OR (k.end_pos = m.end_pos AND (k.start_pos, k.class, k.subtype) >= (m.start_pos, m.class, m.subtype)))
+        AND (k.end_pos > m.end_pos OR (k.end_pos = m.end_pos AND (k.start_pos, k.class, k.subtype, k.copy_no) >= (m.start_pos, m.class, m.subtype, m.copy_no)))
       GROUP BY ALL HAVING count(DISTINCT k.class) >= 2),
     hlab AS (SELECT *, end_pos - start_pos + 1 AS length,
         'Hybrid_' || array_to_string(list_transform(list_sort(list_distinct(cl)), lambda x: x || '(' || len(list_filter(cl, lambda y: y = x)) || ')'), '_') AS subtype,
@@ -385,12 +403,12 @@ CLW = IDIM + f""",
     cli AS (SELECT seq_id, w, avg(coalesce(weight, 0.3) * (1 - d / 200.0)) AS interaction_score FROM (
         SELECT a.seq_id, a.w, least(a.subtype, b.subtype) AS sub_a, greatest(a.subtype, b.subtype) AS sub_b,
           least(abs(a.start_pos - b.end_pos), abs(b.start_pos - a.end_pos)) AS d
-        FROM clin a JOIN clin b ON a.seq_id = b.seq_id AND a.w = b.w AND (a.start_pos, a.end_pos, a.class, a.subtype) < (b.start_pos, b.end_pos, b.class, b.subtype))
+        FROM clin a JOIN clin b ON a.seq_id = b.seq_id AND a.w = b.w AND (a.start_pos, a.end_pos, a.class, a.subtype, a.copy_no) < (b.start_pos, b.end_pos, b.class, b.subtype, b.copy_no))
       LEFT JOIN idim USING (sub_a, sub_b) WHERE d <= 200 GROUP BY seq_id, w),
     clc AS (SELECT seq_id, w, least(1, 0.4 * sum(CASE WHEN gap <= 200 THEN 1 - gap / 200.0 ELSE 0 END) / greatest(1, count(*) - 1)
         + 0.3 * sum(length) / (max(end_pos) - min(start_pos)) + 0.3 * count(DISTINCT subtype) / least(count(*), 7)) AS cooperative_score,
         bool_or(class = '{disease.CLASS}') AS sick FROM (
-      SELECT *, lead(start_pos) OVER (PARTITION BY seq_id, w ORDER BY start_pos, end_pos, class, subtype) - end_pos AS gap FROM clin) GROUP BY seq_id, w),
+      SELECT *, lead(start_pos) OVER (PARTITION BY seq_id, w ORDER BY start_pos, end_pos, class, subtype, copy_no) - end_pos AS gap FROM clin) GROUP BY seq_id, w),
     clw AS MATERIALIZED (SELECT seq_id, CAST(w AS INT) AS start_pos, CAST(w + 500 AS INT) AS end_pos, CAST(motif_count AS BIGINT) AS motif_count, kinds,
         diversity_index, coalesce(interaction_score, 0) AS interaction_score, cooperative_score,
         CASE WHEN sick THEN 3 WHEN {sub_groups(clusters.CANCER)} >= 2 THEN 2 WHEN {sub_groups(clusters.REGULATORY)} >= 2 THEN 1 ELSE 0 END AS clinical_level
@@ -400,7 +418,7 @@ HPAIR = PAIRDIM + f""",
         b.subtype AS second_subtype, a.start_pos AS first_start, b.start_pos AS second_start, b.end_pos AS second_end, a.score AS s1, b.score AS s2,
         (least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) / CAST(least(a.end_pos - a.start_pos, b.end_pos - b.start_pos) AS DOUBLE) AS overlap
       FROM core a JOIN core b ON a.seq_id = b.seq_id AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos
-        AND (a.start_pos, a.end_pos, a.class, a.subtype) < (b.start_pos, b.end_pos, b.class, b.subtype)),
+        AND (a.start_pos, a.end_pos, a.class, a.subtype, a.copy_no) < (b.start_pos, b.end_pos, b.class, b.subtype, b.copy_no)),
     hp AS MATERIALIZED (SELECT seq_id, start_pos, end_pos, first_subtype, second_subtype, first_start, second_start, second_end, overlap,
         least(1, (s1 + s2) / 200 + 0.3 * overlap + coalesce(bonus, 0.3)) AS stability,
         CASE WHEN lev = 'high' AND overlap > 0.7 THEN '{clusters.MAJOR}' WHEN lev = 'high' AND overlap > 0.4 THEN '{clusters.SIGNIFICANT}'
@@ -508,6 +526,8 @@ def features_sql() -> str:
 
 PROB = f"""prob AS MATERIALIZED (SELECT *, CASE WHEN class = 'G-Quadruplex Family' THEN least(1, least(1, 2 * g) + gb + gp + gs)
           WHEN class = 'Z-DNA' THEN least(1, 0.5 * alt + 0.3 * greatest(0, (gc - 0.5) * 2) + 0.2 * zp)
+          WHEN class = 'R-loop' THEN least(1, 0.4 * greatest(0, CASE WHEN gc > 0 THEN (2 * g - gc) / gc ELSE 0 END) + 0.3 * g
+            + 0.2 * least(1, 0.5 * g) + 0.01 * {n_re('sequence', 'G{3,}')})
           WHEN class = 'Triplex' THEN pur ELSE 0.5 END AS p FROM (
       SELECT *, {frac('sequence', 'G')} AS g, {frac('sequence', 'GC')} AS gc, {frac('sequence', 'AG')} AS pur,
         coalesce(list_sum(list_transform(regexp_extract_all(sequence, 'G+'), lambda r: CASE WHEN length(r) BETWEEN 3 AND 7 THEN 0.2 WHEN length(r) >= 8 THEN 0.1 ELSE 0 END)), 0) AS gb,
@@ -573,11 +593,7 @@ def oracle_sql() -> dict[str, str]:
         "poly_at_tracts": sql("SELECT * FROM long_tracts", LONG_TRACTS),
         "global_curvature": sql(GCURVE, TRACTS, CHAINS),
         "local_curvature": sql(LCURVE, TRACTS, CHAINS, LONG_TRACTS),
-        "curved_dna": sql(
-            "SELECT * EXCLUDE (raw) FROM curved", TRACTS, CHAINS, LONG_TRACTS,
-            f"both_kinds AS (SELECT *, score AS raw FROM ({GCURVE} UNION ALL {LCURVE}))",
-            greedy("curved", "both_kinds", "raw DESC, subtype, start_pos, end_pos", False),
-        ),
+        "curved_dna": sql(CURVED_ROWS, *CURVED_PARTS),
         "sticky_dna": sql(STICKY_ROWS, STICKY),
         "egz": sql(EGZ_ROWS, EGZ),
         "zdna_weights": sql(
@@ -591,29 +607,20 @@ def oracle_sql() -> dict[str, str]:
             greedy("zz", "zboth", "f, " + BEST, True),
         ),
         "rlfs_zones": sql("SELECT * FROM zones", RLFS["m1"], RLFS["m2"], ZONES),
-        "rloops": sql(RL_ROWS, RLFS["m1"], RLFS["m2"], ZONES, REZ),
+        "rloops": sql(RL_ROWS, *RLOOP_PARTS),
         "g4_four_run": sql("SELECT seq_id, start_pos, end_pos, motif, round(mean, 6) AS mean, subtype FROM g4four", G4RUN),
         "g4_bipartite": sql("SELECT * REPLACE (round(mean, 6) AS mean) FROM g4bi", G4BI),
         "g4_multimeric": sql("SELECT * REPLACE (round(mean, 6) AS mean) FROM g4multi", G4MULTI),
         "g4_triplex": sql("SELECT * REPLACE (round(mean, 6) AS mean) FROM g4tri", G4TRI),
-        "g4_family": sql(
-            motif_rows("g4sel", "'G-Quadruplex Family'", "subtype", "mean"), G4RUN, G4BI, G4MULTI, G4TRI, G4ALL,
-            greedy("g4sel", "g4all", f"{G4_RANK}, {BEST}", True),
-        ),
+        "g4_family": sql(G4_ROWS, *G4_PARTS),
         "imotif_candidates": sql("SELECT seq_id, start_pos, end_pos, motif, subtype, " + r6("mean", "factor", "score") + " FROM icand", IMOTIF),
-        "imotifs": sql(
-            motif_rows("isel", "'i-motif family'", "subtype", "score"), IMOTIF, "iall AS (SELECT *, length(motif) AS length FROM icand)",
-            greedy("isel", "iall", "subtype, " + BEST, True),
-        ),
-        "ac_motifs": sql(
-            motif_rows("asel", "'i-motif family'", "subtype", "score", f"'A3=' || {n_re('motif', 'A{3,}')} || ';C3=' || {n_re('motif', 'C{3,}')}"),
-            AC, greedy("asel", "accand", "p, start_pos", True),
-        ),
+        "imotifs": sql(IMOTIF_ROWS, *IMOTIF_PARTS),
+        "ac_motifs": sql(AC_ROWS, *AC_PARTS),
         "disease_runs": sql("SELECT * FROM druns", DRUNS),
         "disease_repeats": dis_q(
             "SELECT * EXCLUDE (motif, repeat_type) REPLACE (" + r6("risk_score", "instability_score", "population_percentile", "conservation_score") + ") FROM dis"
         ),
-        "core_motifs": on_core("SELECT * REPLACE (round(score, 6) AS score) FROM core"),
+        "core_motifs": on_core("SELECT * EXCLUDE (copy_no) FROM core"),
         "g4_priority": on_core(
             f"SELECT class, subtype, count(*) AS n FROM core c WHERE class <> 'G-Quadruplex Family' OR {G4_RANK} = (SELECT min({G4_RANK}) "
             "FROM core k WHERE k.class = c.class AND k.seq_id = c.seq_id AND k.start_pos = c.start_pos AND k.end_pos = c.end_pos) GROUP BY class, subtype"
@@ -633,7 +640,7 @@ def oracle_sql() -> dict[str, str]:
         "longest_hybrids": on_core(
             "SELECT seq_id, start_pos, end_pos, length, overlap_count, 'Longest hybrid: ' || length || 'bp, ' || overlap_count || ' overlapping motifs, Classes=' || classes AS summary FROM ("
             "SELECT h.seq_id, h.start_pos, h.end_pos, h.length, h.classes, count(*) AS overlap_count "
-            "FROM (SELECT *, array_to_string(list_sort(list_distinct(cl)), '+') AS classes, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, len(list_distinct(cl)) DESC, start_pos) AS k FROM hyb) h "
+            "FROM (SELECT *, array_to_string(list_sort(list_distinct(cl)), '+') AS classes, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, len(list_distinct(cl)) DESC, start_pos, end_pos) AS k FROM hyb) h "
             "JOIN core c ON c.seq_id = h.seq_id AND c.start_pos <= h.end_pos AND c.end_pos >= h.start_pos WHERE h.k = 1 GROUP BY h.seq_id, h.start_pos, h.end_pos, h.length, h.classes)", HYB
         ),
         "cluster_windows": on_core(
@@ -654,7 +661,7 @@ def oracle_sql() -> dict[str, str]:
         "class_intersections": intersections(),
         "proximity": on_core(
             "SELECT a.class, b.class AS other_class, count(*) AS n, CAST(sum(1000 - (b.start_pos - a.start_pos)) AS BIGINT) AS weight FROM core a JOIN core b ON a.seq_id = b.seq_id "
-            "AND b.start_pos - a.start_pos < 1000 AND (a.start_pos, a.end_pos || '|' || a.class || '|' || a.subtype) < (b.start_pos, b.end_pos || '|' || b.class || '|' || b.subtype) GROUP BY ALL"
+            "AND b.start_pos - a.start_pos < 1000 AND (a.start_pos, a.end_pos || '|' || a.class || '|' || a.subtype || '|' || a.copy_no) < (b.start_pos, b.end_pos || '|' || b.class || '|' || b.subtype || '|' || b.copy_no) GROUP BY ALL"
         ),
         "official_classes": on_core(
             f"SELECT c AS class, s AS subtype, CASE WHEN oc IN ({G4S}) OR os IN ({G4S}) THEN 'G-Quadruplex Family' ELSE oc END AS official_class, "
@@ -673,7 +680,7 @@ def oracle_sql() -> dict[str, str]:
         "features": features_sql(),
         "formation_probability": on_core(
             "SELECT seq_id, start_pos, end_pos, class, subtype, round(p, 6) AS ml_probability, round(CASE class WHEN 'G-Quadruplex Family' THEN least(0.95, 0.8 * p + 0.2) "
-            "WHEN 'Z-DNA' THEN least(0.9, 0.7 * p + 0.3) ELSE 0.7 END, 6) AS ml_confidence, round(CASE class WHEN 'G-Quadruplex Family' THEN gs ELSE 0.5 END, 6) AS ml_stability, "
+            "WHEN 'Z-DNA' THEN least(0.9, 0.7 * p + 0.3) WHEN 'R-loop' THEN least(0.85, 0.6 * p + 0.4) ELSE 0.7 END, 6) AS ml_confidence, round(CASE class WHEN 'G-Quadruplex Family' THEN gs WHEN 'R-loop' THEN least(1, 0.5 * g) ELSE 0.5 END, 6) AS ml_stability, "
             "round(CASE class WHEN 'G-Quadruplex Family' THEN gp WHEN 'Z-DNA' THEN zp ELSE 0.5 END, 6) AS ml_pattern_score, round(0.7 * score + 30 * p, 6) AS enhanced_score FROM prob", PROB
         ),
         "mean_probability": on_core("SELECT class, round(avg(p), 6) AS mean_probability FROM prob GROUP BY class", PROB),
