@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
+from seqspark.operators.repeats import CODE
 
 SHUFFLES = 100
 EPSILON = 1e-6
@@ -67,22 +72,41 @@ def core_kmers(family, kmers, k) -> Column:
     return F.array_distinct(core)
 
 
-def shuffled(seq, digest, number) -> Column:
-    """Permutation of the bases in the order of md5(md5(sequence) | shuffle | position)."""
-    marked = F.transform(
-        S.span(F.lit(1), F.length(seq)),
-        lambda p: F.struct(
-            F.md5(F.concat_ws("|", digest, number.cast("string"), p.cast("string"))).alias("h"),
-            F.substring(seq, p, 1).alias("b"),
-        ),
-    )
-    return F.array_join(F.transform(F.array_sort(marked), lambda x: x["b"]), "")
+def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFFLES) -> np.ndarray:
+    """In each seeded shuffle of the bases, how many k-mers are in ``core``.
+
+    The seed is the CRC of the sequence, so a sequence always gets the same numbers.
+    """
+    bases = CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+    wanted = np.zeros(4**k, bool)
+    for kmer in core:
+        wanted[sum(int(CODE[ord(c)]) << 2 * (k - 1 - i) for i, c in enumerate(kmer))] = True
+    rng, out = np.random.default_rng(zlib.crc32(sequence.encode())), np.zeros(shuffles, np.int64)
+    places = max(len(bases) - k + 1, 0)
+    for s in range(shuffles):
+        mixed = rng.permutation(bases).astype(np.int64)
+        codes = np.zeros(places, np.int64)
+        for i in range(k):
+            codes = (codes << 2) | mixed[i:i + places]
+        out[s] = wanted[codes].sum()
+    return out
+
+
+def _counts(shuffles: int):
+    @F.pandas_udf("array<int>")
+    def counts(sequence: pd.Series, k: pd.Series, core: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if c is None or not len(c) or len(s) < 4 else shuffle_counts(s, int(n), list(c), shuffles).tolist()
+            for s, n, c in zip(sequence, k, core)
+        ])
+
+    return counts
 
 
 def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles: int = SHUFFLES) -> DataFrame:
     """Adds conservation_score, conservation_p, conservation_significance and the counts behind them.
 
-    Everything is computed inside the motif's row, so no row is copied once per shuffle.
+    The shuffles of a motif are one numpy step on its row, so no row is copied once per shuffle.
     """
     rows = motifs.withColumn("_f", family_of() if family is None else family)
     rows = rows.withColumn("_k", kmer_size(F.col("_f"), F.length("sequence")))
@@ -90,19 +114,9 @@ def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles:
     rows = rows.withColumn("_core", core_kmers(F.col("_f"), F.col("_kmers"), F.col("_k")))
     among = lambda core, kmers: F.size(F.filter(kmers, lambda x: F.array_contains(core, x)))
     valid = (F.length("sequence") >= 4) & (F.size("_core") > 0)
-    start = F.struct(F.col("_core").alias("core"), F.md5("sequence").alias("digest"), F.col("_k").alias("k"))
-    counts = S.let(
-        start,
-        lambda v: F.transform(
-            S.span(F.lit(1), F.lit(shuffles)),
-            lambda s: S.let(
-                shuffled(F.col("sequence"), v["digest"], s), lambda text: among(v["core"], _kmers(text, v["k"]))
-            ),
-        ),
-    )
     observed = S.let(F.col("_core"), lambda core: among(core, F.col("_kmers")))
     rows = rows.withColumn("_valid", valid).withColumn("observed_count", F.when(valid, observed))
-    rows = rows.withColumn("_counts", F.when(F.col("_valid"), counts))
+    rows = rows.withColumn("_counts", F.when(F.col("_valid"), _counts(shuffles)("sequence", "_k", "_core")))
     total = F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c)
     rows = rows.withColumn("null_mean", total / shuffles)
     spread = F.aggregate(

@@ -537,31 +537,6 @@ PROB = f"""prob AS MATERIALIZED (SELECT *, CASE WHEN class = 'G-Quadruplex Famil
         (SELECT count(*) FROM unnest(generate_series(1, length(sequence) - 1)) u(i) WHERE (sequence[i] IN ('A', 'G')) <> (sequence[i + 1] IN ('A', 'G'))) / CAST(length(sequence) - 1 AS DOUBLE) AS alt,
         ({" + ".join(n_re('sequence', p) for p in ('CG', 'GC', 'CA', 'TG'))}) / CAST(length(sequence) - 1 AS DOUBLE) AS zp
       FROM core))"""
-CONS = """fam AS MATERIALIZED (SELECT *, CASE WHEN subtype = 'AC-motif' THEN 'AC' WHEN subtype = 'sticky DNA' THEN 'all' WHEN class = 'G-Quadruplex Family' THEN 'G'
-        WHEN class IN ('i-motif family', 'Triplex') THEN 'C' WHEN class = 'Z-DNA' THEN 'Z' WHEN class = 'R-loop' THEN 'R' WHEN class = 'Curved DNA' THEN 'AT' ELSE 'all' END AS f,
-        row_number() OVER () AS id FROM core),
-    km AS MATERIALIZED (SELECT *, CASE f WHEN 'Z' THEN least(6, greatest(3, length // 6)) WHEN 'AC' THEN least(6, greatest(4, length // 4))
-        WHEN 'AT' THEN least(6, greatest(4, length // 6)) ELSE least(8, greatest(4, length // 4)) END AS k FROM fam),
-    own AS MATERIALIZED (SELECT id, f, k, substr(sequence, i, k) AS x FROM (SELECT *, unnest(generate_series(1, length - k + 1)) AS i FROM km)),
-    own2 AS (SELECT *, length(x) - length(replace(x, 'G', '')) AS ng, length(x) - length(replace(x, 'C', '')) AS nc,
-        bool_or(contains(x, 'GGG')) OVER (PARTITION BY id) AS hg, bool_or(contains(x, 'CCC')) OVER (PARTITION BY id) AS hc FROM own),
-    kept AS MATERIALIZED (SELECT id, x FROM own2 WHERE CASE f
-        WHEN 'G' THEN CASE WHEN hg THEN contains(x, 'GGG') ELSE ng >= k // 2 END WHEN 'C' THEN CASE WHEN hc THEN contains(x, 'CCC') ELSE nc >= k // 2 END
-        WHEN 'Z' THEN len(list_filter(generate_series(1, k - 1), lambda i: x[i:i + 1] IN ('GC', 'CG', 'GT', 'TG', 'AC', 'CA'))) >= (k - 1) // 2
-        WHEN 'AC' THEN (length(x) - length(translate(x, 'AC', ''))) / CAST(k AS DOUBLE) >= 0.6 WHEN 'R' THEN ng / CAST(k AS DOUBLE) >= 0.4
-        WHEN 'AT' THEN contains(x, 'AAA') OR contains(x, 'TTT') ELSE true END),
-    obs AS (SELECT id, count(*) AS o FROM kept GROUP BY id),
-    texts AS MATERIALIZED (SELECT DISTINCT sequence FROM km JOIN obs USING (id)),
-    perm AS MATERIALIZED (SELECT sequence, s, string_agg(b, '' ORDER BY h) AS t FROM (
-        SELECT sequence, s, sequence[p] AS b, md5(d || '|' || s || '|' || p) AS h FROM (
-          SELECT sequence, d, s, unnest(generate_series(1, length(sequence))) AS p FROM (
-            SELECT sequence, md5(sequence) AS d, unnest(generate_series(1, 100)) AS s FROM texts))) GROUP BY sequence, s),
-    core_set AS MATERIALIZED (SELECT DISTINCT id, x FROM kept),
-    hits AS (SELECT id, s, count(*) AS c FROM (SELECT m.id, p.s, substr(p.t, i, m.k) AS x FROM km m JOIN perm p USING (sequence), unnest(generate_series(1, m.length - m.k + 1)) u(i))
-      JOIN core_set USING (id, x) GROUP BY id, s),
-    filled AS (SELECT id, s, o, coalesce(c, 0) AS c FROM (SELECT id, o, unnest(generate_series(1, 100)) AS s FROM obs) LEFT JOIN hits USING (id, s)),
-    stat AS (SELECT id, o, avg(c) AS mu, stddev_samp(c) AS sd, (1 + count(*) FILTER (c >= o)) / 101.0 AS p FROM filled GROUP BY id, o),
-    cons AS (SELECT m.*, o, mu, sd, coalesce(log2((o + 1e-6) / (mu + 1e-6)), 0) AS e, coalesce(p, 1) AS p FROM km m LEFT JOIN stat USING (id))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -684,10 +659,6 @@ def oracle_sql() -> dict[str, str]:
             "round(CASE class WHEN 'G-Quadruplex Family' THEN gp WHEN 'Z-DNA' THEN zp ELSE 0.5 END, 6) AS ml_pattern_score, round(0.7 * score + 30 * p, 6) AS enhanced_score FROM prob", PROB
         ),
         "mean_probability": on_core("SELECT class, round(avg(p), 6) AS mean_probability FROM prob GROUP BY class", PROB),
-        "conservation": on_core(
-            "SELECT seq_id, start_pos, end_pos, class, subtype, CAST(o AS INT) AS observed_count, round(mu, 6) AS null_mean, round(sd, 6) AS null_std, round(e, 6) AS conservation_score, round(p, 6) AS conservation_p, "
-            "CASE WHEN p <= 0.05 THEN CASE WHEN e >= 2.5 THEN 'high' WHEN e >= 1.5 THEN 'medium' WHEN e >= 0.5 THEN 'low' ELSE 'not significant' END ELSE 'not significant' END AS conservation_significance FROM cons", CONS
-        ),
         "class_counts": on_core("SELECT class, count(*) AS n FROM core GROUP BY class"),
         "sequence_summary": on_core("SELECT seq_id, name, length, n_motifs, round(n_motifs / CAST(length AS DOUBLE) * 1000, 2) AS motifs_per_kb FROM ps", PER_SEQ),
         "overview": on_core(
