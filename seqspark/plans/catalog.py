@@ -72,6 +72,10 @@ def _motif_rows(motifs: DataFrame) -> DataFrame:
     return motifs.select(*POS, "class", "subtype", "length", "sequence", R6("score").alias("score"), "detail", "spacer")
 
 
+def _found_rows(motifs: DataFrame) -> DataFrame:
+    return _motif_rows(motifs.withColumn("detail", F.coalesce("detail", F.lit("")))).drop("sequence")
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     for n in names:
         df = df.withColumn(n, R6(F.col(n)))
@@ -198,7 +202,7 @@ def selected(m, q):
 
 
 def g4_priority(m, q):
-    return g4.g4_priority_filter(m).groupBy("class", "subtype").agg(F.count(F.lit(1)).alias("n"))
+    return g4.g4_priority_filter(m).select(*POS, "class", "subtype", "score")
 
 
 # --- classification, statistics -------------------------------------------------------------
@@ -296,15 +300,10 @@ def queries() -> dict:
         "disease_runs": lambda q: disease.repeat_runs(q),
         "disease_repeats": disease_table,
         "core_motifs": lambda q: _motif_rows(core_motifs(q)),
-        "all_detectors": lambda q: detectors(fasta.valid_sequences(q)).groupBy("class", "subtype").agg(
-            F.count(F.lit(1)).alias("n"), R6(F.sum("score")).alias("score")
-        ),
-        "all_motifs": lambda q: all_motifs(q, report_hotspots=True, gene="gene").groupBy("class").agg(
-            F.count(F.lit(1)).alias("n")
-        ),
-        "all_motifs_nonoverlap": lambda q: all_motifs(q, nonoverlap=True).groupBy("class").agg(
-            F.count(F.lit(1)).alias("n")
-        ),
+        "all_detectors": lambda q: _motif_rows(detectors(fasta.valid_sequences(q))),
+        "all_motifs": lambda q: _found_rows(all_motifs(q, report_hotspots=True, gene="gene")),
+        "all_motifs_nonoverlap": lambda q: _found_rows(all_motifs(q, nonoverlap=True)),
+        "displayed_motifs": lambda q: reports.display_rows(all_motifs(q)),
     }
     on_core = {
         "selected_motifs": selected,

@@ -597,8 +597,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "core_motifs": on_core("SELECT * EXCLUDE (copy_no) FROM core"),
         "g4_priority": on_core(
-            f"SELECT class, subtype, count(*) AS n FROM core c WHERE class <> 'G-Quadruplex Family' OR {G4_RANK} = (SELECT min({G4_RANK}) "
-            "FROM core k WHERE k.class = c.class AND k.seq_id = c.seq_id AND k.start_pos = c.start_pos AND k.end_pos = c.end_pos) GROUP BY class, subtype"
+            f"SELECT seq_id, start_pos, end_pos, class, subtype, score FROM core c WHERE class <> 'G-Quadruplex Family' OR {G4_RANK} = (SELECT min({G4_RANK}) "
+            "FROM core k WHERE k.class = c.class AND k.seq_id = c.seq_id AND k.start_pos = c.start_pos AND k.end_pos = c.end_pos)"
         ),
         "hotspot_windows": on_core("SELECT * REPLACE (round(score, 6) AS score) FROM hot", HOT),
         "hotspots": on_core(
