@@ -24,6 +24,7 @@ CASES = [
     (g4.g4_candidates, "GGGGGTTTTTTTTGGGGGTTTTGGGGGTTTTTGGGGG", "Relaxed G4"),
     (g4.g4_candidates, "GGGGTTGGTGGGGTTGGGGTTGGGG", "Bulged G4"),
     (g4.g4_candidates, "GGGGGTTGGGGG" + "ATTATAATTATAATT" + "GGGGGTTGGGGG", "Bipartite G4"),
+    (g4.g4_candidates, "GGGGGTTGGTTGGGGGTTGGGGG", "Imperfect G4"),
     (g4.g4_candidates, "GGGGTTGGGGTTGGGG", "G-Triplex intermediate"),
     (imotif.imotifs, "CCCTTCCCTTCCCTTCCC", "Canonical i-motif"),
     (imotif.imotifs, "CCCTTTTTTTTCCCTTTTTTTCCCTTTTTTCCCT", "Relaxed i-motif"),
