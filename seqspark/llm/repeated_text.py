@@ -3,8 +3,8 @@
 1. Documents are laid into shards of about `SHARD_BYTES`, in doc_id order, stored as a bucketed table.
 2. Every window of `length` bytes has one anchor, the half-length string in it of least hash. A window can occur
    twice only if its anchor does; a count of anchors over all shards leaves a fraction of the text.
-3. In each shard the suffix array of that fraction, refined to `length` bytes, and Kasai's common prefixes give the
-   windows that occur earlier in the same shard, exactly.
+3. In each shard the suffix array of what can repeat within it, refined to `length` bytes, and Kasai's common
+   prefixes give the windows that occur earlier in the same shard, exactly.
 4. Each shard sends the others as sorted runs of 62-bit (with very many ranges 60-bit) hashes; the runs are merged
    in shard order by binary search, which tells the windows that an earlier shard has.
 5. The shards cover the bytes of both kinds of window.
@@ -25,7 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.runs import RUN, among, mixed, picked, prefix_set, range_bits, run_batch, runs_of, sent
+from seqspark.llm.runs import (
+    RUN, among, flagged, later_keys, mixed, prefix_set, range_bits, repeated_keys, run_batch, runs_of, sent,
+)
 from seqspark.llm.shared import shared_path
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
 
@@ -77,13 +79,18 @@ def anchors_of(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndar
     return windows, places, hashes
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """The distinct values of places that never fall."""
+    return places[np.flatnonzero(np.diff(places, prepend=-1))]
+
+
 def repeats_in(data: np.ndarray, left: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Which of the `windows` (ascending places) occur earlier in the data, by suffix array and common prefixes."""
     if not len(windows):
         return np.zeros(0, bool)
     edges = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edges, windows, 1)
-    np.add.at(edges, windows + length, -1)
+    edges[windows] += 1
+    edges[windows + length] -= 1
     places = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
     new = np.ones(len(places), bool)
     new[1:] = (np.diff(places) > 1) | (left[places[1:]] > left[places[:-1]])
@@ -203,55 +210,53 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100) -> tuple[
     anchor_bits, bits = range_bits(total // 20), range_bits(total // 4)
     low = min(5, (48 - bits) // 8)
 
-    def candidates(found, sizes, data) -> tuple:
-        """Windows whose anchor occurs more than once."""
-        data, left, sizes = _plain(sizes, data)
-        windows, places, hashes = anchors_of(data, left, length)
-        if len(windows):
-            new = np.ones(len(places), bool)
-            new[1:] = places[1:] != places[:-1]
-            twice = among(sent(hashes[places[new]], anchor_bits, ANCHOR_LOW), prefix_set(found))
-            windows = windows[twice[np.cumsum(new) - 1]]
-        return data, left, sizes, windows
-
     def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data in _rows(batches, "block", "sizes", "data"):
             data, left, _ = _plain(sizes.values.to_numpy(), data.as_py())
             _, places, hashes = anchors_of(data, left, length)
-            keys = hashes[np.unique(places)] if len(places) else hashes[:0]
-            yield from _in_batches(runs_of(keys, block.as_py(), anchor_bits, ANCHOR_LOW))
+            keys = hashes[_distinct(places)]
+            yield from _in_batches(runs_of(np.sort(sent(keys, anchor_bits, ANCHOR_LOW)), block.as_py(), ANCHOR_LOW))
 
     def window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data, found in _rows(batches, "block", "sizes", "data", "found"):
-            data, left, _, windows = candidates(found.as_py(), sizes.values.to_numpy(), data.as_py())
+            data, left, _ = _plain(sizes.values.to_numpy(), data.as_py())
+            windows, places, hashes = anchors_of(data, left, length)
+            anchors = _distinct(places)
+            # Windows whose anchor occurs again anywhere; of these, those whose anchor occurs again in the shard.
+            again = among(sent(hashes[anchors], anchor_bits, ANCHOR_LOW), prefix_set(found.as_py()))
+            _, same, counts = np.unique(hashes[anchors], return_inverse=True, return_counts=True)
+            anchor = np.searchsorted(anchors, places)
+            windows, here = windows[again[anchor]], (counts > 1)[same][anchor[again[anchor]]]
             if not len(windows):
                 continue
-            later = repeats_in(data, left, windows, length)
+            later = np.zeros(len(windows), bool)
+            later[here] = repeats_in(data, left, windows[here], length)
+            firsts = windows[~later]
             flags = np.zeros((2, len(data)), bool)
-            flags[0, windows[~later]] = flags[1, windows[later]] = True
+            flags[0, firsts] = flags[1, windows[later]] = True
             number = block.as_py()
-            keys = np.unique(string_hashes(data, length)[windows[~later]])
             note = (-1 - number % 1021, number, zlib.compress(np.packbits(flags).tobytes(), 1))
-            yield from _in_batches(x for part in ([note], runs_of(keys, number, bits, low)) for x in part)
+            keys = np.unique(sent(string_hashes(data, length)[firsts], bits, low))
+            yield from _in_batches(x for part in ([note], runs_of(keys, number, low)) for x in part)
 
-    def removed(sizes, data, found, notes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def removed(sizes, data, flags, notes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, _, sizes = _plain(sizes, data)
         gone = np.zeros(len(data), bool)
         if notes:
-            flags = np.unpackbits(np.frombuffer(zlib.decompress(notes[0]), np.uint8), count=2 * len(data)).astype(bool)
-            firsts, later = np.flatnonzero(flags[:len(data)]), np.flatnonzero(flags[len(data):])
-            elsewhere = among(sent(string_hashes(data, length)[firsts], bits, low), prefix_set(found))
+            marks = np.unpackbits(np.frombuffer(zlib.decompress(notes[0]), np.uint8), count=2 * len(data)).astype(bool)
+            firsts, later = np.flatnonzero(marks[:len(data)]), np.flatnonzero(marks[len(data):])
+            keys, same = np.unique(sent(string_hashes(data, length)[firsts], bits, low), return_inverse=True)
             edges = np.zeros(len(data) + 1, np.int32)
-            for starts in (later, firsts[elsewhere]):
-                np.add.at(edges, starts, 1)
-                np.add.at(edges, starts + length, -1)
+            for starts in (later, firsts[flagged(keys, flags, low)[same]]):
+                edges[starts] += 1
+                edges[starts + length] -= 1
             gone = np.cumsum(edges[:-1]) > 0
         return data, sizes, gone
 
-    twice = picked(shards.select("block", "sizes", "data").mapInArrow(anchor_runs, RUN), anchor_bits, ANCHOR_LOW, "repeated")
-    asked = shards.join(twice.select("block", "found"), "block").select("block", "sizes", "data", "found")
-    answers = picked(asked.mapInArrow(window_runs, RUN), bits, low, "later")
-    return shards.join(answers, "block", "left").select("rows", "sizes", "data", "found", "notes"), removed
+    twice = repeated_keys(shards.select("block", "sizes", "data").mapInArrow(anchor_runs, RUN), ANCHOR_LOW)
+    asked = shards.join(twice, "block").select("block", "sizes", "data", "found")
+    answers = later_keys(asked.mapInArrow(window_runs, RUN), low)
+    return shards.join(answers, "block", "left").select("rows", "sizes", "data", "flags", "notes"), removed
 
 
 def _documents(df: DataFrame, removed: Callable, kinds: str, fields: str, of: Callable) -> DataFrame:
@@ -259,8 +264,8 @@ def _documents(df: DataFrame, removed: Callable, kinds: str, fields: str, of: Ca
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.from_numpy_dtype("int64") if f.endswith(" long") else pa.string() for f in fields.split(", ")]
         names = [f.split()[0] for f in fields.split(", ")]
-        for rows, sizes, data, found, notes in _rows(batches, "rows", "sizes", "data", "found", "notes"):
-            bytes_, sizes, gone = removed(sizes.values.to_numpy(), data.as_py(), found.as_py(), notes.as_py())
+        for rows, sizes, data, flags, notes in _rows(batches, "rows", "sizes", "data", "flags", "notes"):
+            bytes_, sizes, gone = removed(sizes.values.to_numpy(), data.as_py(), flags.as_py(), notes.as_py())
             ends = np.cumsum(sizes)
             made = [of(bytes_[a:b], gone[a:b]) for a, b in zip(ends - sizes, ends)]
             columns = [pa.array(x, t) for x, t in zip(zip(*made), types)]

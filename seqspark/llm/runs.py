@@ -2,14 +2,14 @@
 
 A block sends its keys to each range of keys as one sorted run: the high 16 bits below the range number as
 differences of a byte, the low bits as they are. What comes back to a block are the prefixes (range and sent bits)
-of those of its keys that the question picks; the block works its keys out again to see which they are. So no row
-per key is ever shuffled. Keys must be evenly spread, as hashes are.
+of its keys that are asked for, or a bit for each key; the block works its keys out again to see which they are. So
+no row per key is ever shuffled. Keys must be evenly spread, as hashes are.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,12 +51,11 @@ def unpacked_run(data: bytes, low: int) -> np.ndarray:
     return (high << np.uint64(8 * low)) | lows.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def runs_of(keys: np.ndarray, block: int, bits: int, low: int) -> Iterator[tuple[int, int, bytes]]:
-    """The block's run for each range that has a key of it."""
-    prefixes = np.sort(sent(keys, bits, low))
+def runs_of(prefixes: np.ndarray, block: int, low: int) -> Iterator[tuple[int, int, bytes]]:
+    """The block's run for each range that has one of its sorted prefixes."""
     tail = np.uint64(16 + 8 * low)
     ranges = (prefixes >> tail).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(keys)] if len(keys) else []
+    cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(prefixes)] if len(prefixes) else []
     mask = (np.uint64(1) << tail) - np.uint64(1)
     for a, b in zip(cuts, cuts[1:]):
         yield int(ranges[a]), block, packed_run(prefixes[a:b] & mask, low)
@@ -88,21 +87,23 @@ def _repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _later(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each run (sorted, distinct values), the values that a run before it has: neighbours are merged in turn.
+    """For each run (sorted, distinct values), which of its values a run before it has: neighbours are merged in turn.
 
     A merge finds the later side's values in the earlier one by binary search, sets aside those that are there, and
     puts the others in their places.
     """
-    out: list[list[np.ndarray]] = [[] for _ in runs]
-    level = [(r, np.full(len(r), i, np.int32)) for i, r in enumerate(runs)]
+    sizes = np.array([len(r) for r in runs], np.int64)
+    ends = np.cumsum(sizes)
+    later = np.zeros(int(ends[-1]) if len(runs) else 0, bool)
+    # Each value goes with its place among all.
+    level = [(r, np.arange(e - n, e, dtype=np.int32)) for r, n, e in zip(runs, sizes, ends)]
     while len(level) > 1:
         merged = []
         for i in range(0, len(level) - 1, 2):
             (a, of_a), (b, of_b) = level[i], level[i + 1]
             at = np.searchsorted(a, b)
             there = (a[np.minimum(at, len(a) - 1)] == b) if len(a) else np.zeros(len(b), bool)
-            for run in np.unique(of_b[there]):
-                out[run].append(b[there & (of_b == run)])
+            later[of_b[there]] = True
             b, of_b, at = b[~there], of_b[~there], at[~there]
             values, of = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int32)
             place = at + np.arange(len(b))
@@ -111,29 +112,50 @@ def _later(runs: list[np.ndarray]) -> list[np.ndarray]:
             values[place], of[place], values[rest], of[rest] = b, of_b, a, of_a
             merged.append((values, of))
         level = merged + level[len(level) // 2 * 2:]
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+    return [later[e - n:e] for n, e in zip(sizes, ends)]
 
 
-def picked(runs: DataFrame, bits: int, low: int, question: str) -> DataFrame:
-    """(block, found, notes): the prefixes that `question` picks of each block, as a list of binaries.
+def repeated_keys(runs: DataFrame, low: int) -> DataFrame:
+    """(block, found): the prefixes of each block that occur more than once in all blocks, as a list of binaries."""
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        first = np.uint64(int(group["range"].iloc[0]) << (16 + 8 * low))
+        found = _repeated([unpacked_run(x, low) for x in group["data"]])
+        rows = [(b, (first | x).astype("<u8").tobytes()) for b, x in zip(group["block"], found) if len(x)]
+        return pd.DataFrame(rows, columns=["block", "data"])
+
+    answers = runs.groupBy("range").applyInPandas(answer, "block long, data binary")
+    return answers.groupBy("block").agg(F.collect_list("data").alias("found"))
 
-    'repeated': keys found more than once in all blocks. 'later': keys that a block of a smaller number has as well;
-    there a block's keys must be distinct. Rows of a negative range are notes of a block to itself, handed through.
-    """
-    ask: Callable[[list[np.ndarray]], list[np.ndarray]] = {"repeated": _repeated, "later": _later}[question]
 
+def later_keys(runs: DataFrame, low: int) -> DataFrame:
+    """(block, flags, notes): a bit for each key of a block's runs, set if a block of a smaller number has it as well.
+
+    `flags` lists (range, bits), in the order of the run, of the ranges in which a bit is set. The keys of a block are
+    distinct. Rows of a negative range are notes of a block to itself, handed through.
+    """
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["range"].iloc[0])
         if number < 0:
-            return pd.DataFrame({"block": group["block"], "data": None, "note": group["data"]})
+            return pd.DataFrame({"block": group["block"], "range": -1, "bits": None, "note": group["data"]})
         group = group.sort_values("block")
-        first = np.uint64(number << (16 + 8 * low))
-        found = ask([unpacked_run(x, low) for x in group["data"]])
-        rows = [(b, (first | x).astype("<u8").tobytes(), None) for b, x in zip(group["block"], found) if len(x)]
-        return pd.DataFrame(rows, columns=["block", "data", "note"])
+        later = _later([unpacked_run(x, low) for x in group["data"]])
+        rows = [(b, number, np.packbits(x).tobytes(), None) for b, x in zip(group["block"], later) if x.any()]
+        return pd.DataFrame(rows, columns=["block", "range", "bits", "note"])
 
-    answers = runs.groupBy("range").applyInPandas(answer, "block long, data binary, note binary")
-    return answers.groupBy("block").agg(F.collect_list("data").alias("found"), F.collect_list("note").alias("notes"))
+    answers = runs.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, note binary")
+    return answers.groupBy("block").agg(
+        F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("range", "bits"))).alias("flags"),
+        F.collect_list("note").alias("notes"))
+
+
+def flagged(prefixes: np.ndarray, flags: list[dict] | None, low: int) -> np.ndarray:
+    """For the sorted distinct prefixes of a block's runs, the bits that `later_keys` gives."""
+    out = np.zeros(len(prefixes), bool)
+    ranges = prefixes >> np.uint64(16 + 8 * low)
+    for flag in flags or []:
+        a, b = np.searchsorted(ranges, np.array([flag["range"], flag["range"] + 1], np.uint64))
+        out[a:b] = np.unpackbits(np.frombuffer(flag["bits"], np.uint8), count=int(b - a)).astype(bool)
+    return out
 
 
 def prefix_set(found: list[bytes] | None) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.components import components, spanning_links
-from seqspark.llm.runs import RUN, among, mixed, picked, prefix_set, range_bits, run_batch, runs_of, sent
+from seqspark.llm.runs import RUN, among, mixed, prefix_set, range_bits, repeated_keys, run_batch, runs_of, sent
 from seqspark.llm.shared import slices, stored
 
 #: Fingerprints that a block holds; its variants are worked out together.
@@ -110,7 +110,7 @@ def linked_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
                 fp = np.frombuffer(data, "<u8").astype(np.uint64)
                 keys = mixed((fp[:, None] ^ ball[None, :]).reshape(-1))
                 rows: list = []
-                for row in runs_of(keys, number, bits, LOW):
+                for row in runs_of(np.sort(sent(keys, bits, LOW)), number, LOW):
                     rows.append(row)
                     if len(rows) == 64:
                         yield run_batch(rows)
@@ -145,7 +145,7 @@ def linked_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
         node, root = spanning_links(fp[1:][same], fp[:-1][same])
         return pd.DataFrame({"a": node, "b": root})
 
-    repeated = picked(blocks.mapInArrow(emit, RUN), bits, LOW, "repeated")
+    repeated = repeated_keys(blocks.mapInArrow(emit, RUN), LOW)
     met = blocks.join(repeated, "block").select("fps", "found").mapInArrow(meet, "part int, variants binary, fps binary")
     return met.groupBy("part").applyInPandas(join, "a long, b long")
 
