@@ -10,6 +10,7 @@ from seqspark.functions import sequence as S
 from seqspark.operators.disease import CLASS as DISEASE
 from seqspark.operators.intervals import chain_groups, islands, overlap_join, with_copy_no
 from seqspark.operators.motifs import as_motifs
+from seqspark.sources.stored import stored
 
 CLUSTER_CLASS, PAIR_CLASS = "Advanced Non-B DNA Clusters", "Hybrid Structures"
 WINDOW, MIN_MOTIFS, DISTANCE, MIN_OVERLAP = 500, 3, 200, 0.1
@@ -227,16 +228,19 @@ def cluster_motifs(regions: DataFrame) -> DataFrame:
 
 
 def profile_clusters(regions: DataFrame, k: int = 5) -> DataFrame:
-    """Group regions by profile: adds ``profile`` (0 .. k - 1) from six features."""
+    """Group regions by profile: adds ``profile`` (0 .. k - 1) from six standardised features."""
     from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     rows = regions.withColumn("n_types", F.size("motif_types")).withColumn(
         "span", F.col("end_pos") - F.col("start_pos")
     )
     features = ["motif_count", "diversity_index", "interaction_score", "cooperative_score", "n_types", "span"]
     # the fit passes over the regions many times
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).persist()
+    rows = stored(rows, "cluster-regions")
+    rows = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    rows = scaler.transform(rows).drop("_raw")
     model = BisectingKMeans(k=k, seed=1, featuresCol="features", predictionCol="profile").fit(rows)
     return model.transform(rows).drop("features")
 

@@ -11,9 +11,20 @@ TABLE = [
 ]
 
 
-def _by_name(rows: DataFrame, parts: int = 8) -> DataFrame:
-    """Few files per name, and a name with very many rows still goes to several tasks."""
-    return rows.repartition("seq_name", F.pmod(F.hash("start_pos", "class"), F.lit(parts)))
+BUCKETS = 64
+
+
+def _write_split(rows: DataFrame, by_name: bool, buckets: int, kind: str, path: str) -> None:
+    """Folders of names by hash, so their number does not grow with the sequences; ``by_name``: one for each name.
+
+    A folder has few files, and a name with very many rows still goes to several tasks.
+    """
+    key = "seq_name"
+    if not by_name:
+        key = "bucket"
+        rows = rows.withColumn(key, F.pmod(F.xxhash64("seq_name"), F.lit(buckets)).cast("int"))
+    rows = rows.repartition(key, F.pmod(F.hash("start_pos", "class"), F.lit(8)))
+    rows.write.mode("overwrite").partitionBy(key).format(kind).save(path)
 
 
 def write_motif_csv(motifs: DataFrame, path: str, max_records: int = 0) -> None:
@@ -25,17 +36,29 @@ def write_motif_csv(motifs: DataFrame, path: str, max_records: int = 0) -> None:
     writer.csv(path)
 
 
-def write_sequence_json(motifs: DataFrame, path: str) -> None:
-    """One directory of JSON lines per sequence; nested values as strings."""
+def write_sequence_json(motifs: DataFrame, path: str, by_name: bool = False, buckets: int = BUCKETS) -> None:
+    """JSON lines of the sequences' motifs; nested values as strings."""
     rows = motifs.withColumn("attrs", F.to_json("attrs")).withColumn("written_at", F.current_timestamp())
-    _by_name(rows).write.mode("overwrite").partitionBy("seq_name").json(path)
+    _write_split(rows, by_name, buckets, "json", path)
+
+
+def read_sequence_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The motifs written as JSON, with the columns of ``schema``."""
+    return spark.read.schema(schema).json(path)
+
+
+def class_summary(motifs: DataFrame) -> DataFrame:
+    """Per sequence its motifs by class and their mean score, as taken again from stored motifs."""
+    return motifs.groupBy("seq_name", "class").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
-def write_results(motifs: DataFrame, summary: DataFrame, path: str) -> None:
+def write_results(
+    motifs: DataFrame, summary: DataFrame, path: str, by_name: bool = False, buckets: int = BUCKETS,
+) -> None:
     """Summary and details as two Parquet tables."""
     summary.write.mode("overwrite").parquet(path + "/summary")
-    _by_name(motifs).write.mode("overwrite").partitionBy("seq_name").parquet(path + "/details")
+    _write_split(motifs, by_name, buckets, "parquet", path + "/details")
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(path + "/summary"), spark.read.parquet(path + "/details")
+    return spark.read.parquet(path + "/summary"), spark.read.parquet(path + "/details").drop("bucket")
