@@ -5,11 +5,11 @@
    twice only if its anchor does; a count of anchors over all shards leaves a fraction of the text.
 3. In each shard the suffix array of what can repeat within it, refined to `length` bytes, and Kasai's common
    prefixes give the windows that occur earlier in the same shard, exactly.
-4. Each shard sends the others as sorted runs of 62-bit (with very many ranges 60-bit) hashes; the runs are merged
-   in shard order by binary search, which tells the windows that an earlier shard has.
+4. Each shard sends the others as sorted runs of hashes of 60 bits or more; the runs are merged in shard order by
+   binary search, which tells the windows that an earlier shard has.
 5. The shards cover the bytes of both kinds of window.
 
-Results are exact but for equal hashes of different windows: with n windows sent, about n * n / 2**63 are expected.
+Results are exact but for equal hashes of different windows: with n windows sent, at most n * n / 2**61 are expected.
 """
 
 from __future__ import annotations
