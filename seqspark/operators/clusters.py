@@ -239,7 +239,8 @@ def profile_clusters(regions: DataFrame, k: int = 5) -> DataFrame:
     # the fit passes over the regions many times
     rows = stored(rows, "cluster-regions")
     rows = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    # not centred: the first split starts from a share of the centre's length
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=False, withStd=True).fit(rows)
     rows = scaler.transform(rows).drop("_raw")
     model = BisectingKMeans(k=k, seed=1, featuresCol="features", predictionCol="profile").fit(rows)
     return model.transform(rows).drop("features")
