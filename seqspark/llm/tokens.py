@@ -12,11 +12,13 @@ import numpy as np
 from seqspark.llm.shared import WHITE, ChunkTable
 
 WHITESPACE = re.compile(f"[{WHITE}]")
-#: A run of non-space with the one space before it; else white space as the byte-level pattern splits it.
-_BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: The word-level tokenizer drops white space and parts letters from marks, so no token crosses these places.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_WORD_LEVEL = re.compile(f"[{_LATIN}]+(?=[.,;:!?|#$%&*]+(?:[{WHITE}]|\\Z))|[^{WHITE}]+")
+#: Letters before marks that end a word: both tokenizers part them, so a word is one chunk with and without marks.
+_ENDED = f"[{_LATIN}]++(?=[.,;:!?|#$%&*]+(?:[{WHITE}]|\\Z))"
+#: A run of non-space with the one space before it; else white space as the byte-level pattern splits it.
+_BYTE_LEVEL = re.compile(f" ?{_ENDED}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: The word-level tokenizer drops white space.
+_WORD_LEVEL = re.compile(f"{_ENDED}|[^{WHITE}]+")
 #: Chunks that are encoded as one text.
 JOINED = 400
 
