@@ -20,13 +20,14 @@ from seqspark.sources.tables import sequences
 CORE_CLASSES = [
     "Curved DNA", "R-loop", "Triplex", "Z-DNA", "G-Quadruplex Family", "i-motif family", disease.CLASS,
 ]
+#: The official classes that a detector emits (hybrids and cluster regions are made of them), and the diseases.
+DETECTED_CLASSES = [c for c, subclasses in classify.TAXONOMY.items() if subclasses] + [disease.CLASS]
 R6 = lambda c: F.round(c, 6)
 
 
 def core_motifs(seqs: DataFrame) -> DataFrame:
-    """The detectors whose rows have SQL: the common input of the interval and report queries.
+    """The detectors whose rows have SQL; slipped, cruciform and H-DNA have none.
 
-    Slipped, cruciform and H-DNA are left out here, as SQL for them is missing; ``all_motifs`` has them.
     Scores are rounded to six places, so that SQL and Spark sum up the same numbers.
     """
     rows = union(
@@ -42,12 +43,17 @@ def core_motifs(seqs: DataFrame) -> DataFrame:
 _kept: dict = {}
 
 
+def detected_motifs(seqs: DataFrame) -> DataFrame:
+    """The rows of all detectors, scores rounded to six places: the common input of the interval and report queries."""
+    return detectors(fasta.valid_sequences(seqs)).withColumn("score", R6(F.col("score")))
+
+
 def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Core motifs, written once to the shared folder for the other queries of the session, and sequences."""
+    """Detected motifs, written once to the shared folder for the other queries of the session, and sequences."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         seqs = sequences(spark, sf_dir)
-        _kept[key] = (stored(core_motifs(seqs), "core-motifs"), seqs)
+        _kept[key] = (stored(detected_motifs(seqs), "detected-motifs"), seqs)
     return _kept[key]
 
 
@@ -250,7 +256,7 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def comparison(m, q):
-    return reports.sequence_comparison(m, q, CORE_CLASSES)
+    return reports.sequence_comparison(m, q, DETECTED_CLASSES)
 
 
 def genes(m, q):
@@ -318,7 +324,7 @@ def queries() -> dict:
         "hybrid_pairs": hybrid_pairs,
         "hybrid_structures": hybrid_structures,
         "cooccurrence": lambda m, q: reports.cooccurrence(m),
-        "class_intersections": lambda m, q: reports.class_intersections(m, CORE_CLASSES),
+        "class_intersections": lambda m, q: reports.class_intersections(m, DETECTED_CLASSES),
         "proximity": proximity,
         "official_classes": official_classes,
         "class_distribution": lambda m, q: classify.class_distribution(m),
@@ -337,7 +343,7 @@ def queries() -> dict:
         "positional_density": lambda m, q: reports.positional_density(m, q),
         "class_bins": lambda m, q: reports.class_bins(m),
         "class_subtype_counts": lambda m, q: reports.class_subtype_counts(m),
-        "score_pivot": lambda m, q: _doubles(reports.score_pivot(m, CORE_CLASSES)),
+        "score_pivot": lambda m, q: _doubles(reports.score_pivot(m, DETECTED_CLASSES)),
         "score_distribution": lambda m, q: _doubles(reports.distribution(m, "score")),
         "length_distribution": lambda m, q: _doubles(reports.distribution(m, "length", "subtype")),
         "length_score_trend": lambda m, q: _doubles(reports.length_score_trend(m)),
@@ -345,7 +351,7 @@ def queries() -> dict:
         "circular_positions": lambda m, q: _doubles(reports.circular_positions(m, q)),
         "sequence_comparison": lambda m, q: _doubles(comparison(m, q)),
         "gc_category": lambda m, q: _doubles(reports.category_statistics(comparison(m, q))),
-        "gc_category_means": lambda m, q: _doubles(reports.category_class_means(comparison(m, q), CORE_CLASSES)),
+        "gc_category_means": lambda m, q: _doubles(reports.category_class_means(comparison(m, q), DETECTED_CLASSES)),
         "gc_correlation": lambda m, q: _doubles(reports.gc_density_correlation(comparison(m, q))),
         "gene_summary": lambda m, q: _doubles(genes(m, q)),
         "gene_statistics": lambda m, q: _doubles(reports.gene_statistics(genes(m, q))),
