@@ -39,12 +39,16 @@ BOILER = frozenset((
 COMMENTS = frozenset("comment comments commentlist discussion disqus respond replies reply".split())
 _BREAK_OUT = frozenset("article main".split())
 
+#: What follows a tag's name: a quote opens a value only after "=", and closes it however far away. A value that no
+#: quote closes is taken as it stands; as then no such quote follows, the scan is linear.
+_ATTRIBUTES = r"(?:[^=<>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>"
-    r".*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]{0,2000}\"|'[^']{0,2000}'|[^'\"<>])*+)>?"
-    r"|<[!?][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])" + _ATTRIBUTES + r"(?<=/)>"
+    r"|<(script|style|noscript|template|textarea|title|svg|iframe)(?=[\s/>])" + _ATTRIBUTES + r">?.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)(" + _ATTRIBUTES + r")>?|<[!?][^>]*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
+_UNQUOTED = re.compile(r"=\s*[^\s\"']\S*\Z")
+_UNSEEN = re.compile(r"display\s*:\s*none")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -54,14 +58,18 @@ def _region(name: str, attributes: str, in_article: bool) -> str:
     if name in NEVER or (name == "header" and not in_article):
         return "boiler"
     if attributes and name not in ("html", "body"):
-        if _HIDDEN.search(attributes):
-            return "comments"
-        for key, *values in _NAMED.findall(attributes):
-            words = frozenset(_WORD.findall("".join(values).lower()))
-            if words & COMMENTS:
+        found = ""
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), "".join(values).lower()
+            if key == "hidden" or (key == "aria-hidden" and value.strip().startswith("true")) or (key == "style" and _UNSEEN.search(value)):
                 return "comments"
-            if words & BOILER and name not in _BREAK_OUT and not (key.lower() == "class" and name in ("p", "span", "h1")):
-                return "boiler"
+            if key in ("class", "id", "role"):
+                words = frozenset(_WORD.findall(value))
+                if words & COMMENTS:
+                    found = found or "comments"
+                elif words & BOILER and name not in _BREAK_OUT and not (key == "class" and name in ("p", "span", "h1")):
+                    found = found or "boiler"
+        return found
     return ""
 
 
@@ -121,7 +129,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         else:
             if name in BLOCKS:
                 end(name in CONTAINERS)
-            if name in VOID or m[4].endswith("/"):
+            if name in VOID or (m[4].endswith("/") and not _UNQUOTED.search(m[4])):
                 continue
             if name in _BREAK_OUT and opened["/comments"] <= 0:  # out of a region left open
                 while dropped:

@@ -21,6 +21,29 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+JSON = '{"a": "<div class=ad><p>not text</p>", "b": [' + "1, " * 2000 + "]}"
+TAGS = [
+    (f"<article data-x='{JSON}' class='post'><p>{LONG}</p></article>", LONG),
+    (f"<div data-x='{JSON}' class='ad'><p>{LONG} Buy!</p></div><p>{LONG}</p>", LONG),
+    (f"<article><p class='a''>{LONG}</p><p>it's</p></article>", f"{LONG}\n\nit's"),
+    (f"<article><p class=\"a>{LONG}</p>", LONG),
+    (f"<article><svg class='i'/><p>{LONG}</p><svg/><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<article><svg-icon name='x'></svg-icon><p>{LONG}</p><title-bar></title-bar><template-x>y</template-x></article>", f"{LONG}\n\ny"),
+    (f"<article><svg><title>no</title></svg ><p>{LONG}</p><script>'</scripts>'</script></article>", LONG),
+    (f"<article><p><a href=http://x/>link</a> {LONG}</p></article>", f"link {LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", TAGS)
+def test_tags_are_scanned_whole(page, text):
+    assert main_text(page) == text
+
+
+def test_the_scan_is_linear():
+    for part in ("<p a=\"", "<p a='", "<a b=<", "<svg ", "<p = ", "<x y=\"'"):
+        main_text(part * 20_000)
+
+
 def test_nothing_is_cut_from_long_articles():
     texts = [f"{LONG} {i}" if i % 3 else f"{i}" for i in range(20_000)]
     page = "<nav>menu</nav><main>" + "".join(f"<p>{x}" for x in texts) + "</main>"
