@@ -39,6 +39,21 @@ def test_tags_are_scanned_whole(page, text):
     assert main_text(page) == text
 
 
+WHOLE = [
+    (f"<article><h1><a href=/x>Title</a></h1><p>{LONG}</p><ul><li><a href=/y>One</a></li><li>Two</li></ul><figcaption><a>Cap</a></figcaption></article>", f"Title\n\n{LONG}\n\nOne\n\nTwo\n\nCap"),
+    (f"<div><h1>Title</h1></div><div><p>{LONG}</p></div><ul><li>a<li>b</ul><table><tr><td>x<td>y</table><div>{LONG}</div>", f"Title\n\n{LONG}\n\na\n\nb\n\nx\n\ny\n\n{LONG}"),
+    (f"<div><h1><a href=/x>Title</a></h1></div><div><p>{LONG}</p><p><a href=/z>All of it</a></p><p>{LONG}</p></div>", f"Title\n\n{LONG}\n\nAll of it\n\n{LONG}"),
+    (f"<div><a href=/x>one</a></div><div><p>{LONG}</p></div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>", LONG),
+    (f"<div id='page' class='layout has-sidebar'><div class='sidebar'>Not this, never.</div><div><p>{LONG}</p></div></div>", LONG),
+    (f"<div class='menu-open'><nav>{LONG} nav</nav><div class='content'><p>{LONG}</p></div></div><div class=ad>Buy.</div>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", WHOLE)
+def test_short_and_linked_blocks_stay(page, text):
+    assert main_text(page) == text
+
+
 def test_the_scan_is_linear():
     for part in ("<p a=\"", "<p a='", "<a b=<", "<svg ", "<p = ", "<x y=\"'"):
         main_text(part * 20_000)
