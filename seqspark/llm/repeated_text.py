@@ -5,11 +5,14 @@
    twice only if its anchor does; a count of anchors over all shards leaves a fraction of the text.
 3. In each shard the suffix array of what can repeat within it, refined to `length` bytes, and Kasai's common
    prefixes give the windows that occur earlier in the same shard, exactly.
-4. Each shard sends the others as sorted runs of hashes of 60 bits or more; the runs are merged in shard order by
+4. Each shard sends the others as sorted runs of hashes of 56 to 64 bits; the runs are merged in shard order by
    binary search, which tells the windows that an earlier shard has.
-5. The shards cover the bytes of both kinds of window.
+5. Those, and the windows that they were found equal to, are sent again by another hash of 56 to 64 bits. A window
+   counts as repeated if an earlier shard has it by both hashes.
+6. The shards cover the bytes of both kinds of window.
 
-Results are exact but for equal hashes of different windows: with n windows sent, at most n * n / 2**61 are expected.
+Results are exact but for windows that both hashes mistake: of n windows sent, m of them again, n * n * m / 2**112
+are expected at most (1e10 and 1e10 at 30 GB: 2e-4).
 """
 
 from __future__ import annotations
@@ -28,29 +31,29 @@ from pyspark.sql import functions as F
 from seqspark.llm.runs import (
     RUN, among, flagged, later_keys, mixed, prefix_set, range_bits, repeated_keys, run_batch, runs_of, sent,
 )
-from seqspark.llm.shared import shared_path
+from seqspark.llm.shared import shared_path, stored
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
 
 SHARD_BYTES = 2 << 20
 ANCHOR_LOW = 2
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
+_BYTES = mixed(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2]
 
 
-def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hash of the `length` bytes from each place on: sums of powers, from prefix sums."""
-    n = len(data)
+def string_hashes(data: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
+    """64-bit hash, of one of two kinds, of the `length` bytes from each place on: sums of powers, from prefix sums."""
+    n, powers = len(data), _powers[kind]
     if n < length:
         return np.zeros(0, np.uint64)
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+    if len(powers[0]) < n:
+        for i, base in enumerate((_BASES[kind], pow(_BASES[kind], -1, 2**64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
+            powers[i] = np.multiply.accumulate(steps)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers[0][:n], out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * _powers[1][:n - length + 1])
+    np.cumsum(_BYTES[kind][data] * powers[0][:n], out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * powers[1][:n - length + 1])
 
 
 def bytes_left(sizes: np.ndarray) -> np.ndarray:
@@ -203,12 +206,16 @@ def _in_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBat
     yield run_batch(held)
 
 
-def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100) -> tuple[DataFrame, Callable]:
-    """Shards with their answers, and the function that gives of one such row its bytes, sizes and removed bytes."""
+def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int | None = None) -> tuple[DataFrame, Callable]:
+    """Shards with their answers, and the function that gives of one such row its bytes, sizes and removed bytes.
+
+    `low` is how many bytes of the first hash are sent besides 16 bits and the range; by default as many as there are.
+    """
     shards = sharded(docs, keep)
     total = shards.agg(F.sum("n_bytes")).first()[0] or 0
     anchor_bits, bits = range_bits(total // 20), range_bits(total // 4)
-    low = min(5, (48 - bits) // 8)
+    sure_low = min(5, (48 - bits) // 8)
+    low = sure_low if low is None else low
 
     def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data in _rows(batches, "block", "sizes", "data"):
@@ -239,15 +246,30 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100) -> tuple[
             keys = np.unique(sent(string_hashes(data, length)[firsts], bits, low))
             yield from _in_batches(x for part in ([note], runs_of(keys, number, low)) for x in part)
 
-    def removed(sizes, data, flags, notes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def asked_again(data, flags, notes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that repeat in the shard; those that another has by the first hash, their second, and if it is earlier."""
+        marks = np.unpackbits(np.frombuffer(zlib.decompress(notes[0]), np.uint8), count=2 * len(data)).astype(bool)
+        firsts, later = np.flatnonzero(marks[:len(data)]), np.flatnonzero(marks[len(data):])
+        if not flags:
+            return later, firsts[:0], np.zeros(0, np.uint64), np.zeros(0, bool)
+        keys, same = np.unique(sent(string_hashes(data, length)[firsts], bits, low), return_inverse=True)
+        shared = flagged(keys, flags, low, "shared")[same]
+        again = firsts[shared]
+        return later, again, sent(string_hashes(data, length, 1)[again], bits, sure_low), flagged(keys, flags, low)[same][shared]
+
+    def sure_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, flags, notes in _rows(batches, "block", "data", "flags", "notes"):
+            _, _, keys, _ = asked_again(np.frombuffer(data.as_py(), np.uint8), flags.as_py(), notes.as_py())
+            yield from _in_batches(runs_of(np.unique(keys), block.as_py(), sure_low))
+
+    def removed(sizes, data, flags, notes, sure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, _, sizes = _plain(sizes, data)
         gone = np.zeros(len(data), bool)
         if notes:
-            marks = np.unpackbits(np.frombuffer(zlib.decompress(notes[0]), np.uint8), count=2 * len(data)).astype(bool)
-            firsts, later = np.flatnonzero(marks[:len(data)]), np.flatnonzero(marks[len(data):])
-            keys, same = np.unique(sent(string_hashes(data, length)[firsts], bits, low), return_inverse=True)
+            later, again, second, earlier = asked_again(data, flags, notes)
+            keys, same = np.unique(second, return_inverse=True)
             edges = np.zeros(len(data) + 1, np.int32)
-            for starts in (later, firsts[flagged(keys, flags, low)[same]]):
+            for starts in (later, again[earlier & flagged(keys, sure, sure_low)[same]]):
                 edges[starts] += 1
                 edges[starts + length] -= 1
             gone = np.cumsum(edges[:-1]) > 0
@@ -255,8 +277,11 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100) -> tuple[
 
     twice = repeated_keys(shards.select("block", "sizes", "data").mapInArrow(anchor_runs, RUN), ANCHOR_LOW)
     asked = shards.join(twice, "block").select("block", "sizes", "data", "found")
-    answers = later_keys(asked.mapInArrow(window_runs, RUN), low)
-    return shards.join(answers, "block", "left").select("rows", "sizes", "data", "flags", "notes"), removed
+    answers = stored(later_keys(asked.mapInArrow(window_runs, RUN), low), "window-answers")
+    again = shards.join(answers.where(F.size("flags") > 0), "block").select("block", "data", "flags", "notes")
+    sure = later_keys(again.mapInArrow(sure_runs, RUN), sure_low).select("block", F.col("flags").alias("sure"))
+    found = shards.join(answers, "block", "left").join(sure, "block", "left")
+    return found.select("rows", "sizes", "data", "flags", "notes", "sure"), removed
 
 
 def _documents(df: DataFrame, removed: Callable, kinds: str, fields: str, of: Callable) -> DataFrame:
@@ -264,8 +289,8 @@ def _documents(df: DataFrame, removed: Callable, kinds: str, fields: str, of: Ca
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.from_numpy_dtype("int64") if f.endswith(" long") else pa.string() for f in fields.split(", ")]
         names = [f.split()[0] for f in fields.split(", ")]
-        for rows, sizes, data, flags, notes in _rows(batches, "rows", "sizes", "data", "flags", "notes"):
-            bytes_, sizes, gone = removed(sizes.values.to_numpy(), data.as_py(), flags.as_py(), notes.as_py())
+        for rows, sizes, data, flags, notes, sure in _rows(batches, "rows", "sizes", "data", "flags", "notes", "sure"):
+            bytes_, sizes, gone = removed(sizes.values.to_numpy(), data.as_py(), flags.as_py(), notes.as_py(), sure.as_py())
             ends = np.cumsum(sizes)
             made = [of(bytes_[a:b], gone[a:b]) for a, b in zip(ends - sizes, ends)]
             columns = [pa.array(x, t) for x, t in zip(zip(*made), types)]
@@ -278,7 +303,7 @@ def _kinds(df: DataFrame) -> str:
     return df.schema["rows"].dataType.elementType.simpleString()
 
 
-def repeat_digests(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeat_digests(docs: DataFrame, length: int = 100, low: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document (doc_id, text).
 
     A byte is removed if a string of `length` bytes that covers it starts earlier as well: in a document of smaller
@@ -290,7 +315,7 @@ def repeat_digests(docs: DataFrame, length: int = 100) -> DataFrame:
         kept = data if not spans else data[~gone]
         return len(data), int(gone.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()
 
-    df, removed = removed_bytes(docs, ["doc_id"], length)
+    df, removed = removed_bytes(docs, ["doc_id"], length, low)
     out = _documents(df, removed, _kinds(df), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -130,31 +130,35 @@ def repeated_keys(runs: DataFrame, low: int) -> DataFrame:
 def later_keys(runs: DataFrame, low: int) -> DataFrame:
     """(block, flags, notes): a bit for each key of a block's runs, set if a block of a smaller number has it as well.
 
-    `flags` lists (range, bits), in the order of the run, of the ranges in which a bit is set. The keys of a block are
-    distinct. Rows of a negative range are notes of a block to itself, handed through.
+    `flags` lists (range, bits, shared), in the order of the run, of the ranges that have a key in common with another
+    block; `shared` has the bits of all such keys. The keys of a block are distinct. Rows of a negative range are notes
+    of a block to itself, handed through.
     """
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["range"].iloc[0])
         if number < 0:
-            return pd.DataFrame({"block": group["block"], "range": -1, "bits": None, "note": group["data"]})
+            return pd.DataFrame({"block": group["block"], "range": -1, "bits": None, "shared": None, "note": group["data"]})
         group = group.sort_values("block")
-        later = _later([unpacked_run(x, low) for x in group["data"]])
-        rows = [(b, number, np.packbits(x).tobytes(), None) for b, x in zip(group["block"], later) if x.any()]
-        return pd.DataFrame(rows, columns=["block", "range", "bits", "note"])
-
-    answers = runs.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, note binary")
+        keys = [unpacked_run(x, low) for x in group["data"]]
+        later = _later(keys)
+        again = np.unique(np.concatenate([k[x] for k, x in zip(keys, later)]))
+        rows = [(b, number, np.packbits(x).tobytes(), np.packbits(y).tobytes(), None)
+                for b, x, y in zip(group["block"], later, (among(k, again) for k in keys)) if y.any()]
+        return pd.DataFrame(rows, columns=["block", "range", "bits", "shared", "note"])
+
+    answers = runs.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, shared binary, note binary")
     return answers.groupBy("block").agg(
-        F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("range", "bits"))).alias("flags"),
+        F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("range", "bits", "shared"))).alias("flags"),
         F.collect_list("note").alias("notes"))
 
 
-def flagged(prefixes: np.ndarray, flags: list[dict] | None, low: int) -> np.ndarray:
-    """For the sorted distinct prefixes of a block's runs, the bits that `later_keys` gives."""
+def flagged(prefixes: np.ndarray, flags: list[dict] | None, low: int, field: str = "bits") -> np.ndarray:
+    """For the sorted distinct prefixes of a block's runs, the bits (or `shared`) that `later_keys` gives."""
     out = np.zeros(len(prefixes), bool)
     ranges = prefixes >> np.uint64(16 + 8 * low)
     for flag in flags or []:
         a, b = np.searchsorted(ranges, np.array([flag["range"], flag["range"] + 1], np.uint64))
-        out[a:b] = np.unpackbits(np.frombuffer(flag["bits"], np.uint8), count=int(b - a)).astype(bool)
+        out[a:b] = np.unpackbits(np.frombuffer(flag[field], np.uint8), count=int(b - a)).astype(bool)
     return out
 
 

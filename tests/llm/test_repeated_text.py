@@ -97,3 +97,17 @@ def test_text_without_repeats(spark, corpus, odd_docs):
     assert R.repeat_digests(odd_docs).count() == odd_docs.count()
     assert R.repeat_digests(odd_docs.limit(0)).count() == 0
     assert R.without_repeats(odd_docs.limit(0)).count() == 0
+
+
+def test_equal_hashes_of_different_windows_remove_nothing(spark, tmp_path):
+    """16 bits of the first hash only: most windows sent are taken for another shard's, and the second hash tells."""
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passages = [say(60) for _ in range(40)]
+    texts = [say(70) + passages[i % 40] + say(70) for i in range(1200)]
+    texts += [texts[5], texts[9][:150]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartitionByRange(4, "doc_id").write.parquet(f"file://{tmp_path}/docs")  # a shard for each file
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    found = {r["doc_id"]: r["n_removed"] for r in R.repeat_digests(docs, low=0).collect()}
+    assert found == dict(enumerate(map(sum, removed_plainly([x.encode() for x in texts], 100))))
