@@ -33,6 +33,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # A store is closed when its task ends, so the open ones are those of running tasks; each reserves some MB of disk.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
