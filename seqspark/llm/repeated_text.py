@@ -5,20 +5,20 @@
    twice only if its anchor does; a count of anchors over all shards leaves a fraction of the text.
 3. In each shard the suffix array of what can repeat within it, refined to `length` bytes, and Kasai's common
    prefixes give the windows that occur earlier in the same shard, exactly.
-4. Each shard sends the others as sorted runs of hashes of 56 to 64 bits; the runs are merged in shard order by
-   binary search, which tells the windows that an earlier shard has.
-5. Those, and the windows that they were found equal to, are sent again by another hash of 56 to 64 bits. A window
-   counts as repeated if an earlier shard has it by both hashes.
+4. Each shard sends the others as sorted runs of short hashes, about 32 bits more than tell ranges of some million
+   keys apart: enough to leave out all but one in a thousand of the windows that no other shard has. The runs are
+   merged by binary search, which tells the windows that another, and that an earlier shard has.
+5. Those are sent again by a hash of another kind, of 56 to 62 bits: sums of powers modulo two primes. A window counts
+   as repeated if an earlier shard has it by both hashes.
 6. The shards cover the bytes of both kinds of window.
 
-Results are exact but for windows that both hashes mistake: of n windows sent, m of them again, n * n * m / 2**112
-are expected at most (1e10 and 1e10 at 30 GB: 2e-4).
+Results are exact but for windows that both hashes mistake: of n windows sent and m sent again, n * m / 2**70 are
+expected (n and m of 1e10 and 3e9 at 30 GB: 0.03).
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,29 +31,51 @@ from pyspark.sql import functions as F
 from seqspark.llm.runs import (
     RUN, among, flagged, later_keys, mixed, prefix_set, range_bits, repeated_keys, run_batch, runs_of, sent,
 )
-from seqspark.llm.shared import shared_path, stored
+from seqspark.llm.shared import bucketed, stored
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
 
 SHARD_BYTES = 2 << 20
 ANCHOR_LOW = 2
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
-_BYTES = mixed(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
-_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2]
-
-
-def string_hashes(data: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
-    """64-bit hash, of one of two kinds, of the `length` bytes from each place on: sums of powers, from prefix sums."""
-    n, powers = len(data), _powers[kind]
+SURE_BITS = 62
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Primes and a base for each.
+_PRIMES = ((2**31 - 1, 1_103_515_247), (2**31 - 19, 1_664_525_003))
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int, modulus: int = 0) -> np.ndarray:
+    """1, base, base**2, ...: `n` at least, modulo 2**64 or a prime below 2**31. Kept while they are for a usual shard."""
+    powers = _powers.get((base, modulus), np.ones(1, np.uint32 if modulus else np.uint64))
+    while len(powers) < n:
+        step = pow(base, len(powers), modulus or 2**64)
+        more = powers.astype(np.uint64) * np.uint64(step)
+        powers = np.concatenate([powers, (more % np.uint64(modulus)).astype(np.uint32) if modulus else more])
+    if len(powers) <= 2 * SHARD_BYTES:
+        _powers[base, modulus] = powers
+    return powers[:n]
+
+
+def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of the `length` bytes from each place on: sums of powers, from prefix sums."""
+    n = len(data)
     if n < length:
         return np.zeros(0, np.uint64)
-    if len(powers[0]) < n:
-        for i, base in enumerate((_BASES[kind], pow(_BASES[kind], -1, 2**64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            powers[i] = np.multiply.accumulate(steps)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[kind][data] * powers[0][:n], out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * powers[1][:n - length + 1])
+    np.cumsum(_BYTES[data] * _powers_of(_BASE, n), out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * _powers_of(pow(_BASE, -1, 2**64), n)[:n - length + 1])
+
+
+def sure_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Hash of 62 bits, evenly spread over 64, of the `length` bytes from each of `places` on."""
+    out = np.zeros(len(places), np.uint64)
+    for p, base in _PRIMES:
+        prime, n = np.uint64(p), len(data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_BYTES[data] >> np.uint64(34)) * _powers_of(base, n, p) % prime, out=sums[1:])
+        here = (sums[places + length] - sums[places]) % prime
+        out = (out << np.uint64(31)) | here * _powers_of(pow(base, -1, p), n, p)[places] % prime
+    return mixed(out)
 
 
 def bytes_left(sizes: np.ndarray) -> np.ndarray:
@@ -165,10 +187,7 @@ def sharded(docs: DataFrame, keep: list[str]) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(source: DataFrame, ordered: bool) -> DataFrame:
-        name = f"llm_shards_{uuid.uuid4().hex}"
-        source.mapInArrow(_shards(ordered), schema).write.option("path", shared_path(spark, "shards")).bucketBy(
-            buckets, "block").saveAsTable(name)
-        return spark.table(name)
+        return bucketed(source.mapInArrow(_shards(ordered), schema), "shards", "block", buckets)
 
     edges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(
         F.input_file_name(), F.lit("@"), F.input_file_block_start()).alias("origin")).groupBy("origin").agg(
@@ -209,13 +228,14 @@ def _in_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBat
 def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int | None = None) -> tuple[DataFrame, Callable]:
     """Shards with their answers, and the function that gives of one such row its bytes, sizes and removed bytes.
 
-    `low` is how many bytes of the first hash are sent besides 16 bits and the range; by default as many as there are.
+    `low` is how many bytes of the first hash are sent besides 16 bits and the range; by default two.
     """
     shards = sharded(docs, keep)
     total = shards.agg(F.sum("n_bytes")).first()[0] or 0
     anchor_bits, bits = range_bits(total // 20), range_bits(total // 4)
-    sure_low = min(5, (48 - bits) // 8)
-    low = sure_low if low is None else low
+    sure_low = (SURE_BITS - 15 - bits) // 8
+    low = 2 if low is None else low
+    note_groups = max(1021, 1 << bits)
 
     def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data in _rows(batches, "block", "sizes", "data"):
@@ -242,7 +262,7 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
             flags = np.zeros((2, len(data)), bool)
             flags[0, firsts] = flags[1, windows[later]] = True
             number = block.as_py()
-            note = (-1 - number % 1021, number, zlib.compress(np.packbits(flags).tobytes(), 1))
+            note = (-1 - number % note_groups, number, zlib.compress(np.packbits(flags).tobytes(), 1))
             keys = np.unique(sent(string_hashes(data, length)[firsts], bits, low))
             yield from _in_batches(x for part in ([note], runs_of(keys, number, low)) for x in part)
 
@@ -255,7 +275,7 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
         keys, same = np.unique(sent(string_hashes(data, length)[firsts], bits, low), return_inverse=True)
         shared = flagged(keys, flags, low, "shared")[same]
         again = firsts[shared]
-        return later, again, sent(string_hashes(data, length, 1)[again], bits, sure_low), flagged(keys, flags, low)[same][shared]
+        return later, again, sent(sure_hashes(data, again, length), bits, sure_low), flagged(keys, flags, low)[same][shared]
 
     def sure_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, flags, notes in _rows(batches, "block", "data", "flags", "notes"):

@@ -68,9 +68,9 @@ def run_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         names=["range", "block", "data"])
 
 
-def range_bits(total_keys: int, per_range: int = 3_000_000, most: int = 12) -> int:
-    """Bits of the range number that leave about `per_range` keys to a range."""
-    return min(most, max(0, (max(1, total_keys) // per_range).bit_length()))
+def range_bits(total_keys: int, per_range: int = 3_000_000) -> int:
+    """Bits of the range number that leave about `per_range` keys to a range, at any size; 28 serve 8e14 keys."""
+    return min(28, max(0, (max(1, total_keys) // per_range).bit_length()))
 
 
 def _repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -86,33 +86,29 @@ def _repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _later(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each run (sorted, distinct values), which of its values a run before it has: neighbours are merged in turn.
+def _later(runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run (sorted, distinct values), which of its values a run before it has, and which any other run has.
 
-    A merge finds the later side's values in the earlier one by binary search, sets aside those that are there, and
-    puts the others in their places.
+    The values that occur in several runs are looked up by binary search in each run's turn, the last run first, so
+    that the first run of each is known in the end.
     """
-    sizes = np.array([len(r) for r in runs], np.int64)
-    ends = np.cumsum(sizes)
-    later = np.zeros(int(ends[-1]) if len(runs) else 0, bool)
-    # Each value goes with its place among all.
-    level = [(r, np.arange(e - n, e, dtype=np.int32)) for r, n, e in zip(runs, sizes, ends)]
-    while len(level) > 1:
-        merged = []
-        for i in range(0, len(level) - 1, 2):
-            (a, of_a), (b, of_b) = level[i], level[i + 1]
-            at = np.searchsorted(a, b)
-            there = (a[np.minimum(at, len(a) - 1)] == b) if len(a) else np.zeros(len(b), bool)
-            later[of_b[there]] = True
-            b, of_b, at = b[~there], of_b[~there], at[~there]
-            values, of = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int32)
-            place = at + np.arange(len(b))
-            rest = np.ones(len(values), bool)
-            rest[place] = False
-            values[place], of[place], values[rest], of[rest] = b, of_b, a, of_a
-            merged.append((values, of))
-        level = merged + level[len(level) // 2 * 2:]
-    return [later[e - n:e] for n, e in zip(sizes, ends)]
+    all_ = np.sort(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+    again = np.unique(all_[1:][all_[1:] == all_[:-1]])
+    if not len(again):
+        return [(np.zeros(len(r), bool),) * 2 for r in runs]
+    first, found = np.zeros(len(again), np.int32), []
+    for i in range(len(runs) - 1, -1, -1):
+        at = np.searchsorted(again, runs[i])
+        at[at == len(again)] = 0
+        shared = again[at] == runs[i]
+        first[at[shared]] = i
+        found.append((shared, at[shared].astype(np.int32)))
+    out = []
+    for i, (shared, at) in enumerate(reversed(found)):
+        later = np.zeros(len(shared), bool)
+        later[shared] = first[at] < i
+        out.append((later, shared))
+    return out
 
 
 def repeated_keys(runs: DataFrame, low: int) -> DataFrame:
@@ -139,11 +135,8 @@ def later_keys(runs: DataFrame, low: int) -> DataFrame:
         if number < 0:
             return pd.DataFrame({"block": group["block"], "range": -1, "bits": None, "shared": None, "note": group["data"]})
         group = group.sort_values("block")
-        keys = [unpacked_run(x, low) for x in group["data"]]
-        later = _later(keys)
-        again = np.unique(np.concatenate([k[x] for k, x in zip(keys, later)]))
-        rows = [(b, number, np.packbits(x).tobytes(), np.packbits(y).tobytes(), None)
-                for b, x, y in zip(group["block"], later, (among(k, again) for k in keys)) if y.any()]
+        found = _later([unpacked_run(x, low) for x in group["data"]])
+        rows = [(b, number, np.packbits(x).tobytes(), np.packbits(y).tobytes(), None) for b, (x, y) in zip(group["block"], found) if y.any()]
         return pd.DataFrame(rows, columns=["block", "range", "bits", "shared", "note"])
 
     answers = runs.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, shared binary, note binary")

@@ -19,13 +19,48 @@ WORD_SPACE = r"\x20\x09-\x0D"
 SLICE_BYTES = 4 << 20
 
 
+#: Paths given out so far and names of tables made, in order.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a single-machine session, such as a test
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def making(step: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What `step` gives, and the paths and tables that it stored on its way."""
+    begin = len(_made)
+    return step(), _made[begin:]
+
+
+def drop(docs: DataFrame, made: list[str]) -> list[str]:
+    """Deletes the paths and tables of `made`, but for those that `docs` reads, which are returned."""
+    spark, read = docs.sparkSession, docs.inputFiles()
+    keep = [path for path in made if any(path.rsplit("/", 1)[-1] in file for file in read)]
+    files = spark._jvm.org.apache.hadoop.fs
+    for path in [x for x in made if x not in keep]:
+        if "/" not in path:
+            spark.sql(f"DROP TABLE IF EXISTS {path}")
+        else:
+            place = files.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return keep
+
+
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """`df` stored in the shared folder as a table bucketed by `column`, so that joins on it don't shuffle it."""
+    spark, table = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", shared_path(spark, name)).bucketBy(buckets, column).saveAsTable(table)
+    _made.append(table)
+    return spark.table(table)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from seqspark.llm import queries
+from seqspark.llm import queries, shared
 from tests.llm.test_repeated_text import removed_plainly
 from tests.llm.test_simhash import plain_fingerprint, roots_of
 
@@ -67,7 +67,23 @@ def test_stages(spark, sf_dir, tmp_path):
     assert run.agg(F.sum("length")).first()[0] == total and run.count() == len(packed[1])
 
 
+def test_a_stage_deletes_what_earlier_ones_stored(spark, sf_dir, tmp_path):
+    def there(path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.quality_rules(spark, docs, sf_dir).write.parquet(f"file://{tmp_path}/kept")
+    other = shared.stored(docs.select("doc_id"), "other")
+    left = list(corpus_pipeline._left)
+    assert left and all(map(there, left))
+    again = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"file://{tmp_path}/kept"), sf_dir)
+    assert not any(map(there, left)) and other.count() == docs.count()
+    # What a plan still reads stays.
+    assert shared.drop(again, list(corpus_pipeline._left)) and again.count() > 0
+
+
 def test_every_query_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "repeated_text", "packing"]

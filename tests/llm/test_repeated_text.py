@@ -52,6 +52,12 @@ def test_string_hashes_and_anchors():
     data = np.frombuffer(bytes(rnd.choice(b"abc") for _ in range(3000)) * 2, np.uint8)
     hashes = R.string_hashes(data, 20)
     assert len(set(zip(hashes.tolist(), (bytes(data[i:i + 20]) for i in range(len(hashes)))))) == len(set(hashes.tolist()))
+    sure = R.sure_hashes(data, np.arange(len(hashes)), 20)
+    assert len(set(zip(sure.tolist(), hashes.tolist()))) == len(set(hashes.tolist())) == len(set(sure.tolist()))
+    # The i-th symbol tells if i has an odd number of bits set: sums of powers modulo 2**64 fall together on such strings.
+    odd = np.array([97 + i.bit_count() % 2 for i in range(4096)], np.uint8)
+    strings = len({bytes(odd[i:i + 1024]) for i in range(3072)})
+    assert len(set(R.sure_hashes(odd, np.arange(3072), 1024).tolist())) == strings
     windows, places, _ = R.anchors_of(data, R.bytes_left(np.array([3000, 3000])), 20)
     assert ((windows <= places) & (places <= windows + 10)).all() and len(windows) == 2 * 2981
     assert (places[:2981] + 3000 == places[2981:]).all()

@@ -55,7 +55,8 @@ def test_later_and_repeated():
     rng = np.random.default_rng(5)
     some = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (30, 0, 20, 25, 1, 40, 13)]
     seen, everything = set(), np.concatenate(some).tolist()
-    for run, later, repeated in zip(some, runs._later(some), runs._repeated(some)):
+    for run, (later, shared), repeated in zip(some, runs._later(some), runs._repeated(some)):
+        assert run[shared].tolist() == repeated.tolist()
         assert run[later].tolist() == [x for x in run.tolist() if x in seen]
         assert repeated.tolist() == [x for x in run.tolist() if everything.count(x) > 1]
         seen |= set(run.tolist())
