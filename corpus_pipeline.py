@@ -1,45 +1,71 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
-columns of documents.
+columns of documents. A stage begins by deleting what the stages before it stored on their way, so a result must be
+written before the next stage is called, and read back for it.
+
+Null texts count as empty, extra columns are handed on, an empty table stays empty and rows that repeat a doc_id are
+judged alike; what each stage does with ties is said there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm.importance import keep_resampled
 from seqspark.llm.packing import pack
 from seqspark.llm.quality_rules import keep_by_rules
 from seqspark.llm.repeated_text import without_repeats
-from seqspark.llm.shared import shared_path
+from seqspark.llm.shared import drop, making, shared_path
 from seqspark.llm.simhash import keep_one
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = drop(docs, _left)
+        out, made = making(lambda: work(spark, docs, sf_dir))
+        _left.extend(made)
+        return out
+    return stage
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither base conditions nor learned rules reject."""
+    """Documents that neither base conditions nor learned rules reject; equal statistics have equal verdicts."""
     return keep_by_rules(docs, _labels(spark, sf_dir))
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards good ones draws."""
+    """Documents that importance resampling towards good ones draws; equal scores at the limit all stay."""
     return keep_resampled(docs, _labels(spark, sf_dir))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates."""
+    """The document of smallest doc_id of each group of near-duplicates, with all rows of that doc_id, and rows without one."""
     return keep_one(docs)
 
 
+@_stage
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 100 bytes that occur earlier."""
+    """Documents without the strings of 100 bytes that occur earlier, a null doc_id first, equal ones by text; none goes."""
     return without_repeats(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 4096 ids that hold the sources' proportions."""
     import public_tokenizers
@@ -63,4 +89,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        _left.append(path)
     return STAGES[-1][1](spark, docs, sf_dir)
