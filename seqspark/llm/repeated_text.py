@@ -34,7 +34,8 @@ from seqspark.llm.runs import (
 from seqspark.llm.shared import bucketed, stored
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
 
-SHARD_BYTES = 2 << 20
+#: A task holds some 150 times a shard while it sorts suffixes.
+SHARD_BYTES = 1 << 20
 ANCHOR_LOW = 2
 SURE_BITS = 62
 _BASE = 0x9E3779B97F4A7C15
@@ -80,8 +81,8 @@ def sure_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray
 
 def bytes_left(sizes: np.ndarray) -> np.ndarray:
     """For each byte, the bytes from it to the end of its document."""
-    ends = np.cumsum(sizes)
-    return np.repeat(ends, sizes) - np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(sizes).astype(np.int32)
+    return np.repeat(ends, sizes) - np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 def anchors_of(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +233,7 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
     """
     shards = sharded(docs, keep)
     total = shards.agg(F.sum("n_bytes")).first()[0] or 0
-    anchor_bits, bits = range_bits(total // 20), range_bits(total // 4)
+    anchor_bits, bits = range_bits(total // 20, 2_000_000), range_bits(total // 4, 2_000_000)
     sure_low = (SURE_BITS - 15 - bits) // 8
     low = 2 if low is None else low
     note_groups = max(1021, 1 << bits)

@@ -23,11 +23,12 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
         symbol[:n - k] = data[k:].astype(np.uint64) + np.uint64(1)
         symbol[left <= k] = 0
         key = (key << np.uint64(9)) | symbol
-    places = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    sorted_ = key[places]
-    rank[places], groups = _ranks(sorted_[1:] != sorted_[:-1], n)
+    places = np.argsort(key).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    key = key[places]
+    rank[places], groups = _ranks(key[1:] != key[:-1], n)
     open_ = places[groups > 1]
+    del key, places, groups
     while known < depth and len(open_):
         ahead = min(known, depth - known)  # the last step overlaps what is known
         # Ranks of a suffix that is over are below all others.
@@ -39,7 +40,7 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
         new_group[1:] = base[1:] != base[:-1]
         new = new_group.copy()
         new[1:] |= far[1:] != far[:-1]
-        at = np.arange(len(open_))
+        at = np.arange(len(open_), dtype=np.int32)
         group_start = np.maximum.accumulate(np.where(new_group, at, 0))
         start = np.maximum.accumulate(np.where(new, at, 0))
         size = np.diff(np.append(np.flatnonzero(new), len(open_)))
@@ -52,14 +53,15 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
 def _ranks(new: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted values: where each one's group of equal ones begins, and the size of the group."""
     starts = np.flatnonzero(np.concatenate([[True], new])) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, n))
-    return np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    sizes = np.diff(np.append(starts, n)).astype(np.int32)
+    return np.repeat(starts.astype(np.int32), sizes), np.repeat(sizes, sizes)
 
 
 def suffix_array(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes in order of their first `depth` bytes; equal ones by place."""
-    rank = suffix_ranks(data, left, depth)
-    return np.argsort((rank << 32) | np.arange(len(rank)))
+    rank = suffix_ranks(data, left, depth).astype(np.int64) << 32
+    rank |= np.arange(len(rank))
+    return np.argsort(rank).astype(np.int32)
 
 
 def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -72,29 +74,32 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray, depth
     n = len(order)
     if not n:
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     follows = np.zeros(n, bool)
     one_on = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
     follows[1:] = one_on & (left[1:] == left[:-1] - 1) & (left[before[1:]] == left[before[:-1]] - 1)
     words = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8).copy().view("<u8")[:, 0]
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     heads = np.flatnonzero(~follows & (before >= 0))
     shared[heads] = _compared(words, left, heads, before[heads], depth)
+    del heads, one_on
     # In a run of pairs that follow one another, the first that tells where the common bytes end.
-    i = np.flatnonzero(follows)
+    i = np.flatnonzero(follows).astype(np.int32)
     j = before[i]
     whole = (left[i] >= depth) & (left[j] >= depth)
     whole[whole] = data[i[whole] + depth - 1] == data[j[whole] + depth - 1]
     tells = ~follows & (shared < depth)
     tells[i[~whole]] = True
     shared[i] = depth - 1
-    at = np.arange(n)
-    head = np.maximum.accumulate(np.where(follows, 0, at))
-    first = np.full(n, n, np.int64)
-    places = np.flatnonzero(tells)
+    del i, j, whole
+    at = np.arange(n, dtype=np.int32)
+    head = np.maximum.accumulate(np.where(follows, np.int32(0), at))
+    first = np.full(n, n, np.int32)
+    places = np.flatnonzero(tells).astype(np.int32)
     np.minimum.at(first, head[places], places)
     first = first[head]
+    del head, places, tells
     told = follows & (first <= at)
     derived = np.where(told, shared[np.minimum(first, n - 1)] - (at - first), depth)
     shared = np.where(follows, derived, shared)
