@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs
-from seqspark.operators.repeats import folded_arms, with_text
+from seqspark.operators.repeats import best_arms, with_text
 
 CLASS = "Cruciform DNA"
 MIN_ARM, MAX_ARM, MAX_SPACER, MIN_SCORE = 10, 100, 5, 2.0
@@ -16,23 +17,16 @@ MIN_ARM, MAX_ARM, MAX_SPACER, MIN_SCORE = 10, 100, 5, 2.0
 SEED = 12
 
 
+def _rate(arm, spacer, _):
+    total = 2 * arm + spacer
+    score = np.select([arm >= 100, arm >= 70, arm >= 50, arm >= 30, arm >= 20, arm >= 15, arm >= 12], [8.0, 7, 6, 5, 4, 3, 2], 1)
+    score = score + np.select([total >= 60, total >= 40], [2, 1], 0) - np.select([spacer >= 11, spacer >= 4, spacer >= 1], [3, 2, 1], 0)
+    return score, score >= MIN_SCORE
+
+
 def cruciform_candidates(seqs: DataFrame) -> DataFrame:
     """Per start the longest arm (then the smallest spacer) that reaches the score limit."""
-    arms = folded_arms(seqs, k=SEED, max_spacer=MAX_SPACER, max_arm=MAX_ARM, complement=True)
-    rows = arms.withColumn("arm", F.explode(S.span(F.lit(SEED), F.col("reach"))))
-    total = 2 * F.col("arm") + F.col("spacer")
-    rows = rows.select(
-        "seq_id", (F.col("inner_end") - F.col("arm") + 1).alias("start_pos"), "arm", "spacer", total.alias("length"),
-        S.cruciform_score(F.col("arm"), F.col("spacer"), total).alias("score"),
-    ).where(F.col("score") >= MIN_SCORE)
-    # arm and spacer in one number, so that a hash aggregate finds the best
-    best = rows.groupBy("seq_id", "start_pos").agg(F.max(F.col("arm") * 8 + (7 - F.col("spacer"))).alias("_b"))
-    best = best.select(
-        "seq_id", "start_pos", F.floor(F.col("_b") / 8).cast("int").alias("arm"), (7 - F.col("_b") % 8).alias("spacer")
-    )
-    best = best.withColumn("length", 2 * F.col("arm") + F.col("spacer"))
-    score = S.cruciform_score(F.col("arm"), F.col("spacer"), F.col("length"))
-    return best.withColumn("score", score).withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
+    return best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, True, _rate, one_a_start=True)
 
 
 def cruciform(seqs: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ scoring and overlap removal stay in Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Rate = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 SLAB = 1 << 20
 CODE = np.zeros(256, dtype=np.uint8)
 CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
@@ -128,9 +130,8 @@ def _equal_runs(
     return _per_row(row[head], np.arange(len(head)), cols, len(texts))
 
 
-def _folded(texts: pd.Series, k: int, max_spacer: int, max_arm: int, complement: bool) -> pd.Series:
-    """Inner arm ends (0-based) and how far both arms match outward: at, spacer, reach >= k."""
-    bases, starts = _concat(texts)
+def _folds(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool):
+    """Row, inner arm end (0-based, in all bases), spacer and how far both arms match outward (>= k), in this order."""
     ends = starts[1:]
     other = (3 - bases) if complement else bases
     n = len(bases)
@@ -148,7 +149,7 @@ def _folded(texts: pd.Series, k: int, max_spacer: int, max_arm: int, complement:
                     at.append(found + a + k - 1)
                     spacers.append(np.full(len(found), spacer))
     if not at:
-        return pd.Series([[] for _ in range(len(texts))])
+        return (np.zeros(0, np.int64),) * 4
     at, spacers = np.concatenate(at), np.concatenate(spacers)
     row = np.searchsorted(ends, at, side="right")
     inside = (at - k + 1 >= starts[row]) & (at + spacers + k < ends[row])
@@ -164,8 +165,65 @@ def _folded(texts: pd.Series, k: int, max_spacer: int, max_arm: int, complement:
         if not len(live):
             break
         reach[live] = step + 1
-    cols = {"at": at - starts[row], "spacer": spacers, "reach": reach}
-    return _per_row(row, np.lexsort((spacers, at, row)), cols, len(texts))
+    order = np.lexsort((spacers, at, row))
+    return row[order], at[order], spacers[order], reach[order]
+
+
+#: Arms worked out at a time.
+ARMS = 1 << 20
+
+
+def _best_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool) -> np.ndarray:
+    """row, start (0-based in its row), length, arm, spacer, score of the best fold for each start and length, or each start.
+
+    A start with a length takes the best score (ties: the longest arm), a start alone the longest arm (then the least spacer).
+    """
+    pure = np.concatenate([[0], np.cumsum((bases == CODE[ord("A")]) | (bases == CODE[ord("G")]))])
+
+    def best(rows: np.ndarray) -> np.ndarray:
+        row, start, length, arm, spacer, score = rows
+        keys = (start, row) if one_a_start else (length, start, row)
+        order = np.lexsort(((spacer, -arm) if one_a_start else (-arm, -score)) + keys)
+        rows = rows[:, order]
+        first = np.ones(rows.shape[1], bool)
+        first[1:] = (np.diff(rows[:2 if one_a_start else 3]) != 0).any(axis=0)
+        return rows[:, first]
+
+    row, at, spacer, reach = _folds(bases, starts, k, max_spacer, max_arm, complement)
+    upto, found = np.cumsum(reach - k + 1), [np.zeros((6, 0))]
+    for a in range(0, int(upto[-1]) if len(upto) else 0, ARMS):
+        x, y = np.searchsorted(upto, [a, a + ARMS])  # folds whose last arm lies in this part
+        n = reach[x:y] - k + 1
+        i = np.repeat(np.arange(x, y), n)
+        arm = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + k
+        rich = pure[at[i] + 1] - pure[at[i] + 1 - arm]
+        score, good = rate(arm, spacer[i], np.maximum(rich, arm - rich))
+        i, arm, score = i[good], arm[good], score[good]
+        found.append(best(np.stack([row[i], at[i] - starts[row[i]] - arm + 1, 2 * arm + spacer[i], arm, spacer[i], score])))
+    return best(np.concatenate(found, axis=1))
+
+
+def best_arms(
+    seqs: DataFrame, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool,
+) -> DataFrame:
+    """seq_id, start_pos, end_pos, arm, spacer, length, score of inverted (or mirror) repeats, chosen as in `_best_arms`.
+
+    `rate` gives scores, and which arms count, from arrays of arm, spacer and the number of purines or pyrimidines in
+    an arm, whichever is more. Only chosen rows leave the task; the sequence stays behind.
+    """
+    def arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, starts = _concat(batch.column("sequence").to_pandas())
+            row, start, length, arm, spacer, score = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
+            ids = batch.column("seq_id").take(pa.array(row.astype(np.int64)))
+            ints = [x.astype(np.int32) for x in (start + 1, start + length, arm, spacer, length)]
+            yield pa.RecordBatch.from_arrays(
+                [ids, *map(pa.array, ints), pa.array(score)],
+                names=["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"])
+
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.where(F.length("sequence") >= 2 * k).select("seq_id", "sequence").mapInArrow(
+        arms, f"seq_id {kind}, start_pos int, end_pos int, arm int, spacer int, length int, score double")
 
 
 def equal_runs(
@@ -187,22 +245,6 @@ def equal_runs(
     )
 
 
-def folded_arms(seqs: DataFrame, k: int, max_spacer: int, max_arm: int, complement: bool) -> DataFrame:
-    """seq_id, inner_end (1-based last base of the left arm), spacer, reach (longest arm), left_arm, loop."""
-
-    @F.pandas_udf("array<struct<at:int,spacer:int,reach:int>>")
-    def arms(texts: pd.Series) -> pd.Series:
-        return _folded(texts, k, max_spacer, max_arm, complement)
-
-    rows = seqs.where(F.length("sequence") >= 2 * k).select("seq_id", "sequence", F.explode(arms("sequence")).alias("_a"))
-    return rows.select(
-        "seq_id", (F.col("_a.at") + 1).alias("inner_end"), F.col("_a.spacer").alias("spacer"),
-        F.col("_a.reach").alias("reach"),
-        F.substring("sequence", F.col("_a.at") - F.col("_a.reach") + 2, F.col("_a.reach")).alias("left_arm"),
-        F.substring("sequence", F.col("_a.at") + 2, F.col("_a.spacer")).alias("loop"),
-    )
-
-
 def with_text(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     """Adds motif, the text from start_pos to end_pos.
 

@@ -9,7 +9,7 @@ from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import folded_arms, with_text
+from seqspark.operators.repeats import best_arms, with_text
 
 CLASS = "Triplex"
 MIN_ARM, MAX_ARM, MAX_SPACER = 10, 100, 12
@@ -23,50 +23,24 @@ def best_first():
     return [F.desc("score"), F.desc("length"), F.asc("start_pos"), F.asc("subtype")]
 
 
+def _rate(arm, spacer, rich):
+    total = 2 * arm + spacer
+    score = arm + 1.5 * rich - 0.8 * spacer + (total >= 50)
+    return score, (10 * rich >= 9 * arm) & (total >= MIN_TOTAL) & (score >= MIN_SCORE)
+
+
 def hdna_candidates(seqs: DataFrame) -> DataFrame:
-    """Mirror repeats with pure arms that reach the length and score limits.
+    """Mirror repeats with pure arms that reach the length and score limits, the best for each start and end.
 
     Both arms of a letterwise mirror have the same composition, so both are purine-rich or both
-    are pyrimidine-rich.
+    are pyrimidine-rich. Of candidates with the same start and end only the best can ever be chosen.
     """
-    arms = folded_arms(seqs, k=SEED, max_spacer=MAX_SPACER, max_arm=MAX_ARM, complement=False)
-    # When the loop begins and ends with one base and everything is pure, the same start and end
-    # with an arm longer by one and a loop shorter by two scores more.
-    pure = "^(?:[AG]+|[CT]+)$"
-    inner = F.concat("left_arm", F.substring("loop", 1, 1))
-    beaten = (F.col("spacer") >= 2) & (F.substring("loop", 1, 1) == F.right("loop", F.lit(1))) & inner.rlike(pure)
-    arms = T.computed(arms, shortest=F.when(beaten, MAX_ARM).otherwise(SEED), pure=F.col("left_arm").rlike(pure))
-    rows = T.unnest(
-        arms, ["seq_id", "inner_end", "spacer", "left_arm", "pure"], S.span(F.col("shortest"), F.col("reach")), "arm"
-    )
-    left = F.right("left_arm", F.col("arm"))
-    purity = F.when(F.col("pure"), 1.0).otherwise(F.greatest(S.purine_fraction(left), S.pyrimidine_fraction(left)))
-    rows = T.computed(rows, purity=purity)
-    length = 2 * F.col("arm") + F.col("spacer")
-    rows = rows.select(
-        "seq_id", (F.col("inner_end") - F.col("arm") + 1).alias("start_pos"), "arm", "spacer", "purity",
-        length.alias("length"),
-        S.triplex_score(F.col("arm"), F.col("purity"), F.col("spacer"), length).alias("score"),
-    )
-    rows = rows.where((F.col("purity") >= 0.9) & (F.col("length") >= MIN_TOTAL) & (F.col("score") >= MIN_SCORE))
-    return rows.withColumn("end_pos", F.col("start_pos") + F.col("length") - 1)
+    return best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, False, _rate, one_a_start=False).withColumn("score", F.round("score", 6))
 
 
 def hdna(seqs: DataFrame) -> DataFrame:
-    """The best candidates without overlaps.
-
-    Of candidates with the same start and end only the best can ever be chosen, so the others
-    are dropped before the shuffle.
-    """
-    # score (six decimals) and arm in one number, so that a hash aggregate finds the best
-    packed = F.round(F.col("score") * 1e6).cast("long") * 128 + F.col("arm")
-    best = hdna_candidates(seqs).groupBy("seq_id", "start_pos", "end_pos").agg(
-        F.max(packed).alias("_b"), F.first("length").alias("length")
-    ).select(
-        "seq_id", "start_pos", "end_pos", "length", (F.col("_b") % 128).cast("int").alias("arm"),
-        (F.floor(F.col("_b") / 128) / 1e6).alias("score"),
-    )
-    best = best.withColumn("spacer", F.col("length") - 2 * F.col("arm"))
+    """The best candidates without overlaps."""
+    best = hdna_candidates(seqs)
     chosen = greedy(best, [F.desc("score"), F.desc("length"), F.asc("start_pos")], overlap="shared_end")
     left = F.expr("substring(motif, 1, arm)")
     purity = F.greatest(S.purine_fraction(left), S.pyrimidine_fraction(left))

@@ -23,6 +23,8 @@ CORE_CLASSES = [
 #: The official classes that a detector emits (hybrids and cluster regions are made of them), and the diseases.
 DETECTED_CLASSES = [c for c, subclasses in classify.TAXONOMY.items() if subclasses] + [disease.CLASS]
 R6 = lambda c: F.round(c, 6)
+#: For sums whose last bits depend on their order: a tie at the sixth place is rounded alike.
+R6_TIES = lambda c: F.round(F.round(c, 12), 6)
 
 
 def core_motifs(seqs: DataFrame) -> DataFrame:
@@ -177,6 +179,7 @@ def longest_hybrids(m, q):
 
 def cluster_windows(m, q):
     rows = clusters.cluster_windows(m, q).withColumn("motif_types", F.array_join("motif_types", "; "))
+    rows = rows.withColumn("cooperative_score", R6_TIES(F.col("cooperative_score")))
     return _rounded(rows, "diversity_index", "interaction_score", "cooperative_score")
 
 
@@ -236,7 +239,7 @@ def conserved(m, q):
 
 
 def feature_rows(m, q):
-    named = {k: R6(v).alias(k) for k, v in features.feature_columns("sequence").items()}
+    named = {k: R6_TIES(v).alias(k) for k, v in features.feature_columns("sequence").items()}
     return m.select(*POS, "subtype", *named.values())
 
 

@@ -11,7 +11,7 @@ import re
 from seqspark.operators import classify, clusters, disease
 from seqspark.operators.g4 import BIPARTITE, FOUR_RUNS, TANDEM, TRIPLEX
 from seqspark.operators.imotif import AC_PATTERNS, SEED
-from seqspark.plans.catalog import CORE_CLASSES
+from seqspark.plans.catalog import DETECTED_CLASSES
 from seqspark.sources.tables import sequences_sql
 
 SEQS = f"seqs AS MATERIALIZED ({sequences_sql()})"
@@ -301,6 +301,126 @@ def disease_sql(gene: bool) -> str:
       FROM dmatch LEFT JOIN pdim USING (repeat_type) WHERE k = 1) WHERE clinical_significance <> 'Benign')"""
 
 
+# --- repeats: slipped, cruciform, mirror ----------------------------------------------------
+
+# Strings of 2, 4, ... bases as numbers, put together from the numbers of their halves: f forward, m mirrored.
+KMERS = """bases AS MATERIALIZED (
+      SELECT seq_id, CAST(unnest(generate_series(1, length)) AS INT) AS pos,
+        CAST(strpos('ACGT', unnest(string_split(sequence, ''))) - 1 AS BIGINT) AS c FROM seqs),
+    two AS (SELECT *, c * 4 + lead(c) OVER w AS f2, lead(c) OVER w * 4 + c AS m2, lead(c, 2) OVER w AS c3 FROM bases
+      WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+    four AS (SELECT seq_id, pos, c, f2 * 4 + c3 AS f3, c3 * 16 + m2 AS m3, f2 * 16 + lead(f2, 2) OVER w AS f4,
+        lead(m2, 2) OVER w * 16 + m2 AS m4 FROM two WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+    eight AS (SELECT *, f4 * 256 + lead(f4, 4) OVER w AS f8, lead(m4, 4) OVER w * 256 + m4 AS m8 FROM four
+      WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+    kmers AS MATERIALIZED (SELECT seq_id, pos, c, f8 * 64 + lead(f3, 8) OVER w AS f11, lead(m3, 8) OVER w * 65536 + m8 AS m11,
+        f8 * 256 + lead(f4, 8) OVER w AS f12, lead(m4, 8) OVER w * 65536 + m8 AS m12, f8 * 65536 + lead(f8, 8) OVER w AS f16
+      FROM eight WINDOW w AS (PARTITION BY seq_id ORDER BY pos))"""
+
+
+def common(a: str, b: str, most: int) -> str:
+    """How many letters two texts share from their beginning, `most` at most."""
+    steps = ", ".join(str(1 << i) for i in range(most.bit_length() - 1, -1, -1))
+    return (
+        f"least({most}, list_reduce([0, {steps}], lambda x, b: CASE WHEN substr({a}, x + 1, b) = substr({b}, x + 1, b) "
+        f"AND length(substr({a}, x + 1, b)) = b THEN x + b ELSE x END))"
+    )
+
+
+def arms(name: str, k: int, spacers: int, code: str, other: str, right: str) -> str:
+    """Inner ends of the left arm with a spacer, and how far both arms match outward: 100 at most."""
+    leads = ", ".join(f"lead({code}, {k + s}) OVER w" for s in range(spacers + 1))
+    return f"""{name}_s AS (SELECT seq_id, pos + {k - 1} AS inner_end, unnest(list_filter(generate_series(0, {spacers}),
+          lambda s: r[s + 1] = {other})) AS spacer FROM (
+        SELECT *, [{leads}] AS r FROM kmers WINDOW w AS (PARTITION BY seq_id ORDER BY pos)) WHERE list_contains(r, {other})),
+    {name} AS MATERIALIZED (SELECT seq_id, inner_end, CAST(spacer AS INT) AS spacer, lft, {common('lft', 'rgt', 100)} AS reach FROM (
+        SELECT a.*, reverse(substr(sequence, greatest(1, inner_end - 99), least(100, inner_end))) AS lft,
+          {right.format('substr(sequence, CAST(inner_end + spacer + 1 AS BIGINT), 100)')} AS rgt FROM {name}_s a JOIN seqs USING (seq_id)))"""
+
+
+IR_SCORE = """(CASE WHEN arm >= 100 THEN 8 WHEN arm >= 70 THEN 7 WHEN arm >= 50 THEN 6 WHEN arm >= 30 THEN 5 WHEN arm >= 20 THEN 4
+      WHEN arm >= 15 THEN 3 WHEN arm >= 12 THEN 2 ELSE 1 END + CASE WHEN length >= 60 THEN 2 WHEN length >= 40 THEN 1 ELSE 0 END
+      - CASE WHEN spacer >= 4 THEN 2 WHEN spacer >= 1 THEN 1 ELSE 0 END)"""
+INVERTED = arms("irarms", 12, 5, "m12", "16777215 - f12", "translate({}, 'ACGT', 'TGCA')") + f""",
+    ircand AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (SELECT *, CAST(start_pos + length - 1 AS INT) AS end_pos,
+        row_number() OVER (PARTITION BY seq_id, start_pos ORDER BY arm DESC, spacer) AS k FROM (
+          SELECT *, CAST({IR_SCORE} AS DOUBLE) AS score FROM (
+            SELECT seq_id, CAST(inner_end - arm + 1 AS INT) AS start_pos, CAST(arm AS INT) AS arm, spacer, CAST(2 * arm + spacer AS INT) AS length
+            FROM (SELECT *, unnest(generate_series(12, reach)) AS arm FROM irarms))) WHERE score >= 2) WHERE k = 1)"""
+IR = greedy("irsel", "ircand", "score DESC, length DESC, start_pos, end_pos", True) + """,
+    irtext AS (SELECT i.*, substr(sequence, start_pos, end_pos - start_pos + 1) AS motif FROM irsel i JOIN seqs USING (seq_id))"""
+IR_ROWS = motif_rows("irtext", "'Cruciform DNA'", "'Cruciform DNA [IR]/HairPin [IR]'", "score", "'Arms=' || arm", "CAST(spacer AS VARCHAR)")
+
+MIRROR = arms("mrarms", 11, 12, "m11", "f11", "{}") + f""",
+    mrcand AS (SELECT *, arm * (1 + 1.5 * purity) - 0.8 * spacer + CASE WHEN length >= 50 THEN 1 ELSE 0 END AS score FROM (
+        SELECT seq_id, CAST(inner_end - arm + 1 AS INT) AS start_pos, CAST(inner_end + spacer + arm AS INT) AS end_pos, arm, spacer,
+          2 * arm + spacer AS length, greatest({frac('lft[1:arm]', 'AG')}, {frac('lft[1:arm]', 'CT')}) AS purity
+        FROM (SELECT *, unnest(generate_series(11, reach)) AS arm FROM mrarms)) WHERE purity >= 0.9 AND length >= 25),
+    mrbest AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, start_pos, end_pos ORDER BY round(score, 6) DESC, arm DESC) AS k
+        FROM mrcand WHERE score >= 25) WHERE k = 1)"""
+HDNA = greedy("hdsel", "mrbest", "round(score, 6) DESC, length DESC, start_pos, end_pos", True) + """,
+    hdtext AS (SELECT h.*, substr(sequence, start_pos, end_pos - start_pos + 1) AS motif FROM hdsel h JOIN seqs USING (seq_id))"""
+HDNA_ROWS = motif_rows("hdtext", "'Triplex'", "'Triplex'", "score", "'Arms=' || arm", "CAST(spacer AS VARCHAR)")
+
+# Runs of text[i] = text[i + d], then every start with one copy, a spacer and another.
+DIRECT_SCORE = """(greatest(2.0, 8.0 / unit) + least(copies * 2.5, 12.0) + CASE WHEN length >= 100 THEN 4 WHEN length >= 50 THEN 3
+      WHEN length >= 30 THEN 2 WHEN length >= 20 THEN 1 ELSE 0 END - spacer * 0.3)"""
+DIRECT = f"""rep16 AS (SELECT seq_id, f16, pos FROM (SELECT *, count(*) OVER (PARTITION BY seq_id, f16) AS n FROM kmers WHERE f16 IS NOT NULL) WHERE n > 1),
+    pair16 AS (SELECT a.seq_id, a.pos, b.pos - a.pos AS d FROM rep16 a JOIN rep16 b ON a.seq_id = b.seq_id AND a.f16 = b.f16
+      AND b.pos BETWEEN a.pos + 8 AND a.pos + 303),
+    eqruns AS MATERIALIZED (SELECT seq_id, d, min(pos) AS s, max(pos) + 16 AS stop FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY seq_id, d ORDER BY pos) AS g FROM pair16) GROUP BY seq_id, d, g),
+    plain AS (SELECT seq_id, i AS place, d AS unit, 0 AS spacer, d + stop - i AS length FROM (
+        SELECT *, unnest(generate_series(s, stop - d)) AS i FROM eqruns WHERE d <= 300 AND stop - s >= d)),
+    spaced AS (SELECT seq_id, i AS place, d - spacer AS unit, spacer, 2 * d - spacer + {common('one', 'third', 1023)} AS length FROM (
+        SELECT x.*, substr(sequence, i, 1024) AS one, substr(sequence, i + 2 * d - spacer, 1024) AS third FROM (
+          SELECT *, unnest(generate_series(CASE WHEN d > 300 THEN s ELSE greatest(s, stop - d + 1) END, stop - d + spacer)) AS i FROM (
+            SELECT *, unnest([1, 2, 3]) AS spacer FROM eqruns) WHERE d - spacer BETWEEN 24 AND 300) x JOIN seqs USING (seq_id))),
+    drcand AS MATERIALIZED (SELECT seq_id, CAST(place AS INT) AS start_pos, CAST(unit AS INT) AS unit, CAST(spacer AS INT) AS spacer,
+        CAST(length AS INT) AS length, copies, CAST(score AS DOUBLE) AS score, CAST(place + length - 1 AS INT) AS end_pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY seq_id, place ORDER BY unit DESC, spacer, length DESC) AS k FROM (
+          SELECT *, CAST({DIRECT_SCORE} AS DOUBLE) AS score FROM (
+            SELECT *, CAST(CASE WHEN spacer = 0 THEN length // unit ELSE 2 END AS INT) AS copies FROM (
+              SELECT * FROM plain UNION ALL SELECT * FROM spaced))) WHERE score >= 10 - 1e-9) WHERE k = 1)"""
+
+# Every place where a unit of 1 to 6 bases repeats for 15 bases, the shortest unit first; a fold takes the next place
+# behind the repeat before it.
+STR_SCORE = """([4.0, 3.0, 2.5, 2.0, 1.5, 1.0][unit] + least(copies * 1.5, 12.0) + CASE WHEN length >= 100 THEN 3
+      WHEN length >= 50 THEN 2 WHEN length >= 30 THEN 1 ELSE 0 END)"""
+STR = """eqstep AS (SELECT seq_id, pos, unnest(list_filter([1, 2, 3, 4, 5, 6], lambda u: r[u] = c)) AS unit FROM (
+        SELECT *, [lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w, lead(c, 6) OVER w] AS r
+        FROM bases WINDOW w AS (PARTITION BY seq_id ORDER BY pos))),
+    periods AS (SELECT * FROM (SELECT seq_id, pos, unit, max(pos) OVER (PARTITION BY seq_id, unit, g) - pos + 1 + unit AS k FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY seq_id, unit ORDER BY pos) AS g FROM eqstep))
+      WHERE k >= 15 AND k // unit >= [6, 5, 4, 3, 3, 3][unit]),
+    tandem_at AS (SELECT seq_id, pos, arg_min(k, unit) AS k, min(unit) AS unit FROM periods JOIN seqs USING (seq_id)
+      WHERE unit <> 3 OR substr(sequence, pos, 3) NOT IN ('GAA', 'TTC', 'AAG', 'AGG', 'GGA', 'TCT', 'CTC', 'CTT')
+        OR NOT regexp_matches(substr(sequence, pos, 50), 'GAAGAA|TTCTTC') GROUP BY seq_id, pos),
+    tandem_fold AS (SELECT seq_id, unnest(list_reduce(
+        list_prepend({'s': CAST(0 AS INT), 'e': CAST(0 AS BIGINT), 'sel': CAST([] AS INT[])},
+          list({'s': pos, 'e': CAST(pos + k - 1 AS BIGINT), 'sel': CAST([] AS INT[])} ORDER BY pos)),
+        lambda a, x: CASE WHEN x.s > a.e THEN {'s': x.s, 'e': x.e, 'sel': list_append(a.sel, x.s)} ELSE a END).sel) AS pos
+      FROM tandem_at GROUP BY seq_id),""" + f"""
+    strcand AS MATERIALIZED (SELECT * FROM (SELECT *, CAST({STR_SCORE} AS DOUBLE) AS score FROM (
+        SELECT seq_id, CAST(pos AS INT) AS start_pos, CAST(pos + k - 1 AS INT) AS end_pos, CAST(unit AS INT) AS unit, CAST(k AS INT) AS length, CAST(k // unit AS INT) AS copies
+        FROM tandem_fold JOIN tandem_at USING (seq_id, pos))) WHERE score >= 10 - 1e-9)"""
+STR_TEXT = """strtext AS (SELECT t.*, substr(sequence, start_pos, end_pos - start_pos + 1) AS motif FROM strcand t JOIN seqs USING (seq_id))"""
+
+
+def str_rows(source: str) -> str:
+    return motif_rows(source, "'Slipped DNA'", "'Slipped DNA [STR]'", "score", "'Unit=' || motif[1:unit] || ';Copies=' || copies")
+
+
+SLIPPED = """slboth AS (SELECT seq_id, start_pos, end_pos, score, unit, copies, spacer, 0 AS kind FROM drcand
+      UNION ALL SELECT seq_id, start_pos, end_pos, score, unit, copies, 0, 1 FROM strcand),
+    """ + greedy("slsel", "slboth", "round(score, 6) DESC, kind, start_pos, end_pos", False) + """,
+    sltext AS (SELECT t.*, substr(sequence, start_pos, end_pos - start_pos + 1) AS motif FROM slsel t JOIN seqs USING (seq_id))"""
+SLIPPED_ROWS = motif_rows(
+    "(SELECT * FROM sltext WHERE kind = 0)", "'Slipped DNA'", "'Slipped DNA [Direct Repeat]'", "score",
+    "'UnitLen=' || unit || ';Copies=' || copies", "CAST(spacer AS VARCHAR)",
+) + " UNION ALL " + str_rows("(SELECT * FROM sltext WHERE kind = 1)")
+REPEAT_PARTS = [KMERS, INVERTED, IR, MIRROR, HDNA, DIRECT, STR, SLIPPED]
+
 # --- the core motif set ---------------------------------------------------------------------
 
 # Each class as its own query has it: common table expressions, then rows.
@@ -324,21 +444,29 @@ AC_ROWS = motif_rows(
 DISEASE_ROWS = motif_rows(
     "dis", "'Disease-Associated Motif'", "replace(disease_name, ' ', '_') || '_repeat'", "risk_score",
 )
-# copy_no tells apart rows that are equal in place, class and subtype.
-CORE = ",\n".join(
-    [*CURVED_PARTS, STICKY, EGZ, ZSEG, *RLOOP_PARTS, *G4_PARTS, *IMOTIF_PARTS, *AC_PARTS, disease_sql(False)]
-) + ",\n    core AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id, start_pos, end_pos, class, subtype ORDER BY score) AS copy_no FROM (" + " UNION ALL BY NAME ".join(
-    f"(SELECT * FROM ({rows}))"
-    for rows in [CURVED_ROWS, STICKY_ROWS, EGZ_ROWS, Z_ROWS, RL_ROWS, G4_ROWS, IMOTIF_ROWS, AC_ROWS, DISEASE_ROWS]
-) + "))"
+_PARTS = [*CURVED_PARTS, STICKY, EGZ, ZSEG, *RLOOP_PARTS, *G4_PARTS, *IMOTIF_PARTS, *AC_PARTS, disease_sql(False)]
+_ROWS = [CURVED_ROWS, STICKY_ROWS, EGZ_ROWS, Z_ROWS, RL_ROWS, G4_ROWS, IMOTIF_ROWS, AC_ROWS, DISEASE_ROWS]
+
+
+def all_rows(parts: list[str], rows: list[str]) -> str:
+    """The motif rows of several classes; copy_no tells apart rows that are equal in place, class and subtype."""
+    return ",\n".join(parts) + (
+        ",\n    core AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id, start_pos, end_pos, class, subtype ORDER BY score) AS copy_no FROM ("
+        + " UNION ALL BY NAME ".join(f"(SELECT * FROM ({r}))" for r in rows) + "))")
+
+
+CORE = all_rows(_PARTS, _ROWS)
+DETECTED = all_rows([*_PARTS, *REPEAT_PARTS], [*_ROWS, IR_ROWS, HDNA_ROWS, SLIPPED_ROWS])
 
 
 def on_core(body: str, *ctes: str) -> str:
-    return sql(body, CORE, *ctes)
+    """A query on the rows of all detectors."""
+    return sql(body, DETECTED, *ctes)
 
 
 def r6(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    """Rounded columns; a minus zero becomes zero."""
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
 MERGE = """{name} AS MATERIALIZED (SELECT *, max(CASE WHEN reach IS NULL OR start_pos > reach THEN start_pos END) OVER (
@@ -444,9 +572,9 @@ PER_SEQ = """ps AS MATERIALIZED (SELECT s.*, coalesce(n, 0) AS n_motifs FROM seq
 _cat = f"CASE WHEN gc < 40 THEN 'Low GC' WHEN gc <= 55 THEN 'Medium GC' ELSE 'High GC' END"
 CMP = PER_SEQ + f""",
     cmp AS MATERIALIZED (SELECT seq_id, name, length, gc, {_cat} AS gc_category, n_motifs, n_motifs / CAST(length AS DOUBLE) * 1000 AS motif_density, {
-        ", ".join(f'coalesce(k{i}, 0) AS "{c}_Count", coalesce(k{i}, 0) / CAST(length AS DOUBLE) * 1000 AS "{c}_Density"' for i, c in enumerate(CORE_CLASSES))}
+        ", ".join(f'coalesce(k{i}, 0) AS "{c}_Count", coalesce(k{i}, 0) / CAST(length AS DOUBLE) * 1000 AS "{c}_Density"' for i, c in enumerate(DETECTED_CLASSES))}
       FROM (SELECT *, {frac('sequence', 'GC')} * 100 AS gc FROM ps) LEFT JOIN (SELECT seq_id, {
-        ", ".join(f"count(*) FILTER (class = '{c}') AS k{i}" for i, c in enumerate(CORE_CLASSES))} FROM core GROUP BY seq_id) USING (seq_id))"""
+        ", ".join(f"count(*) FILTER (class = '{c}') AS k{i}" for i, c in enumerate(DETECTED_CLASSES))} FROM core GROUP BY seq_id) USING (seq_id))"""
 GENES = PER_SEQ + f""",
     genes AS MATERIALIZED (SELECT seq_id, name, coalesce(gene, 'Unknown') AS gene, length, {frac('sequence', 'GC')} * 100 AS gc, n_motifs,
         coalesce(d, 0) AS n_disease, n_motifs / CAST(length AS DOUBLE) * 1000 AS motif_density FROM ps
@@ -473,12 +601,12 @@ def dis_q(body: str) -> str:
 
 
 def intersections() -> str:
-    mask = " | ".join(f"(CASE WHEN bool_or(class = '{c}') THEN {1 << i} ELSE 0 END)" for i, c in enumerate(CORE_CLASSES))
-    n = len(CORE_CLASSES)
+    mask = " | ".join(f"(CASE WHEN bool_or(class = '{c}') THEN {1 << i} ELSE 0 END)" for i, c in enumerate(DETECTED_CLASSES))
+    n = len(DETECTED_CLASSES)
     sets = [[i] for i in range(n)] + [[i, j] for i in range(n) for j in range(i + 1, n)] + [
         [i, j, k] for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)
     ]
-    values = ", ".join(f"({sum(1 << i for i in s)}, '{' + '.join(CORE_CLASSES[i] for i in s)}')" for s in sets)
+    values = ", ".join(f"({sum(1 << i for i in s)}, '{' + '.join(DETECTED_CLASSES[i] for i in s)}')" for s in sets)
     return on_core(
         "SELECT classes, CAST(count(*) AS BIGINT) AS bases FROM masks JOIN sets ON (mask & bits) = bits "
         "GROUP BY classes ORDER BY bases DESC, classes LIMIT 15",
@@ -517,19 +645,30 @@ def features_sql() -> str:
         "homopolymer": f"list_max({lens(t, 'A+|C+|G+|T+')}) / CAST({n} AS DOUBLE)"}.items()})
     kinds = f"len(list_distinct(string_split({t}, ''))) / 4.0"
     out.update({"cons_phylogeny": f"{gc} * 0.8 + 0.2", "cons_selection": f"1 - abs({gc} - 0.5) * 2", "cons_constraint": f"least(1.0, {kinds})", "cons_diversity": kinds})
-    body = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in out.items())
+    body = ", ".join(f"round(round(CAST({v} AS DOUBLE), 12), 6) + 0.0 AS {k}" for k, v in out.items())
     return on_core(
         f"SELECT seq_id, start_pos, end_pos, subtype, {body} FROM (SELECT *, list_transform(generate_series(1, length(sequence) - 1), "
         "lambda i: sequence[i:i + 1]) AS dn FROM core)"
     )
 
 
+def unit_share(u: int) -> str:
+    """The part of a sequence that its longest repeat of a unit of `u` bases takes."""
+    same = f"array_to_string(list_transform(generate_series(1, length - {u}), lambda i: CASE WHEN sequence[i] = sequence[i + {u}] THEN '1' ELSE '0' END), '')"
+    run = f"coalesce(list_max({lens(same, '1+')}), 0)"
+    return f"CASE WHEN {u} < length // 2 THEN (1 + {run} // {u}) * {u} / CAST(length AS DOUBLE) ELSE 0 END"
+
+
 PROB = f"""prob AS MATERIALIZED (SELECT *, CASE WHEN class = 'G-Quadruplex Family' THEN least(1, least(1, 2 * g) + gb + gp + gs)
           WHEN class = 'Z-DNA' THEN least(1, 0.5 * alt + 0.3 * greatest(0, (gc - 0.5) * 2) + 0.2 * zp)
           WHEN class = 'R-loop' THEN least(1, 0.4 * greatest(0, CASE WHEN gc > 0 THEN (2 * g - gc) / gc ELSE 0 END) + 0.3 * g
             + 0.2 * least(1, 0.5 * g) + 0.01 * {n_re('sequence', 'G{3,}')})
-          WHEN class = 'Triplex' THEN pur ELSE 0.5 END AS p FROM (
+          WHEN class = 'Triplex' THEN pur WHEN class = 'Cruciform DNA' THEN least(1, inv)
+          WHEN class = 'Slipped DNA' THEN least(1, rep) ELSE 0.5 END AS p FROM (
       SELECT *, {frac('sequence', 'G')} AS g, {frac('sequence', 'GC')} AS gc, {frac('sequence', 'AG')} AS pur,
+        CASE WHEN class = 'Cruciform DNA' THEN (SELECT count(*) FROM unnest(generate_series(1, length(sequence))) u(i)
+          WHERE sequence[i] = translate(sequence[length(sequence) - i + 1], 'ACGT', 'TGCA')) / CAST(length(sequence) AS DOUBLE) END AS inv,
+        CASE WHEN class = 'Slipped DNA' THEN greatest({", ".join(unit_share(u) for u in range(2, 10))}) END AS rep,
         coalesce(list_sum(list_transform(regexp_extract_all(sequence, 'G+'), lambda r: CASE WHEN length(r) BETWEEN 3 AND 7 THEN 0.2 WHEN length(r) >= 8 THEN 0.1 ELSE 0 END)), 0) AS gb,
         CASE WHEN {n_re('sequence', 'G+')} >= 4 THEN 0.3 ELSE 0 END AS gp,
         0.3 * least(1, {count('sequence', 'G')} / (0.3 * length(sequence))) * CASE WHEN length(sequence) < 15 THEN length(sequence) / 15.0
@@ -595,7 +734,14 @@ def oracle_sql() -> dict[str, str]:
         "disease_repeats": dis_q(
             "SELECT * EXCLUDE (motif, repeat_type) REPLACE (" + r6("risk_score", "instability_score", "population_percentile", "conservation_score") + ") FROM dis"
         ),
-        "core_motifs": on_core("SELECT * EXCLUDE (copy_no) FROM core"),
+        "core_motifs": sql("SELECT * EXCLUDE (copy_no) FROM core", CORE),
+        "all_detectors": on_core("SELECT * EXCLUDE (copy_no) FROM core"),
+        "direct_repeats": sql("SELECT * REPLACE (round(score, 6) AS score) FROM drcand", KMERS, DIRECT),
+        "str_repeats": sql(str_rows("strtext"), KMERS, STR, STR_TEXT),
+        "slipped_dna": sql(SLIPPED_ROWS, KMERS, DIRECT, STR, SLIPPED),
+        "cruciform_candidates": sql("SELECT * FROM ircand", KMERS, INVERTED),
+        "cruciform": sql(IR_ROWS, KMERS, INVERTED, IR),
+        "hdna": sql(HDNA_ROWS, KMERS, MIRROR, HDNA),
         "g4_priority": on_core(
             f"SELECT seq_id, start_pos, end_pos, class, subtype, score FROM core c WHERE class <> 'G-Quadruplex Family' OR {G4_RANK} = (SELECT min({G4_RANK}) "
             "FROM core k WHERE k.class = c.class AND k.seq_id = c.seq_id AND k.start_pos = c.start_pos AND k.end_pos = c.end_pos)"
@@ -619,7 +765,7 @@ def oracle_sql() -> dict[str, str]:
             "JOIN core c ON c.seq_id = h.seq_id AND c.start_pos <= h.end_pos AND c.end_pos >= h.start_pos WHERE h.k = 1 GROUP BY h.seq_id, h.start_pos, h.end_pos, h.length, h.classes)", HYB
         ),
         "cluster_windows": on_core(
-            "SELECT * EXCLUDE (kinds) REPLACE (" + r6("diversity_index", "interaction_score", "cooperative_score") + "), array_to_string(kinds, '; ') AS motif_types FROM clw", CLW
+            "SELECT * EXCLUDE (kinds) REPLACE (" + r6("diversity_index", "interaction_score") + ", round(round(cooperative_score, 12), 6) + 0.0 AS cooperative_score), array_to_string(kinds, '; ') AS motif_types FROM clw", CLW
         ),
         "clusters": on_core(
             "SELECT seq_id, CAST(region AS INT) AS start_pos, max(end_pos) AS end_pos, CAST(sum(motif_count) AS BIGINT) AS motif_count, "
@@ -676,7 +822,7 @@ def oracle_sql() -> dict[str, str]:
         "class_bins": on_core("SELECT class, start_pos // 100 AS bin, count(*) AS n FROM core GROUP BY ALL"),
         "class_subtype_counts": on_core("SELECT class, subtype, count(*) AS n FROM core GROUP BY CUBE (class, subtype)"),
         "score_pivot": on_core(
-            "SELECT subtype, " + ", ".join(f"""round(coalesce(avg(score) FILTER (class = '{c}'), 0), 6) AS "{c}" """ for c in CORE_CLASSES) + " FROM core GROUP BY subtype"
+            "SELECT subtype, " + ", ".join(f"""round(coalesce(avg(score) FILTER (class = '{c}'), 0), 6) AS "{c}" """ for c in DETECTED_CLASSES) + " FROM core GROUP BY subtype"
         ),
         "score_distribution": dist_sql("score", "class"),
         "length_distribution": dist_sql("length", "subtype"),
@@ -686,13 +832,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "circular_positions": on_core("SELECT c.seq_id, class, start_pos, end_pos, round(start_pos * 360.0 / s.length, 6) AS angle FROM core c JOIN seqs s ON s.seq_id = c.seq_id"),
         "sequence_comparison": on_core(
-            "SELECT * REPLACE (" + r6("gc", "motif_density") + ", " + ", ".join(f'round("{c}_Density", 6) AS "{c}_Density"' for c in CORE_CLASSES) + ") FROM cmp", CMP
+            "SELECT * REPLACE (" + r6("gc", "motif_density") + ", " + ", ".join(f'round("{c}_Density", 6) AS "{c}_Density"' for c in DETECTED_CLASSES) + ") FROM cmp", CMP
         ),
         "gc_category": on_core(
             "SELECT gc_category, round(min(gc), 6) AS min_gc, round(max(gc), 6) AS max_gc, round(avg(motif_density), 6) AS mean_density, round(stddev_samp(motif_density), 6) AS std_density, "
             "count(*) AS n_sequences, CAST(sum(n_motifs) AS BIGINT) AS n_motifs FROM cmp GROUP BY gc_category", CMP
         ),
-        "gc_category_means": on_core("SELECT gc_category, " + ", ".join(f'round(avg("{c}_Count"), 6) AS "{c}"' for c in CORE_CLASSES) + " FROM cmp GROUP BY gc_category", CMP),
+        "gc_category_means": on_core("SELECT gc_category, " + ", ".join(f'round(avg("{c}_Count"), 6) AS "{c}"' for c in DETECTED_CLASSES) + " FROM cmp GROUP BY gc_category", CMP),
         "gc_correlation": on_core("SELECT round(corr(gc, motif_density), 6) AS r, count(*) AS n FROM cmp", CMP),
         "gene_summary": on_core("SELECT * REPLACE (" + r6("gc", "motif_density") + ") FROM genes", GENES),
         "gene_statistics": on_core(

@@ -29,11 +29,14 @@ def test_direct_repeats_match_brute_force(make, texts):
 def test_slabs_do_not_change_runs(texts, monkeypatch):
     import pandas as pd
 
-    whole = repeats._equal_runs(pd.Series(texts), 16, 8, 303).tolist()
-    arms = repeats._folded(pd.Series(texts), 12, 5, 100, True).tolist()
+    bases, starts = repeats._concat(pd.Series(texts))
+    arms = lambda: [repeats._best_arms(bases, starts, 11, 12, 100, c, triplex._rate, one).tolist() for c in (True, False) for one in (True, False)]
+    whole, folds = repeats._equal_runs(pd.Series(texts), 16, 8, 303).tolist(), arms()
+    assert all(len(x[0]) for x in folds[2:])
     monkeypatch.setattr(repeats, "SLAB", 50)
+    monkeypatch.setattr(repeats, "ARMS", 30)
     assert repeats._equal_runs(pd.Series(texts), 16, 8, 303).tolist() == whole
-    assert repeats._folded(pd.Series(texts), 12, 5, 100, True).tolist() == arms
+    assert arms() == folds
 
 
 def test_tandem_repeats_match_brute_force(make, texts):
