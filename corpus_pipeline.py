@@ -24,12 +24,16 @@ from seqspark.llm.simhash import keep_one
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of a batch that goes to Python. Ten thousand texts, as by default, would take tens of MB in the JVM and again
+#: in the worker, for each task.
+BATCH_BYTES = 4 << 20
 _left: list[str] = []
 
 
 def _stage(work: Stage) -> Stage:
     @wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         _left[:] = drop(docs, _left)
         out, made = making(lambda: work(spark, docs, sf_dir))
         _left.extend(made)
