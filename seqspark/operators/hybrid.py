@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from seqspark.operators.intervals import BIN, islands, overlap_join, running_max_before, with_copy_no
 from seqspark.operators.motifs import as_motifs
+from seqspark.operators.sweep import mixed_regions
 
 CLASS = "Hybrid"
 NOTE = "Several non-B DNA classes overlap here; longer and more diverse regions have more biological impact."
@@ -61,11 +62,16 @@ def hybrid_regions(motifs: DataFrame) -> DataFrame:
         >= F.struct("own_start", "class", "subtype", "motif_no")
     )
     pairs = pairs.where(still_open)
+    return _described(pairs, ["seq_id", "region_start", "end_pos", "own_start", "class", "subtype", "motif_no"])
+
+
+def _described(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Regions of two or more classes from pairs of a region and a motif on it."""
     part = F.struct(
         F.col("r_start_pos").alias("start_pos"), F.col("r_end_pos").alias("end_pos"), F.col("r_class").alias("class"),
         F.col("r_subtype").alias("subtype"), F.col("r_score").alias("score"),
     )
-    rows = pairs.groupBy("seq_id", "region_start", "end_pos", "own_start", "class", "subtype", "motif_no").agg(
+    rows = pairs.groupBy(*key).agg(
         F.sort_array(F.collect_list(part)).alias("contributing"),
         F.count(F.lit(1)).cast("int").alias("n_motifs"),
         F.max("r_length").alias("longest"),
@@ -98,7 +104,12 @@ def collapse_nested(regions: DataFrame) -> DataFrame:
 
 
 def hybrids(motifs: DataFrame) -> DataFrame:
-    return collapse_nested(hybrid_regions(motifs))
+    """What ``collapse_nested`` leaves of ``hybrid_regions``, found first; motifs are joined to these regions only."""
+    m = motifs.select("seq_id", "class", "subtype", "start_pos", "end_pos", "length", "score")
+    points = mixed_regions(m).select(
+        "seq_id", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("start_pos"), "end_pos"
+    )
+    return _described(overlap_join(points, m, BIN), ["seq_id", "region_start", "end_pos"])
 
 
 def hybrid_motifs(motifs: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.functions import features, sequence as S
 from seqspark.operators import (
     classify, clusters, conservation, cruciform, curved, disease, g4, hotspots, hybrid, imotif, intervals, rloop, scan,
-    slipped, triplex, zdna,
+    slipped, sweep, triplex, zdna,
 )
 from seqspark.operators.motifs import union
 from seqspark.plans import reports
@@ -201,9 +201,7 @@ def hybrid_structures(m, q):
 
 
 def proximity(m, q):
-    return reports.proximity_edges(m).groupBy("class", "other_class").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")
-    )
+    return sweep.proximity_by_class(m)
 
 
 def selected(m, q):

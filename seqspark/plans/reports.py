@@ -266,11 +266,9 @@ def counselling_notes(disease: DataFrame) -> DataFrame:
 
 def cooccurrence(motifs: DataFrame) -> DataFrame:
     """Overlapping pairs per ordered pair of different classes."""
-    from seqspark.operators.intervals import overlap_join
+    from seqspark.operators.sweep import overlaps_by_class
 
-    m = motifs.select("seq_id", "class", "start_pos", "end_pos")
-    pairs = overlap_join(m, m).where(F.col("class") != F.col("r_class"))
-    return pairs.groupBy("class", F.col("r_class").alias("other_class")).agg(F.count(F.lit(1)).alias("n"))
+    return overlaps_by_class(motifs)
 
 
 def class_intersections(motifs: DataFrame, classes: list[str], top: int = 15) -> DataFrame:
@@ -313,7 +311,10 @@ def class_intersections(motifs: DataFrame, classes: list[str], top: int = 15) ->
 
 
 def proximity_edges(motifs: DataFrame, distance: int = 1000) -> DataFrame:
-    """Pairs of motifs with starts closer than ``distance`` and the weight distance - d."""
+    """Pairs of motifs with starts closer than ``distance`` and the weight distance - d.
+
+    This is the edge list itself; ``proximity_by_class`` counts it without making it.
+    """
     from seqspark.operators.intervals import nearby_join, with_copy_no
 
     m = with_copy_no(motifs).select("seq_id", "class", "subtype", "start_pos", "end_pos", "motif_no")
