@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,33 +17,57 @@ from seqspark.operators.triplex import best_first
 CLASS = "Z-DNA"
 MIN_TRANSITIONS, MIN_SUM = 12, 50.0
 
-# Weight of one base-to-base step.
-STRONG, MEDIUM, WEAK = 7.0, 1.25, 0.5
-# Added to WEAK for the 1st, 2nd, ... AT/TA step in a row; the last value stays.
-WEAK_RUN = (0.5, 0.5, 0.5, 0.0, 0.0, -5.0, -100.0)
-MISMATCH = 3.0
 
-FOLD = (
-    "struct<at:int,prev:string,sum:double,from:int,best:double,to:int,weak:int,"
-    "out:array<struct<from:int,to:int,sum:double>>>"
-)
+@dataclass(frozen=True)
+class Weights:
+    """Weights of one base-to-base step; the defaults are fixed values.
+
+    ``weak_run`` is added to ``weak`` for the 1st, 2nd, ... AT/TA step in a row; its last value
+    stays.  A streak of mismatches costs ``mismatch`` for its first step; every further one costs
+    ``mismatch_step`` more (linear) or twice the one before (exponential).
+    """
+
+    strong: float = 7.0
+    medium: float = 1.25
+    weak: float = 0.5
+    weak_run: tuple[float, ...] = (0.5, 0.5, 0.5, 0.0, 0.0, -5.0, -100.0)
+    mismatch: float = 3.0
+    mismatch_step: float = 3.0
+    mode: str = "linear"
+
+    def __post_init__(self):
+        if self.mode not in ("linear", "exponential") or self.mismatch < 0 or self.mismatch_step < 0 or not self.weak_run:
+            raise ValueError(self)
+
+    def weak_at(self, streak) -> Column:
+        """Weight of the ``streak``-th weak step in a row."""
+        out = F.lit(self.weak + self.weak_run[-1])
+        for i in range(len(self.weak_run) - 1, 0, -1):
+            out = F.when(streak <= i, F.lit(self.weak + self.weak_run[i - 1])).otherwise(out)
+        return out
 
+    def mismatch_at(self, streak) -> Column:
+        """Weight of the ``streak``-th mismatch in a row."""
+        if self.mode == "linear":
+            return -(self.mismatch + self.mismatch_step * (streak - 1))
+        return -(self.mismatch * F.pow(F.lit(2.0), streak - 1))
 
-def weak_weight(streak) -> Column:
-    out = F.lit(WEAK + WEAK_RUN[-1])
-    for i in range(len(WEAK_RUN) - 1, 0, -1):
-        out = F.when(streak <= i, F.lit(WEAK + WEAK_RUN[i - 1])).otherwise(out)
-    return out
+    def run_cost(self, n) -> Column:
+        """What the ``n - 1`` mismatches inside a run of ``n`` purines or pyrimidines cost."""
+        if self.mode == "linear":
+            return self.mismatch * (n - 1) + self.mismatch_step * (n - 1) * (n - 2) / 2.0
+        return self.mismatch * (F.pow(F.lit(2.0), n - 1) - 1)
 
 
-def mismatch_weight(streak, mode: str = "linear") -> Column:
-    """Linear: 3, 6, 9, ...; exponential: 3, 6, 12, ..."""
-    if mode == "linear":
-        return -(MISMATCH + MISMATCH * (streak - 1))
-    return -(MISMATCH * F.pow(F.lit(2.0), streak - 1))
+DEFAULT = Weights()
+
+FOLD = (
+    "struct<at:int,prev:string,sum:double,from:int,best:double,to:int,weak:int,"
+    "out:array<struct<from:int,to:int,sum:double>>>"
+)
 
 
-def step_weights(seqs: DataFrame, mode: str = "linear") -> DataFrame:
+def step_weights(seqs: DataFrame, weights: Weights = DEFAULT) -> DataFrame:
     """One row per base-to-base step: pos (1-based), step, weight.
 
     Steps are written as one letter per class, so a streak is one regex match and the streak
@@ -61,23 +88,23 @@ def step_weights(seqs: DataFrame, mode: str = "linear") -> DataFrame:
         ),
         "",
     )
-    weights = F.flatten(
+    values = F.flatten(
         F.transform(
             S.matches(kinds, "s+|m+|w+|x+"),
             lambda r: F.transform(
                 S.span(F.lit(1), F.length(r)),
-                lambda k: F.when(r.startswith("s"), F.lit(STRONG)).when(r.startswith("m"), F.lit(MEDIUM))
-                .when(r.startswith("w"), weak_weight(k)).otherwise(mismatch_weight(k, mode).cast("double")),
+                lambda k: F.when(r.startswith("s"), F.lit(weights.strong)).when(r.startswith("m"), F.lit(weights.medium))
+                .when(r.startswith("w"), weights.weak_at(k)).otherwise(weights.mismatch_at(k).cast("double")),
             ),
         )
     )
-    rows = rows.select("seq_id", "offset", F.posexplode(F.arrays_zip(dinucs.alias("step"), weights.alias("weight"))))
+    rows = rows.select("seq_id", "offset", F.posexplode(F.arrays_zip(dinucs.alias("step"), values.alias("weight"))))
     return rows.select(
         "seq_id", (F.col("offset") + F.col("pos") + 1).alias("pos"), F.col("col.step"), F.col("col.weight")
     )
 
 
-def _fold(text) -> Column:
+def _fold(text, weights: Weights, least: float, transitions: int) -> Column:
     """Segments of one text: a left fold over its purine and pyrimidine runs.
 
     Steps inside a run are mismatches and only lower the sum, steps between runs never are, so
@@ -96,8 +123,8 @@ def _fold(text) -> Column:
 
     def weighed(acc, run, v):
         weight = (
-            F.when(v["weak"] > 0, weak_weight(v["weak"])).when(v["pair"].isin("GC", "CG"), F.lit(STRONG))
-            .when(F.length(v["pair"]) < 2, F.lit(0.0)).otherwise(F.lit(MEDIUM))
+            F.when(v["weak"] > 0, weights.weak_at(v["weak"])).when(v["pair"].isin("GC", "CG"), F.lit(weights.strong))
+            .when(F.length(v["pair"]) < 2, F.lit(0.0)).otherwise(F.lit(weights.medium))
         )
         return S.let(acc["sum"] + weight, lambda raised: advanced(acc, run, v, raised))
 
@@ -108,12 +135,12 @@ def _fold(text) -> Column:
             F.when(open_, acc["from"]).otherwise(acc["at"]).alias("from"),
             F.when(better, acc["at"]).otherwise(acc["to"]).alias("to"),
             F.when(better, raised).when(open_, acc["best"]).otherwise(0.0).alias("best"),
-            (raised - F.lit(MISMATCH) * v["n"] * (v["n"] - 1) / 2.0).alias("left"),
+            (raised - weights.run_cost(v["n"])).alias("left"),
         )
         return S.let(now, lambda c: stored(acc, run, v, c))
 
     def stored(acc, run, v, c):
-        keep = (c["left"] <= 0) & (c["best"] >= MIN_SUM) & (c["to"] - c["from"] + 1 >= MIN_TRANSITIONS)
+        keep = (c["left"] <= 0) & (c["best"] >= least) & (c["to"] - c["from"] + 1 >= transitions)
         return F.struct(
             (acc["at"] + v["n"]).alias("at"), F.right(run, F.lit(1)).alias("prev"),
             F.greatest(c["left"], F.lit(0.0)).alias("sum"), c["from"].alias("from"), c["best"].alias("best"),
@@ -124,7 +151,7 @@ def _fold(text) -> Column:
         )
 
     def finish(acc):
-        open_end = (acc["sum"] > 0) & (acc["best"] >= MIN_SUM) & (acc["to"] - acc["from"] + 1 >= MIN_TRANSITIONS)
+        open_end = (acc["sum"] > 0) & (acc["best"] >= least) & (acc["to"] - acc["from"] + 1 >= transitions)
         last = F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to"), acc["best"].alias("sum")))
         return F.struct(
             acc["sum"].alias("rest"), F.when(open_end, F.concat(acc["out"], last)).otherwise(acc["out"]).alias("out")
@@ -137,21 +164,44 @@ def _fold(text) -> Column:
 Z_CUT = "[AG]{12}|[CT]{12}"
 
 
-def zdna(seqs: DataFrame) -> DataFrame:
-    """Maximal segments with sum >= 50 over at least 12 steps.
+def _called(structural_factor, conservation) -> tuple[Column | None, dict[str, Column]]:
+    """The factor on the score, at least 1, and the attributes that the two callbacks give for ``motif``."""
+    attrs, factor = {}, None
+    if structural_factor is not None:
+        value = F.coalesce(structural_factor(F.col("motif")).cast("double"), F.lit(1.0))
+        factor, attrs["Structural_Factor"] = F.greatest(F.lit(1.0), value), F.round(value, 3)
+    if conservation is not None:
+        found = conservation(F.col("motif"))
+        attrs["Conservation_Score"] = F.coalesce(found["enrichment_score"].cast("double"), F.lit(0.0))
+        attrs["Conservation_P_Value"] = F.coalesce(found["p_value"].cast("double"), F.lit(1.0))
+        attrs["Conservation_Significance"] = F.coalesce(found["significance"], F.lit(""))
+    return factor, attrs
+
+
+def zdna(
+    seqs: DataFrame, weights: Weights = DEFAULT, threshold: float = MIN_SUM, min_transitions: int = MIN_TRANSITIONS,
+    min_length: int = 13, structural_factor: Callable[[Column], Column] | None = None,
+    conservation: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Maximal segments with sum >= ``threshold`` over at least ``min_transitions`` steps and ``min_length`` bases.
+
+    ``structural_factor`` makes a number of the motif column; where above 1, it multiplies the score.
+    ``conservation`` makes a struct (enrichment_score, p_value, significance) of it, kept in attrs. Both
+    are column expressions, so they stay in the plan; their nulls count as 1 and as "not known".
 
     Long sequences are folded piece by piece.  A piece that ends with a sum above zero would pass
     something on to the next one; such a sequence is folded in one go instead.
     """
-    cut_up = seqs.where(F.length("sequence") > MIN_TRANSITIONS).withColumn("parts", T.pieces("sequence", Z_CUT))
+    fold = lambda text: _fold(text, weights, threshold, min_transitions)
+    cut_up = seqs.where(F.length("sequence") >= min_length).withColumn("parts", T.pieces("sequence", Z_CUT))
     folded = F.transform(
-        "parts", lambda p: F.struct(p["offset"].alias("offset"), _fold(p["text"]).alias("res"))
+        "parts", lambda p: F.struct(p["offset"].alias("offset"), fold(p["text"]).alias("res"))
     )
     cut_up = T.computed(cut_up, folded=folded)
     passed_on = F.exists(
         F.slice("folded", 1, F.greatest(F.size("folded") - 1, F.lit(0))), lambda p: p["res"]["rest"] > 0
     )
-    whole = F.array(F.struct(F.lit(0).alias("offset"), _fold(F.col("sequence")).alias("res")))
+    whole = F.array(F.struct(F.lit(0).alias("offset"), fold(F.col("sequence")).alias("res")))
     rows = T.unnest(cut_up, ["seq_id", "sequence"], F.when(passed_on, whole).otherwise(F.col("folded")), "p")
     rows = T.unnest(rows, ["seq_id", "sequence", F.col("p.offset").alias("offset")], F.col("p.res.out"), "z")
     # "from" is the run start, i.e. the base behind the step
@@ -160,8 +210,11 @@ def zdna(seqs: DataFrame) -> DataFrame:
         "seq_id", "sequence", start.alias("start_pos"), (F.col("offset") + F.col("z.to") + 1).alias("end_pos"),
         F.col("z.sum").alias("sum"),
     ).withColumn("motif", F.expr("substring(sequence, start_pos, end_pos - start_pos + 1)"))
+    if min_length > min_transitions + 1:
+        rows = rows.where(F.length("motif") >= min_length)
+    factor, called = _called(structural_factor, conservation)
     return as_motifs(
-        rows, CLASS, "Z-DNA", F.col("sum"), "MaximalSum",
+        rows, CLASS, "Z-DNA", F.col("sum") if factor is None else F.col("sum") * factor, "MaximalSum",
         attrs={
             "GC_Content": F.round(S.fraction("motif", "GC"), 3),
             "GC_CG_Dinucleotides": F.size(
@@ -170,6 +223,7 @@ def zdna(seqs: DataFrame) -> DataFrame:
                     lambda d: d.isin("GC", "CG"),
                 )
             ),
+            **called,
         },
     )
 
@@ -177,15 +231,24 @@ def zdna(seqs: DataFrame) -> DataFrame:
 EGZ_CUT = "(?:(?!CGG)[ACGT]){8}"
 
 
-def egz(seqs: DataFrame, max_gap: int = 3) -> DataFrame:
-    """Three or more CGG copies; blocks at most ``max_gap`` apart are joined."""
-    rows = T.scan(seqs, "(?:CGG){3,}", cut=EGZ_CUT, merge_gap=max_gap)
+def egz(
+    seqs: DataFrame, max_gap: int = 3, min_repeats: int = 3, merge_adjacent: bool = True,
+    structural_factor: Callable[[Column], Column] | None = None, conservation: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``min_repeats`` or more CGG copies; blocks at most ``max_gap`` apart are joined where ``merge_adjacent``.
+
+    The callbacks are those of ``zdna``.
+    """
+    # a cut of eight bases without CGG never parts blocks that would be joined
+    cut = EGZ_CUT if max_gap <= 3 or not merge_adjacent else None
+    rows = T.scan(seqs, "(?:CGG){%d,}" % max(1, min_repeats), cut=cut, merge_gap=max_gap if merge_adjacent else None)
+    factor, called = _called(structural_factor, conservation)
     copies = F.floor(F.length("motif") / 3).cast("int")
     g = S.fraction("motif", "G")
     return as_motifs(
-        rows, CLASS, "eGZ (Extruded-G) DNA", copies * (1.0 + 2.0 * g), "CGGCopies",
+        rows, CLASS, "eGZ (Extruded-G) DNA", copies * (1.0 + 2.0 * g) * (1.0 if factor is None else factor), "CGGCopies",
         detail=F.concat(F.lit("Unit=CGG;Copies="), copies),
-        attrs={"CGG_Repeats": copies, "G_Fraction": F.round(g, 3)},
+        attrs={"CGG_Repeats": copies, "G_Fraction": F.round(g, 3), **called},
     )
 
 
