@@ -12,7 +12,7 @@ from seqspark.operators import (
 )
 from seqspark.operators.motifs import union
 from seqspark.plans import reports
-from seqspark.plans.all_motifs import all_motifs, detectors, select_by_priority
+from seqspark.plans.all_motifs import all_motifs, detectors, filter_motifs, select_by_priority
 from seqspark.sources import fasta
 from seqspark.sources.stored import stored
 from seqspark.sources.tables import sequences
@@ -177,15 +177,19 @@ def longest_hybrids(m, q):
     return hybrid.longest_hybrid(hybrid.hybrids(m), m).drop("classes")
 
 
+def _cluster_scores(rows):
+    for name in ("interaction_score", "cooperative_score"):
+        rows = rows.withColumn(name, R6_TIES(F.col(name)))
+    return _rounded(rows, "diversity_index")
+
+
 def cluster_windows(m, q):
     rows = clusters.cluster_windows(m, q).withColumn("motif_types", F.array_join("motif_types", "; "))
-    rows = rows.withColumn("cooperative_score", R6_TIES(F.col("cooperative_score")))
-    return _rounded(rows, "diversity_index", "interaction_score", "cooperative_score")
+    return _cluster_scores(rows)
 
 
 def clusters_merged(m, q):
-    rows = clusters.clusters(m, q).withColumn("motif_types", F.array_join("motif_types", "; "))
-    return _rounded(rows, "diversity_index", "interaction_score", "cooperative_score")
+    return _cluster_scores(clusters.clusters(m, q).withColumn("motif_types", F.array_join("motif_types", "; ")))
 
 
 def cluster_profiles(m, q):
@@ -227,6 +231,46 @@ def official_classes(m, q):
     return rows.groupBy("class", "subtype", "official_class", "official_subtype").agg(F.count(F.lit(1)).alias("n"))
 
 
+def subtype_defaults(m, q):
+    """Motifs of even length lose their subtype, which is then looked up or "Canonical"."""
+    blank = m.select("class", F.when(F.col("length") % 2 == 0, F.lit("")).otherwise(F.col("subtype")).alias("subtype"))
+    rows = classify.official_names(blank)
+    rows = rows.withColumn("filled", classify.ensure_subtype("subtype", "official_subtype"))
+    return rows.groupBy("class", "subtype", "filled").agg(F.count(F.lit(1)).alias("n"))
+
+
+def filtered_motifs(m, q):
+    """The user filters over class, sequence, score and length."""
+    named = m.join(q.select("seq_id", F.col("name").alias("seq_name")), "seq_id")
+    rows = filter_motifs(named, classes=["Z-DNA", "Slipped DNA", "R-loop"], min_score=20.0, min_length=13, max_length=400)
+    return rows.select(*POS, "seq_name", "class", "subtype", "length", "score")
+
+
+def column_defaults(m, q):
+    """Report columns that are missing, blank or no numbers are filled."""
+    loose = m.select(
+        *POS, "class", F.when(F.col("length") > 20, F.col("subtype")).otherwise("").alias("subtype"),
+        F.when(F.col("length") % 2 == 0, F.col("score").cast("string")).otherwise("n/a").alias("score"),
+    )
+    return reports.fill_defaults(loose, numeric=["score", "conservation_score"], text=["subtype", "gene"])
+
+
+def disease_subset(m, q):
+    return reports.disease_rows(m).select(*POS, "class", "subtype", "length", "score")
+
+
+def cluster_subset(m, q):
+    rows = union([m, hotspots.hotspot_motifs(m, q)])
+    return reports.cluster_rows(rows).select(*POS, "class", "subtype", "length", R6("score").alias("score"))
+
+
+def guarded_sequences(q):
+    """Every sequence, as it is and with an ambiguous base at its end, and whether the guard lets it pass."""
+    both = q.select("seq_id", F.explode(F.array(F.lower("sequence"), F.concat("sequence", F.lit("N")))).alias("sequence"))
+    passed = lambda rows, ok: rows.select("seq_id", F.lit(ok).alias("valid"), F.length("sequence").alias("length"), F.md5("sequence").alias("md5"))
+    return passed(fasta.valid_sequences(both), True).unionByName(passed(fasta.rejected_sequences(both), False))
+
+
 def conserved(m, q):
     rows = conservation.with_conservation(m)
     out = rows.select(
@@ -275,6 +319,7 @@ def queries() -> dict:
         "imotif_windows": imotif_windows,
         "base_runs": base_runs,
         "fasta_records": fasta_records,
+        "guarded_sequences": guarded_sequences,
         "poly_at_tracts": lambda q: curved.poly_at_tracts(q),
         "global_curvature": lambda q: _motif_rows(curved.global_curvature(q)),
         "local_curvature": lambda q: _motif_rows(curved.local_curvature(q)),
@@ -328,6 +373,11 @@ def queries() -> dict:
         "class_intersections": lambda m, q: reports.class_intersections(m, DETECTED_CLASSES),
         "proximity": proximity,
         "official_classes": official_classes,
+        "subtype_defaults": subtype_defaults,
+        "filtered_motifs": filtered_motifs,
+        "column_defaults": column_defaults,
+        "disease_subset": disease_subset,
+        "cluster_subset": cluster_subset,
         "class_distribution": lambda m, q: classify.class_distribution(m),
         "subclass_distribution": lambda m, q: classify.subclass_distribution(m),
         "conservation": conserved,

@@ -704,6 +704,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT name AS file, 1::BIGINT AS record_no, 'Sequence_1' AS name, 'Unknown' AS gene_symbol, 'Unknown' AS disease_info, length, md5(sequence) AS md5 FROM seqs "
             "UNION ALL SELECT name, 2, name || '|' || coalesce(gene, '') || '|a > b', coalesce(gene, 'Unknown'), 'a > b', length, md5(sequence) FROM seqs"
         ),
+        "guarded_sequences": sql(
+            "SELECT seq_id, true AS valid, length, md5(sequence) AS md5 FROM seqs WHERE length > 0 "
+            "UNION ALL SELECT seq_id, false, length + 1, md5(sequence || 'N') FROM seqs WHERE sequence IS NOT NULL "
+            "UNION ALL SELECT seq_id, false, NULL, NULL FROM seqs, generate_series(1, 2) WHERE sequence IS NULL"
+        ),
         "poly_at_tracts": sql("SELECT * FROM long_tracts", LONG_TRACTS),
         "global_curvature": sql(GCURVE, TRACTS, CHAINS),
         "local_curvature": sql(LCURVE, TRACTS, CHAINS, LONG_TRACTS),
@@ -765,12 +770,12 @@ def oracle_sql() -> dict[str, str]:
             "JOIN core c ON c.seq_id = h.seq_id AND c.start_pos <= h.end_pos AND c.end_pos >= h.start_pos WHERE h.k = 1 GROUP BY h.seq_id, h.start_pos, h.end_pos, h.length, h.classes)", HYB
         ),
         "cluster_windows": on_core(
-            "SELECT * EXCLUDE (kinds) REPLACE (" + r6("diversity_index", "interaction_score") + ", round(round(cooperative_score, 12), 6) + 0.0 AS cooperative_score), array_to_string(kinds, '; ') AS motif_types FROM clw", CLW
+            "SELECT * EXCLUDE (kinds) REPLACE (" + r6("diversity_index") + ", round(round(interaction_score, 12), 6) + 0.0 AS interaction_score, round(round(cooperative_score, 12), 6) + 0.0 AS cooperative_score), array_to_string(kinds, '; ') AS motif_types FROM clw", CLW
         ),
         "clusters": on_core(
             "SELECT seq_id, CAST(region AS INT) AS start_pos, max(end_pos) AS end_pos, CAST(sum(motif_count) AS BIGINT) AS motif_count, "
             "array_to_string(list_sort(list_distinct(flatten(list(kinds)))), '; ') AS motif_types, round(max(diversity_index), 6) AS diversity_index, "
-            "round(max(interaction_score), 6) AS interaction_score, round(max(cooperative_score), 6) AS cooperative_score, "
+            "round(round(max(interaction_score), 12), 6) AS interaction_score, round(round(max(cooperative_score), 12), 6) AS cooperative_score, "
             "['" + "', '".join(clusters.LABELS) + "'][max(clinical_level) + 1] AS clinical_significance FROM clr GROUP BY seq_id, region",
             CLW, MERGE.format(name="clr", source="clw"),
         ),
@@ -790,6 +795,19 @@ def oracle_sql() -> dict[str, str]:
             "SELECT c, s, coalesce(x.o, c) AS oc, coalesce(y.o, s) AS os FROM (SELECT coalesce(p.a, class) AS c, coalesce(q.a, subtype) AS s FROM core "
             "LEFT JOIN old p ON p.o = class LEFT JOIN old q ON q.o = subtype) LEFT JOIN alias x ON x.a = c LEFT JOIN alias y ON y.a = s) GROUP BY ALL", ALIAS_NEW, ALIAS_OLD
         ),
+        "subtype_defaults": on_core(
+            "SELECT class, s AS subtype, coalesce(nullif(s, ''), CASE " + " ".join(f"WHEN class = '{c}' THEN '{v}'" for c, v in classify.SINGLE_SUBTYPE.items())
+            + " END, 'Canonical') AS filled, count(*) AS n FROM (SELECT class, CASE WHEN length % 2 = 0 THEN '' ELSE subtype END AS s FROM core) GROUP BY ALL"
+        ),
+        "filtered_motifs": on_core(
+            "SELECT seq_id, start_pos, end_pos, s.name AS seq_name, class, subtype, c.length, score FROM core c JOIN seqs s USING (seq_id) "
+            "WHERE class IN ('Z-DNA', 'Slipped DNA', 'R-loop') AND score >= 20 AND c.length BETWEEN 13 AND 400"
+        ),
+        "column_defaults": on_core(
+            "SELECT seq_id, start_pos, end_pos, class, CASE WHEN length > 20 AND subtype <> '' THEN subtype ELSE 'Unknown' END AS subtype, "
+            "CASE WHEN length % 2 = 0 THEN score ELSE 0 END AS score, CAST(0 AS DOUBLE) AS conservation_score, 'Unknown' AS gene FROM core"
+        ),
+        "disease_subset": on_core("SELECT seq_id, start_pos, end_pos, class, subtype, length, score FROM core WHERE class LIKE '%Disease%'"),
         "class_distribution": on_core(
             "SELECT class_no, class, coalesce(n, 0) AS count, CASE WHEN n > 0 THEN 'Detected' ELSE 'Not Found' END AS status, "
             "round(coalesce(n, 0) * 100.0 / sum(n) OVER (), 2) AS percentage FROM (SELECT DISTINCT class_no, class FROM cdim) LEFT JOIN (SELECT class, count(*) AS n FROM core GROUP BY class) USING (class)", CDIM
