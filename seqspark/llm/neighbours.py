@@ -21,8 +21,12 @@ from seqspark.llm.shared import stored
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector of rows whose vector is neither null nor zero and has only finite components."""
-    few = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    """vec_id and the vector of rows whose vector is neither null nor zero and has only finite components.
+
+    Vectors of floats stay floats, all others are doubles, so no component loses digits.
+    """
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    few = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return few.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False)))
 
@@ -37,14 +41,14 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("members"))
 
 
-def _searcher(k: int, links: int, ef_build: int, ef: int):
+def _searcher(k: int, links: int, ef_build: int, ef: int, rows_per_ef: int):
     def matrix(batches: list[pa.RecordBatch]) -> np.ndarray:
         flat = np.concatenate([b.column("vec").flatten().to_numpy(zero_copy_only=False) for b in batches])
         return flat.reshape(sum(b.num_rows for b in batches), -1)
 
     def found(graph: Graph, x: np.ndarray, ids: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
         q = matrix([batch])
-        rows = graph.search(q, k, ef)
+        rows = graph.search(q, k, max(ef, len(x) // rows_per_ef))
         at, place = np.nonzero(rows >= 0)
         row = rows[at, place]
         score = np.einsum("pd,pd->p", q[at].astype(np.float64), x[row].astype(np.float64))
@@ -75,16 +79,20 @@ def _searcher(k: int, links: int, ef_build: int, ef: int):
 
 
 def nearest(
-    vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, shard_rows: int = 65_536, least_shards: int = 12,
-    links: int = 16, ef_build: int = 64, ef: int = 96,
+    vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, shard_rows: int = 32_768, least_shards: int = 12,
+    links: int = 16, ef_build: int = 64, ef: int = 96, rows_per_ef: int = 64,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the `k` nearest rows found for each row that the SQL condition picks.
 
     Nearness is the largest inner product, ties go to the smaller vec_id, and a query's own row is left out. Rows
     without a usable vector or vec_id take no part; vectors of different lengths are not compared. Rows that repeat a
-    vec_id count as one.
+    vec_id count as one, the one of the smallest vector (compared by components). An empty table gives no rows, other
+    columns are ignored.
+
+    A graph is searched with a list of `ef` nodes, or of one for every `rows_per_ef` rows of its shard if that is more,
+    since a list of set length finds ever less as shards fill.
     """
-    rows = usable(vectors).dropDuplicates(["vec_id"])
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     classes = stored(classes_of(rows, k), "vector-classes")
     n = classes.count()
     shards = max(least_shards, -(-n // shard_rows))
@@ -97,7 +105,7 @@ def nearest(
     blocks = asked.select(
         dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "rep", "vec")
     dealt = index.unionByName(blocks).repartition(shards, "shard").sortWithinPartitions("dim", "shard", "asks")
-    found = dealt.mapInArrow(_searcher(k + 1, links, ef_build, ef), "query long, rep long, score double")
+    found = dealt.mapInArrow(_searcher(k + 1, links, ef_build, ef, rows_per_ef), "query long, rep long, score double")
     # The classes nearest to each query's class, then the rows of these that any row of that class could name.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)

@@ -72,3 +72,27 @@ def test_recall_on_the_given_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     check(rows, N.nearest(table).collect(), 0.95)
+
+
+def test_repeated_ids_and_doubles(spark):
+    """The smallest vector of an id counts; doubles keep all digits."""
+    rows = [(0, [1.0, 0.1]), (1, [2.0, 1 / 3]), (1, [9.0, 9.0]), (1, [2.0, 1 / 3]), (2, [-1.0, 1e-9]), (20, [9.0, 0.0]), (20, [-3.0, 1.0])]
+    for part in (rows, rows[::-1]):
+        table = spark.createDataFrame([(*r, "clash") for r in part], "vec_id long, embedding array<double>, rank string")
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in N.nearest(table, least_shards=2).collect()}
+        assert got == {
+            (0, 1): (1, 2.0 + 0.1 * (1 / 3)), (0, 2): (2, -1.0 + 0.1 * 1e-9), (0, 3): (20, -3.0 + 0.1),
+            (20, 1): (2, 3.0 + 1e-9), (20, 2): (0, -3.0 + 0.1), (20, 3): (1, -6.0 + 1 / 3)}
+
+
+def test_lists_grow_with_shards(spark):
+    """Vectors without any structure, where lists of 96 find too little."""
+    n, d = 6000, 48
+    x = np.random.default_rng(4).normal(size=(n, d)).astype(np.float32)
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in N.nearest(table, queries="vec_id % 60 = 0", least_shards=1, rows_per_ef=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(np.float64)
+    hits = sum(len(near & set([int(i) for i in np.argsort(-(y @ y[q]), kind="stable") if i != q][:20])) for q, near in found.items())
+    assert len(found) == 100 and hits >= 0.9 * 2000
