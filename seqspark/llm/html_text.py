@@ -4,7 +4,8 @@ Markup is stripped to lines: a block is one line, and a container's edge parts s
 line is its text outside links. If the page marks an article, all lines in it are kept. Otherwise sums of weights over
 a sliding window of lines rise at a surge point; a stretch that has one is kept but for lists of links, together with
 the short stretches that touch it. Regions that markup itself names as something else (menus, forms, adverts,
-comments, ...) are left out, unless such a name stands on a wrapper of over two thirds of the page's text.
+comments, ...) are left out, unless such a name stands on a wrapper of over two thirds of the page's text, or the
+wrapper is a form with that much text besides its fields.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from seqspark.llm.shared import slices
 #: Elements whose content is never running text of the page.
 NEVER = frozenset((
     "head title script style noscript template svg math iframe object canvas audio video select datalist button "
-    "textarea form nav footer aside dialog menu").split())
+    "textarea nav footer aside dialog menu").split())
+#: Elements that name a form's fields; a form is measured without them.
+_FIELDS = frozenset("label legend".split())
 #: Elements that end a block; of these, the containers separate regions.
 CONTAINERS = frozenset(
     "html body article main section div header footer nav aside form ul ol dl table fieldset details dialog".split())
@@ -82,7 +85,7 @@ def _opens(m: re.Match) -> bool:
 
 def _regions(page: str, tokens: list[re.Match]) -> dict[int, str]:
     """`_named` of the opening tags, by place in `tokens`; boiler words on a wrapper of over two thirds of the text
-    (outside links, hidden regions and comments) don't count."""
+    (outside links, hidden regions, comments and names of fields) don't count. A form is such a region by its name."""
     found: dict[int, str] = {}
     stack: list[tuple[str, int, int, bool]] = []
     opened: Counter[str] = Counter()
@@ -113,10 +116,10 @@ def _regions(page: str, tokens: list[re.Match]) -> dict[int, str]:
                     pop()
                 pop()
         elif name != "br" and _opens(m):
-            said = _named(name, m[4])
+            said = _named(name, m[4]) or ("boiler" if name == "form" else "")
             if said:
                 found[k] = said
-            hides = name in NEVER or said == "comments"
+            hides = name in NEVER or name in _FIELDS or said == "comments"
             stack.append((name, k, size, hides))
             opened[name] += 1
             unseen += hides

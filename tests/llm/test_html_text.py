@@ -48,6 +48,19 @@ WHOLE = [
     (f"<div class='menu-open'><nav>{LONG} nav</nav><div class='content'><p>{LONG}</p></div></div><div class=ad>Buy.</div>", LONG),
 ]
 
+FORMS = [
+    # a page whose body lies in one form, as some servers write it
+    (f"<body><form id=f action=/><input type=hidden value=x><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><select><option>a</select></form><footer>{LONG}</footer>", f"Title\n\n{LONG}\n\n{LONG}"),
+    (f"<form><article><p>{LONG}</p><form><p>Subscribe to our letter</p><label>Mail</label><input></form></article></form>", LONG),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><form><p>{LONG} Sign up!</p><label>Your mail</label><input></form>", f"{LONG}\n\n{LONG}"),
+    ("<form><label>Name of the user that wants to log in here, please</label><input><legend>Password</legend><button>Go</button></form>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", FORMS)
+def test_forms_go_unless_they_hold_the_page(page, text):
+    assert main_text(page) == text
+
 
 @pytest.mark.parametrize("page,text", WHOLE)
 def test_short_and_linked_blocks_stay(page, text):
