@@ -774,7 +774,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "clusters": on_core(
             "SELECT seq_id, CAST(region AS INT) AS start_pos, max(end_pos) AS end_pos, CAST(sum(motif_count) AS BIGINT) AS motif_count, "
-            "array_to_string(list_sort(list_distinct(flatten(list(kinds)))), '; ') AS motif_types, round(max(diversity_index), 6) AS diversity_index, "
+            "array_to_string(list_sort(list_distinct(flatten(list(kinds)))), '; ') AS motif_types, round(max(diversity_index), 6) + 0.0 AS diversity_index, "
             "round(round(max(interaction_score), 12), 6) AS interaction_score, round(round(max(cooperative_score), 12), 6) AS cooperative_score, "
             "['" + "', '".join(clusters.LABELS) + "'][max(clinical_level) + 1] AS clinical_significance FROM clr GROUP BY seq_id, region",
             CLW, MERGE.format(name="clr", source="clw"),
