@@ -16,11 +16,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm.importance import keep_resampled
+from seqspark.llm.near_texts import keep_one
 from seqspark.llm.packing import pack
 from seqspark.llm.quality_rules import keep_by_rules
 from seqspark.llm.repeated_text import without_repeats
 from seqspark.llm.shared import drop, making, shared_path
-from seqspark.llm.simhash import keep_one
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,7 +59,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates, with all rows of that doc_id, and rows without one."""
+    """The document of smallest doc_id of each group of near-duplicates, with all rows of that doc_id, and rows without one.
+
+    Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     return keep_one(docs)
 
 
