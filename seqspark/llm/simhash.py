@@ -165,13 +165,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.join(classes.select("fp", "root").join(least, "root"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The rows of `docs`, all their columns, without those whose component has a smaller doc_id.
-
-    Rows that repeat a doc_id count as one document and stay or go together; a row without doc_id stays.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), distance)
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti")

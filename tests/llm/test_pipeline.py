@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from seqspark.llm import queries, shared
 from tests.llm.test_repeated_text import removed_plainly
-from tests.llm.test_simhash import plain_fingerprint, roots_of
+from tests.llm.test_near_texts import jaccard, plain_set
+from tests.llm.test_simhash import roots_of
 
 
 @pytest.fixture(scope="module")
@@ -46,12 +47,9 @@ def test_stages(spark, sf_dir, tmp_path):
     rules, classifier, near, repeats, packed = inputs
     assert ids(rules[1]) == sorted([*range(103), 3])
     assert set(ids(classifier[1])) <= set(ids(classifier[0])) and len(classifier[1]) >= 0.95 * len(classifier[0])
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in near[0]}
-    root = roots_of(set(fps.values()), [(a, b) for a in fps.values() for b in fps.values() if a < b and (a ^ b).bit_count() <= 4])
-    least = {}
-    for i in sorted(fps):
-        least.setdefault(root[fps[i]], i)
-    assert set(ids(near[1])) == set(least.values())
+    sets = {r["doc_id"]: plain_set(r["text"]) for r in near[0]}
+    root = roots_of(sets, [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    assert set(ids(near[1])) == set(root.values()) and len(near[1]) < len(near[0])
     before = sorted(repeats[0], key=lambda r: r["doc_id"])
     after = {r["doc_id"]: r for r in repeats[1]}
     texts = [r["text"].encode() for r in before]
