@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
-from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs
-from seqspark.operators.repeats import best_arms, with_text
+from seqspark.operators.repeats import best_arms
 
 CLASS = "Cruciform DNA"
 MIN_ARM, MAX_ARM, MAX_SPACER, MIN_SCORE = 10, 100, 5, 2.0
@@ -30,11 +29,10 @@ def cruciform_candidates(seqs: DataFrame) -> DataFrame:
 
 
 def cruciform(seqs: DataFrame) -> DataFrame:
-    """The best candidates without overlaps."""
-    order = [F.desc("score"), F.desc("length"), F.asc("start_pos")]
-    chosen = greedy(cruciform_candidates(seqs), order, overlap="shared_end")
+    """The best candidates without overlaps, chosen in the task that holds their sequence."""
+    chosen = best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, True, _rate, one_a_start=True, disjoint=True)
     return as_motifs(
-        with_text(chosen, seqs), CLASS, "Cruciform DNA [IR]/HairPin [IR]", F.col("score"), "PerfectInvertedRepeat",
+        chosen, CLASS, "Cruciform DNA [IR]/HairPin [IR]", F.col("score"), "PerfectInvertedRepeat",
         detail=F.concat(F.lit("Arms="), F.col("arm")), spacer=F.col("spacer"),
         attrs={
             "Arm_Length": F.col("arm"),

@@ -46,7 +46,7 @@ def islands(df: DataFrame, gap: int = 0, out: str = "island", order=None, key=("
 # --- greedy selection -----------------------------------------------------------------------
 
 
-class _Disjoint:
+class Disjoint:
     """Chosen intervals of one stretch; they meet in at most one boundary base."""
 
     def __init__(self, shared_end: bool):
@@ -115,7 +115,7 @@ def greedy(df: DataFrame, order: list[Column], overlap: str = "inclusive", share
             for seq_id, stretch, start, end in keys:
                 if (seq_id, stretch) != current:
                     current = (seq_id, stretch)
-                    state = _Covered(share) if overlap == "covered" else _Disjoint(overlap == "shared_end")
+                    state = _Covered(share) if overlap == "covered" else Disjoint(overlap == "shared_end")
                 mask.append(state.take(start, end))
             yield batch.filter(pa.array(mask, type=pa.bool_())).select(list(range(width)))
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.operators.intervals import Disjoint
+
 Rate = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 SLAB = 1 << 20
 CODE = np.zeros(256, dtype=np.uint8)
@@ -203,27 +205,51 @@ def _best_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement:
     return best(np.concatenate(found, axis=1))
 
 
+def _disjoint(rows: np.ndarray) -> np.ndarray:
+    """Of rows as `_best_arms` gives them, best score to six places first (then the longest, then the first), those
+    that no better one of their sequence overlaps; a boundary base may be shared."""
+    row, start, length, score = rows[0], rows[1], rows[2], np.round(rows[5], 6)
+    order = np.lexsort((start, -length, -score, row))
+    known, state, taken = None, None, []
+    for i, r, a, n in zip(order.tolist(), row[order].tolist(), start[order].tolist(), length[order].tolist()):
+        if r != known:
+            known, state = r, Disjoint(True)
+        if state.take(a, a + n - 1):
+            taken.append(i)
+    return rows[:, taken]
+
+
 def best_arms(
     seqs: DataFrame, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool,
+    disjoint: bool = False,
 ) -> DataFrame:
     """seq_id, start_pos, end_pos, arm, spacer, length, score of inverted (or mirror) repeats, chosen as in `_best_arms`.
 
     `rate` gives scores, and which arms count, from arrays of arm, spacer and the number of purines or pyrimidines in
-    an arm, whichever is more. Only chosen rows leave the task; the sequence stays behind.
+    an arm, whichever is more. Only chosen rows leave the task; the sequence stays behind. With `disjoint` only the
+    best ones without overlaps are left, and each has its text as motif, which is no longer than two arms and a spacer.
     """
+    names = ["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"] + ["motif"] * disjoint
+
     def arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bases, starts = _concat(batch.column("sequence").to_pandas())
-            row, start, length, arm, spacer, score = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
+            texts = batch.column("sequence").to_pandas()
+            bases, starts = _concat(texts)
+            rows = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
+            if disjoint:
+                rows = _disjoint(rows)
+            row, start, length, arm, spacer, score = rows
             ids = batch.column("seq_id").take(pa.array(row.astype(np.int64)))
             ints = [x.astype(np.int32) for x in (start + 1, start + length, arm, spacer, length)]
-            yield pa.RecordBatch.from_arrays(
-                [ids, *map(pa.array, ints), pa.array(score)],
-                names=["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"])
+            columns = [ids, *map(pa.array, ints), pa.array(score)]
+            if disjoint:
+                columns.append(pa.array([texts[r][a:a + n] for r, a, n in rows[:3].T.astype(np.int64).tolist()], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
+    schema = f"seq_id {kind}, start_pos int, end_pos int, arm int, spacer int, length int, score double"
     return seqs.where(F.length("sequence") >= 2 * k).select("seq_id", "sequence").mapInArrow(
-        arms, f"seq_id {kind}, start_pos int, end_pos int, arm int, spacer int, length int, score double")
+        arms, schema + ", motif string" * disjoint)
 
 
 def equal_runs(

@@ -9,7 +9,7 @@ from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import best_arms, with_text
+from seqspark.operators.repeats import best_arms
 
 CLASS = "Triplex"
 MIN_ARM, MAX_ARM, MAX_SPACER = 10, 100, 12
@@ -39,13 +39,13 @@ def hdna_candidates(seqs: DataFrame) -> DataFrame:
 
 
 def hdna(seqs: DataFrame) -> DataFrame:
-    """The best candidates without overlaps."""
-    best = hdna_candidates(seqs)
-    chosen = greedy(best, [F.desc("score"), F.desc("length"), F.asc("start_pos")], overlap="shared_end")
+    """The best candidates without overlaps, chosen in the task that holds their sequence."""
+    chosen = best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, False, _rate, one_a_start=False, disjoint=True).withColumn(
+        "score", F.round("score", 6))
     left = F.expr("substring(motif, 1, arm)")
     purity = F.greatest(S.purine_fraction(left), S.pyrimidine_fraction(left))
     return as_motifs(
-        with_text(chosen, seqs), CLASS, "Triplex", F.col("score"), "MirrorArms",
+        chosen, CLASS, "Triplex", F.col("score"), "MirrorArms",
         detail=F.concat(F.lit("Arms="), F.col("arm")), spacer=F.col("spacer"),
         attrs={"Arm_Length": F.col("arm"), "Homogeneity": F.round(purity, 3)},
     )

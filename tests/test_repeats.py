@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.operators import cruciform, repeats, slipped, triplex
+from seqspark.operators import cruciform, intervals, repeats, slipped, triplex
 from tests import brute
 
 
@@ -61,6 +61,20 @@ def test_hdna_matches_brute_force(make, texts):
         assert sorted(r[:2] for r in got.get(i, [])) == sorted(want), t
 
 
+@pytest.mark.parametrize("found, candidates", [(cruciform.cruciform, cruciform.cruciform_candidates), (triplex.hdna, triplex.hdna_candidates)])
+def test_arms_chosen_in_their_task(make, texts, found, candidates):
+    q = make(texts)
+    rows = found(q)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    best = [F.desc("score"), F.desc("length"), F.asc("start_pos")]
+    want = intervals.greedy(candidates(q), best, overlap="shared_end").select("seq_id", "start_pos", "end_pos", "score").collect()
+    rows = rows.select("seq_id", "start_pos", "end_pos", "score", "sequence").collect()
+    assert rows and sorted(r[:4] for r in rows) == sorted(tuple(r) for r in want)
+    assert all(r["sequence"] == texts[r["seq_id"]][r["start_pos"] - 1:r["end_pos"]] for r in rows)
+    assert found(q.limit(0)).count() == 0 == found(make(["ACGT" * 3])).count()
+
+
 def test_slipped_selection(make, texts):
     got = by_seq(slipped.slipped_dna(make(texts)).select("seq_id", "start_pos", "end_pos").collect())
     q = make(texts)
