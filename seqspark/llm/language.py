@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqspark.llm.shared import slices
 
@@ -241,17 +242,29 @@ class Labeller:
         return split, text, p
 
 
-def fit(docs: DataFrame, held_out: str, per_lang: int = 150, max_langs: int = 64, **training: float) -> Model:
-    """A model from a bounded sample: about `per_lang` whole documents of each of the `max_langs` commonest languages.
+#: Languages whose counts are small enough to broadcast.
+BROADCAST_LANGS = 100_000
+
+
+def fit(docs: DataFrame, held_out: str, per_lang: int = 150, most_bytes: int = 64 << 20, **training: float) -> Model:
+    """A model from a bounded sample: about `per_lang` whole documents of every language, `most_bytes` of text in all.
 
     `docs` has doc_id, text and lang; rows for which the SQL condition `held_out` holds, or without text or
-    language, are not used. The sample is taken by hash of doc_id, so it is the same every time.
+    language, are not used. The sample is taken by hash of doc_id, so it is the same every time. Every language has
+    an equal share of the bytes; its documents are taken in the order of their hash until that is used up, the first
+    one always. Repeated rows count as often as they occur. Without a usable row the model knows no language.
     """
     usable = docs.where(f"NOT ({held_out})").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("of_lang")).orderBy(F.desc("of_lang"), "lang").limit(max_langs)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    langs = counts.count()
+    share = most_bytes // max(1, langs)
+    if langs <= BROADCAST_LANGS:  # else Spark chooses
+        counts = F.broadcast(counts)
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.join(F.broadcast(counts), "lang").where(part < F.lit(1.0 * per_lang) / F.col("of_lang"))
-    rows = sample.select("doc_id", "lang", "text").limit(2 * per_lang * max_langs).collect()
+    sample = usable.join(counts, "lang").where(part < F.lit(1.0 * per_lang) / F.col("of_lang"))
+    before = Window.partitionBy("lang").orderBy(part, "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    sample = sample.select("doc_id", "lang", "text", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("bytes_before"))
+    rows = sample.where(F.col("bytes_before") < share).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **training)
 
@@ -286,7 +299,9 @@ HELD_OUT = "crc32(coalesce(cast(doc_id AS string), '')) % 4 = 2"
 def predict_language(docs: DataFrame, model: Model, held_out: str = HELD_OUT) -> DataFrame:
     """doc_id, held_out, lang_pred, score and n_switches (changes of language between words) of every whole text.
 
-    A null text, or one without a letter, is `und` with score 0. Only the text is used. No shuffle.
+    A null text, or one without a letter, is `und` with score 0, as every text is if the model knows no language; of
+    equal scores the first language in order counts. Only the text is used, so repeated rows have equal results and
+    other columns are ignored; an empty table gives no row. No shuffle.
     """
     few = docs.selectExpr("cast(doc_id AS long) AS doc_id", f"({held_out}) AS held_out", "cast(text AS string) AS text")
     return few.mapInArrow(_text_langs(model), "doc_id long, held_out boolean, lang_pred string, score double, n_switches long")

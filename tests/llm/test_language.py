@@ -71,3 +71,19 @@ def test_held_out_accuracy(spark):
     out = [r for r in L.predict_language(docs, model).collect() if r["held_out"]]
     assert len(out) > 200
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in out) >= 0.97 * len(out)
+
+
+def test_sample_has_every_language_within_its_bytes(spark):
+    rows = [(100 * i + j, f"l{i:02d}", f"tongue{chr(97 + i % 26)}{chr(97 + i // 26)}word " * (400 if i == 0 else 9)) for i in range(70) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    seen = []
+    old, L.train = L.train, lambda texts, langs: seen.append((texts, langs))
+    try:
+        L.fit(docs, "false", per_lang=100, most_bytes=70 * 400)
+        L.fit(docs.unionByName(docs), "false", per_lang=100, most_bytes=1 << 30)
+    finally:
+        L.train = old
+    (texts, langs), (_, twice) = seen
+    assert set(langs) == {r[1] for r in rows} and langs.count("l00") == 1
+    assert all(1 <= langs.count(x) < 8 for x in set(langs)) and len(twice) == 2 * len(rows)
+    assert max(map(len, texts)) == len(rows[0][2])
