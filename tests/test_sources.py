@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
@@ -47,3 +48,18 @@ def test_sinks_round_trip(spark, make, tmp_path):
     filled = reports.fill_defaults(motifs, numeric=["Risk_Score", "score"], text=["Gene_Symbol"]).first()
     assert filled.Risk_Score == 0.0 and filled.Gene_Symbol == "Unknown"
     assert reports.disease_rows(motifs).count() >= 1 and reports.cluster_rows(motifs).count() == 0
+
+
+def test_examples_hold_what_they_name(spark):
+    from seqspark.plans.all_motifs import detectors
+    from seqspark.sources.examples import EXAMPLES, example_sequences
+
+    q = example_sequences(spark)
+    assert [r["length"] for r in q.orderBy("seq_id").collect()] == [len(e[3]) for e in EXAMPLES]
+    found = {(r["seq_id"], r["class"]) for r in detectors(q).select("seq_id", "class").collect()}
+    assert {c for i, c in found if i == 0} >= {"G-Quadruplex Family", "i-motif family"}
+    assert (1, "Z-DNA") in found
+    assert {(2, "Triplex"), (2, "Slipped DNA")} & found
+    assert example_sequences(spark, "Z-DNA Forming Sequence").count() == 1
+    with pytest.raises(ValueError):
+        example_sequences(spark, "none")
