@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.shared import slices, stored
-from seqspark.llm.tokens import encode_texts
+from seqspark.llm.tokens import encode_texts, forget_chunks
 
 #: A phase: windows [first, last) share `tokens` tokens. The queue has `own` of the phase's `whole` shares and stands
 #: at `served` when the phase begins; `path` leads from the root of the tree to it.
@@ -31,7 +31,7 @@ PHASE = (
 )
 
 
-def _tokens(tokenizer: str, end_id: int):
+def _tokens(tokenizer: str, end_id: int, keep_chunks: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for batch in slices(batches, "text"):
@@ -49,10 +49,12 @@ def _tokens(tokenizer: str, end_id: int):
                 batch.column("doc_id"), batch.column("queue"), batch.column("part"), pa.array(within, pa.int64()),
                 pa.array(np.diff(bounds) + 1, pa.int64()), pa.array(packed, pa.binary()),
             ], names=["doc_id", "queue", "part", "within", "n", "ids"])
+        if not keep_chunks:
+            forget_chunks(tokenizer)
     return encode
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float] | None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float] | None, keep_chunks: bool = True) -> DataFrame:
     """A stored row per document: its queue, place in its partition's part of the queue, token count and ids."""
     queue = F.concat(F.lit("="), F.col("source").cast("string"))
     if targets is not None:  # sources without a target share one queue
@@ -62,7 +64,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, f
         F.spark_partition_id().alias("part"), F.col("text").cast("string").alias("text"),
     )
     schema = "doc_id long, queue string, part int, within long, n long, ids binary"
-    return stored(few.mapInArrow(_tokens(tokenizer, end_id), schema), "packing")
+    return stored(few.mapInArrow(_tokens(tokenizer, end_id, keep_chunks), schema), "packing")
 
 
 FIELDS = ["first", "last", "tokens", "own", "whole", "served", "path"]
@@ -231,18 +233,20 @@ def _cut(size: int):
 
 def pack(
     docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, targets: dict[str, float] | None = None,
+    keep_chunks: bool = True,
 ) -> DataFrame:
     """Packs every document (doc_id, source, text) and returns its pieces.
 
     A null text is empty and gives its end id alone. A null source is a queue of its own. Repeated rows are packed
     each; an empty table gives no piece. With `targets` (source to weight, null and other sources under one queue)
-    windows hold those proportions as long as all queues last.
+    windows hold those proportions as long as all queues last. Workers keep their encoded chunks for the next task;
+    without `keep_chunks` each task begins anew, and what comes after has that memory.
     """
     if size < 1 or (targets is not None and not all(w > 0 for w in targets.values())):
         raise ValueError("size and weights must be positive")
     if targets is not None:  # the driver plans one phase for each target
         targets = {str(k): float(v) for k, v in targets.items()}
-    rows = tokenized(docs, tokenizer, end_id, targets)
+    rows = tokenized(docs, tokenizer, end_id, targets, keep_chunks)
     planned = plan(rows, size, targets)
     # Ids stay where they are if Spark finds the stored plan (a row per part and queue) small enough to broadcast.
     return rows.join(planned, ["queue", "part"]).mapInArrow(_cut(size), PIECES)

@@ -8,6 +8,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from seqspark.llm.shared import WHITE, ChunkTable
 
@@ -77,6 +78,12 @@ def table(path: str) -> tuple[ChunkEncoder, ChunkTable]:
     return encoder, ChunkTable(encoder)
 
 
+def forget_chunks(path: str) -> None:
+    """Gives back the memory of the worker's table for the tokenizer file at `path`."""
+    table(path)[1].clear()
+    pa.default_memory_pool().release_unused()
+
+
 def chunks_of(encoder: ChunkEncoder, text: str | None) -> list[str]:
     """A text that holds the string of a special token is one chunk, since that may join what it touches."""
     if not text:
