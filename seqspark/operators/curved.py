@@ -133,6 +133,9 @@ def local_curvature(seqs: DataFrame) -> DataFrame:
 
 
 def curved_dna(seqs: DataFrame) -> DataFrame:
-    """Both kinds, best score first, without overlaps (ties: global first, then position)."""
+    """Both kinds, best score first, without overlaps (ties: global first, then position).
+
+    Scores count to six places: phases summed up in another order are a tie, not a better score.
+    """
     both = union([global_curvature(seqs), local_curvature(seqs)])
-    return greedy(both, [F.desc("score"), F.asc("subtype"), F.asc("start_pos")])
+    return greedy(both, [F.desc(F.round("score", 6)), F.asc("subtype"), F.asc("start_pos")])

@@ -86,3 +86,9 @@ def test_zdna_pieces_and_fallback(make, monkeypatch):
     monkeypatch.setattr(scan, "pieces", lambda seq, cut, size=100: real(seq, cut, size))
     assert sorted(map(str, zdna.zdna(make(texts)).collect())) == sorted(map(str, whole))
     assert len(whole) > 3
+
+
+def test_curvature_ties_at_six_places_go_to_the_first(make):
+    """Both arrays score 11.166667; the sums of their phases differ in the last bits only."""
+    rows = curved.curved_dna(make(["CTATATAAAAATTAGCTAGCCAAAAACAAAACTAATAAAATCTAACCAAAATTAGCAACT"])).collect()
+    assert [(r.start_pos, r.end_pos, round(r.score, 6)) for r in rows if r.subtype == "Global curvature"] == [(7, 51, 11.166667)]
