@@ -13,17 +13,37 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.operators.intervals import Disjoint
 
 Rate = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-SLAB = 1 << 20
+RateDirect = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Bases whose k-mers are compared at a time, so that they stay in the cache.
+SLAB = 1 << 16
+#: Bases worked out at a time; a longer sequence is a part of its own.
+PART = 1 << 18
+#: Arms or starts worked out at a time.
+ARMS = 1 << 20
+#: Rows of a batch that leaves a task.
+ROWS = 1 << 16
 CODE = np.zeros(256, dtype=np.uint8)
 CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in parts of at most PART bases, or one longer sequence."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("sequence")).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PART, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _concat(texts: pd.Series):
     """All sequences of a batch as one code array, with the start of each."""
     sizes = texts.str.len().to_numpy(dtype=np.int64)
@@ -68,68 +88,135 @@ def _per_row(owner, order, columns, n_rows):
     )
 
 
-def _spaced_starts(bases, starts, row, at, d, size, spacers: int, units: tuple[int, int]) -> np.ndarray:
-    """Per run the starts of two copies with a spacer: at (0-based), spacer, tail.
+def _runs(bases, starts, k: int, nearest: int, farthest: int):
+    """Row, start (0-based in its row), d and length (>= k) of maximal runs with s[i] == s[i + d], in this order.
 
-    The unit is d less the spacer. Where d bases match behind a start, the unit of d without spacer is longer
-    and wins, so only starts whose match is shorter than d matter, or all where d is beyond the longest unit.
-    The tail, bases that go on behind the second copy like the first one, comes from the run of equal bases
-    at the distance of d and a unit, worked out once for each distance.
+    Equal k-mers become runs distance by distance, so a long array costs one run for each distance, not its bases.
     """
-    stop, out = at + size, np.empty(len(at), object)
-    out[:] = [[] for _ in range(len(at))]
-    first = np.where(d > units[1], at, np.maximum(at, stop - d + 1))
-    for spacer in range(1, spacers + 1):
-        unit = d - spacer
-        count = np.where((unit >= units[0]) & (unit <= units[1]), np.maximum(stop - unit - first + 1, 0), 0)
-        some = np.flatnonzero(count)
-        far, known = d[some] + unit[some], None
-        for place in np.lexsort((far, row[some])):
-            run, distance = some[place], far[place]
-            key = (row[run], distance)
-            if key != known:
-                text = bases[starts[row[run]]:starts[row[run] + 1]]
-                differ = np.flatnonzero(text[:-distance] != text[distance:]) if distance < len(text) else np.zeros(0, np.int64)
-                ends = np.append(differ, max(len(text) - distance, 0))
-                known = key
-            i = np.arange(first[run], first[run] + count[run])
-            tail = np.maximum(ends[np.minimum(np.searchsorted(ends, i), len(ends) - 1)] - i, 0)
-            out[run] += [{"at": a, "spacer": spacer, "tail": t} for a, t in zip(i.tolist(), tail.tolist())]
-    return out
-
-
-def _equal_runs(
-    texts: pd.Series, k: int, nearest: int, farthest: int, spacers: int = 0, units: tuple[int, int] = (0, 0),
-) -> pd.Series:
-    """Maximal runs with s[i] == s[i + d]: at (0-based), d, len >= k, and with ``spacers`` their spaced starts."""
-    bases, starts = _concat(texts)
     ends = starts[1:]
-    at, dist = [], []
+    heads, sizes, dist = [], [], []
     for a, b in _slabs(len(bases)):
         codes = _packed(bases[a:b + farthest + k], k)
+        place = np.arange(a, b)
+        room = ends[np.searchsorted(ends, place, side="right")] - place
         for d in range(nearest, farthest + 1):
             m = min(b - a, len(codes) - d)
             if m > 0:
                 found = np.flatnonzero(codes[:m] == codes[d:d + m])
+                found = found[room[found] >= d + k]
                 if len(found):
-                    at.append(found + a)
-                    dist.append(np.full(len(found), d))
-    if not at:
-        return pd.Series([[] for _ in range(len(texts))])
-    at, dist = np.concatenate(at), np.concatenate(dist)
+                    cut = np.flatnonzero(np.diff(found) != 1) + 1
+                    head = found[np.append(0, cut)]
+                    heads.append(head + a)
+                    sizes.append(found[np.append(cut - 1, len(found) - 1)] - head + 1)
+                    dist.append(np.full(len(head), d))
+    if not heads:
+        return (np.zeros(0, np.int64),) * 4
+    at, size, dist = np.concatenate(heads), np.concatenate(sizes), np.concatenate(dist)
     row = np.searchsorted(ends, at, side="right")
-    inside = at + dist + k <= ends[row]
-    at, dist, row = at[inside], dist[inside], row[inside]
     order = np.lexsort((at, dist, row))
-    at, dist, row = at[order], dist[order], row[order]
+    at, size, dist, row = at[order], size[order], dist[order], row[order]
+    # runs that a slab has cut
     first = np.ones(len(at), dtype=bool)
-    first[1:] = (at[1:] != at[:-1] + 1) | (dist[1:] != dist[:-1]) | (row[1:] != row[:-1])
+    first[1:] = (at[1:] != at[:-1] + size[:-1]) | (dist[1:] != dist[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(first)
-    size = np.diff(np.append(head, len(at))) + k - 1
-    cols = {"at": at[head] - starts[row[head]], "d": dist[head], "len": size}
-    if spacers:
-        cols["spaced"] = _spaced_starts(bases, starts, row[head], cols["at"], cols["d"], size, spacers, units)
-    return _per_row(row[head], np.arange(len(head)), cols, len(texts))
+    last = np.append(head[1:], len(at)) - 1
+    return row[head], at[head] - starts[row[head]], dist[head], at[last] + size[last] - at[head] + k - 1
+
+
+def _equal_runs(texts: pd.Series, k: int, nearest: int, farthest: int) -> pd.Series:
+    """The runs of each text: at (0-based), d, len."""
+    row, at, dist, size = _runs(*_concat(texts), k, nearest, farthest)
+    return _per_row(row, np.arange(len(row)), {"at": at, "d": dist, "len": size}, len(texts))
+
+
+def _tails(bases, ends, row, at, far) -> np.ndarray:
+    """How many bases from ``at`` on equal those at the distance ``far`` in their sequence.
+
+    Most tails end within a few bases; the others are read off one pass over the sequence for each distance.
+    """
+    tail, live = np.zeros(len(at), np.int64), np.arange(len(at))
+    for step in range(32):
+        left = at[live] + step
+        inside = left + far[live] < ends[row[live]]
+        live, left = live[inside], left[inside]
+        live = live[bases[left] == bases[left + far[live]]]
+        if not len(live):
+            return tail
+        tail[live] = step + 1
+    live = live[np.lexsort((far[live], row[live]))]
+    for part in np.split(live, np.flatnonzero((np.diff(row[live]) != 0) | (np.diff(far[live]) != 0)) + 1):
+        r, distance = row[part[0]], far[part[0]]
+        low = at[part].min()
+        text = bases[low:ends[r]]
+        stops = np.append(np.flatnonzero(text[:-distance] != text[distance:]), len(text) - distance) + low
+        tail[part] = stops[np.searchsorted(stops, at[part])] - at[part]
+    return tail
+
+
+def _best_direct(bases, starts, k: int, units: tuple[int, int], spaced: int, spacers: int, rate: RateDirect):
+    """Row, start (0-based in its row), unit, spacer, length of the best direct repeat of each start.
+
+    The longest unit that counts is best, then the least spacer. The unit is d less the spacer. Where d bases match
+    behind a start, the unit of d without spacer is longer and wins, so with a spacer only starts whose match is
+    shorter than d matter, or all where d is beyond the longest unit.
+    """
+    ends = starts[1:]
+    row, at, d, size = _runs(bases, starts, k, units[0], units[1] + spacers)
+    at = at + starts[row]
+    stop = at + size
+    some = d <= units[1]
+    parts = [np.stack([row[some], at[some], (size - d + 1)[some], d[some], np.zeros(some.sum(), np.int64), stop[some]])]
+    first = np.where(d > units[1], at, np.maximum(at, stop - d + 1))
+    for spacer in range(1, spacers + 1):
+        some = (d - spacer >= spaced) & (d - spacer <= units[1])
+        unit = (d - spacer)[some]
+        parts.append(np.stack([row[some], first[some], (stop[some] - unit - first[some] + 1), unit, np.full(len(unit), spacer), stop[some]]))
+    families = np.concatenate(parts, axis=1)
+    families = families[:, families[2] > 0]
+    # unit, spacer and length in one number, the best of each start
+    best = np.zeros(len(bases), np.int64)
+    upto = np.cumsum(families[2])
+    for a in range(0, int(upto[-1]) if len(upto) else 0, ARMS):
+        x, y = np.searchsorted(upto, [a, a + ARMS])  # families whose last start lies in this part
+        row, first, n, unit, spacer, stop = families[:, x:y]
+        i = np.repeat(np.arange(y - x), n)
+        at = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        unit, spacer = unit[i], spacer[i]
+        reach = stop[i] - at
+        copies, length = 1 + reach // unit, unit + reach
+        wide = np.flatnonzero(spacer)
+        copies[wide] = 2
+        length[wide] = 2 * unit[wide] + spacer[wide] + _tails(
+            bases, ends, row[i[wide]], at[wide], 2 * unit[wide] + spacer[wide])
+        good = rate(unit, copies, length, spacer)
+        np.maximum.at(best, at[good], ((unit * 8 + 7 - spacer) << 32 | length)[good])
+    at = np.flatnonzero(best)
+    row, head = np.searchsorted(ends, at, side="right"), best[at] >> 32
+    return row, at - starts[row], head >> 3, 7 - (head & 7), best[at] & 0xFFFFFFFF
+
+
+def best_direct(
+    seqs: DataFrame, k: int, units: tuple[int, int], spaced: int, spacers: int, rate: RateDirect,
+) -> DataFrame:
+    """seq_id, start_pos, unit, spacer, length of direct repeats, chosen as in `_best_direct`.
+
+    `rate` tells from arrays of unit, copies, length and spacer which ones count; units of at least `units[0]`, with a
+    spacer of at least `spaced`. Only the best of each start leaves its task; the sequence stays behind.
+    """
+    names = ["seq_id", "start_pos", "unit", "spacer", "length"]
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            bases, starts = _concat(part.column("sequence").to_pandas())
+            row, start, *rest = _best_direct(bases, starts, k, units, spaced, spacers, rate)
+            columns = [part.column("seq_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (start + 1, *rest))]
+            for a in range(0, len(row), ROWS):
+                yield pa.RecordBatch.from_arrays([c[a:a + ROWS] for c in columns], names=names)
+
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.where(F.length("sequence") >= k + units[0]).select("seq_id", "sequence").mapInArrow(
+        repeats, f"seq_id {kind}, start_pos int, unit int, spacer int, length int")
 
 
 def _folds(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool):
@@ -171,10 +258,6 @@ def _folds(bases, starts, k: int, max_spacer: int, max_arm: int, complement: boo
     return row[order], at[order], spacers[order], reach[order]
 
 
-#: Arms worked out at a time.
-ARMS = 1 << 20
-
-
 def _best_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool) -> np.ndarray:
     """row, start (0-based in its row), length, arm, spacer, score of the best fold for each start and length, or each start.
 
@@ -232,7 +315,7 @@ def best_arms(
     names = ["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"] + ["motif"] * disjoint
 
     def arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column("sequence").to_pandas()
             bases, starts = _concat(texts)
             rows = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
@@ -252,25 +335,6 @@ def best_arms(
         arms, schema + ", motif string" * disjoint)
 
 
-def equal_runs(
-    seqs: DataFrame, k: int, nearest: int, farthest: int, spacers: int = 0, units: tuple[int, int] = (0, 0),
-) -> DataFrame:
-    """seq_id, run_start (1-based), d, run_len: text[i] = text[i + d] over the run; spaced: see above (at 0-based).
-
-    The sequence itself is left behind.
-    """
-
-    @F.pandas_udf("array<struct<at:int,d:int,len:int,spaced:array<struct<at:int,spacer:int,tail:int>>>>")
-    def runs(texts: pd.Series) -> pd.Series:
-        return _equal_runs(texts, k, nearest, farthest, spacers, units)
-
-    rows = seqs.where(F.length("sequence") >= k + nearest).select("seq_id", F.explode(runs("sequence")).alias("_r"))
-    return rows.select(
-        "seq_id", (F.col("_r.at") + 1).alias("run_start"), F.col("_r.d").alias("d"), F.col("_r.len").alias("run_len"),
-        F.col("_r.spaced").alias("spaced"),
-    )
-
-
 def with_text(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     """Adds motif, the text from start_pos to end_pos.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import equal_runs, with_text
+from seqspark.operators.repeats import best_direct, with_text
 
 CLASS = "Slipped DNA"
 MIN_UNIT, MAX_UNIT = 8, 300
@@ -23,51 +24,17 @@ MAX_SPACER = 3
 SEED = 16
 SPACED_UNIT = 24
 
-START = "array<struct<at:int,spacer:int,tail:int>>"
-
-
-def _starts():
-    """All starts of one run: without spacer every start, with a spacer those that the run step lists."""
-    d, stop = F.col("d"), F.col("run_start") + F.col("run_len")
-    plain = F.when(
-        d <= MAX_UNIT,
-        F.transform(
-            S.span(F.col("run_start"), stop - d),
-            lambda i: F.struct(i.alias("at"), F.lit(0).alias("spacer"), F.lit(0).alias("tail")),
-        ),
-    ).otherwise(F.array().cast(START))
-    spaced = F.transform(
-        F.coalesce("spaced", F.array().cast(START)),
-        lambda x: F.struct((x["at"] + 1).alias("at"), x["spacer"].alias("spacer"), x["tail"].alias("tail")),
-    )
-    return F.concat(plain, spaced)
+
+
+def _counts(unit, copies, total, spacer):
+    """Which direct repeats reach the score limit, by the sum of `S.direct_repeat_score`."""
+    steps = np.select([total >= 100, total >= 50, total >= 30, total >= 20], [4.0, 3.0, 2.0, 1.0], 0.0)
+    return np.maximum(2.0, 8.0 / unit) + np.minimum(copies * 2.5, 12.0) + steps - spacer * 0.3 >= MIN_SCORE
 
 
 def direct_repeat_candidates(seqs: DataFrame) -> DataFrame:
     """Per start the longest unit (then the smallest spacer) that reaches the score limit."""
-    runs = equal_runs(seqs, SEED, MIN_UNIT, MAX_UNIT + MAX_SPACER, MAX_SPACER, (SPACED_UNIT, MAX_UNIT))
-    rows = T.unnest(runs, ["seq_id", "d", (F.col("run_start") + F.col("run_len")).alias("stop")], _starts(), "s")
-    rows = rows.select(
-        "seq_id", F.col("s.at").alias("start_pos"), F.col("s.spacer").alias("spacer"),
-        (F.col("d") - F.col("s.spacer")).alias("unit"), (F.col("stop") - F.col("s.at")).alias("reach"),
-        F.col("s.tail").alias("tail"),
-    )
-    copies = F.when(F.col("spacer") == 0, 1 + F.floor(F.col("reach") / F.col("unit"))).otherwise(2).cast("int")
-    length = F.when(F.col("spacer") == 0, F.col("unit") + F.col("reach")).otherwise(
-        2 * F.col("unit") + F.col("spacer") + F.col("tail")
-    )
-    rows = rows.withColumn("copies", copies).withColumn("length", length)
-    rows = rows.where(
-        S.direct_repeat_score(F.col("unit"), F.col("copies"), F.col("length"), F.col("spacer")) >= MIN_SCORE
-    )
-    # unit, spacer and length in one number, so that a hash aggregate finds the best
-    packed = (F.col("unit") * 8 + (7 - F.col("spacer"))).cast("long") * F.lit(1 << 32) + F.col("length")
-    best = rows.groupBy("seq_id", "start_pos").agg(F.max(packed).alias("_b"))
-    head = F.shiftright("_b", 32)
-    best = best.select(
-        "seq_id", "start_pos", F.floor(head / 8).cast("int").alias("unit"),
-        (7 - head % 8).cast("int").alias("spacer"), (F.col("_b") % F.lit(1 << 32)).cast("int").alias("length"),
-    )
+    best = best_direct(seqs, SEED, (MIN_UNIT, MAX_UNIT), SPACED_UNIT, MAX_SPACER, _counts)
     copies = F.when(F.col("spacer") == 0, F.floor(F.col("length") / F.col("unit"))).otherwise(2).cast("int")
     best = best.withColumn("copies", copies)
     score = S.direct_repeat_score(F.col("unit"), F.col("copies"), F.col("length"), F.col("spacer"))

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,38 @@ def test_slipped_selection(make, texts):
     for i, t in enumerate(texts):
         rows = sorted((r for r in cand if r[0] == i), key=lambda r: (-r[1], r[2], r[3]))
         assert sorted(got.get(i, [])) == sorted(brute.pick([(r[3], r[4]) for r in rows], False)), t
+
+
+def test_batches_are_worked_out_in_parts(texts, monkeypatch):
+    import pyarrow as pa
+
+    texts = [t for t in texts if t] + ["ACGGT" * 40, "A" * 500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["seq_id", "sequence"])
+
+    def direct():
+        parts, out = list(repeats._parts(iter([batch, batch]))), []
+        for part in parts:
+            bases, starts = repeats._concat(part.column("sequence").to_pandas())
+            rows = repeats._best_direct(bases, starts, 16, (8, 300), 24, 3, slipped._counts)
+            out += list(zip(np.asarray(part.column("seq_id"))[rows[0]].tolist(), *(x.tolist() for x in rows[1:])))
+        return parts, out
+
+    _, whole = direct()
+    for name, value in (("PART", 300), ("SLAB", 50), ("ARMS", 30)):
+        monkeypatch.setattr(repeats, name, value)
+    parts, cut = direct()
+    assert cut == whole and cut
+    assert sum((p.column("seq_id").to_pylist() for p in parts), []) == list(range(len(texts))) * 2
+    assert all(p.num_rows == 1 or sum(map(len, p.column("sequence").to_pylist())) <= 300 for p in parts)
+
+
+def test_memory_of_arrays(monkeypatch):
+    """Equal k-mers of an array become one run for each distance; they used to be held one by one."""
+    import tracemalloc
+
+    bases, starts = repeats._concat(pd.Series(["CAG" * 20_000]))
+    tracemalloc.start()
+    rows = repeats._runs(bases, starts, 16, 8, 303)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows[0]) == 99 and peak < 10e6
