@@ -29,6 +29,11 @@ def n_matches(seq, pattern: str) -> Column:
     return F.size(matches(seq, pattern))
 
 
+def windows(seq, size) -> Column:
+    """All strings of ``size`` bases, one for each start; one pass, where a substring by place would go from the first base."""
+    return F.regexp_extract_all(col(seq), F.concat(F.lit("(?=(.{"), F.lit(size).cast("string"), F.lit("}))")), F.lit(1))
+
+
 def count_bases(seq, bases: str) -> Column:
     """How many characters of ``seq`` are in ``bases``."""
     seq = col(seq)

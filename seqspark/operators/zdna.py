@@ -79,7 +79,7 @@ def step_weights(seqs: DataFrame, weights: Weights = DEFAULT) -> DataFrame:
     )
     rows = rows.withColumn("text", F.expr("substring(sequence, offset + 1, length(text) + 1)"))
     rows = rows.where(F.length("text") >= 2)
-    dinucs = F.expr("transform(sequence(1, length(text) - 1), p -> substring(text, p, 2))")
+    dinucs = S.windows("text", 2)
     kinds = F.array_join(
         F.transform(
             dinucs,

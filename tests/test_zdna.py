@@ -1,6 +1,7 @@
 """Z-DNA parameters and callbacks against a plain loop over steps."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,10 @@ def test_egz_parameters(make):
 def test_weights_are_checked():
     with pytest.raises(ValueError):
         zdna.Weights(mode="cubic")
+
+
+def test_step_weights_of_a_long_piece_are_linear(make):
+    """No strong step, so no cut: one piece. Each step used to be looked up from the first base."""
+    begin = time.time()
+    row = zdna.step_weights(make(["CATTAG" * 25_000])).agg(F.count("*").alias("n"), F.max("pos").alias("last")).first()
+    assert tuple(row) == (149_999, 149_999) and time.time() - begin < 15
