@@ -18,10 +18,7 @@ SALT, SALT_MOLAR = 0.114, 0.05
 
 def dinucleotides(seq) -> Column:
     seq = col(seq)
-    return F.when(
-        F.length(seq) > 1,
-        F.transform(S.span(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, 2)),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(seq) > 1, S.windows(seq, 2)).otherwise(F.array().cast("array<string>"))
 
 
 def _total(values) -> Column:
@@ -40,11 +37,10 @@ def composition(seq) -> dict[str, Column]:
 
 
 def dinucleotide_frequencies(seq) -> dict[str, Column]:
-    pairs = dinucleotides(seq)
     n = F.nullif(F.length(col(seq)) - 1, F.lit(0))
 
     def share(pair):
-        return F.coalesce(F.size(F.filter(pairs, lambda p: p == pair)) / n, F.lit(0.0))
+        return F.coalesce(S.n_matches(seq, "%s(?=%s)" % tuple(pair)) / n, F.lit(0.0))
 
     return {a + b: share(a + b) for a in "ATGC" for b in "ATGC"}
 
@@ -81,13 +77,14 @@ def patterns(seq) -> dict[str, Column]:
         repeat = repeat + F.when(fits, 1.0 / (n / i)).otherwise(0.0)
 
     def mirrored(size):
-        at = S.span(F.lit(1), n - size + 1)
-        part = lambda j: F.substring(seq, j, size)
-        return F.when(
-            n >= size, F.size(F.filter(at, lambda j: part(j) == F.reverse(part(j))))
-        ).otherwise(0)
-
-    palindromes = _total(F.transform(S.span(F.lit(4), F.lit(19)), lambda s: mirrored(s).cast("double")))
+        """Places that read the same both ways over ``size`` bases: half of them, any middle one, the half turned round."""
+        half = size // 2
+        back = "".join(r"\%d" % i for i in range(half, 0, -1))
+        return S.n_matches(seq, "(?=%s%s%s)" % ("(.)" * half, "." * (size % 2), back))
+
+    palindromes = F.lit(0.0)
+    for size in range(4, 20):
+        palindromes = palindromes + mirrored(size)
     half = F.floor(n / 2).cast("int")
     mirror = _share_equal(F.substring(seq, F.lit(1), half), F.substring(F.reverse(seq), F.lit(1), half))
     longest = F.array_max(F.transform(S.matches(seq, "A+|C+|G+|T+"), lambda r: F.length(r)))

@@ -32,3 +32,17 @@ def test_reports_count_all_detectors(spark, sf_dir):
     assert {c: sum(r[f"{c}_Count"] for r in compared) for c in catalog.DETECTED_CLASSES} == {c: want[c] for c in catalog.DETECTED_CLASSES}
     shares = queries["class_intersections"](spark, sf_dir).collect()
     assert any("Slipped DNA" in r["classes"] for r in shares)
+
+
+def test_features_of_long_motifs_are_linear(spark):
+    """Pairs and palindromes used to be looked up from the first base, each place anew."""
+    import time
+
+    from seqspark.functions import features
+
+    rows = spark.createDataFrame([("ACGGTCA" * 6_000,)], "sequence string").select(
+        *[v.alias(k) for k, v in features.feature_columns("sequence").items() if k[:3] == "di_" or k in ("struct_stacking_energy", "pattern_palindrome_score")])
+    begin = time.time()
+    row = rows.first()
+    assert time.time() - begin < 20
+    assert row["di_GG"] == 6_000 / 41_999 and row["pattern_palindrome_score"] == 5_999 / 42_000  # CAAC
