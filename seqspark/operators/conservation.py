@@ -14,6 +14,8 @@ from seqspark.operators.repeats import CODE
 
 SHUFFLES = 100
 EPSILON = 1e-6
+#: Bases of all shuffles worked out at a time.
+CELLS = 1 << 20
 
 # Motif class -> k-mer family.
 FAMILY = {
@@ -43,13 +45,11 @@ def kmer_size(family, n) -> Column:
 
 def _kmers(seq, k) -> Column:
     n = F.length(seq)
-    return F.when(
-        n >= k, F.transform(S.span(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, k))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= k, S.windows(seq, k)).otherwise(F.array().cast("array<string>"))
 
 
-def core_kmers(family, kmers, k) -> Column:
-    """Distinct k-mers of the motif that belong to its family."""
+def family_kmers(family, kmers, k) -> Column:
+    """The k-mers of the motif, repeats included, that belong to its family; equal k-mers all do or none does."""
     count = lambda x, base: F.length(x) - F.length(F.translate(x, base, ""))
 
     def with_run(base):
@@ -61,7 +61,7 @@ def core_kmers(family, kmers, k) -> Column:
         pairs = F.transform(S.span(F.lit(1), k - 1), lambda i: F.substring(x, i, 2))
         return F.size(F.filter(pairs, lambda p: p.isin("GC", "CG", "GT", "TG", "AC", "CA")))
 
-    core = (
+    return (
         F.when(family == "G", with_run("G")).when(family == "C", with_run("C"))
         .when(family == "Z", F.filter(kmers, lambda x: z_steps(x) >= F.floor((k - 1) / 2)))
         .when(family == "AC", F.filter(kmers, lambda x: count(x, "AC") / k >= 0.6))
@@ -69,7 +69,15 @@ def core_kmers(family, kmers, k) -> Column:
         .when(family == "AT", F.filter(kmers, lambda x: x.contains("AAA") | x.contains("TTT")))
         .otherwise(kmers)
     )
-    return F.array_distinct(core)
+
+
+def _codes(rows: np.ndarray, k: int) -> np.ndarray:
+    """2-bit code of the k-mer at every place of each row."""
+    places = max(rows.shape[1] - k + 1, 0)
+    codes = np.zeros((len(rows), places), np.int32)
+    for i in range(k):
+        codes = (codes << 2) | rows[:, i:i + places]
+    return codes
 
 
 def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFFLES) -> np.ndarray:
@@ -78,18 +86,15 @@ def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFF
     The seed is the CRC of the sequence, so a sequence always gets the same numbers.
     """
     bases = CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+    kmers = CODE[np.frombuffer("".join(core).encode("ascii", "replace"), np.uint8)].reshape(-1, k)
     wanted = np.zeros(4**k, bool)
-    for kmer in core:
-        wanted[sum(int(CODE[ord(c)]) << 2 * (k - 1 - i) for i, c in enumerate(kmer))] = True
-    rng, out = np.random.default_rng(zlib.crc32(sequence.encode())), np.zeros(shuffles, np.int64)
-    places = max(len(bases) - k + 1, 0)
-    for s in range(shuffles):
-        mixed = rng.permutation(bases).astype(np.int64)
-        codes = np.zeros(places, np.int64)
-        for i in range(k):
-            codes = (codes << 2) | mixed[i:i + places]
-        out[s] = wanted[codes].sum()
-    return out
+    wanted[_codes(kmers, k)[:, 0]] = True
+    rng, out = np.random.default_rng(zlib.crc32(sequence.encode())), []
+    step = max(1, CELLS // max(len(bases), 1))
+    for s in range(0, shuffles, step):
+        mixed = rng.permuted(np.tile(bases, (min(step, shuffles - s), 1)), axis=1)
+        out.append(wanted[_codes(mixed, k)].sum(axis=1))
+    return np.concatenate(out)
 
 
 def _counts(shuffles: int):
@@ -111,11 +116,10 @@ def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles:
     rows = motifs.withColumn("_f", family_of() if family is None else family)
     rows = rows.withColumn("_k", kmer_size(F.col("_f"), F.length("sequence")))
     rows = rows.withColumn("_kmers", _kmers(F.col("sequence"), F.col("_k")))
-    rows = rows.withColumn("_core", core_kmers(F.col("_f"), F.col("_kmers"), F.col("_k")))
-    among = lambda core, kmers: F.size(F.filter(kmers, lambda x: F.array_contains(core, x)))
+    rows = rows.withColumn("_found", family_kmers(F.col("_f"), F.col("_kmers"), F.col("_k")))
+    rows = rows.withColumn("_core", F.array_distinct("_found"))
     valid = (F.length("sequence") >= 4) & (F.size("_core") > 0)
-    observed = S.let(F.col("_core"), lambda core: among(core, F.col("_kmers")))
-    rows = rows.withColumn("_valid", valid).withColumn("observed_count", F.when(valid, observed))
+    rows = rows.withColumn("_valid", valid).withColumn("observed_count", F.when(valid, F.size("_found")))
     rows = rows.withColumn("_counts", F.when(F.col("_valid"), _counts(shuffles)("sequence", "_k", "_core")))
     total = F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c)
     rows = rows.withColumn("null_mean", total / shuffles)
@@ -134,4 +138,4 @@ def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles:
     rows = rows.withColumn(
         "conservation_significance", F.when(F.col("conservation_p") <= 0.05, label).otherwise("not significant")
     )
-    return rows.drop("_f", "_k", "_kmers", "_core", "_valid", "_counts")
+    return rows.drop("_f", "_k", "_kmers", "_found", "_core", "_valid", "_counts")

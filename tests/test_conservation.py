@@ -24,3 +24,15 @@ def test_conserved_motifs(spark):
     a, b, c = conservation.with_conservation(df).orderBy("seq_id", "start_pos").collect()
     assert a.conservation_score == c.conservation_score > 0 and a.conservation_p == c.conservation_p <= 0.05
     assert b.conservation_p == 1.0 and b.conservation_score == 0.0
+
+
+def test_shuffles_worked_out_together_are_the_same(monkeypatch):
+    """All shuffles in one step, or a few at a time, equal one permutation after the other."""
+    text, k, core = "GGGTTAGGGTTAGGGACC" * 3, 4, ["GGGT", "AGGG"]
+    rng, want = np.random.default_rng(zlib.crc32(text.encode())), []
+    for _ in range(100):
+        mixed = "".join(rng.permutation(list(text)))
+        want.append(sum(mixed[i:i + k] in core for i in range(len(text) - k + 1)))
+    assert conservation.shuffle_counts(text, k, core).tolist() == want
+    monkeypatch.setattr(conservation, "CELLS", 500)
+    assert conservation.shuffle_counts(text, k, core).tolist() == want
