@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,29 @@ class Disjoint:
         return True
 
 
+def take_disjoint(start: np.ndarray, end: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Mask of the intervals that a selection without a shared base takes; they are given best first, on one axis.
+
+    A round takes the best of every connected stretch at once. What is left after ``rounds`` goes one by one.
+    """
+    taken, live = np.zeros(len(start), bool), np.arange(len(start))
+    for _ in range(rounds):
+        if not len(live):
+            return taken
+        s, e = start[live], end[live]
+        order = np.argsort(s, kind="stable")
+        opens = np.append(True, s[order][1:] > np.maximum.accumulate(e[order])[:-1])
+        stretch = np.empty(len(live), np.int64)
+        stretch[order] = np.cumsum(opens) - 1
+        best = np.unique(stretch, return_index=True)[1]
+        taken[live[best]] = True
+        live = live[(e < s[best][stretch]) | (s > e[best][stretch])]
+    state = Disjoint(False)
+    for i, s, e in zip(live.tolist(), start[live].tolist(), end[live].tolist()):
+        taken[i] = state.take(s, e)
+    return taken
+
+
 class _Covered:
     """Accept while at most ``share`` of the bases are covered by what was accepted before."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOTIF_COLUMNS = [
@@ -11,11 +11,15 @@ MOTIF_COLUMNS = [
 ]
 
 
-def as_motifs(df: DataFrame, cls, subtype, score, method: str, detail=None, spacer=None, attrs=None) -> DataFrame:
-    """Bring detector output (seq_id, start_pos, end_pos, motif, ...) to the motif schema."""
+def as_map(attrs: dict[str, Column]) -> Column:
     entries = []
-    for name, value in (attrs or {}).items():
+    for name, value in attrs.items():
         entries += [F.lit(name), value.cast("string")]
+    return F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+
+
+def as_motifs(df: DataFrame, cls, subtype, score, method, detail=None, spacer=None, attrs=None) -> DataFrame:
+    """Bring detector output (seq_id, start_pos, end_pos, motif, ...) to the motif schema."""
     as_col = lambda v: F.lit(v) if isinstance(v, str) else v
     return df.select(
         F.col("seq_id").cast("long").alias("seq_id"),
@@ -26,10 +30,10 @@ def as_motifs(df: DataFrame, cls, subtype, score, method: str, detail=None, spac
         (F.col("end_pos") - F.col("start_pos") + 1).cast("int").alias("length"),
         F.col("motif").alias("sequence"),
         score.cast("double").alias("score"),
-        F.lit(method).alias("score_method"),
+        as_col(method).alias("score_method"),
         (F.lit("") if detail is None else detail).alias("detail"),
         (F.lit("") if spacer is None else spacer).cast("string").alias("spacer"),
-        (F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")).alias("attrs"),
+        (attrs if isinstance(attrs, Column) else as_map(attrs or {})).alias("attrs"),
     )
 
 

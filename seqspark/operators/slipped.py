@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
-from seqspark.operators.intervals import greedy
-from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import best_direct, with_text
+from seqspark.operators.motifs import as_map, as_motifs
+from seqspark.operators.repeats import best_direct, chosen_repeats
 
 CLASS = "Slipped DNA"
+STR = "Slipped DNA [STR]"
 MIN_UNIT, MAX_UNIT = 8, 300
 MIN_SCORE = 10.0
 
@@ -25,11 +25,15 @@ SEED = 16
 SPACED_UNIT = 24
 
 
+def _score(unit, copies, total, spacer):
+    """`S.direct_repeat_score` of arrays, summed up in the same order."""
+    steps = np.select([total >= 100, total >= 50, total >= 30, total >= 20], [4.0, 3.0, 2.0, 1.0], 0.0)
+    return np.maximum(2.0, 8.0 / unit) + np.minimum(copies * 2.5, 12.0) + steps - spacer * 0.3
+
 
 def _counts(unit, copies, total, spacer):
-    """Which direct repeats reach the score limit, by the sum of `S.direct_repeat_score`."""
-    steps = np.select([total >= 100, total >= 50, total >= 30, total >= 20], [4.0, 3.0, 2.0, 1.0], 0.0)
-    return np.maximum(2.0, 8.0 / unit) + np.minimum(copies * 2.5, 12.0) + steps - spacer * 0.3 >= MIN_SCORE
+    """Which direct repeats reach the score limit."""
+    return _score(unit, copies, total, spacer) >= MIN_SCORE
 
 
 def direct_repeat_candidates(seqs: DataFrame) -> DataFrame:
@@ -58,24 +62,44 @@ TANDEM = "|".join(
 MIN_COPIES = {1: 6, 2: 5, 3: 4, 4: 3, 5: 3, 6: 3}
 
 
-def str_candidates(seqs: DataFrame) -> DataFrame:
-    """Tandem repeats of 1 to 6 bases; the scan goes on behind every repeat found."""
-    rows = T.scan(seqs, TANDEM, keep=("seq_id", "sequence"))
-    rows = rows.withColumn("window", F.expr("substring(sequence, start_pos, 50)"))
-    n = F.length("motif")
-    unit = None
+def _rated(at, motif, window) -> Column:
+    """start_pos, end_pos, unit, copies, score of a tandem repeat; score is null where nothing counts."""
+    n, unit = F.length(motif), None
     for u, copies in MIN_COPIES.items():
-        periodic = F.expr(f"substring(motif, {u + 1}) = substring(motif, 1, length(motif) - {u})") & (
-            F.floor(n / u) >= copies
-        )
+        periodic = (F.substring(motif, F.lit(u + 1), n) == F.substring(motif, F.lit(1), n - u)) & (F.floor(n / u) >= copies)
         if u == 3:
-            sticky = F.substring("motif", 1, 3).isin("GAA", "TTC", "AAG", "AGG", "GGA", "TCT", "CTC", "CTT")
-            periodic = periodic & ~(sticky & F.col("window").rlike("GAAGAA|TTCTTC"))
+            sticky = F.substring(motif, 1, 3).isin("GAA", "TTC", "AAG", "AGG", "GGA", "TCT", "CTC", "CTT")
+            periodic = periodic & ~(sticky & window.rlike("GAAGAA|TTCTTC"))
         unit = F.when(periodic, u) if unit is None else unit.when(periodic, u)
-    rows = rows.withColumn("unit", unit)
-    rows = rows.withColumn("copies", F.floor(F.length("motif") / F.col("unit")).cast("int"))
-    rows = rows.withColumn("score", S.str_score(F.col("unit"), F.col("copies"), F.length("motif")))
-    return rows.where(F.col("score") >= MIN_SCORE)
+
+    def row(u):
+        copies = F.floor(n / u).cast("int")
+        return F.struct(
+            at.alias("start_pos"), (at + n - 1).alias("end_pos"), u.alias("unit"), copies.alias("copies"),
+            S.str_score(u, copies, n).alias("score"),
+        )
+
+    return S.let(unit, row)
+
+
+def str_candidates(seqs: DataFrame) -> DataFrame:
+    """Tandem repeats of 1 to 6 bases; the scan goes on behind every repeat found."""
+    rows = T.scan(seqs, TANDEM, keep=("seq_id", "sequence"))
+    window = F.substring(F.col("sequence"), F.col("start_pos"), F.lit(50))
+    rows = T.computed(rows, rated=_rated(F.col("start_pos"), F.col("motif"), window))
+    return rows.where(F.col("rated.score") >= MIN_SCORE).select(
+        "seq_id", "sequence", "start_pos", "end_pos", "motif", "rated.unit", "rated.copies", "rated.score")
+
+
+def _with_short(seqs: DataFrame) -> DataFrame:
+    """seq_id, sequence and ``short``, the tandem repeats of `str_candidates` as an array."""
+    seq = F.col("sequence")
+    rated = F.transform(
+        T.hits(seq, TANDEM),
+        lambda h: _rated(h["at"] + 1, h["text"], F.substring(seq, h["at"] + 1, F.lit(50))),
+    )
+    rows = T.computed(seqs.select("seq_id", "sequence"), rated=rated)
+    return rows.select("seq_id", "sequence", F.filter("rated", lambda r: r["score"] >= MIN_SCORE).alias("short"))
 
 
 def str_repeats(seqs: DataFrame) -> DataFrame:
@@ -83,34 +107,40 @@ def str_repeats(seqs: DataFrame) -> DataFrame:
 
 
 def _str_motifs(rows: DataFrame) -> DataFrame:
-    text = F.expr("substring(motif, 1, unit)")
-    return as_motifs(
-        rows, CLASS, "Slipped DNA [STR]", F.col("score"), "TandemRepeat",
-        detail=F.concat(F.lit("Unit="), text, F.lit(";Copies="), F.col("copies")),
-        attrs={"Unit": text, "Copies": F.col("copies"), "GC_Fraction": F.round(S.fraction(text, "GC"), 3)},
-    )
+    return as_motifs(rows, CLASS, STR, F.col("score"), "TandemRepeat", detail=_str_detail(), attrs=_str_attrs())
 
 
-def _direct_motifs(rows: DataFrame) -> DataFrame:
-    return as_motifs(
-        rows, CLASS, "Slipped DNA [Direct Repeat]", F.col("score"), "DirectRepeat",
-        detail=F.concat(F.lit("UnitLen="), F.col("unit"), F.lit(";Copies="), F.col("copies")),
-        spacer=F.col("spacer"),
-        attrs={
-            "Unit_Length": F.col("unit"), "Copies": F.col("copies"),
-            "AT_Fraction": F.round(S.fraction(F.expr("substring(motif, 1, unit)"), "AT"), 3),
-        },
-    )
+def _unit_text() -> Column:
+    return F.expr("substring(motif, 1, unit)")
+
+
+def _str_detail() -> Column:
+    return F.concat(F.lit("Unit="), _unit_text(), F.lit(";Copies="), F.col("copies"))
+
+
+def _str_attrs() -> dict[str, Column]:
+    return {"Unit": _unit_text(), "Copies": F.col("copies"), "GC_Fraction": F.round(S.fraction(_unit_text(), "GC"), 3)}
 
 
 def slipped_dna(seqs: DataFrame) -> DataFrame:
     """Direct repeats and STRs, best score first (ties: direct repeats, then position).
 
-    STRs alone never overlap, so running the selection without any direct repeat changes nothing.
+    STRs alone never overlap, so running the selection without any direct repeat changes nothing. Both kinds meet in
+    the task that holds the sequence: direct repeats may be a row for every base, and only chosen ones leave it.
     """
-    columns = ["seq_id", "start_pos", "end_pos", "score", "unit", "copies"]
-    direct = direct_repeat_candidates(seqs).select(*columns, "spacer", F.lit(0).alias("kind"))
-    short = str_candidates(seqs).select(*columns, F.lit(0).alias("spacer"), F.lit(1).alias("kind"))
-    chosen = greedy(direct.unionByName(short), [F.desc("score"), F.asc("kind"), F.asc("start_pos")])
-    rows = with_text(chosen, seqs)
-    return union([_direct_motifs(rows.where("kind = 0")), _str_motifs(rows.where("kind = 1"))])
+    rows = chosen_repeats(_with_short(seqs), SEED, (MIN_UNIT, MAX_UNIT), SPACED_UNIT, MAX_SPACER, _score, MIN_SCORE)
+    direct = F.col("kind") == 0
+    pick = lambda a, b: F.when(direct, a).otherwise(b)
+    return as_motifs(
+        rows, CLASS, pick(F.lit("Slipped DNA [Direct Repeat]"), F.lit(STR)), F.col("score"),
+        pick(F.lit("DirectRepeat"), F.lit("TandemRepeat")),
+        detail=pick(F.concat(F.lit("UnitLen="), F.col("unit"), F.lit(";Copies="), F.col("copies")), _str_detail()),
+        spacer=pick(F.col("spacer").cast("string"), F.lit("")),
+        attrs=pick(
+            as_map({
+                "Unit_Length": F.col("unit"), "Copies": F.col("copies"),
+                "AT_Fraction": F.round(S.fraction(_unit_text(), "AT"), 3),
+            }),
+            as_map(_str_attrs()),
+        ),
+    )

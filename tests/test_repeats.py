@@ -120,3 +120,18 @@ def test_memory_of_arrays(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(rows[0]) == 99 and peak < 10e6
+
+
+def test_slipped_dna_is_chosen_in_the_task_of_its_sequence(make):
+    plan = slipped.slipped_dna(make(["ACGT" * 20]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_disjoint_selection_by_rounds_equals_one_by_one():
+    draw = np.random.default_rng(5)
+    for rounds in (0, 1, 100):
+        for n, most in ((0, 5), (1, 5), (300, 4), (300, 40), (2000, 15)):
+            start = draw.integers(0, 1000, n)
+            end = start + draw.integers(0, most, n)
+            one = intervals.Disjoint(False)
+            assert [one.take(s, e) for s, e in zip(start.tolist(), end.tolist())] == intervals.take_disjoint(start, end, rounds).tolist()
