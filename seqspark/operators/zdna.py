@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import as_motifs, union
+from seqspark.operators.repeats import _parts
 from seqspark.operators.triplex import best_first
 
 CLASS = "Z-DNA"
@@ -52,21 +55,16 @@ class Weights:
             return -(self.mismatch + self.mismatch_step * (streak - 1))
         return -(self.mismatch * F.pow(F.lit(2.0), streak - 1))
 
-    def run_cost(self, n) -> Column:
+    def run_cost(self, n: np.ndarray) -> np.ndarray:
         """What the ``n - 1`` mismatches inside a run of ``n`` purines or pyrimidines cost."""
         if self.mode == "linear":
             return self.mismatch * (n - 1) + self.mismatch_step * (n - 1) * (n - 2) / 2.0
-        return self.mismatch * (F.pow(F.lit(2.0), n - 1) - 1)
+        # 2**1000 is more than any sum, and no infinity
+        return self.mismatch * (2.0 ** np.minimum(n - 1, 1000) - 1)
 
 
 DEFAULT = Weights()
 
-FOLD = (
-    "struct<at:int,prev:string,sum:double,from:int,best:double,to:int,weak:int,"
-    "out:array<struct<from:int,to:int,sum:double>>>"
-)
-
-
 def step_weights(seqs: DataFrame, weights: Weights = DEFAULT) -> DataFrame:
     """One row per base-to-base step: pos (1-based), step, weight.
 
@@ -104,64 +102,86 @@ def step_weights(seqs: DataFrame, weights: Weights = DEFAULT) -> DataFrame:
     )
 
 
-def _fold(text, weights: Weights, least: float, transitions: int) -> Column:
-    """Segments of one text: a left fold over its purine and pyrimidine runs.
+#: One bit for each base; an unknown base has none and so makes a mismatch with every other.
+BIT = np.zeros(256, dtype=np.uint8)
+BIT[[ord(c) for c in "AGCT"]] = [1, 2, 4, 8]
+PURINES, PYRIMIDINES, WEAK, STRONG = 3, 12, 9, 6
+#: Runs that are lists of Python numbers at a time.
+RUNS = 1 << 16
 
-    Steps inside a run are mismatches and only lower the sum, steps between runs never are, so
-    the fold needs one round per run.  ``sum`` is reset when it is not above zero; a segment is
-    the best prefix between two resets.
-    """
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("prev"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"),
-        F.lit(0.0).alias("best"), F.lit(0).alias("to"), F.lit(0).alias("weak"), F.array().alias("out"),
-    ).cast(FOLD)
-
-    def step(acc, run):
-        pair = F.concat(acc["prev"], F.substring(run, 1, 1))
-        weak = F.when(pair.isin("AT", "TA"), acc["weak"] + 1).otherwise(0)
-        return S.let(F.struct(pair.alias("pair"), weak.alias("weak"), F.length(run).alias("n")), lambda v: weighed(acc, run, v))
-
-    def weighed(acc, run, v):
-        weight = (
-            F.when(v["weak"] > 0, weights.weak_at(v["weak"])).when(v["pair"].isin("GC", "CG"), F.lit(weights.strong))
-            .when(F.length(v["pair"]) < 2, F.lit(0.0)).otherwise(F.lit(weights.medium))
-        )
-        return S.let(acc["sum"] + weight, lambda raised: advanced(acc, run, v, raised))
-
-    def advanced(acc, run, v, raised):
-        open_ = acc["sum"] > 0
-        better = (raised > 0) & (~open_ | (raised > acc["best"]))
-        now = F.struct(
-            F.when(open_, acc["from"]).otherwise(acc["at"]).alias("from"),
-            F.when(better, acc["at"]).otherwise(acc["to"]).alias("to"),
-            F.when(better, raised).when(open_, acc["best"]).otherwise(0.0).alias("best"),
-            (raised - weights.run_cost(v["n"])).alias("left"),
-        )
-        return S.let(now, lambda c: stored(acc, run, v, c))
-
-    def stored(acc, run, v, c):
-        keep = (c["left"] <= 0) & (c["best"] >= least) & (c["to"] - c["from"] + 1 >= transitions)
-        return F.struct(
-            (acc["at"] + v["n"]).alias("at"), F.right(run, F.lit(1)).alias("prev"),
-            F.greatest(c["left"], F.lit(0.0)).alias("sum"), c["from"].alias("from"), c["best"].alias("best"),
-            c["to"].alias("to"), F.when(v["n"] > 1, 0).otherwise(v["weak"]).alias("weak"),
-            F.when(
-                keep, F.concat(acc["out"], F.array(F.struct(c["from"].alias("from"), c["to"].alias("to"), c["best"].alias("sum"))))
-            ).otherwise(acc["out"]).alias("out"),
-        )
 
-    def finish(acc):
-        open_end = (acc["sum"] > 0) & (acc["best"] >= least) & (acc["to"] - acc["from"] + 1 >= transitions)
-        last = F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to"), acc["best"].alias("sum")))
-        return F.struct(
-            acc["sum"].alias("rest"), F.when(open_end, F.concat(acc["out"], last)).otherwise(acc["out"]).alias("out")
-        )
+def _runs(bases: np.ndarray, starts: np.ndarray, weights: Weights):
+    """Start of each run without a step between purine and pyrimidine, weight of the step to it, cost of its mismatches.
 
-    return F.aggregate(S.matches(text, "[AG]+|[CT]+"), start, step, finish)
-
-
-# Twelve purines or pyrimidines in a row cost 198 and bring nearly every sum back to zero.
-Z_CUT = "[AG]{12}|[CT]{12}"
+    A sequence begins with a run of its own, and its last run costs all that is left.
+    """
+    a, b = bases[:-1], bases[1:]
+    opens = np.zeros(len(bases), bool)
+    opens[1:] = ((a & PURINES != 0) & (b & PYRIMIDINES != 0)) | ((a & PYRIMIDINES != 0) & (b & PURINES != 0))
+    opens[starts[:-1]] = True
+    head = np.flatnonzero(opens)
+    begins = np.zeros(len(head) + 1, bool)
+    begins[np.searchsorted(head, starts)] = True
+    n = np.diff(np.append(head, len(bases)))
+    pair = bases[head - 1] | bases[head]
+    weak = (pair == WEAK) & ~begins[:-1]
+    # a weak step goes on with a streak if the run before it is a single base
+    place = np.arange(len(head))
+    first = weak & ~np.append(False, weak[:-1] & (n[:-1] == 1))
+    streak = place - np.maximum.accumulate(np.where(first, place, 0)) + 1
+    table = np.array([weights.weak + x for x in weights.weak_run])
+    weight = np.where(pair == STRONG, weights.strong, weights.medium)
+    weight = np.where(weak, table[np.minimum(streak, len(table)) - 1], np.where(begins[:-1], 0.0, weight))
+    return head, weight, np.where(begins[1:], np.inf, weights.run_cost(n))
+
+
+def _segments(head: np.ndarray, weight: np.ndarray, cost: np.ndarray, least: float, transitions: int):
+    """First and last base behind a step, and sum, of the segments: a left fold over runs.
+
+    Steps inside a run are mismatches and only lower the sum, steps between runs never are, so the fold needs one round
+    per run. The sum is reset when it is not above zero; a segment is the best prefix between two resets.
+    """
+    out, total, best, first, last = [], 0.0, 0.0, 0, 0
+    for a in range(0, len(head), RUNS):
+        for at, w, c in zip(*(x[a:a + RUNS].tolist() for x in (head, weight, cost))):
+            raised = total + w
+            if total > 0:
+                if raised > best:
+                    best, last = raised, at
+            else:
+                first, best = at, 0.0
+                if raised > 0:
+                    best, last = raised, at
+            total = raised - c
+            if total <= 0:
+                total = 0.0
+                if best >= least and last - first + 1 >= transitions:
+                    out.append((first, last, best))
+    return out
+
+
+def _found(seqs: DataFrame, weights: Weights, least: float, transitions: int) -> DataFrame:
+    """seq_id, start_pos, end_pos, sum, motif of the segments of all sequences."""
+    names = ["seq_id", "start_pos", "end_pos", "sum", "motif"]
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            texts = part.column("sequence").to_pylist()
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+            bases = BIT[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
+            found = np.array(_segments(*_runs(bases, starts, weights), least, transitions)).reshape(-1, 3)
+            first, last = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
+            row = np.searchsorted(starts, first, side="right") - 1
+            # the run start is the base behind the step
+            start, end = first - starts[row], last - starts[row] + 1
+            motifs = [texts[r][a - 1:b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("seq_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+                 pa.array(found[:, 2]), pa.array(motifs, pa.string())], names=names)
+
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.select("seq_id", "sequence").mapInArrow(
+        segments, f"seq_id {kind}, start_pos int, end_pos int, sum double, motif string")
 
 
 def _called(structural_factor, conservation) -> tuple[Column | None, dict[str, Column]]:
@@ -189,27 +209,10 @@ def zdna(
     ``conservation`` makes a struct (enrichment_score, p_value, significance) of it, kept in attrs. Both
     are column expressions, so they stay in the plan; their nulls count as 1 and as "not known".
 
-    Long sequences are folded piece by piece.  A piece that ends with a sum above zero would pass
-    something on to the next one; such a sequence is folded in one go instead.
+    The fold is a small step on Arrow batches, one round for each run of purines or pyrimidines, and its time and
+    memory grow with the sequence.
     """
-    fold = lambda text: _fold(text, weights, threshold, min_transitions)
-    cut_up = seqs.where(F.length("sequence") >= min_length).withColumn("parts", T.pieces("sequence", Z_CUT))
-    folded = F.transform(
-        "parts", lambda p: F.struct(p["offset"].alias("offset"), fold(p["text"]).alias("res"))
-    )
-    cut_up = T.computed(cut_up, folded=folded)
-    passed_on = F.exists(
-        F.slice("folded", 1, F.greatest(F.size("folded") - 1, F.lit(0))), lambda p: p["res"]["rest"] > 0
-    )
-    whole = F.array(F.struct(F.lit(0).alias("offset"), fold(F.col("sequence")).alias("res")))
-    rows = T.unnest(cut_up, ["seq_id", "sequence"], F.when(passed_on, whole).otherwise(F.col("folded")), "p")
-    rows = T.unnest(rows, ["seq_id", "sequence", F.col("p.offset").alias("offset")], F.col("p.res.out"), "z")
-    # "from" is the run start, i.e. the base behind the step
-    start = F.col("offset") + F.col("z.from")
-    rows = rows.select(
-        "seq_id", "sequence", start.alias("start_pos"), (F.col("offset") + F.col("z.to") + 1).alias("end_pos"),
-        F.col("z.sum").alias("sum"),
-    ).withColumn("motif", F.expr("substring(sequence, start_pos, end_pos - start_pos + 1)"))
+    rows = _found(seqs.where(F.length("sequence") >= max(min_length, 1)), weights, threshold, min_transitions)
     if min_length > min_transitions + 1:
         rows = rows.where(F.length("motif") >= min_length)
     factor, called = _called(structural_factor, conservation)

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,23 @@ def test_step_weights_of_a_long_piece_are_linear(make):
     begin = time.time()
     row = zdna.step_weights(make(["CATTAG" * 25_000])).agg(F.count("*").alias("n"), F.max("pos").alias("last")).first()
     assert tuple(row) == (149_999, 149_999) and time.time() - begin < 15
+
+
+def test_an_unknown_base_is_a_mismatch_and_keeps_positions(make):
+    rows = zdna.zdna(make(["A" * 5 + "N" * 4 + "CG" * 10, "CG" * 5 + "N" + "CG" * 5])).select("seq_id", "start_pos", "end_pos", "score").collect()
+    # the mismatch of each step beside N costs 3, then 6
+    assert sorted(tuple(r) for r in rows) == [(0, 10, 29, 133.0), (1, 1, 21, 117.0)]
+
+
+def test_runs_in_several_blocks_and_no_row_of_nulls(make, monkeypatch):
+    text = "CG" * 30 + "A" * 50 + "CA" * 40
+    whole = zdna._segments(*zdna._runs(*_coded([text, text]), zdna.DEFAULT), 50.0, 12)
+    monkeypatch.setattr(zdna, "RUNS", 3)
+    assert zdna._segments(*zdna._runs(*_coded([text, text]), zdna.DEFAULT), 50.0, 12) == whole and len(whole) == 4
+    nulls = make(["CG" * 20]).select(F.lit(1).cast("long").alias("seq_id"), F.lit(None).cast("string").alias("sequence"))
+    assert zdna.zdna(nulls).count() == 0
+
+
+def _coded(texts):
+    bases = zdna.BIT[np.frombuffer("".join(texts).encode(), dtype=np.uint8)]
+    return bases, np.cumsum([0] + [len(t) for t in texts])
