@@ -15,9 +15,10 @@ MIN_TRACT, LOCAL_TRACT = 4, 7
 MIN_SPACING, MAX_SPACING = 6, 15
 MIN_COUNT, MIN_SCORE = 3, 4.0
 
-# Two tracts of four or more with sixteen tract-free starts between them have centres more than
+# Two tracts of four or more with sixteen tract-free bases between them have centres more than
 # MAX_SPACING apart, so no chain of tracts reaches across such a stretch.
-TRACT_GAP = "(?:(?!AAAA|TTTT)[ACGT]){16}"
+TRACT = "(?:A{4,}+|T{4,}+)"
+TRACT_GROUP = TRACT + "(?:(?:(?!AAAA|TTTT)[ACGT]){0,15}+" + TRACT + ")*+"
 
 CHAIN = "struct<centre:int,n:int,bases:int,phase:double,last:int,closed:boolean>"
 
@@ -27,10 +28,11 @@ def poly_at_tracts(seqs: DataFrame, min_len: int = LOCAL_TRACT, keep=("seq_id",)
     return T.scan(seqs, "A{%d,}|T{%d,}" % (min_len, min_len), cut="A(?=[^A])|T(?=[^T])|[CG]", keep=keep)
 
 
-def _tract_groups(seqs: DataFrame) -> DataFrame:
-    """One row per stretch of neighbouring tracts, with tracts as array<struct<s,e,c>>."""
-    found = seqs.where(F.col("sequence").rlike("A{4,}|T{4,}"))
-    rows = T.scan_pieces(found, TRACT_GAP, size=0)
+def _tract_groups(seqs: DataFrame, within: str | None = None) -> DataFrame:
+    """One row per stretch of neighbouring tracts (that ``within`` matches in), with tracts as array<struct<s,e,c>>."""
+    found = T.scan(seqs, TRACT_GROUP).select("seq_id", (F.col("start_pos") - 1).alias("offset"), F.col("motif").alias("text"))
+    if within is not None:
+        found = found.where(F.col("text").rlike(within))
     tracts = F.transform(
         T.hits("text", "A{4,}|T{4,}"),
         lambda h: F.struct(
@@ -39,7 +41,7 @@ def _tract_groups(seqs: DataFrame) -> DataFrame:
             F.floor((h["at"] * 2 + F.length(h["text"]) - 1) / 2).cast("int").alias("c"),
         ),
     )
-    return T.computed(rows, tracts=tracts)
+    return T.computed(found, tracts=tracts)
 
 
 def _chains(tracts):
@@ -78,8 +80,8 @@ def _chains(tracts):
     ).otherwise(F.array().cast("array<struct<s:int,chain:%s>>" % CHAIN))
 
 
-def _with_chains(seqs: DataFrame) -> DataFrame:
-    return T.computed(_tract_groups(seqs), chains=_chains(F.col("tracts")))
+def _with_chains(seqs: DataFrame, within: str | None = None) -> DataFrame:
+    return T.computed(_tract_groups(seqs, within), chains=_chains(F.col("tracts")))
 
 
 def _global_rows(groups: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def global_curvature(seqs: DataFrame) -> DataFrame:
 
 def local_curvature(seqs: DataFrame) -> DataFrame:
     """Tracts of seven or more with neither end inside a phased array."""
-    groups = _with_chains(seqs)
+    groups = _with_chains(seqs, "A{%d}|T{%d}" % (LOCAL_TRACT, LOCAL_TRACT))
     free = S.let(
         F.col("chains"),
         lambda chains: F.filter(

@@ -92,3 +92,13 @@ def test_curvature_ties_at_six_places_go_to_the_first(make):
     """Both arrays score 11.166667; the sums of their phases differ in the last bits only."""
     rows = curved.curved_dna(make(["CTATATAAAAATTAGCTAGCCAAAAACAAAACTAATAAAATCTAACCAAAATTAGCAACT"])).collect()
     assert [(r.start_pos, r.end_pos, round(r.score, 6)) for r in rows if r.subtype == "Global curvature"] == [(7, 51, 11.166667)]
+
+
+def test_only_stretches_with_tracts_become_rows(make):
+    q = make(["CG" * 500 + "AAAA" + "CG" * 5 + "TTTTTTTT" + "GC" * 500 + "A" * 9 + "CG" * 500])
+    assert curved._tract_groups(q).count() == 2
+    assert [(r["start_pos"], r["end_pos"]) for r in curved.local_curvature(q).orderBy("start_pos").collect()] == [(1015, 1022), (2023, 2031)]
+
+
+def test_a_stretch_of_many_tracts_is_matched_without_recursion(make):
+    assert curved._tract_groups(make(["AAAACGCGCG" * 20000])).selectExpr("length(text)").first()[0] == 200000 - 6
