@@ -136,17 +136,14 @@ def g4hunter_score(seq) -> Column:
 
 def ramp_array(seq, plus: str, minus: str) -> Column:
     """Per-base ramp score as array<int>."""
-    return F.flatten(
-        F.transform(
-            matches(seq, "A+|C+|G+|T+"),
-            lambda r: F.transform(
-                span(F.lit(1), F.length(r)),
-                lambda k: F.when(r.startswith(plus), F.least(k, F.lit(4)))
-                .when(r.startswith(minus), -F.least(k, F.lit(4)))
-                .otherwise(F.lit(0)),
-            ),
-        )
-    )
+
+    def ramp(r):
+        n = F.length(r)
+        steps_up = lambda sign: F.transform(F.sequence(F.lit(1), n), lambda k: F.least(k, F.lit(4)) * sign)
+        return F.when(r.startswith(plus), steps_up(1)).when(r.startswith(minus), steps_up(-1)).otherwise(
+            F.array_repeat(F.lit(0), n))
+
+    return F.flatten(F.transform(matches(seq, f"{plus}+|{minus}+|[ACGT]"), ramp))
 
 
 def sliding_means(values, window: int = 25) -> Column:
@@ -166,9 +163,31 @@ def sliding_means(values, window: int = 25) -> Column:
     return let(col(values), means)
 
 
+def max_sliding_mean(values, window: int = 25) -> Column:
+    """Largest of the `sliding_means` of an array of integers, from a running sum: one step for each place."""
+    half = window // 2
+
+    def largest(v):
+        n = F.size(v)
+        enter = F.slice(v, F.lit(half + 1), F.greatest(n, F.lit(1)))
+        leave = F.slice(F.concat(F.array_repeat(F.lit(0), half + 1), v), F.lit(1), F.greatest(n, F.lit(1)))
+        change = F.zip_with(enter, leave, lambda e, l: F.coalesce(e, F.lit(0)) - l)
+        before = F.aggregate(F.slice(v, 1, half), F.lit(0), lambda a, x: a + x)
+        start = F.struct(F.lit(0).alias("at"), before.alias("sum"), F.lit(None).cast("double").alias("best"))
+
+        def step(acc, x):
+            at, total = acc["at"] + 1, acc["sum"] + x
+            width = F.least(at + half, n) - F.greatest(at - half, F.lit(1)) + 1
+            return F.struct(at.alias("at"), total.alias("sum"), F.greatest(acc["best"], total / width).alias("best"))
+
+        return F.when(n > 0, F.aggregate(change, start, step, lambda acc: acc["best"]))
+
+    return let(col(values), largest)
+
+
 def imotif_score(seq, window: int = 25) -> Column:
     """Largest centred window mean of the C-positive ramp score."""
-    return F.array_max(sliding_means(ramp_array(seq, "C", "G"), window))
+    return max_sliding_mean(ramp_array(seq, "C", "G"), window)
 
 
 # --- class specific scores ------------------------------------------------------------------

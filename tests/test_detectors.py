@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqspark.functions import sequence as S
 from seqspark.operators import (
     cruciform, curved, disease, g4, imotif, rloop, scan, slipped, triplex, zdna,
 )
@@ -102,3 +103,13 @@ def test_only_stretches_with_tracts_become_rows(make):
 
 def test_a_stretch_of_many_tracts_is_matched_without_recursion(make):
     assert curved._tract_groups(make(["AAAACGCGCG" * 20000])).selectExpr("length(text)").first()[0] == 200000 - 6
+
+
+def test_running_sum_equals_window_means(make):
+    draw = random.Random(3)
+    texts = ["", "C", "CG", "C" * 12, "G" * 30] + ["".join(draw.choice("CCCGAT") for _ in range(n)) for n in (5, 12, 13, 24, 25, 26, 300)]
+    values = S.ramp_array("sequence", "C", "G")
+    rows = make(texts).select(S.imotif_score("sequence"), F.array_max(S.sliding_means(values)), F.size(values), F.length("sequence")).collect()
+    assert all(a == b and m == n for a, b, m, n in rows)
+    rows = make(texts).select(S.max_sliding_mean(values, 4), F.array_max(S.sliding_means(values, 4))).collect()
+    assert all(a == b for a, b in rows)
