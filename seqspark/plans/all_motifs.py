@@ -17,6 +17,7 @@ from seqspark.operators.intervals import greedy
 from seqspark.operators.motifs import MOTIF_COLUMNS, union
 from seqspark.sources.fasta import valid_sequences
 from seqspark.sources.stored import stored
+from seqspark.sources.tables import small_batches
 
 # Selection order of classes and subtypes when overlaps are removed.
 SELECTION_ORDER = [
@@ -86,6 +87,7 @@ def all_motifs(
     stage is written once to the shared folder and read by the next, so plans stay short and a lost
     executor costs no more than the stage at work.
     """
+    small_batches(seqs.sparkSession)
     seqs = valid_sequences(seqs)
     lengths = stored(seqs.select("seq_id", "name", "length"), "lengths")
     found = stored(valid_motifs(detectors(seqs, gene), lengths), "found-motifs")

@@ -30,6 +30,19 @@ CASSETTES = [
 ]
 GENES = [None, "HTT", "FMR1", "fxn", "AR"]
 
+#: Rows of text that a Parquet reader unpacks at a time, and bytes of a batch that goes to Python.
+READ_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to a size that fits long texts.
+
+    By default each task unpacks 4096 texts at a time and hands 10,000 (up to 64 MB) to Python: tens of MB of buffers
+    on the heap, as many again for Arrow and in the worker.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, name, gene, sequence, length from the documents table."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cassette, gene = F.lit(""), F.lit(None).cast("string")
     for i, parts in enumerate(CASSETTES):
