@@ -18,8 +18,9 @@ _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _ENDED = f"[{_LATIN}]++(?=[.,;:!?|#$%&*]+(?:[{WHITE}]|\\Z))"
 #: A run of non-space with the one space before it; else white space as the byte-level pattern splits it.
 _BYTE_LEVEL = re.compile(f" ?{_ENDED}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: The word-level tokenizer drops white space.
-_WORD_LEVEL = re.compile(f"{_ENDED}|[^{WHITE}]+")
+#: The word-level tokenizer drops white space and parts letters from all that is none, so letters end where ASCII follows.
+_WORD_LEVEL = re.compile(f"[{_LATIN}]++(?![^\\x00-\\x7f])|[^{WHITE}]+")
+_LOWER = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Chunks that are encoded as one text.
 JOINED = 400
 
@@ -29,11 +30,16 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.plain = Tokenizer.from_file(path)
         settings = json.loads(self.tokenizer.to_str())
         self.word_level = settings["normalizer"] is not None
+        if self.word_level:  # joined chunks are lower-case Latin letters: nothing to normalise, parted by spaces alone
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [x["content"] for x in settings["added_tokens"]]
         # Both vocabularies write one character for a byte, but for the mark of a word's end.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -48,26 +54,26 @@ class ChunkEncoder:
             (joined if self._plain(c) else alone).append(i)
         groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
         between = " " if self.word_level else ""
-        for group, found in zip(groups, self._ids([between.join([chunks[i] for i in g]) for g in groups])):
+        for group, found in zip(groups, self._ids(self.plain, [between.join([chunks[i] for i in g]) for g in groups])):
             upto = np.cumsum(self.bytes[found])
-            ends = np.cumsum([len(chunks[i].encode()) for i in group])
+            ends = np.cumsum([len(x) if (x := chunks[i]).isascii() else len(x.encode()) for i in group])
             cuts = np.searchsorted(upto, ends) + 1
             if len(upto) == cuts[-1] and np.array_equal(upto[cuts - 1], ends):
                 for i, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()):
                     out[i] = found[a:b]
             else:
                 alone += group
-        for i, ids in zip(alone, self._ids([chunks[i] for i in alone])):
+        for i, ids in zip(alone, self._ids(self.tokenizer, [chunks[i] for i in alone])):
             out[i] = ids
         return out
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, chunk: str) -> bool:
         """Whether the chunk keeps its bytes and its borders beside other such chunks."""
         if self.word_level:
-            return chunk.islower() and chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0100")
+            return _LOWER.fullmatch(chunk) is not None
         return chunk[0] == " " and len(chunk) > 1 and not WHITESPACE.match(chunk, 1)
 
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from seqspark.llm import packing, pieces, token_output
 from seqspark.llm.packing import Queue, mixture_phases
 from seqspark.llm.shared import ChunkTable
-from seqspark.llm.tokens import encode_texts
+from seqspark.llm.tokens import ChunkEncoder, encode_texts
 from tests.llm.conftest import ODD
 
 
@@ -118,3 +118,16 @@ def test_windows_hold_the_mixture():
             by_window[window][name] = by_window[window].get(name, 0) + n
     assert all(sum(x.values()) == size for w, x in by_window.items() if w < 700)
     assert all(abs(by_window[w]["=a"] - 75) <= 1 for w in range(600))
+
+
+def test_joined_words_skip_what_lower_case_letters_do_not_need():
+    """Chunks that are joined go through no normalizer and no pattern; the ids are those of the whole tokenizer."""
+    path = P.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), ChunkEncoder(path)
+    assert encoder.plain.normalizer is None and encoder.tokenizer.normalizer is not None
+    words = ["été", "straße", "ÿß", "zu", "ªº", "don't", "x1", "a-b", "ĳ", "é"] * 50
+    assert encoder(words) == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    texts = ["ab-cd, Été.x' l'été don't 'll x're", "aб é ab­ y\xa0z", "\x1cab\x1f a1b2, _a"]
+    ids, bounds = encode_texts(path, texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
