@@ -1,19 +1,21 @@
 """Removal of byte strings that occur earlier in the corpus, by suffix arrays of shards.
 
 1. Documents are laid into shards of about `SHARD_BYTES`, in doc_id order, stored as a bucketed table.
-2. Every window of `length` bytes has one anchor, the half-length string in it of least hash. A window can occur
-   twice only if its anchor does; a count of anchors over all shards leaves a fraction of the text.
+2. Every window of `length` bytes has one anchor, the half-length string in it of least hash. Windows side by side with
+   one anchor are a piece. Equal windows have equal anchors, so each shard sends its distinct pieces, as sorted runs of
+   the anchor's short hash with a hash of 62 bits of the whole piece. A piece that an earlier shard has is repeated as
+   it is. The windows of the others can only be elsewhere if their anchor is in another piece as well: few are.
 3. In each shard the suffix array of what can repeat within it, refined to `length` bytes, and Kasai's common
    prefixes give the windows that occur earlier in the same shard, exactly.
-4. Each shard sends the others as sorted runs of short hashes, about 32 bits more than tell ranges of some million
-   keys apart: enough to leave out all but one in a thousand of the windows that no other shard has. The runs are
-   merged by binary search, which tells the windows that another, and that an earlier shard has.
+4. Each shard sends the windows that 2 and 3 leave open as sorted runs of short hashes, about 32 bits more than tell
+   ranges of some million keys apart. The runs are merged by binary search, which tells the windows that another, and
+   that an earlier shard has.
 5. Those are sent again by a hash of another kind, of 56 to 62 bits: sums of powers modulo two primes. A window counts
    as repeated if an earlier shard has it by both hashes.
-6. The shards cover the bytes of both kinds of window.
+6. The shards cover the bytes of all three kinds of window.
 
 Results are exact but for windows that both hashes mistake: of n windows sent and m sent again, n * m / 2**70 are
-expected (n and m of 1e10 and 3e9 at 30 GB: 0.03).
+expected (n and m of 1e10 and 3e9: 0.03); n different pieces are mistaken n * n / 2**63 times (n of 2e9: 0.4).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.runs import (
-    RUN, among, flagged, later_keys, mixed, prefix_set, range_bits, repeated_keys, run_batch, runs_of, sent,
+    RUN, distinct, flagged, later_keys, mixed, range_bits, run_batch, runs_of, sent, unpacked_run,
 )
 from seqspark.llm.shared import bucketed, stored
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
@@ -63,17 +65,27 @@ def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
     if n < length:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers_of(_BASE, n), out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * _powers_of(pow(_BASE, -1, 2**64), n)[:n - length + 1])
+    terms = _BYTES[data]
+    terms *= _powers_of(_BASE, n)
+    np.cumsum(terms, out=sums[1:])
+    del terms
+    out = sums[length:] - sums[:-length]
+    out *= _powers_of(pow(_BASE, -1, 2**64), n)[:n - length + 1]
+    del sums
+    return mixed(out)
 
 
-def sure_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Hash of 62 bits, evenly spread over 64, of the `length` bytes from each of `places` on."""
+def sure_hashes(data: np.ndarray, places: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Hash of 62 bits, evenly spread over 64, of the `length` bytes (for each its own, if many) from each of `places` on."""
     out = np.zeros(len(places), np.uint64)
     for p, base in _PRIMES:
         prime, n = np.uint64(p), len(data)
+        terms = (_BYTES >> np.uint64(34))[data]
+        terms *= _powers_of(base, n, p)
+        terms %= prime
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTES[data] >> np.uint64(34)) * _powers_of(base, n, p) % prime, out=sums[1:])
+        np.cumsum(terms, out=sums[1:])
+        del terms
         here = (sums[places + length] - sums[places]) % prime
         out = (out << np.uint64(31)) | here * _powers_of(pow(base, -1, p), n, p)[places] % prime
     return mixed(out)
@@ -105,9 +117,56 @@ def anchors_of(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndar
     return windows, places, hashes
 
 
-def _distinct(places: np.ndarray) -> np.ndarray:
-    """The distinct values of places that never fall."""
-    return places[np.flatnonzero(np.diff(places, prepend=-1))]
+def pieces_of(
+    data: np.ndarray, left: np.ndarray, length: int, bits: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that lie in one document, the distinct piece of each, and whether its anchor is elsewhere in the data;
+    sent bits of the anchors of the distinct pieces, in order, and the hashes of these pieces."""
+    windows, places, hashes = anchors_of(data, left, length)
+    if not len(windows):
+        return windows, windows, np.zeros(0, bool), hashes[:0], hashes[:0]
+    new = np.ones(len(places), bool)
+    np.not_equal(places[1:], places[:-1], out=new[1:])
+    firsts = np.flatnonzero(new)
+    sizes = np.diff(np.append(firsts, len(windows)))
+    anchors = hashes[places[firsts]]
+    del places, hashes, new
+    _, same, counts = np.unique(anchors, return_inverse=True, return_counts=True)
+    again = np.repeat((counts > 1)[same], sizes)
+    pieces, first, of = np.unique(sure_hashes(data, windows[firsts], sizes + length - 1), return_index=True, return_inverse=True)
+    keys = sent(anchors[first], bits, ANCHOR_LOW)
+    order = np.argsort(keys, kind="stable")
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    return windows, np.repeat(at[of], sizes), again, keys[order], pieces[order]
+
+
+def piece_runs_of(keys: np.ndarray, pieces: np.ndarray, block: int) -> Iterator[tuple[int, int, bytes]]:
+    """`runs_of` the anchors, each run with the hashes of its pieces behind it."""
+    at = 0
+    for number, block, run in runs_of(keys, block, ANCHOR_LOW):
+        n = int.from_bytes(run[:4], "little")
+        yield number, block, run + pieces[at:at + n].astype("<u8").tobytes()
+        at += n
+
+
+def _known_pieces(runs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run, smallest block first, which pieces a run before has, and whose anchors have more than one piece."""
+    sizes = np.array([int.from_bytes(run[:4], "little") for run in runs])
+    anchors = np.concatenate([unpacked_run(run, ANCHOR_LOW) for run in runs])
+    pieces = np.concatenate([np.frombuffer(run, "<u8", offset=len(run) - 8 * n) for run, n in zip(runs, sizes)])
+    order = np.argsort(pieces, kind="stable")
+    later = np.zeros(len(pieces), bool)
+    later[order[1:]] = pieces[order[1:]] == pieces[order[:-1]]
+    order = np.argsort(anchors)
+    new = np.ones(len(order), bool)
+    new[1:] = anchors[order[1:]] != anchors[order[:-1]]
+    starts, sorted_ = np.flatnonzero(new), pieces[order]
+    several = np.minimum.reduceat(sorted_, starts) != np.maximum.reduceat(sorted_, starts)
+    open_ = np.zeros(len(pieces), bool)
+    open_[order] = np.repeat(several, np.diff(np.append(starts, len(order))))
+    cuts = np.cumsum(sizes)[:-1]
+    return list(zip(np.split(later, cuts), np.split(open_, cuts)))
 
 
 def repeats_in(data: np.ndarray, left: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -233,42 +292,39 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
     """
     shards = sharded(docs, keep)
     total = shards.agg(F.sum("n_bytes")).first()[0] or 0
-    anchor_bits, bits = range_bits(total // 20, 2_000_000), range_bits(total // 4, 2_000_000)
+    anchor_bits, bits = range_bits(total // 20, 1_000_000), range_bits(total // 4, 2_000_000)
     sure_low = (SURE_BITS - 15 - bits) // 8
     low = 2 if low is None else low
     note_groups = max(1021, 1 << bits)
 
-    def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def piece_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data in _rows(batches, "block", "sizes", "data"):
             data, left, _ = _plain(sizes.values.to_numpy(), data.as_py())
-            _, places, hashes = anchors_of(data, left, length)
-            keys = hashes[_distinct(places)]
-            yield from _in_batches(runs_of(np.sort(sent(keys, anchor_bits, ANCHOR_LOW)), block.as_py(), ANCHOR_LOW))
+            *_, keys, pieces = pieces_of(data, left, length, anchor_bits)
+            yield from _in_batches(piece_runs_of(keys, pieces, block.as_py()))
 
     def window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sizes, data, found in _rows(batches, "block", "sizes", "data", "found"):
             data, left, _ = _plain(sizes.values.to_numpy(), data.as_py())
-            windows, places, hashes = anchors_of(data, left, length)
-            anchors = _distinct(places)
-            # Windows whose anchor occurs again anywhere; of these, those whose anchor occurs again in the shard.
-            again = among(sent(hashes[anchors], anchor_bits, ANCHOR_LOW), prefix_set(found.as_py()))
-            _, same, counts = np.unique(hashes[anchors], return_inverse=True, return_counts=True)
-            anchor = np.searchsorted(anchors, places)
-            windows, here = windows[again[anchor]], (counts > 1)[same][anchor[again[anchor]]]
-            if not len(windows):
+            windows, piece, again, keys, _ = pieces_of(data, left, length, anchor_bits)
+            found = found.as_py()
+            gone = flagged(keys, found, ANCHOR_LOW)[piece]
+            open_ = flagged(keys, found, ANCHOR_LOW, "shared")[piece]
+            # A window that an earlier shard has too is settled there, whatever is known of it here.
+            here = again & ~gone
+            gone[here] = repeats_in(data, left, windows[here], length)
+            firsts = windows[open_ & ~gone]
+            if not len(firsts) and not gone.any():
                 continue
-            later = np.zeros(len(windows), bool)
-            later[here] = repeats_in(data, left, windows[here], length)
-            firsts = windows[~later]
             flags = np.zeros((2, len(data)), bool)
-            flags[0, firsts] = flags[1, windows[later]] = True
+            flags[0, firsts] = flags[1, windows[gone]] = True
             number = block.as_py()
             note = (-1 - number % note_groups, number, zlib.compress(np.packbits(flags).tobytes(), 1))
-            keys = np.unique(sent(string_hashes(data, length)[firsts], bits, low))
+            keys = distinct(np.sort(sent(string_hashes(data, length)[firsts], bits, low)))
             yield from _in_batches(x for part in ([note], runs_of(keys, number, low)) for x in part)
 
     def asked_again(data, flags, notes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows that repeat in the shard; those that another has by the first hash, their second, and if it is earlier."""
+        """Windows known to repeat; of the others those that another shard has by the first hash, their second, and if it is earlier."""
         marks = np.unpackbits(np.frombuffer(zlib.decompress(notes[0]), np.uint8), count=2 * len(data)).astype(bool)
         firsts, later = np.flatnonzero(marks[:len(data)]), np.flatnonzero(marks[len(data):])
         if not flags:
@@ -281,7 +337,7 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
     def sure_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, flags, notes in _rows(batches, "block", "data", "flags", "notes"):
             _, _, keys, _ = asked_again(np.frombuffer(data.as_py(), np.uint8), flags.as_py(), notes.as_py())
-            yield from _in_batches(runs_of(np.unique(keys), block.as_py(), sure_low))
+            yield from _in_batches(runs_of(distinct(np.sort(keys)), block.as_py(), sure_low))
 
     def removed(sizes, data, flags, notes, sure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, _, sizes = _plain(sizes, data)
@@ -296,8 +352,9 @@ def removed_bytes(docs: DataFrame, keep: list[str], length: int = 100, low: int
             gone = np.cumsum(edges[:-1]) > 0
         return data, sizes, gone
 
-    twice = repeated_keys(shards.select("block", "sizes", "data").mapInArrow(anchor_runs, RUN), ANCHOR_LOW)
-    asked = shards.join(twice, "block").select("block", "sizes", "data", "found")
+    known = later_keys(shards.select("block", "sizes", "data").mapInArrow(piece_runs, RUN), ANCHOR_LOW, _known_pieces)
+    # Shards without such pieces may still have repeats of their own.
+    asked = shards.join(known, "block", "left").select("block", "sizes", "data", F.col("flags").alias("found"))
     answers = stored(later_keys(asked.mapInArrow(window_runs, RUN), low), "window-answers")
     again = shards.join(answers.where(F.size("flags") > 0), "block").select("block", "data", "flags", "notes")
     sure = later_keys(again.mapInArrow(sure_runs, RUN), sure_low).select("block", F.col("flags").alias("sure"))

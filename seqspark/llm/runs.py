@@ -9,7 +9,7 @@ no row per key is ever shuffled. Keys must be evenly spread, as hashes are.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,18 @@ RUN = "range int, block long, data binary"
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct ones of sorted values. np.unique takes ten times as long: it hashes where no inverse is asked for."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def sent(keys: np.ndarray, bits: int, low: int) -> np.ndarray:
@@ -76,13 +84,13 @@ def range_bits(total_keys: int, per_range: int = 3_000_000) -> int:
 def _repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
     """Of each run, the values that occur more than once in all runs."""
     all_ = np.sort(np.concatenate(runs))
-    again = np.unique(all_[1:][all_[1:] == all_[:-1]])
+    again = distinct(all_[1:][all_[1:] == all_[:-1]])
     if not len(again):
         return [r[:0] for r in runs]
     out = []
     for r in runs:
         at = np.minimum(np.searchsorted(again, r), len(again) - 1)
-        out.append(np.unique(r[again[at] == r]))
+        out.append(distinct(r[again[at] == r]))
     return out
 
 
@@ -93,7 +101,7 @@ def _later(runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     that the first run of each is known in the end.
     """
     all_ = np.sort(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
-    again = np.unique(all_[1:][all_[1:] == all_[:-1]])
+    again = distinct(all_[1:][all_[1:] == all_[:-1]])
     if not len(again):
         return [(np.zeros(len(r), bool),) * 2 for r in runs]
     first, found = np.zeros(len(again), np.int32), []
@@ -123,23 +131,32 @@ def repeated_keys(runs: DataFrame, low: int) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list("data").alias("found"))
 
 
-def later_keys(runs: DataFrame, low: int) -> DataFrame:
+def later_keys(
+    runs: DataFrame, low: int, find: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]] | None = None,
+) -> DataFrame:
     """(block, flags, notes): a bit for each key of a block's runs, set if a block of a smaller number has it as well.
 
     `flags` lists (range, bits, shared), in the order of the run, of the ranges that have a key in common with another
     block; `shared` has the bits of all such keys. The keys of a block are distinct. Rows of a negative range are notes
-    of a block to itself, handed through.
+    of a block to itself, handed through. `find` may tell both from the runs of a range, smallest block first, in
+    another way.
     """
+    if find is None:
+        def find(runs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+            return _later([unpacked_run(x, low) for x in runs])
+
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["range"].iloc[0])
         if number < 0:
             return pd.DataFrame({"block": group["block"], "range": -1, "bits": None, "shared": None, "note": group["data"]})
         group = group.sort_values("block")
-        found = _later([unpacked_run(x, low) for x in group["data"]])
-        rows = [(b, number, np.packbits(x).tobytes(), np.packbits(y).tobytes(), None) for b, (x, y) in zip(group["block"], found) if y.any()]
+        found = find(list(group["data"]))
+        rows = [(b, number, np.packbits(x).tobytes(), np.packbits(y).tobytes(), None) for b, (x, y) in zip(group["block"], found) if x.any() or y.any()]
         return pd.DataFrame(rows, columns=["block", "range", "bits", "shared", "note"])
 
-    answers = runs.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, shared binary, note binary")
+    # Without a number, adaptive execution joins partitions until a task holds a tenth of all runs.
+    dealt = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range")
+    answers = dealt.groupBy("range").applyInPandas(answer, "block long, range int, bits binary, shared binary, note binary")
     return answers.groupBy("block").agg(
         F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("range", "bits", "shared"))).alias("flags"),
         F.collect_list("note").alias("notes"))

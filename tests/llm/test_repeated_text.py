@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from seqspark.llm import repeated_text as R
+from seqspark.llm.runs import distinct
 from seqspark.llm.suffix_array import common_prefixes, suffix_array
 from tests.llm.conftest import ODD
 
@@ -117,3 +118,35 @@ def test_equal_hashes_of_different_windows_remove_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"file://{tmp_path}/docs")
     found = {r["doc_id"]: r["n_removed"] for r in R.repeat_digests(docs, low=0).collect()}
     assert found == dict(enumerate(map(sum, removed_plainly([x.encode() for x in texts], 100))))
+
+
+def test_only_windows_whose_anchor_has_other_pieces_are_sent():
+    """Copies are settled by whole pieces; where two shards differ around a common part, some windows stay open."""
+    rnd = random.Random(4)
+    say = lambda n: bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
+    copy, common = say(2000), say(300)
+    shards = [[copy, say(200) + common + say(200)], [copy, say(150) + common + say(250)], [say(500), copy[:700] + say(90)]]
+    runs, made = [], []
+    for block, texts in enumerate(shards):
+        data, left = np.frombuffer(b"".join(texts), np.uint8), R.bytes_left(np.array([len(x) for x in texts]))
+        windows, piece, _, keys, pieces = R.pieces_of(data, left, 100, 0)
+        assert len(set(pieces.tolist())) == len(pieces) and (keys[1:] >= keys[:-1]).all()
+        found = list(R.piece_runs_of(keys, pieces, block))
+        assert [x[:2] for x in found] == [(0, block)]
+        runs.append(found[0][2])
+        made.append((data, windows, piece))
+    seen, n_open, earlier = set(), 0, 0
+    for (data, windows, piece), (later, open_) in zip(made, R._known_pieces(runs)):
+        strings = [bytes(data[w:w + 100]) for w in windows]
+        for x, gone, asked in zip(strings, later[piece], open_[piece]):
+            assert not gone or x in seen
+            assert gone or asked or x not in seen
+            earlier += x in seen
+            n_open += asked and not gone
+        seen.update(strings)
+    assert earlier > 2500 and n_open < 500
+
+
+def test_distinct():
+    for values in ([], [3], [1, 1, 2, 5, 5, 5]):
+        assert distinct(np.array(values, np.uint64)).tolist() == sorted(set(values))
