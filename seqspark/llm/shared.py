@@ -129,8 +129,11 @@ class ChunkTable:
     def texts(self, chunked: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """For texts given as chunks: all ids one after another, and where each text's ids begin (and the last end)."""
         flat = [chunk for chunks in chunked for chunk in chunks]
-        numbers = self.numbers(flat)
+        return self.ids_of(self.numbers(flat), np.fromiter(map(len, chunked), np.int64, len(chunked)))
+
+    def ids_of(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`texts` for the numbers of all chunks, one after another, and each text's count of them."""
         lengths = self.length[numbers]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum(np.fromiter(map(len, chunked), np.int64, len(chunked)))
-        return self.ids[ranges(self.start[numbers], lengths)], upto[np.concatenate([[0], ends]).astype(np.int64)]
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return self.ids[ranges(self.start[numbers], lengths)], upto[ends]

@@ -28,7 +28,7 @@ def _encoder(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in slices(batches, "text"):
-            ids, bounds = encode_texts(tokenizer, batch.column("text").to_pylist())
+            ids, bounds = encode_texts(tokenizer, batch.column("text"))
             lengths = np.diff(bounds) + 1
             ends = np.cumsum(lengths)
             out = np.full(int(ends[-1]), end_id, np.int32)

@@ -1,16 +1,18 @@
 """Encoding, token files and packing against the libraries applied to whole texts."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from seqspark.llm import packing, pieces, token_output
+from seqspark.llm import packing, pieces, token_output, tokens
 from seqspark.llm.packing import Queue, mixture_phases
 from seqspark.llm.shared import ChunkTable
 from seqspark.llm.tokens import ChunkEncoder, encode_texts
@@ -131,3 +133,19 @@ def test_joined_words_skip_what_lower_case_letters_do_not_need():
     ids, bounds = encode_texts(path, texts)
     for text, a, b in zip(texts, bounds, bounds[1:]):
         assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cuts_part_texts_as_the_patterns_do(name):
+    encoder = ChunkEncoder(P.path(name))
+    rnd, some = random.Random(5), [*"aZé×÷ÄßÞµ .,!\n\t-'x1€Ł", "\xa0", "  ", " \n ", "ab", "ab."]
+    texts = ["".join(rnd.choice(some[:-9] if i % 2 else some) for _ in range(rnd.randrange(0, 14))) for i in range(3000)]
+    plain = [x for x in texts if max(x, default="") < "Ā" and "\xa0" not in x]
+    lower = [x.lower() if encoder.word_level else x for x in plain]
+    data = np.frombuffer("".join(lower).encode(), np.uint8)
+    starts, ends = tokens.cuts(data, np.cumsum([0, *(len(x.encode()) for x in lower)]), encoder.word_level)
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == [c for x in plain for c in tokens.chunks_of(encoder, x)]
+    ids, bounds = encode_texts(P.path(name), pa.array([None, *texts], pa.string())[1:])
+    tokenizer = Tokenizer.from_file(P.path(name))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
