@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs
-from seqspark.operators.repeats import best_arms
+from seqspark.operators.repeats import best_arms, chosen_arms
 
 CLASS = "Cruciform DNA"
 MIN_ARM, MAX_ARM, MAX_SPACER, MIN_SCORE = 10, 100, 5, 2.0
@@ -28,9 +29,16 @@ def cruciform_candidates(seqs: DataFrame) -> DataFrame:
     return best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, True, _rate, one_a_start=True)
 
 
-def cruciform(seqs: DataFrame) -> DataFrame:
+def find_inverted(part: Part) -> dict:
+    return chosen_arms(part.bases, part.starts, SEED, MAX_SPACER, MAX_ARM, True, _rate)
+
+
+FINDERS = {"inverted": find_inverted}
+
+
+def cruciform(seqs: DataFrame | Located) -> DataFrame:
     """The best candidates without overlaps, chosen in the task that holds their sequence."""
-    chosen = best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, True, _rate, one_a_start=True, disjoint=True)
+    chosen = located(seqs, "inverted", find_inverted).withColumnRenamed("size", "arm")
     return as_motifs(
         chosen, CLASS, "Cruciform DNA [IR]/HairPin [IR]", F.col("score"), "PerfectInvertedRepeat",
         detail=F.concat(F.lit("Arms="), F.col("arm")), spacer=F.col("spacer"),

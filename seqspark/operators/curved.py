@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs, union
 
 CLASS = "Curved DNA"
@@ -17,8 +19,7 @@ MIN_COUNT, MIN_SCORE = 3, 4.0
 
 # Two tracts of four or more with sixteen tract-free bases between them have centres more than
 # MAX_SPACING apart, so no chain of tracts reaches across such a stretch.
-TRACT = "(?:A{4,}+|T{4,}+)"
-TRACT_GROUP = TRACT + "(?:(?:(?!AAAA|TTTT)[ACGT]){0,15}+" + TRACT + ")*+"
+TRACT_GAP = 15
 
 CHAIN = "struct<centre:int,n:int,bases:int,phase:double,last:int,closed:boolean>"
 
@@ -28,9 +29,24 @@ def poly_at_tracts(seqs: DataFrame, min_len: int = LOCAL_TRACT, keep=("seq_id",)
     return T.scan(seqs, "A{%d,}|T{%d,}" % (min_len, min_len), cut="A(?=[^A])|T(?=[^T])|[CG]", keep=keep)
 
 
-def _tract_groups(seqs: DataFrame, within: str | None = None) -> DataFrame:
+def find_tracts(part: Part) -> dict:
+    """Stretches of neighbouring tracts that hold enough of them for an array, or a long one."""
+    at, size = part.runs_of("AT", MIN_TRACT)
+    group = part.grouped(at, at + size, TRACT_GAP)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    if not len(first):
+        return part.rows(np.zeros((0, 2), np.int64))
+    last = np.append(first[1:], len(at)) - 1
+    some = (last - first + 1 >= MIN_COUNT) | (np.maximum.reduceat(size, first) >= LOCAL_TRACT)
+    return part.rows(np.stack([at[first], (at + size)[last]], axis=1)[some])
+
+
+FINDERS = {"tracts": find_tracts}
+
+
+def _tract_groups(seqs: DataFrame | Located, within: str | None = None) -> DataFrame:
     """One row per stretch of neighbouring tracts (that ``within`` matches in), with tracts as array<struct<s,e,c>>."""
-    found = T.scan(seqs, TRACT_GROUP).select("seq_id", (F.col("start_pos") - 1).alias("offset"), F.col("motif").alias("text"))
+    found = located(seqs, "tracts", find_tracts).select("seq_id", (F.col("start_pos") - 1).alias("offset"), F.col("motif").alias("text"))
     if within is not None:
         found = found.where(F.col("text").rlike(within))
     tracts = F.transform(

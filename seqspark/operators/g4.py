@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs, union
 from seqspark.operators.triplex import best_first
 
@@ -37,13 +38,45 @@ def priority(subtype) -> Column:
     )
 
 
-def four_run_candidates(seqs: DataFrame) -> DataFrame:
+def _g3(pattern: str) -> str:
+    """The same pattern with runs that begin with letters, which Python looks for faster."""
+    return pattern.replace("G{3,}", "GGGG*")
+
+
+def find_four_runs(part: Part) -> dict:
+    """Hits with enough G for the mean: 1.2 / 1.1 at least (the loop rule raises it by 1.1 at most) and 4 for each G."""
+    spans, g = part.spans(FOUR_RUNS), part.upto("G")
+    return part.rows(spans[(g[spans[:, 1]] - g[spans[:, 0]]) * 4.4 >= (spans[:, 1] - spans[:, 0]) * MIN_MEAN])
+
+
+def find_bipartite(part: Part) -> dict:
+    return part.rows(part.spans(_g3(BIPARTITE)))
+
+
+def find_multimeric(part: Part) -> dict:
+    """Tight G4 hits, joined when at most 20 bases apart."""
+    return part.rows(part.merged(part.spans(_g3(TANDEM)), 20))
+
+
+def find_triplex(part: Part) -> dict:
+    return part.rows(part.spans(_g3(TRIPLEX)))
+
+
+FINDERS = {
+    "g4_four_run": find_four_runs, "g4_bipartite": find_bipartite, "g4_multimeric": find_multimeric,
+    "g4_triplex": find_triplex,
+}
+
+
+def _hits(source, kind: str) -> DataFrame:
+    return located(source, kind, FINDERS[kind]).select("seq_id", "start_pos", "end_pos", "motif")
+
+
+def four_run_candidates(seqs: DataFrame | Located) -> DataFrame:
     """Four G runs with loops of 1 to 15; adds mean (after the loop rule) and subtype."""
-    rows = T.scan(seqs, FOUR_RUNS, cut=FOUR_RUNS_CUT)
+    rows = _hits(seqs, "g4_four_run")
     runs = F.transform(F.slice(S.matches("motif", "G+"), 1, 4), lambda r: F.length(r))
     loops = F.transform(F.slice(S.matches("motif", "[ACT]+"), 1, 3), lambda r: F.length(r))
-    # a mean of 1.2 / 1.1 at least (the loop rule raises it by 1.1 at most) needs many G
-    rows = rows.where(S.count_bases("motif", "G") * 4.4 >= F.length("motif") * MIN_MEAN)
     rows = T.computed(rows.where(S.n_matches("motif", "G+") >= 4), mean=S.g4hunter_score("motif"), runs=runs, loops=loops)
     factor = (
         F.when(F.exists("loops", lambda l: l == 1), 0.75)
@@ -75,17 +108,17 @@ def _mean_filtered(rows: DataFrame, least: float) -> DataFrame:
 
 
 def bipartite_candidates(seqs: DataFrame) -> DataFrame:
-    return _mean_filtered(T.scan(seqs, BIPARTITE, cut=G3_CUT), MIN_MEAN)
+    return _mean_filtered(_hits(seqs, "g4_bipartite"), MIN_MEAN)
 
 
 def multimeric_candidates(seqs: DataFrame) -> DataFrame:
     """Tight G4 hits, joined when at most 20 bases apart."""
-    return _mean_filtered(T.scan(seqs, TANDEM, cut=G3_CUT, merge_gap=20), MIN_MEAN)
+    return _mean_filtered(_hits(seqs, "g4_multimeric"), MIN_MEAN)
 
 
 def triplex_candidates(seqs: DataFrame) -> DataFrame:
     """Three G3 runs; the first three G runs of the hit are long and loops are 1 to 15."""
-    rows = T.scan(seqs, TRIPLEX, cut=G3_CUT)
+    rows = _hits(seqs, "g4_triplex")
     runs = F.slice(S.matches("motif", "G+"), 1, 3)
     loops = F.slice(S.matches("motif", "[ACT]+"), 1, 2)
     rows = rows.where(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs, union
 from seqspark.operators.triplex import best_first
 
@@ -19,9 +23,48 @@ SEED_CUT = "[AGT]{13}"
 AC_PATTERNS = ["C{3,}[AC]{6,}C{3,}", "(?:AC|CA){6,}", "A{3,}[AC]{6,}C{3,}"]
 
 
-def imotif_candidates(seqs: DataFrame) -> DataFrame:
+#: What the first four runs of a hit must be, where it has no unknown base.
+FIRST_RUNS = re.compile("(?:C{3,}+[AGT]{1,12}+){3}C{3}")
+
+
+def find_seeds(part: Part) -> dict:
+    """Hits of the seed whose first four runs are long enough, loops short enough."""
+    spans = part.spans(SEED)
+    odd = part.unknown[spans[:, 1]] > part.unknown[spans[:, 0]]
+    good = [x or FIRST_RUNS.match(part.text, a, b) is not None for x, (a, b) in zip(odd.tolist(), spans.tolist())]
+    return part.rows(spans[np.array(good, bool)])
+
+
+def find_ac_islands(part: Part) -> dict:
+    """Stretches of A and C of twelve or more that hold CCC."""
+    ac = np.isin(part.letters, np.frombuffer(b"AC", np.uint8))
+    edge = np.flatnonzero(np.diff(ac, prepend=False))  # the text ends with a line break
+    spans = edge.reshape(-1, 2)
+    spans = spans[spans[:, 1] - spans[:, 0] >= 12]
+    return part.rows(spans[np.array(["CCC" in part.text[a:b] for a, b in spans.tolist()], bool)])
+
+
+def find_ac_pairs(part: Part) -> dict:
+    """Hits of the second pattern that hold CCC, as all must."""
+    islands = find_ac_islands(part)
+    start = part.places[islands["row"]]
+    # possessive, so that no turn of the group is taken back
+    pairs, out = re.compile(AC_PATTERNS[1] + "+"), []
+    for a, b in zip((start + islands["start"]).tolist(), (start + islands["end"]).tolist()):
+        out += [m.span() for m in pairs.finditer(part.text, a, b) if "CCC" in m[0]]
+    return part.rows(np.array(out, np.int64).reshape(-1, 2))
+
+
+FINDERS = {"imotif_seeds": find_seeds, "ac_islands": find_ac_islands, "ac_pairs": find_ac_pairs}
+
+
+def _hits(source, kind: str) -> DataFrame:
+    return located(source, kind, FINDERS[kind]).select("seq_id", "start_pos", "end_pos", "motif")
+
+
+def imotif_candidates(seqs: DataFrame | Located) -> DataFrame:
     """Four C runs: the seed cut down to its first four runs, with loop and score rules."""
-    rows = T.scan(seqs, SEED, cut=SEED_CUT)
+    rows = _hits(seqs, "imotif_seeds")
     rows = T.computed(rows.where(F.col("motif").contains("CCC")), parts=S.matches("motif", "C+|[AGT]+"))
     rows = T.computed(rows.where(F.size("parts") >= 7), first=F.slice("parts", 1, 7)).drop("parts")
     rows = rows.withColumnRenamed("first", "parts")
@@ -72,9 +115,8 @@ def _between(islands: DataFrame, opening: str) -> DataFrame:
 
 def ac_candidates(seqs: DataFrame) -> DataFrame:
     """Hits of the three patterns that reach 15 bases, have CCC and score 10 or more."""
-    # possessive, as Java recurses once for each turn of a group that may go back
-    islands = T.scan(seqs, "[AC]{12,}", cut="[GT]")
-    rows = [_between(islands, "C"), T.scan(seqs, AC_PATTERNS[1] + "+", cut="[GT]"), _between(islands, "A")]
+    islands = _hits(seqs, "ac_islands")
+    rows = [_between(islands, "C"), _hits(seqs, "ac_pairs"), _between(islands, "A")]
     out = None
     for number, found in enumerate(rows, start=1):
         found = found.withColumn("pattern_no", F.lit(number))

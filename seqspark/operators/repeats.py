@@ -7,7 +7,9 @@ packed k-mers along each diagonal and returns only what is chosen of the runs th
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,11 +23,13 @@ from seqspark.operators.intervals import Disjoint, take_disjoint
 Rate = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 RateDirect = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Bases whose k-mers are compared at a time, so that they stay in the cache.
-SLAB = 1 << 16
+SLAB = 1 << 18
 #: Bases worked out at a time; a longer sequence is a part of its own.
 PART = 1 << 18
 #: Arms or starts worked out at a time.
 ARMS = 1 << 20
+#: Equal blocks looked at more closely at a time.
+HITS = 1 << 13
 #: Rows of a batch that leaves a task.
 ROWS = 1 << 16
 CODE = np.zeros(256, dtype=np.uint8)
@@ -94,21 +98,42 @@ def _runs(bases, starts, k: int, nearest: int, farthest: int):
     """
     ends = starts[1:]
     heads, sizes, dist = [], [], []
+    width = min(8, (k + 1) // 2)
+    back = np.arange(1 - width, 1)
     for a, b in _slabs(len(bases)):
         codes = _packed(bases[a:b + farthest + k], k)
         place = np.arange(a, b)
         room = ends[np.searchsorted(ends, place, side="right")] - place
+        # any k bases hold one block of `width` that begins within the first `width` of them at a multiple of it, so
+        # equal blocks at these places show where equal k-mers may be
+        blocks = _packed(bases[a:b + farthest + k + width], width).astype(np.uint16)
+        phases = [np.ascontiguousarray(blocks[r::width]) for r in range(width)]
+        mine = phases[0][:(b - a + 2 * width - 2) // width]
+        hits, n_hits = [], 0
         for d in range(nearest, farthest + 1):
-            m = min(b - a, len(codes) - d)
+            theirs = phases[d % width][d // width:]
+            m = min(len(mine), len(theirs))
             if m > 0:
-                found = np.flatnonzero(codes[:m] == codes[d:d + m])
-                found = found[room[found] >= d + k]
+                found = np.flatnonzero(mine[:m] == theirs[:m])
                 if len(found):
-                    cut = np.flatnonzero(np.diff(found) != 1) + 1
-                    head = found[np.append(0, cut)]
-                    heads.append(head + a)
-                    sizes.append(found[np.append(cut - 1, len(found) - 1)] - head + 1)
-                    dist.append(np.full(len(head), d))
+                    hits.append((d, found))
+                    n_hits += len(found)
+            if hits and (n_hits >= HITS or d == farthest):
+                far = np.repeat([d for d, _ in hits], [len(f) * width for _, f in hits])
+                at = ((np.concatenate([f for _, f in hits]) * width)[:, None] + back).ravel()
+                some = (at >= 0) & (at < b - a) & (at + far < len(codes))
+                at, far = at[some], far[some]
+                some = codes[at] == codes[at + far]
+                at, far = at[some], far[some]
+                some = room[at] >= far + k
+                at, far = at[some], far[some]
+                if len(at):
+                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(far) != 0)) + 1
+                    head = np.append(0, cut)
+                    heads.append(at[head] + a)
+                    sizes.append(at[np.append(cut - 1, len(at) - 1)] - at[head] + 1)
+                    dist.append(far[head])
+                hits, n_hits = [], 0
     if not heads:
         return (np.zeros(0, np.int64),) * 4
     at, size, dist = np.concatenate(heads), np.concatenate(sizes), np.concatenate(dist)
@@ -218,46 +243,21 @@ def best_direct(
         repeats, f"seq_id {kind}, start_pos int, unit int, spacer int, length int")
 
 
-def chosen_repeats(
-    seqs: DataFrame, k: int, units: tuple[int, int], spaced: int, spacers: int, score: RateDirect, least: float,
-) -> DataFrame:
-    """seq_id, start_pos, end_pos, score, unit, copies, spacer, kind, motif of repeats that share no base, best score first.
+def chosen_repeats(bases, starts, tandem: np.ndarray, k: int, units: tuple[int, int], spaced: int, spacers: int, score: RateDirect, least: float) -> dict:
+    """Repeats that share no base, best score first, as columns of `located.locate`; unit is ``size``, and a tandem repeat
+    has no spacer.
 
-    Kind 0 is a direct repeat as in `best_direct` with a score of at least `least`, kind 1 a row of the array `short`
-    (start_pos, end_pos, unit, copies, score). Ties: kind, then start. The text is cut in the task, so that neither a
-    candidate nor a sequence is shuffled.
+    They are direct repeats as in `best_direct` with a score of at least `least`, and rows of `tandem` (row, start, end,
+    unit, copies, score). Ties: direct repeats, then the start.
     """
-    names = ["seq_id", "start_pos", "end_pos", "score", "unit", "copies", "spacer", "kind", "motif"]
-    rate = lambda *repeat: score(*repeat) >= least
-
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            texts = part.column("sequence").to_pandas()
-            bases, starts = _concat(texts)
-            row, at, unit, spacer, length = _best_direct(bases, starts, k, units, spaced, spacers, rate)
-            copies = np.where(spacer == 0, length // unit, 2)
-            zero = np.zeros(len(row))
-            direct = np.stack([row, at, length, unit, copies, spacer, zero, score(unit, copies, length, spacer)])
-            short = part.column("short")
-            found = short.flatten()
-            field = lambda name: found.field(name).to_numpy(zero_copy_only=False).astype(float)
-            row, at = pc.list_parent_indices(short).to_numpy(zero_copy_only=False), field("start_pos") - 1
-            length, zero = field("end_pos") - at, np.zeros(len(row))
-            tandem = np.stack([row, at, length, field("unit"), field("copies"), zero, zero + 1, field("score")])
-            rows = np.concatenate([direct, tandem], axis=1)
-            rows = rows[:, np.lexsort((rows[1], rows[6], -rows[7]))]
-            row, at, length = rows[:3].astype(np.int64)
-            taken = take_disjoint(starts[row] + at, starts[row] + at + length - 1)
-            rows, row, at, length = rows[:, taken], row[taken], at[taken], length[taken]
-            ints = [pa.array(x.astype(np.int32)) for x in (at + 1, at + length, *rows[3:7])]
-            motifs = pa.array([texts[r][a:a + n] for r, a, n in zip(row.tolist(), at.tolist(), length.tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("seq_id").take(pa.array(row)), *ints[:2], pa.array(rows[7]), *ints[2:], motifs], names=names)
-
-    kind = seqs.schema["seq_id"].dataType.simpleString()
-    return seqs.where(F.length("sequence") > 0).mapInArrow(
-        repeats,
-        f"seq_id {kind}, start_pos int, end_pos int, score double, unit int, copies int, spacer int, kind int, motif string")
+    row, at, unit, spacer, length = _best_direct(bases, starts, k, units, spaced, spacers, lambda *repeat: score(*repeat) >= least)
+    copies = np.where(spacer == 0, length // unit, 2)
+    direct = np.stack([row, at, at + length, unit, copies, score(unit, copies, length, spacer), spacer])
+    rows = np.concatenate([direct, np.concatenate([tandem, np.full((1, tandem.shape[1]), -1.0)])], axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[6] < 0, -rows[5]))]
+    row, at, end = rows[:3].astype(np.int64)
+    rows = rows[:, take_disjoint(starts[row] + at, starts[row] + end - 1)]
+    return dict(zip(("row", "start", "end", "size", "copies", "score", "spacer"), rows))
 
 
 def _folds(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool):
@@ -343,34 +343,74 @@ def _disjoint(rows: np.ndarray) -> np.ndarray:
     return rows[:, taken]
 
 
-def best_arms(
-    seqs: DataFrame, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool,
-    disjoint: bool = False,
-) -> DataFrame:
+def chosen_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate) -> dict:
+    """The best of `_best_arms`, one a start, without overlaps as columns of `located.locate`; the arm is ``size``."""
+    row, start, length, arm, spacer, score = _disjoint(_best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, True))
+    return {"row": row, "start": start, "end": start + length, "size": arm, "spacer": spacer, "score": score}
+
+
+def chosen_folds(bases, starts, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate) -> dict:
+    """The same choice from the best arm for each start and length, where scores rise with the arm around one centre.
+
+    A centre then needs one candidate at a time: its longest arm that counts, and where a better one is in the way, the
+    longest that reaches no further than to it.
+    """
+    row, at, spacer, reach = _folds(bases, starts, k, max_spacer, max_arm, complement)
+    pure = np.concatenate([[0], np.cumsum((bases == CODE[ord("A")]) | (bases == CODE[ord("G")]))])
+
+    def rated(at, spacer, arm):
+        rich = pure[at + 1] - pure[at + 1 - arm]
+        return rate(arm, spacer, np.maximum(rich, arm - rich))
+
+    arm, score, live = reach.copy(), np.zeros(len(at)), np.arange(len(at))
+    while len(live):
+        score[live], good = rated(at[live], spacer[live], arm[live])
+        live = live[~good]
+        arm[live] -= 1
+        live = live[arm[live] >= k]
+    some = np.flatnonzero(arm >= k)
+    key = lambda i, arm, score: (-np.round(score, 6), -2 * arm - spacer[i], at[i] - arm + 1, arm, score, i)
+    waiting = list(zip(*(x.tolist() for x in key(some, arm[some], score[some]))))
+    heapify(waiting)
+    chosen, taken, inner, gap = [], [], at.tolist(), spacer.tolist()
+    while waiting:
+        best = heappop(waiting)
+        _, less, start, _, _, i = best
+        end, place, most = start - less - 1, bisect_left(chosen, (start, start)), None
+        for s, e in chosen[place - 1 if place else 0:place + 1]:
+            if end > s and start < e:
+                left = max(s - inner[i] - gap[i], inner[i] + 1 - e)
+                most = left if most is None or left < most else most
+        if most is None:
+            insort(chosen, (start, end))
+            taken.append(best)
+        elif most >= k:
+            arms = np.arange(k, most + 1)
+            scores, good = rated(inner[i], gap[i], arms)
+            if good.any():
+                j = np.flatnonzero(good)[-1]
+                heappush(waiting, tuple(x.item() for x in key(i, arms[j], scores[j])[:5]) + (i,))
+    found = np.array([(row[i], start - starts[row[i]], size, spacer[i], score) for _, _, start, size, score, i in taken]).reshape(-1, 5).T
+    row, start, arm, spacer, score = found
+    return {"row": row, "start": start, "end": start + 2 * arm + spacer, "size": arm, "spacer": spacer, "score": score}
+
+
+def best_arms(seqs: DataFrame, k: int, max_spacer: int, max_arm: int, complement: bool, rate: Rate, one_a_start: bool) -> DataFrame:
     """seq_id, start_pos, end_pos, arm, spacer, length, score of inverted (or mirror) repeats, chosen as in `_best_arms`.
 
     `rate` gives scores, and which arms count, from arrays of arm, spacer and the number of purines or pyrimidines in
-    an arm, whichever is more. Only chosen rows leave the task; the sequence stays behind. With `disjoint` only the
-    best ones without overlaps are left, and each has its text as motif, which is no longer than two arms and a spacer.
+    an arm, whichever is more. Only chosen rows leave the task; the sequence stays behind.
     """
-    names = ["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"] + ["motif"] * disjoint
+    names = ["seq_id", "start_pos", "end_pos", "arm", "spacer", "length", "score"]
 
     def arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            texts = batch.column("sequence").to_pandas()
-            bases, starts = _concat(texts)
-            rows = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
-            if disjoint:
-                rows = _disjoint(rows)
-            row, start, length, arm, spacer, score = rows
+            bases, starts = _concat(batch.column("sequence").to_pandas())
+            row, start, length, arm, spacer, score = _best_arms(bases, starts, k, max_spacer, max_arm, complement, rate, one_a_start)
             ids = batch.column("seq_id").take(pa.array(row.astype(np.int64)))
             ints = [x.astype(np.int32) for x in (start + 1, start + length, arm, spacer, length)]
-            columns = [ids, *map(pa.array, ints), pa.array(score)]
-            if disjoint:
-                columns.append(pa.array([texts[r][a:a + n] for r, a, n in rows[:3].T.astype(np.int64).tolist()], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, ints), pa.array(score)], names=names)
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
     schema = f"seq_id {kind}, start_pos int, end_pos int, arm int, spacer int, length int, score double"
-    return seqs.where(F.length("sequence") >= 2 * k).select("seq_id", "sequence").mapInArrow(
-        arms, schema + ", motif string" * disjoint)
+    return seqs.where(F.length("sequence") >= 2 * k).select("seq_id", "sequence").mapInArrow(arms, schema)

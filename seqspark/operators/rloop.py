@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs
 
 CLASS = "R-loop"
@@ -14,25 +18,32 @@ SEARCH, STEP, MIN_WINDOW, MIN_TOTAL = 2000, 25, 50, 100
 
 # model -> (shortest G run, G runs needed)
 MODELS = {"m1": (3, 3), "m2": (4, 2)}
+MAX_GAP = 10
 
 
-def initiating_zones(seqs: DataFrame, model: str) -> DataFrame:
-    """Clusters of G runs at most ten bases apart that hold enough runs.
+def find_zones(part: Part, model: str) -> dict:
+    """Clusters of G runs at most ten bases apart that hold enough runs, with the text behind.
 
     A run of n bases can serve as floor((n + 1) / (k + 1)) runs of k with one base between.
     """
     k, needed = MODELS[model]
-    run = "G{%d,}+" % k
-    no_run = "(?!G{%d})[ACGT]" % k
-    rows = T.scan(
-        seqs, "%s(?:(?:%s){1,10}+%s)*+" % (run, no_run, run), cut="(?:%s){14}" % no_run, keep=("seq_id", "sequence")
-    )
-    runs = F.aggregate(
-        S.matches("motif", "G{%d,}" % k),
-        F.lit(0).cast("long"),
-        lambda acc, r: acc + F.floor((F.length(r) + 1) / (k + 1)),
-    )
-    return rows.where(runs >= needed).withColumn("model", F.lit(model)).withColumnRenamed("motif", "riz")
+    at, size = part.runs_of("G", k)
+    group = part.grouped(at, at + size, MAX_GAP)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    if not len(first):
+        return part.rows(np.zeros((0, 2), np.int64))
+    last = np.append(first[1:], len(at)) - 1
+    some = np.add.reduceat((size + 1) // (k + 1), first) >= needed
+    return part.rows(np.stack([at[first], (at + size)[last]], axis=1)[some], tail=SEARCH)
+
+
+FINDERS = {f"zones_{model}": partial(find_zones, model=model) for model in MODELS}
+
+
+def initiating_zones(seqs: DataFrame | Located, model: str) -> DataFrame:
+    """The clusters of `find_zones` as riz, and rest, the text behind them."""
+    rows = located(seqs, f"zones_{model}", FINDERS[f"zones_{model}"])
+    return rows.select("seq_id", "start_pos", "end_pos", F.col("motif").alias("riz"), "rest", F.lit(model).alias("model"))
 
 
 def with_extending_zone(zones: DataFrame) -> DataFrame:
@@ -42,8 +53,7 @@ def with_extending_zone(zones: DataFrame) -> DataFrame:
     Among windows of at least 50 % GC the one with the most GC bases wins, the earliest and then
     shortest on a tie.
     """
-    rows = zones.withColumn("rest", F.expr(f"substring(sequence, end_pos + 1, {SEARCH})"))
-    rows = rows.where(F.length("rest") >= MIN_WINDOW).withColumn(
+    rows = zones.where(F.length("rest") >= MIN_WINDOW).withColumn(
         "blocks", F.floor(F.length("rest") / STEP).cast("int")
     )
     upto = F.transform(
@@ -72,12 +82,11 @@ def with_extending_zone(zones: DataFrame) -> DataFrame:
     ).drop("blocks", "w")
 
 
-def rloops(seqs: DataFrame, models=("m1", "m2")) -> DataFrame:
+def rloops(seqs: DataFrame | Located, models=("m1", "m2")) -> DataFrame:
     """Both models are reported, also where they overlap."""
     out = None
-    long_enough = seqs.where(F.length("sequence") >= MIN_TOTAL).select("seq_id", "sequence")
     for model in models:
-        rows = with_extending_zone(initiating_zones(long_enough, model))
+        rows = with_extending_zone(initiating_zones(seqs, model))
         rez = F.expr("substring(rest, rez_from + 1, rez_to - rez_from)")
         rows = rows.withColumn("rez", rez).where(F.length("riz") + F.length("rez") >= MIN_TOTAL)
         rows = rows.withColumn("score", S.rloop_score("riz", "rez"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
-from seqspark.operators import scan as T
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_map, as_motifs
 from seqspark.operators.repeats import best_direct, chosen_repeats
 
@@ -62,44 +65,72 @@ TANDEM = "|".join(
 MIN_COPIES = {1: 6, 2: 5, 3: 4, 4: 3, 5: 3, 6: 3}
 
 
-def _rated(at, motif, window) -> Column:
-    """start_pos, end_pos, unit, copies, score of a tandem repeat; score is null where nothing counts."""
-    n, unit = F.length(motif), None
-    for u, copies in MIN_COPIES.items():
-        periodic = (F.substring(motif, F.lit(u + 1), n) == F.substring(motif, F.lit(1), n - u)) & (F.floor(n / u) >= copies)
-        if u == 3:
-            sticky = F.substring(motif, 1, 3).isin("GAA", "TTC", "AAG", "AGG", "GGA", "TCT", "CTC", "CTT")
-            periodic = periodic & ~(sticky & window.rlike("GAAGAA|TTCTTC"))
-        unit = F.when(periodic, u) if unit is None else unit.when(periodic, u)
+_TANDEM = re.compile(TANDEM)
+#: Bases that equal the one a unit further on, in the shortest hit of each alternative.
+EQUAL = {1: 14, 2: 13, 3: 12, 4: 11, 5: 10, 6: 12}
+WEIGHT = {1: 4.0, 2: 3.0, 3: 2.5, 4: 2.0, 5: 1.5, 6: 1.0}
+STICKY = {"GAA", "TTC", "AAG", "AGG", "GGA", "TCT", "CTC", "CTT"}
 
-    def row(u):
-        copies = F.floor(n / u).cast("int")
-        return F.struct(
-            at.alias("start_pos"), (at + n - 1).alias("end_pos"), u.alias("unit"), copies.alias("copies"),
-            S.str_score(u, copies, n).alias("score"),
-        )
 
-    return S.let(unit, row)
+def _unit(motif: str, window: str) -> int | None:
+    """The shortest unit that counts, none where the repeat is left to sticky DNA or has too few copies."""
+    n = len(motif)
+    for u, copies in MIN_COPIES.items():
+        if n // u >= copies and motif[u:] == motif[:-u]:
+            if u != 3 or motif[:3] not in STICKY or not ("GAAGAA" in window or "TTCTTC" in window):
+                return u
+    return None
+
+
+def _tandem_spans(part: Part) -> list[tuple[int, int]]:
+    """The hits of TANDEM from left to right; only places with enough bases that recur are tried."""
+    letters, n = part.letters, len(part.letters)
+    tried = np.zeros(n, bool)
+    for u, least in EQUAL.items():
+        equal, have = letters[:-u] == letters[u:], 1
+        while have < least:
+            step = min(have, least - have)
+            equal, have = equal[:-step] & equal[step:], have + step
+        tried[:len(equal)] |= equal
+    places, text, i, out = np.flatnonzero(tried).tolist(), part.text, 0, []
+    while i < len(places):
+        hit = _TANDEM.match(text, places[i])
+        if hit:
+            out.append(hit.span())
+            i = bisect_left(places, hit.end())
+        else:
+            i += 1
+    return out
+
+
+def find_tandem(part: Part) -> dict:
+    """Tandem repeats of 1 to 6 bases that count; the scan goes on behind every repeat found."""
+    spans, unit, copies, score = [], [], [], []
+    for a, b in _tandem_spans(part):
+        u, n = _unit(part.text[a:b], part.text[a:a + 50].split("\n", 1)[0]), b - a
+        if u is not None:
+            rated = WEIGHT[u] + min(n // u * 1.5, 12.0) + (3.0 if n >= 100 else 2.0 if n >= 50 else 1.0 if n >= 30 else 0.0)
+            if rated >= MIN_SCORE:
+                spans.append((a, b))
+                unit.append(u)
+                copies.append(n // u)
+                score.append(rated)
+    return part.rows(np.array(spans, np.int64).reshape(-1, 2), size=unit, copies=copies, score=score)
+
+
+def find_slipped(part: Part) -> dict:
+    """Direct and tandem repeats without overlaps. Direct repeats may be a row for every base, and only chosen ones leave."""
+    found = find_tandem(part)
+    tandem = np.stack([np.asarray(found[c], float) for c in ("row", "start", "end", "size", "copies", "score")])
+    return chosen_repeats(part.bases, part.starts, tandem, SEED, (MIN_UNIT, MAX_UNIT), SPACED_UNIT, MAX_SPACER, _score, MIN_SCORE)
+
+
+FINDERS = {"slipped": find_slipped}
 
 
 def str_candidates(seqs: DataFrame) -> DataFrame:
-    """Tandem repeats of 1 to 6 bases; the scan goes on behind every repeat found."""
-    rows = T.scan(seqs, TANDEM, keep=("seq_id", "sequence"))
-    window = F.substring(F.col("sequence"), F.col("start_pos"), F.lit(50))
-    rows = T.computed(rows, rated=_rated(F.col("start_pos"), F.col("motif"), window))
-    return rows.where(F.col("rated.score") >= MIN_SCORE).select(
-        "seq_id", "sequence", "start_pos", "end_pos", "motif", "rated.unit", "rated.copies", "rated.score")
-
-
-def _with_short(seqs: DataFrame) -> DataFrame:
-    """seq_id, sequence and ``short``, the tandem repeats of `str_candidates` as an array."""
-    seq = F.col("sequence")
-    rated = F.transform(
-        T.hits(seq, TANDEM),
-        lambda h: _rated(h["at"] + 1, h["text"], F.substring(seq, h["at"] + 1, F.lit(50))),
-    )
-    rows = T.computed(seqs.select("seq_id", "sequence"), rated=rated)
-    return rows.select("seq_id", "sequence", F.filter("rated", lambda r: r["score"] >= MIN_SCORE).alias("short"))
+    """Tandem repeats of 1 to 6 bases."""
+    return located(seqs, "tandem", find_tandem).withColumnRenamed("size", "unit")
 
 
 def str_repeats(seqs: DataFrame) -> DataFrame:
@@ -122,14 +153,14 @@ def _str_attrs() -> dict[str, Column]:
     return {"Unit": _unit_text(), "Copies": F.col("copies"), "GC_Fraction": F.round(S.fraction(_unit_text(), "GC"), 3)}
 
 
-def slipped_dna(seqs: DataFrame) -> DataFrame:
+def slipped_dna(seqs: DataFrame | Located) -> DataFrame:
     """Direct repeats and STRs, best score first (ties: direct repeats, then position).
 
     STRs alone never overlap, so running the selection without any direct repeat changes nothing. Both kinds meet in
     the task that holds the sequence: direct repeats may be a row for every base, and only chosen ones leave it.
     """
-    rows = chosen_repeats(_with_short(seqs), SEED, (MIN_UNIT, MAX_UNIT), SPACED_UNIT, MAX_SPACER, _score, MIN_SCORE)
-    direct = F.col("kind") == 0
+    rows = located(seqs, "slipped", find_slipped).withColumnRenamed("size", "unit")
+    direct = F.col("spacer") >= 0
     pick = lambda a, b: F.when(direct, a).otherwise(b)
     return as_motifs(
         rows, CLASS, pick(F.lit("Slipped DNA [Direct Repeat]"), F.lit(STR)), F.col("score"),

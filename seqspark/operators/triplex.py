@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
-from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import best_arms
+from seqspark.operators.repeats import best_arms, chosen_folds
 
 CLASS = "Triplex"
 MIN_ARM, MAX_ARM, MAX_SPACER = 10, 100, 12
@@ -38,10 +39,21 @@ def hdna_candidates(seqs: DataFrame) -> DataFrame:
     return best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, False, _rate, one_a_start=False).withColumn("score", F.round("score", 6))
 
 
-def hdna(seqs: DataFrame) -> DataFrame:
+def find_mirrors(part: Part) -> dict:
+    return chosen_folds(part.bases, part.starts, SEED, MAX_SPACER, MAX_ARM, False, _rate)
+
+
+def find_sticky(part: Part) -> dict:
+    """Six or more copies of GAA or TTC."""
+    return part.rows(np.concatenate([part.arrays(unit, 6) for unit in ("GAA", "TTC")]))
+
+
+FINDERS = {"mirrors": find_mirrors, "sticky": find_sticky}
+
+
+def hdna(seqs: DataFrame | Located) -> DataFrame:
     """The best candidates without overlaps, chosen in the task that holds their sequence."""
-    chosen = best_arms(seqs, SEED, MAX_SPACER, MAX_ARM, False, _rate, one_a_start=False, disjoint=True).withColumn(
-        "score", F.round("score", 6))
+    chosen = located(seqs, "mirrors", find_mirrors).withColumnRenamed("size", "arm").withColumn("score", F.round("score", 6))
     left = F.expr("substring(motif, 1, arm)")
     purity = F.greatest(S.purine_fraction(left), S.pyrimidine_fraction(left))
     return as_motifs(
@@ -51,9 +63,9 @@ def hdna(seqs: DataFrame) -> DataFrame:
     )
 
 
-def sticky_dna(seqs: DataFrame) -> DataFrame:
+def sticky_dna(seqs: DataFrame | Located) -> DataFrame:
     """Six or more GAA or TTC copies; pathogenic from 59 copies."""
-    rows = T.scan(seqs, "(?:GAA){6,}|(?:TTC){6,}", cut="[CT](?=[AG])")
+    rows = located(seqs, "sticky", find_sticky)
     copies = (F.length("motif") / 3).cast("int")
     at = S.fraction("motif", "AT")
     return as_motifs(

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import scan as T
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs, union
-from seqspark.operators.repeats import _parts
 from seqspark.operators.triplex import best_first
 
 CLASS = "Z-DNA"
@@ -160,28 +160,41 @@ def _segments(head: np.ndarray, weight: np.ndarray, cost: np.ndarray, least: flo
     return out
 
 
-def _found(seqs: DataFrame, weights: Weights, least: float, transitions: int) -> DataFrame:
-    """seq_id, start_pos, end_pos, sum, motif of the segments of all sequences."""
-    names = ["seq_id", "start_pos", "end_pos", "sum", "motif"]
+def _promising(head: np.ndarray, weight: np.ndarray, cost: np.ndarray, least: float) -> np.ndarray:
+    """Mask of the runs between two resets of `_segments` if the sum between them reaches ``least``.
+
+    A sum that never falls below zero is a running sum less its lowest value. That holds exactly for quarters only, so
+    all runs are kept where weights are none.
+    """
+    ends = np.isinf(cost)
+    cost = np.where(ends, weight.clip(0).sum() + 1.0, cost)
+    upto = np.cumsum(weight - cost)
+    if (weight * 4 % 1).any() or (cost * 4 % 1).any() or not np.abs(upto).max(initial=0) < 2.0 ** 50:
+        return np.ones(len(head), bool)
+    total = upto - np.minimum(np.minimum.accumulate(upto), 0.0)
+    between = np.concatenate([[0], np.cumsum(total == 0)[:-1]])[:len(head)]
+    kept = np.zeros(len(head) + 1, bool)
+    kept[between[np.append(0.0, total[:-1])[:len(head)] + weight >= least]] = True
+    return kept[between]
+
+
+def find_segments(part: Part, weights: Weights = DEFAULT, least: float = MIN_SUM, transitions: int = MIN_TRANSITIONS) -> dict:
+    """Segments of all sequences with their sum as score."""
+    runs = _runs(BIT[part.raw], part.starts, weights)
+    kept = _promising(*runs, least)
+    found = np.array(_segments(*(x[kept] for x in runs), least, transitions)).reshape(-1, 3)
+    first, last = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
+    row = np.searchsorted(part.starts, first, side="right") - 1
+    # the run start is the base behind the step
+    return {"row": row, "start": first - part.starts[row] - 1, "end": last - part.starts[row] + 1, "score": found[:, 2]}
+
+
+def find_cgg(part: Part) -> dict:
+    """Blocks of three or more CGG copies, joined where at most three bases apart."""
+    return part.rows(part.merged(part.arrays("CGG", 3), 3))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            texts = part.column("sequence").to_pylist()
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            bases = BIT[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
-            found = np.array(_segments(*_runs(bases, starts, weights), least, transitions)).reshape(-1, 3)
-            first, last = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
-            row = np.searchsorted(starts, first, side="right") - 1
-            # the run start is the base behind the step
-            start, end = first - starts[row], last - starts[row] + 1
-            motifs = [texts[r][a - 1:b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("seq_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
-                 pa.array(found[:, 2]), pa.array(motifs, pa.string())], names=names)
 
-    kind = seqs.schema["seq_id"].dataType.simpleString()
-    return seqs.select("seq_id", "sequence").mapInArrow(
-        segments, f"seq_id {kind}, start_pos int, end_pos int, sum double, motif string")
+FINDERS = {"segments": find_segments, "cgg": find_cgg}
 
 
 def _called(structural_factor, conservation) -> tuple[Column | None, dict[str, Column]]:
@@ -199,7 +212,7 @@ def _called(structural_factor, conservation) -> tuple[Column | None, dict[str, C
 
 
 def zdna(
-    seqs: DataFrame, weights: Weights = DEFAULT, threshold: float = MIN_SUM, min_transitions: int = MIN_TRANSITIONS,
+    seqs: DataFrame | Located, weights: Weights = DEFAULT, threshold: float = MIN_SUM, min_transitions: int = MIN_TRANSITIONS,
     min_length: int = 13, structural_factor: Callable[[Column], Column] | None = None,
     conservation: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
@@ -212,12 +225,15 @@ def zdna(
     The fold is a small step on Arrow batches, one round for each run of purines or pyrimidines, and its time and
     memory grow with the sequence.
     """
-    rows = _found(seqs.where(F.length("sequence") >= max(min_length, 1)), weights, threshold, min_transitions)
+    plain = (weights, threshold, min_transitions) == (DEFAULT, MIN_SUM, MIN_TRANSITIONS)
+    if isinstance(seqs, Located) and not plain:
+        raise ValueError("segments are stored for the default weights and limits only")
+    rows = located(seqs, "segments", partial(find_segments, weights=weights, least=threshold, transitions=min_transitions))
     if min_length > min_transitions + 1:
         rows = rows.where(F.length("motif") >= min_length)
     factor, called = _called(structural_factor, conservation)
     return as_motifs(
-        rows, CLASS, "Z-DNA", F.col("sum") if factor is None else F.col("sum") * factor, "MaximalSum",
+        rows, CLASS, "Z-DNA", F.col("score") if factor is None else F.col("score") * factor, "MaximalSum",
         attrs={
             "GC_Content": F.round(S.fraction("motif", "GC"), 3),
             "GC_CG_Dinucleotides": F.size(
@@ -235,16 +251,19 @@ EGZ_CUT = "(?:(?!CGG)[ACGT]){8}"
 
 
 def egz(
-    seqs: DataFrame, max_gap: int = 3, min_repeats: int = 3, merge_adjacent: bool = True,
+    seqs: DataFrame | Located, max_gap: int = 3, min_repeats: int = 3, merge_adjacent: bool = True,
     structural_factor: Callable[[Column], Column] | None = None, conservation: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``min_repeats`` or more CGG copies; blocks at most ``max_gap`` apart are joined where ``merge_adjacent``.
 
     The callbacks are those of ``zdna``.
     """
-    # a cut of eight bases without CGG never parts blocks that would be joined
-    cut = EGZ_CUT if max_gap <= 3 or not merge_adjacent else None
-    rows = T.scan(seqs, "(?:CGG){%d,}" % max(1, min_repeats), cut=cut, merge_gap=max_gap if merge_adjacent else None)
+    if (max_gap, max(1, min_repeats), merge_adjacent) == (3, 3, True):
+        rows = located(seqs, "cgg", find_cgg)
+    else:
+        # a cut of eight bases without CGG never parts blocks that would be joined
+        cut = EGZ_CUT if max_gap <= 3 or not merge_adjacent else None
+        rows = T.scan(seqs, "(?:CGG){%d,}" % max(1, min_repeats), cut=cut, merge_gap=max_gap if merge_adjacent else None)
     factor, called = _called(structural_factor, conservation)
     copies = F.floor(F.length("motif") / 3).cast("int")
     g = S.fraction("motif", "G")

@@ -14,6 +14,7 @@ from seqspark.operators.clusters import (
 )
 from seqspark.operators.conservation import with_conservation
 from seqspark.operators.intervals import greedy
+from seqspark.operators.located import Located
 from seqspark.operators.motifs import MOTIF_COLUMNS, union
 from seqspark.sources.fasta import valid_sequences
 from seqspark.sources.stored import stored
@@ -27,8 +28,20 @@ SELECTION_ORDER = [
 ]
 
 
+def searched(seqs: DataFrame, keep=("seq_id",)) -> Located:
+    """One pass over the sequences for all detectors; what it finds is stored."""
+    finders = {}
+    for module in (curved, slipped, cruciform, rloop, triplex, g4, imotif, zdna, disease):
+        finders |= module.FINDERS
+    return Located(seqs, finders, keep)
+
+
 def detectors(seqs: DataFrame, gene: str | None = None) -> DataFrame:
-    """All detectors side by side.  A filter on ``class`` removes the branches it rules out."""
+    """All detectors side by side on what one pass over the sequences has found.
+
+    A filter on ``class`` removes the branches it rules out.
+    """
+    seqs = searched(seqs, ("seq_id", gene) if gene else ("seq_id",))
     return union(
         [
             curved.curved_dna(seqs), slipped.slipped_dna(seqs), cruciform.cruciform(seqs), rloop.rloops(seqs),

@@ -12,7 +12,7 @@ from seqspark.operators import (
 )
 from seqspark.operators.motifs import union
 from seqspark.plans import reports
-from seqspark.plans.all_motifs import all_motifs, detectors, filter_motifs, select_by_priority
+from seqspark.plans.all_motifs import all_motifs, detectors, filter_motifs, searched, select_by_priority
 from seqspark.sources import fasta
 from seqspark.sources.stored import stored
 from seqspark.sources.tables import sequences
@@ -32,6 +32,7 @@ def core_motifs(seqs: DataFrame) -> DataFrame:
 
     Scores are rounded to six places, so that SQL and Spark sum up the same numbers.
     """
+    seqs = searched(seqs)
     rows = union(
         [
             curved.curved_dna(seqs), triplex.sticky_dna(seqs), zdna.egz(seqs), zdna.zdna(seqs), rloop.rloops(seqs),
