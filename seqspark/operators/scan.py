@@ -10,13 +10,21 @@ rest of the sequence stays in one piece.  Nothing here shuffles.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
 from seqspark.functions.sequence import col, matches
 
 PIECE = 16384
 
+#: Number of each base, -1 for other letters.
+BASE_NO = np.full(256, -1, np.int8)
+BASE_NO[[ord(c) for c in "ACGT"]] = range(4)
+
 PIECES = "array<struct<offset:int,text:string>>"
 HITS = "array<struct<at:int,text:string>>"
 
@@ -122,7 +130,48 @@ def scan(
     )
 
 
+#: Letters worked out at a time, and rows of a batch that leaves a task.
+PART, ROWS = 1 << 20, 1 << 16
+
+
 def base_runs(seqs: DataFrame, keep=("seq_id",)) -> DataFrame:
-    """Maximal runs of one base: base, start_pos, length."""
-    runs = scan(seqs, "A+|C+|G+|T+", cut="A(?=[^A])|C(?=[^C])|G(?=[^G])|T(?=[^T])", keep=keep, size=512)
-    return runs.select(*keep, F.substring("motif", 1, 1).alias("base"), "start_pos", F.length("motif").alias("length"))
+    """Maximal runs of one base: base, start_pos, length.
+
+    A small step on Arrow batches finds where the letter changes; the sequence stays behind.
+    """
+    keep = list(keep)
+
+    def step(batches):
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("sequence")).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, a = np.cumsum(sizes), 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PART, side="right")))
+                part = batch.slice(a, b - a)
+                yield from runs(part, part.column("sequence").to_pylist())
+                a = b
+
+    def runs(part, texts):
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        # one byte for each letter, also for one that is none of ASCII
+        letters = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)
+        opens = np.append(True, letters[1:] != letters[:-1])
+        opens[starts[:-1][starts[:-1] < len(letters)]] = True
+        first = np.flatnonzero(opens)
+        size = np.diff(np.append(first, len(letters))).astype(np.int32)
+        known = BASE_NO[letters[first]]
+        some = known >= 0
+        first, size, known = first[some], size[some], known[some]
+        row = np.searchsorted(starts, first, side="right") - 1
+        for a in range(0, len(first), ROWS):
+            cut = slice(a, a + ROWS)
+            base = pa.DictionaryArray.from_arrays(pa.array(known[cut]), pa.array(list("ACGT"))).dictionary_decode()
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(pa.array(row[cut])) for c in keep), base,
+                 pa.array((first[cut] - starts[row[cut]] + 1).astype(np.int32)), pa.array(size[cut])],
+                names=[*keep, "base", "start_pos", "length"])
+
+    fields = [P.StructField(c, seqs.schema[c].dataType) for c in keep]
+    schema = P.StructType(fields + [
+        P.StructField("base", P.StringType()), P.StructField("start_pos", P.IntegerType()), P.StructField("length", P.IntegerType())])
+    return seqs.where(F.length("sequence") > 0).select(*keep, "sequence").mapInArrow(step, schema)
