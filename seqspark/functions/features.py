@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
 from seqspark.functions import sequence as S
 from seqspark.functions.sequence import col
@@ -16,9 +21,107 @@ STACKING = {
 SALT, SALT_MOLAR = 0.114, 0.05
 
 
-def dinucleotides(seq) -> Column:
-    seq = col(seq)
-    return F.when(F.length(seq) > 1, S.windows(seq, 2)).otherwise(F.array().cast("array<string>"))
+#: Letters worked out at a time.
+LETTERS = 1 << 20
+PAIRS = [a + b for a in "ATGC" for b in "ATGC"]
+UNITS = range(2, 10)
+#: Half the sizes of the places that read the same both ways, 4 to 19.
+HALVES = range(2, 10)
+COUNTS = P.StructType(
+    [P.StructField(p, P.IntegerType()) for p in PAIRS]
+    + [P.StructField("stacking", P.DoubleType()), P.StructField("repeat", P.DoubleType()), P.StructField("palindromes", P.LongType())]
+    + [P.StructField(c, P.IntegerType()) for c in ("mirror", "inverted", "g_runs", "c_runs", "runs", "longest")])
+
+
+def _counted(texts: list[str]) -> pd.DataFrame:
+    """What the features count in each text, from sums over all letters of all texts."""
+    n = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(n + 1) - n  # one letter before each text and one behind the last
+    letters = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    # what parts two texts equals no letter and is not what parts the next two
+    parts = np.append(0, first + n)
+    letters[parts] = -1 - np.arange(len(parts)) % 2
+    row = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n)
+    mine = letters[place]
+    per_row = lambda some: np.bincount(row[some], minlength=len(texts))
+    out = {}
+
+    code = np.full(128, -1, np.int8)
+    code[[ord(c) for c in "ATGC"]] = range(4)
+    number = np.where((letters >= 0) & (letters < 128), code[letters.clip(0, 127)], -1)
+    pair = np.where((number[place] >= 0) & (number[place + 1] >= 0), number[place] * 4 + number[place + 1], -1)
+    inside = np.flatnonzero(pair >= 0)
+    found = np.bincount(row[inside] * 16 + pair[inside], minlength=16 * len(texts)).reshape(-1, 16)
+    out.update({p: found[:, i] for i, p in enumerate(PAIRS)})
+    # added up from left to right; an unknown step makes the sum unknown
+    energy = np.bincount(row[inside], weights=np.array([STACKING[p] for p in PAIRS])[pair[inside]], minlength=len(texts))
+    out["stacking"] = np.where(found.sum(axis=1) == (n - 1).clip(0), energy, np.nan)
+
+    repeat = []
+    for text in texts:
+        total, size = 0.0, len(text)
+        for unit in UNITS:
+            if unit <= size // 2 and text[:unit] * (size // unit) in text:
+                total += 1.0 / (size / unit)
+        repeat.append(total)
+    out["repeat"] = repeat
+
+    found = np.zeros(len(letters), np.int64)
+    for odd in (0, 1):
+        # equal letters on both sides of a place, ever further out
+        same = np.ones(len(letters), bool)
+        for half in range(1, HALVES[-1] + 1):
+            gap = 2 * half - 1 + odd
+            equal = np.zeros(len(letters), bool)
+            m = max(len(letters) - gap, 0)
+            equal[half - 1 + odd:half - 1 + odd + m] = letters[:m] == letters[gap:]
+            same &= equal
+            if half in HALVES:
+                found += same
+    found = np.concatenate([[0], np.cumsum(found)])
+    out["palindromes"] = found[first + n] - found[first]
+
+    other = letters[np.repeat(2 * first + n - 1, n) - place]
+    turned = other.copy()
+    for a, b in zip("ACGT", "TGCA"):
+        turned[other == ord(a)] = ord(b)
+    out["mirror"] = (per_row(mine == other) - n % 2) // 2
+    out["inverted"] = per_row(mine == turned)
+
+    opens = mine != letters[place - 1]
+    start, known = np.flatnonzero(opens), np.isin(mine[opens], [ord(c) for c in "ACGT"])
+    size = np.diff(np.append(start, len(mine)))[known]
+    start = start[known]
+    count = lambda some: np.bincount(row[start[some]], minlength=len(texts))
+    out["g_runs"], out["c_runs"] = (count((mine[start] == ord(c)) & (size >= 3)) for c in "GC")
+    out["runs"] = count(np.ones(len(start), bool))
+    longest = np.zeros(len(texts), np.int64)
+    np.maximum.at(longest, row[start], size)
+    out["longest"] = longest
+    return pd.DataFrame(out)
+
+
+def _batch(texts: pd.Series) -> pd.DataFrame:
+    known = texts.dropna()
+    upto, found, a = np.cumsum(known.str.len().to_numpy(np.int64)), [], 0
+    while a < len(known):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LETTERS, side="right")))
+        found.append(_counted(known.iloc[a:b].tolist()))
+        a = b
+    if not found:
+        found.append(_counted([]))
+    return pd.concat(found).set_index(known.index).astype(object).reindex(texts.index)
+
+
+@cache
+def _counts():
+    return F.pandas_udf(_batch, COUNTS)
+
+
+def counts(seq) -> Column:
+    """All that is counted of a sequence; worked out once for a row, however many features ask for it."""
+    return _counts()(col(seq))
 
 
 def _total(values) -> Column:
@@ -38,23 +141,17 @@ def composition(seq) -> dict[str, Column]:
 
 def dinucleotide_frequencies(seq) -> dict[str, Column]:
     n = F.nullif(F.length(col(seq)) - 1, F.lit(0))
-
-    def share(pair):
-        return F.coalesce(S.n_matches(seq, "%s(?=%s)" % tuple(pair)) / n, F.lit(0.0))
-
-    return {a + b: share(a + b) for a in "ATGC" for b in "ATGC"}
+    return {p: F.coalesce(counts(seq)[p] / n, F.lit(0.0)) for p in PAIRS}
 
 
 def structural(seq) -> dict[str, Column]:
     gc = S.fraction(seq, "GC")
-    energies = F.create_map(*[F.lit(x) for kv in STACKING.items() for x in kv])
-    stacking = _total(F.transform(dinucleotides(seq), lambda p: energies[p]))
     n = F.length(col(seq))
     zero = F.lit(0.0)
     return {
         "twist": 36.0 + (gc - 0.5) * 2.0, "rise": 3.4 - (gc - 0.5) * 0.2, "tilt": zero, "roll": zero, "slide": zero,
         "shift": zero, "bendability": S.fraction(seq, "AT") * 100, "stability": gc * 100,
-        "groove_width": F.lit(22.0), "stacking_energy": F.when(n > 1, stacking / (n - 1)).otherwise(0.0),
+        "groove_width": F.lit(22.0), "stacking_energy": F.when(n > 1, counts(seq)["stacking"] / (n - 1)).otherwise(0.0),
     }
 
 
@@ -70,31 +167,13 @@ def thermodynamic(seq) -> dict[str, Column]:
 def patterns(seq) -> dict[str, Column]:
     seq = col(seq)
     n = F.length(seq)
-    repeat = F.lit(0.0)
-    for i in range(2, 10):
-        whole = F.repeat(F.substring(seq, 1, i), F.floor(n / i).cast("int"))
-        fits = (F.lit(i) <= F.floor(n / 2)) & seq.contains(whole)
-        repeat = repeat + F.when(fits, 1.0 / (n / i)).otherwise(0.0)
-
-    def mirrored(size):
-        """Places that read the same both ways over ``size`` bases: half of them, any middle one, the half turned round."""
-        half = size // 2
-        back = "".join(r"\%d" % i for i in range(half, 0, -1))
-        return S.n_matches(seq, "(?=%s%s%s)" % ("(.)" * half, "." * (size % 2), back))
-
-    palindromes = F.lit(0.0)
-    for size in range(4, 20):
-        palindromes = palindromes + mirrored(size)
     half = F.floor(n / 2).cast("int")
-    mirror = _share_equal(F.substring(seq, F.lit(1), half), F.substring(F.reverse(seq), F.lit(1), half))
-    longest = F.array_max(F.transform(S.matches(seq, "A+|C+|G+|T+"), lambda r: F.length(r)))
-    changes = F.size(S.matches(seq, "A+|C+|G+|T+")) - 1
+    found = counts(seq)
     return {
-        "repeat_score": repeat, "palindrome_score": palindromes / n,
-        "mirror_score": F.when(half > 0, mirror / half),
-        "inverted_score": _share_equal(seq, S.reverse_complement(seq)) / n,
-        "g_runs": S.n_matches(seq, "G{3,}").cast("double"), "c_runs": S.n_matches(seq, "C{3,}").cast("double"),
-        "alternating": F.when(n > 1, changes / (n - 1)), "homopolymer": longest / n,
+        "repeat_score": found["repeat"], "palindrome_score": found["palindromes"] / n,
+        "mirror_score": F.when(half > 0, found["mirror"] / half), "inverted_score": found["inverted"] / n,
+        "g_runs": found["g_runs"].cast("double"), "c_runs": found["c_runs"].cast("double"),
+        "alternating": F.when(n > 1, (found["runs"] - 1) / (n - 1)), "homopolymer": found["longest"] / n,
     }
 
 
