@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
-from seqspark.functions import sequence as S
 from seqspark.operators.repeats import CODE
 
 SHUFFLES = 100
@@ -43,41 +43,46 @@ def kmer_size(family, n) -> Column:
     )
 
 
-def _kmers(seq, k) -> Column:
-    n = F.length(seq)
-    return F.when(n >= k, S.windows(seq, k)).otherwise(F.array().cast("array<string>"))
-
-
-def family_kmers(family, kmers, k) -> Column:
-    """The k-mers of the motif, repeats included, that belong to its family; equal k-mers all do or none does."""
-    count = lambda x, base: F.length(x) - F.length(F.translate(x, base, ""))
-
-    def with_run(base):
-        runs = F.filter(kmers, lambda x: x.contains(base * 3))
-        rich = F.filter(kmers, lambda x: count(x, base) >= F.floor(k / 2))
-        return F.when(F.size(runs) > 0, runs).otherwise(rich)
-
-    def z_steps(x):
-        pairs = F.transform(S.span(F.lit(1), k - 1), lambda i: F.substring(x, i, 2))
-        return F.size(F.filter(pairs, lambda p: p.isin("GC", "CG", "GT", "TG", "AC", "CA")))
-
-    return (
-        F.when(family == "G", with_run("G")).when(family == "C", with_run("C"))
-        .when(family == "Z", F.filter(kmers, lambda x: z_steps(x) >= F.floor((k - 1) / 2)))
-        .when(family == "AC", F.filter(kmers, lambda x: count(x, "AC") / k >= 0.6))
-        .when(family == "R", F.filter(kmers, lambda x: count(x, "G") / k >= 0.4))
-        .when(family == "AT", F.filter(kmers, lambda x: x.contains("AAA") | x.contains("TTT")))
-        .otherwise(kmers)
-    )
+def _in_family(letters: np.ndarray, family: str, k: int) -> np.ndarray:
+    """Which k-mers of a motif, one for each start, belong to its family; equal k-mers all do or none does."""
+    places = max(len(letters) - k + 1, 0)
+
+    def inside(hit, width=1):
+        """How many hits of ``width`` letters each k-mer holds."""
+        upto = np.append(0, np.cumsum(hit))
+        return upto[k - width + 1:][:places] - upto[:places]
+
+    base = lambda *names: np.isin(letters, [ord(c) for c in names])
+    run = lambda hit: hit[2:] & hit[1:-1] & hit[:-2]
+    if not places:
+        return np.zeros(0, bool)
+    if family in ("G", "C"):
+        runs = inside(run(base(family)), 3) > 0
+        return runs if runs.any() else inside(base(family)) >= k // 2
+    if family == "Z":
+        pair = letters[:-1].astype(np.int32) * 256 + letters[1:]
+        steps = np.isin(pair, [ord(a) * 256 + ord(b) for a, b in ("GC", "CG", "GT", "TG", "AC", "CA")])
+        return inside(steps, 2) >= (k - 1) // 2
+    if family == "AC":
+        return inside(base("A", "C")) / k >= 0.6
+    if family == "R":
+        return inside(base("G")) / k >= 0.4
+    if family == "AT":
+        return (inside(run(base("A")), 3) > 0) | (inside(run(base("T")), 3) > 0)
+    return np.ones(places, bool)
 
 
 def _codes(rows: np.ndarray, k: int) -> np.ndarray:
-    """2-bit code of the k-mer at every place of each row."""
+    """2-bit code of the k-mer at every place of each row, put together from codes of half as many bases."""
+    if k == 1:
+        return rows.astype(np.uint16)
+    half = k // 2
+    codes = _codes(rows, half)
     places = max(rows.shape[1] - k + 1, 0)
-    codes = np.zeros((len(rows), places), np.int32)
-    for i in range(k):
-        codes = (codes << 2) | rows[:, i:i + places]
-    return codes
+    if k > 8:
+        codes = codes.astype(np.int64)
+    out = (codes[:, :places] << 2 * half) | codes[:, half:half + places]
+    return (out << 2) | rows[:, k - 1:k - 1 + places] if k % 2 else out
 
 
 def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFFLES) -> np.ndarray:
@@ -85,10 +90,13 @@ def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFF
 
     The seed is the CRC of the sequence, so a sequence always gets the same numbers.
     """
-    bases = CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
     kmers = CODE[np.frombuffer("".join(core).encode("ascii", "replace"), np.uint8)].reshape(-1, k)
+    return _shuffled(sequence, CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)], k, _codes(kmers, k)[:, 0], shuffles)
+
+
+def _shuffled(sequence: str, bases: np.ndarray, k: int, core: np.ndarray, shuffles: int) -> np.ndarray:
     wanted = np.zeros(4**k, bool)
-    wanted[_codes(kmers, k)[:, 0]] = True
+    wanted[core] = True
     rng, out = np.random.default_rng(zlib.crc32(sequence.encode())), []
     step = max(1, CELLS // max(len(bases), 1))
     for s in range(0, shuffles, step):
@@ -97,38 +105,52 @@ def shuffle_counts(sequence: str, k: int, core: list[str], shuffles: int = SHUFF
     return np.concatenate(out)
 
 
+def _rated(sequence: str, family: str, k: int, shuffles: int):
+    """How many k-mers belong to the family, mean and deviation of that in shuffles, and how many shuffles have as many."""
+    if len(sequence) < 4:
+        return None
+    letters = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
+    found = np.flatnonzero(_in_family(letters, family, k))
+    if not len(found):
+        return None
+    bases = CODE[letters]
+    counts = _shuffled(sequence, bases, k, _codes(bases[None], k)[0, found], shuffles)
+    mean = counts.sum() / shuffles
+    # added up from the first shuffle to the last
+    spread = np.cumsum((counts - mean) * (counts - mean))[-1] / (shuffles - 1) if shuffles > 1 else None
+    return len(found), mean, None if spread is None else np.sqrt(spread), int((counts >= len(found)).sum())
+
+
+RATED = P.StructType([
+    P.StructField("observed", P.IntegerType()), P.StructField("mean", P.DoubleType()), P.StructField("std", P.DoubleType()),
+    P.StructField("extreme", P.IntegerType()),
+])
+
+
 def _counts(shuffles: int):
-    @F.pandas_udf("array<int>")
-    def counts(sequence: pd.Series, k: pd.Series, core: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if c is None or not len(c) or len(s) < 4 else shuffle_counts(s, int(n), list(c), shuffles).tolist()
-            for s, n, c in zip(sequence, k, core)
-        ])
+    def rated(sequence: pd.Series, family: pd.Series, k: pd.Series) -> pd.DataFrame:
+        rows = [
+            (None if s is None else _rated(s, f, int(n), shuffles)) or (None,) * len(RATED)
+            for s, f, n in zip(sequence, family, k)
+        ]
+        return pd.DataFrame(rows, columns=RATED.names, dtype=object)
 
-    return counts
+    return F.pandas_udf(rated, RATED)
 
 
 def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles: int = SHUFFLES) -> DataFrame:
     """Adds conservation_score, conservation_p, conservation_significance and the counts behind them.
 
-    The shuffles of a motif are one numpy step on its row, so no row is copied once per shuffle.
+    The k-mers of a motif and its shuffles are one numpy step on its row, so no row is copied once per shuffle.
     """
     rows = motifs.withColumn("_f", family_of() if family is None else family)
     rows = rows.withColumn("_k", kmer_size(F.col("_f"), F.length("sequence")))
-    rows = rows.withColumn("_kmers", _kmers(F.col("sequence"), F.col("_k")))
-    rows = rows.withColumn("_found", family_kmers(F.col("_f"), F.col("_kmers"), F.col("_k")))
-    rows = rows.withColumn("_core", F.array_distinct("_found"))
-    valid = (F.length("sequence") >= 4) & (F.size("_core") > 0)
-    rows = rows.withColumn("_valid", valid).withColumn("observed_count", F.when(valid, F.size("_found")))
-    rows = rows.withColumn("_counts", F.when(F.col("_valid"), _counts(shuffles)("sequence", "_k", "_core")))
-    total = F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c)
-    rows = rows.withColumn("null_mean", total / shuffles)
-    spread = F.aggregate(
-        "_counts", F.lit(0.0), lambda a, c: a + (c - F.col("null_mean")) * (c - F.col("null_mean"))
-    )
-    rows = rows.withColumn("null_std", F.sqrt(spread / (shuffles - 1)))
+    rows = rows.withColumn("_rated", _counts(shuffles)("sequence", "_f", "_k"))
+    rows = rows.withColumn("_valid", F.col("_rated.observed").isNotNull())
+    rows = rows.withColumn("observed_count", F.col("_rated.observed"))
+    rows = rows.withColumn("null_mean", F.col("_rated.mean")).withColumn("null_std", F.col("_rated.std"))
     score = F.log2((F.col("observed_count") + EPSILON) / (F.col("null_mean") + EPSILON))
-    as_extreme = F.size(F.filter("_counts", lambda c: c >= F.col("observed_count")))
+    as_extreme = F.col("_rated.extreme")
     rows = rows.withColumn("conservation_score", F.when(F.col("_valid"), score).otherwise(0.0))
     rows = rows.withColumn(
         "conservation_p", F.when(F.col("_valid"), (1 + as_extreme) / F.lit(shuffles + 1.0)).otherwise(1.0)
@@ -138,4 +160,4 @@ def with_conservation(motifs: DataFrame, family: Column | None = None, shuffles:
     rows = rows.withColumn(
         "conservation_significance", F.when(F.col("conservation_p") <= 0.05, label).otherwise("not significant")
     )
-    return rows.drop("_f", "_k", "_kmers", "_found", "_core", "_valid", "_counts")
+    return rows.drop("_f", "_k", "_rated", "_valid")

@@ -103,7 +103,7 @@ def all_motifs(
     small_batches(seqs.sparkSession)
     seqs = valid_sequences(seqs)
     lengths = stored(seqs.select("seq_id", "name", "length"), "lengths")
-    found = stored(valid_motifs(detectors(seqs, gene), lengths), "found-motifs")
+    found = stored(valid_motifs(detectors(seqs, gene), lengths), "found-motifs", dealt=True)
     motifs = union([found, stored(hybrid.hybrid_motifs(found, seqs), "hybrids")])
     if nonoverlap:
         motifs = stored(select_by_priority(motifs), "selected")

@@ -56,7 +56,7 @@ def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         seqs = sequences(spark, sf_dir)
-        _kept[key] = (stored(detected_motifs(seqs), "detected-motifs"), seqs)
+        _kept[key] = (stored(detected_motifs(seqs), "detected-motifs", dealt=True), seqs)
     return _kept[key]
 
 
