@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import islice
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,8 @@ MIN_COUNT, MIN_SCORE = 3, 4.0
 # MAX_SPACING apart, so no chain of tracts reaches across such a stretch.
 TRACT_GAP = 15
 
-CHAIN = "struct<centre:int,n:int,bases:int,phase:double,last:int,closed:boolean>"
+#: Bases of a batch that leaves a task.
+BYTES = 4 << 20
 
 
 def poly_at_tracts(seqs: DataFrame, min_len: int = LOCAL_TRACT, keep=("seq_id",)) -> DataFrame:
@@ -44,82 +50,89 @@ def find_tracts(part: Part) -> dict:
 FINDERS = {"tracts": find_tracts}
 
 
-def _tract_groups(seqs: DataFrame | Located, within: str | None = None) -> DataFrame:
-    """One row per stretch of neighbouring tracts (that ``within`` matches in), with tracts as array<struct<s,e,c>>."""
-    found = located(seqs, "tracts", find_tracts).select("seq_id", (F.col("start_pos") - 1).alias("offset"), F.col("motif").alias("text"))
-    if within is not None:
-        found = found.where(F.col("text").rlike(within))
-    tracts = F.transform(
-        T.hits("text", "A{4,}|T{4,}"),
-        lambda h: F.struct(
-            h["at"].alias("s"),
-            (h["at"] + F.length(h["text"]) - 1).alias("e"),
-            F.floor((h["at"] * 2 + F.length(h["text"]) - 1) / 2).cast("int").alias("c"),
-        ),
-    )
-    return T.computed(found, tracts=tracts)
-
-
-def _chains(tracts):
-    """For every tract the chain starting there; only chains of MIN_COUNT or more."""
-
-    def chain_from(i):
-        first = F.try_element_at(tracts, i)
-        start = F.struct(
-            first["c"].alias("centre"), F.lit(1).alias("n"), (first["e"] - first["s"] + 1).alias("bases"),
-            F.lit(0.0).alias("phase"), first["e"].alias("last"), F.lit(False).alias("closed"),
-        ).cast(CHAIN)
-
-        def step(acc, t):
-            gap = t["c"] - acc["centre"]
-            fits = ~acc["closed"] & gap.between(MIN_SPACING, MAX_SPACING)
-            return F.struct(
-                F.when(fits, t["c"]).otherwise(acc["centre"]).alias("centre"),
-                (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"),
-                (acc["bases"] + F.when(fits, t["e"] - t["s"] + 1).otherwise(0)).alias("bases"),
-                (acc["phase"] + F.when(fits, S.phase_term(gap)).otherwise(0.0)).alias("phase"),
-                F.when(fits, t["e"]).otherwise(acc["last"]).alias("last"),
-                # once three tracts are in, the first tract that does not fit ends the chain;
-                # beyond MAX_SPACING nothing can fit any more
-                (acc["closed"] | (~fits & ((acc["n"] >= MIN_COUNT) | (gap > MAX_SPACING)))).alias("closed"),
-            ).cast(CHAIN)
-
-        return F.struct(
-            first["s"].alias("s"),
-            F.aggregate(F.slice(tracts, i + 1, F.size(tracts)), start, step).alias("chain"),
-        )
-
-    chains = F.transform(S.span(F.lit(1), F.size(tracts)), chain_from)
-    # fewer than three tracts cannot form a chain
-    return F.when(
-        F.size(tracts) >= MIN_COUNT, F.filter(chains, lambda x: x["chain"]["n"] >= MIN_COUNT)
-    ).otherwise(F.array().cast("array<struct<s:int,chain:%s>>" % CHAIN))
-
-
-def _with_chains(seqs: DataFrame, within: str | None = None) -> DataFrame:
-    return T.computed(_tract_groups(seqs, within), chains=_chains(F.col("tracts")))
-
-
-def _global_rows(groups: DataFrame) -> DataFrame:
-    rows = T.unnest(groups, ["seq_id", "offset", "text"], F.col("chains"), "x").select(
-        "seq_id",
-        (F.col("offset") + F.col("x.s") + 1).alias("start_pos"),
-        (F.col("offset") + F.col("x.chain.last") + 1).alias("end_pos"),
-        F.substring("text", F.col("x.s") + 1, F.col("x.chain.last") - F.col("x.s") + 1).alias("motif"),
-        F.col("x.chain.n").alias("tracts"),
-        F.col("x.chain.bases").alias("bases"),
-        F.col("x.chain.phase").alias("phase"),
-    )
+def _tract_groups(seqs: DataFrame | Located) -> DataFrame:
+    """One row per stretch of neighbouring tracts: seq_id, offset, text."""
+    return located(seqs, "tracts", find_tracts).select("seq_id", (F.col("start_pos") - 1).alias("offset"), F.col("motif").alias("text"))
+
+
+def _phase(spacing: int) -> float:
+    """`S.phase_term` of a number."""
+    x = (spacing - 10.5) / 3.0
+    return max(0.0, 1.0 - x * x)
+
+
+PHASE = {spacing: _phase(spacing) for spacing in range(MIN_SPACING, MAX_SPACING + 1)}
+
+
+def _chain(tracts, i: int):
+    """The chain that starts at tract ``i``: number of tracts, their bases, phase, last base."""
+    first, last, centre = tracts[i]
+    n, bases, phase = 1, last - first + 1, 0.0
+    for s, e, c in islice(tracts, i + 1, None):
+        spacing = c - centre
+        if MIN_SPACING <= spacing <= MAX_SPACING:
+            n, bases, phase, last, centre = n + 1, bases + e - s + 1, phase + PHASE[spacing], e, c
+        # once three tracts are in, the first tract that does not fit ends the chain;
+        # beyond MAX_SPACING nothing can fit any more
+        elif n >= MIN_COUNT or spacing > MAX_SPACING:
+            break
+    return n, bases, phase, last
+
+
+def _arrays(text: str):
+    """first, last, tracts, bases, phase of every chain of three or more tracts, and of every long tract with neither
+    end inside a chain (no tracts)."""
+    tracts = [(m.start(), m.end() - 1, (m.start() + m.end() - 1) // 2) for m in re.finditer("A{4,}|T{4,}", text)]
+    found, starts, reach = [], [], []
+    for i, (s, _, _) in enumerate(tracts):
+        n, bases, phase, last = _chain(tracts, i)
+        if n >= MIN_COUNT:
+            found.append((s, last, n, bases, phase))
+            starts.append(s)
+            reach.append(max(last, reach[-1]) if reach else last)
+    inside = lambda x: (k := bisect_right(starts, x)) > 0 and reach[k - 1] >= x
+    return found + [
+        (s, e, None, None, None) for s, e, _ in tracts if e - s + 1 >= LOCAL_TRACT and not inside(s) and not inside(e)]
+
+
+def _with_arrays(seqs: DataFrame | Located) -> DataFrame:
+    """seq_id, start_pos, end_pos, motif, tracts, bases, phase of `_arrays`; a small step on the stretches."""
+    groups = _tract_groups(seqs)
+    names = ["seq_id", "start_pos", "end_pos", "motif", "tracts", "bases", "phase"]
+
+    def step(batches):
+        for batch in batches:
+            texts = zip(batch.column("offset").to_pylist(), batch.column("text").to_pylist())
+            rows, size = [], 0
+            for row, (offset, text) in enumerate(texts):
+                for s, e, *rest in _arrays(text):
+                    rows.append((row, offset + s + 1, offset + e + 1, text[s:e + 1], *rest))
+                    size += e - s
+                    if size > BYTES:
+                        yield record(batch, rows)
+                        rows, size = [], 0
+            if rows:
+                yield record(batch, rows)
+
+    def record(batch, rows):
+        row, *columns = zip(*rows)
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("seq_id").take(pa.array(row)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+
+    kind = groups.schema["seq_id"].dataType.simpleString()
+    return groups.mapInArrow(
+        step, f"seq_id {kind}, start_pos int, end_pos int, motif string, tracts int, bases int, phase double")
+
+
+def global_curvature(seqs: DataFrame | Located) -> DataFrame:
+    """Arrays of three or more tracts with centres 6 to 15 apart, one per possible first tract."""
     score = (
         F.col("bases") / 8.0 + 1.5 * F.col("tracts") + 3.0 * F.col("phase")
         + S.length_step_bonus(F.col("end_pos") - F.col("start_pos") + 1)
     )
-    return rows.withColumn("score", score).where(F.col("score") >= MIN_SCORE)
-
-
-def global_curvature(seqs: DataFrame) -> DataFrame:
-    """Arrays of three or more tracts with centres 6 to 15 apart, one per possible first tract."""
-    rows = _global_rows(_with_chains(seqs))
+    rows = _with_arrays(seqs).where(F.col("tracts").isNotNull())
+    rows = rows.withColumn("score", score).where(F.col("score") >= MIN_SCORE)
     return as_motifs(
         rows, CLASS, "Global curvature", F.col("score"), "PhasedTracts",
         detail=F.concat(F.lit("Tracts="), F.col("tracts")),
@@ -127,26 +140,9 @@ def global_curvature(seqs: DataFrame) -> DataFrame:
     )
 
 
-def local_curvature(seqs: DataFrame) -> DataFrame:
+def local_curvature(seqs: DataFrame | Located) -> DataFrame:
     """Tracts of seven or more with neither end inside a phased array."""
-    groups = _with_chains(seqs, "A{%d}|T{%d}" % (LOCAL_TRACT, LOCAL_TRACT))
-    free = S.let(
-        F.col("chains"),
-        lambda chains: F.filter(
-            F.col("tracts"),
-            lambda t: (t["e"] - t["s"] + 1 >= LOCAL_TRACT)
-            & ~F.exists(
-                chains,
-                lambda r: t["s"].between(r["s"], r["chain"]["last"]) | t["e"].between(r["s"], r["chain"]["last"]),
-            ),
-        ),
-    )
-    rows = T.unnest(groups, ["seq_id", "offset", "text"], free, "t").select(
-        "seq_id",
-        (F.col("offset") + F.col("t.s") + 1).alias("start_pos"),
-        (F.col("offset") + F.col("t.e") + 1).alias("end_pos"),
-        F.substring("text", F.col("t.s") + 1, F.col("t.e") - F.col("t.s") + 1).alias("motif"),
-    )
+    rows = _with_arrays(seqs).where(F.col("tracts").isNull())
     return as_motifs(rows, CLASS, "Local Curvature", S.curvature_score("motif"), "TractCurvature")
 
 

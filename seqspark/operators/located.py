@@ -78,6 +78,13 @@ class Part:
         """How many times ``base`` comes before each place."""
         return np.concatenate([[0], np.cumsum(self.letters == ord(base))])
 
+    def ramp(self, plus: str, minus: str) -> np.ndarray:
+        """Ramp scores summed up to each place: base number k of a run counts min(k, 4), negative for ``minus``."""
+        at, size, letter = self.runs
+        sign = (letter == ord(plus)).astype(np.int8) - (letter == ord(minus))
+        step = np.minimum(np.arange(1, len(self.letters) + 1) - np.repeat(at, size), 4) * np.repeat(sign, size)
+        return np.concatenate([[0], np.cumsum(step)])
+
     def spans(self, pattern: str) -> np.ndarray:
         """First place and the place behind the last, of all hits from left to right."""
         return np.array([m.span() for m in re.finditer(pattern, self.text)], np.int64).reshape(-1, 2)

@@ -7,9 +7,9 @@ packed k-mers along each diagonal and returns only what is chosen of the runs th
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -308,15 +308,14 @@ def _best_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement:
 
     def best(rows: np.ndarray) -> np.ndarray:
         row, start, length, arm, spacer, score = rows
-        keys = (start, row) if one_a_start else (length, start, row)
-        order = np.lexsort(((spacer, -arm) if one_a_start else (-arm, -score)) + keys)
-        rows = rows[:, order]
+        rows = rows[:, np.lexsort((-arm, -score, length, start, row))]
         first = np.ones(rows.shape[1], bool)
-        first[1:] = (np.diff(rows[:2 if one_a_start else 3]) != 0).any(axis=0)
+        first[1:] = (np.diff(rows[:3]) != 0).any(axis=0)
         return rows[:, first]
 
     row, at, spacer, reach = _folds(bases, starts, k, max_spacer, max_arm, complement)
     upto, found = np.cumsum(reach - k + 1), [np.zeros((6, 0))]
+    longest = np.zeros(len(bases) if one_a_start else 0, np.int64)  # arm and spacer of each start in one number
     for a in range(0, int(upto[-1]) if len(upto) else 0, ARMS):
         x, y = np.searchsorted(upto, [a, a + ARMS])  # folds whose last arm lies in this part
         n = reach[x:y] - k + 1
@@ -325,7 +324,16 @@ def _best_arms(bases, starts, k: int, max_spacer: int, max_arm: int, complement:
         rich = pure[at[i] + 1] - pure[at[i] + 1 - arm]
         score, good = rate(arm, spacer[i], np.maximum(rich, arm - rich))
         i, arm, score = i[good], arm[good], score[good]
+        if one_a_start:
+            np.maximum.at(longest, at[i] - arm + 1, arm * (max_spacer + 1) + max_spacer - spacer[i])
+            continue
         found.append(best(np.stack([row[i], at[i] - starts[row[i]] - arm + 1, 2 * arm + spacer[i], arm, spacer[i], score])))
+    if one_a_start:
+        first = np.flatnonzero(longest)
+        arm, gap = longest[first] // (max_spacer + 1), max_spacer - longest[first] % (max_spacer + 1)
+        rich = pure[first + arm] - pure[first]
+        row = np.searchsorted(starts[1:], first, side="right")
+        return np.stack([row, first - starts[row], 2 * arm + gap, arm, gap, rate(arm, gap, np.maximum(rich, arm - rich))[0]])
     return best(np.concatenate(found, axis=1))
 
 
@@ -368,14 +376,22 @@ def chosen_folds(bases, starts, k: int, max_spacer: int, max_arm: int, complemen
         live = live[~good]
         arm[live] -= 1
         live = live[arm[live] >= k]
-    some = np.flatnonzero(arm >= k)
     key = lambda i, arm, score: (-np.round(score, 6), -2 * arm - spacer[i], at[i] - arm + 1, arm, score, i)
-    waiting = list(zip(*(x.tolist() for x in key(some, arm[some], score[some]))))
-    heapify(waiting)
-    chosen, taken, inner, gap = [], [], at.tolist(), spacer.tolist()
-    while waiting:
-        best = heappop(waiting)
+    some = np.flatnonzero(arm >= k)
+    columns = key(some, arm[some], score[some])
+    order = np.lexsort((-columns[3], *columns[2::-1]))
+    ready = zip(*(x[order].tolist() for x in columns))
+    inner, gap = at.tolist(), spacer.tolist()
+    chosen, taken, waiting, dead = [], [], [], bytearray(len(at))
+    first = next(ready, None)
+    while first or waiting:
+        if waiting and (first is None or waiting[0] < first):
+            best = heappop(waiting)
+        else:
+            best, first = first, next(ready, None)
         _, less, start, _, _, i = best
+        if dead[i]:
+            continue
         end, place, most = start - less - 1, bisect_left(chosen, (start, start)), None
         for s, e in chosen[place - 1 if place else 0:place + 1]:
             if end > s and start < e:
@@ -384,6 +400,9 @@ def chosen_folds(bases, starts, k: int, max_spacer: int, max_arm: int, complemen
         if most is None:
             insort(chosen, (start, end))
             taken.append(best)
+            # centres that even the shortest arm would bring too near
+            x, y = bisect_right(inner, start - k), bisect_left(inner, end + k - 1)
+            dead[x:y] = b"\1" * (y - x)
         elif most >= k:
             arms = np.arange(k, most + 1)
             scores, good = rated(inner[i], gap[i], arms)

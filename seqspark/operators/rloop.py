@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions import sequence as S
-from seqspark.operators import scan as T
 from seqspark.operators.located import Located, Part, located
 from seqspark.operators.motifs import as_motifs
 
@@ -34,52 +33,42 @@ def find_zones(part: Part, model: str) -> dict:
         return part.rows(np.zeros((0, 2), np.int64))
     last = np.append(first[1:], len(at)) - 1
     some = np.add.reduceat((size + 1) // (k + 1), first) >= needed
-    return part.rows(np.stack([at[first], (at + size)[last]], axis=1)[some], tail=SEARCH)
+    spans = np.stack([at[first], (at + size)[last]], axis=1)[some]
+    upto = part.upto("G") + part.upto("C")
+    ends = part.places[np.searchsorted(part.places, spans[:, 0], side="right")] - 1
+    windows = [_best_window(upto[a:min(a + SEARCH, b) + 1:STEP]) for a, b in zip(spans[:, 1].tolist(), ends.tolist())]
+    return part.rows(spans, tail=SEARCH, size=[w[0] for w in windows], copies=[w[1] for w in windows])
+
+
+def _best_window(upto: np.ndarray) -> tuple[int, int]:
+    """Offsets of the best window behind a zone, from G and C counted up to the end of each block; (0, 0) if there is none.
+
+    Windows start every 25 bases and grow in steps of 25, so each one is a row of whole blocks.
+    Among windows of at least 50 % GC the one with the most GC bases wins, the earliest and then
+    shortest on a tie.
+    """
+    blocks = np.arange(len(upto))
+    wide = blocks - blocks[:, None]
+    gc = upto - upto[:, None]
+    gc = np.where((wide >= MIN_WINDOW // STEP) & (gc * 2 >= wide * STEP), gc, -1)
+    best = int(gc.argmax())
+    a, b = divmod(best, len(upto))
+    return (a * STEP, b * STEP) if gc[a, b] >= 0 else (0, 0)
 
 
 FINDERS = {f"zones_{model}": partial(find_zones, model=model) for model in MODELS}
 
 
 def initiating_zones(seqs: DataFrame | Located, model: str) -> DataFrame:
-    """The clusters of `find_zones` as riz, and rest, the text behind them."""
+    """The clusters of `find_zones` as riz, and rest, the text behind them, with its best window."""
     rows = located(seqs, f"zones_{model}", FINDERS[f"zones_{model}"])
-    return rows.select("seq_id", "start_pos", "end_pos", F.col("motif").alias("riz"), "rest", F.lit(model).alias("model"))
+    return rows.select("seq_id", "start_pos", "end_pos", F.col("motif").alias("riz"), "rest", F.lit(model).alias("model"),
+                       F.col("size").alias("rez_from"), F.col("copies").alias("rez_to"))
 
 
 def with_extending_zone(zones: DataFrame) -> DataFrame:
-    """Adds rez_from, rez_to (offsets behind the zone) of the best window, drops zones without.
-
-    Windows start every 25 bases and grow in steps of 25, so each one is a row of whole blocks.
-    Among windows of at least 50 % GC the one with the most GC bases wins, the earliest and then
-    shortest on a tie.
-    """
-    rows = zones.where(F.length("rest") >= MIN_WINDOW).withColumn(
-        "blocks", F.floor(F.length("rest") / STEP).cast("int")
-    )
-    upto = F.transform(
-        S.span(F.lit(0), F.col("blocks")), lambda b: S.count_bases(F.substring("rest", F.lit(1), b * STEP), "GC")
-    )
-    fewest = MIN_WINDOW // STEP
-
-    def best_window(u):
-        windows = F.transform(
-            S.span(F.lit(0), F.size(u) - 1 - fewest),
-            lambda a: F.array_max(
-                F.filter(
-                    F.transform(
-                        S.span(a + fewest, F.size(u) - 1),
-                        lambda b: F.struct((u.getItem(b) - u.getItem(a)).alias("gc"), (-a).alias("a"), (-b).alias("b")),
-                    ),
-                    lambda w: w["gc"] * 2 >= (w["a"] - w["b"]) * STEP,
-                )
-            ),
-        )
-        return F.array_max(windows)
-
-    rows = T.computed(rows, w=S.let(upto, best_window)).where(F.col("w").isNotNull())
-    return rows.withColumn("rez_from", -F.col("w.a") * STEP).withColumn("rez_to", -F.col("w.b") * STEP).withColumn(
-        "rez_gc", F.col("w.gc")
-    ).drop("blocks", "w")
+    """Zones with a window behind them: rez_from, rez_to (offsets behind the zone) of the best."""
+    return zones.where(F.col("rez_to") > 0)
 
 
 def rloops(seqs: DataFrame | Located, models=("m1", "m2")) -> DataFrame:

@@ -236,12 +236,7 @@ def zdna(
         rows, CLASS, "Z-DNA", F.col("score") if factor is None else F.col("score") * factor, "MaximalSum",
         attrs={
             "GC_Content": F.round(S.fraction("motif", "GC"), 3),
-            "GC_CG_Dinucleotides": F.size(
-                F.filter(
-                    F.expr("transform(sequence(1, length(motif) - 1), p -> substring(motif, p, 2))"),
-                    lambda d: d.isin("GC", "CG"),
-                )
-            ),
+            "GC_CG_Dinucleotides": S.n_matches("motif", "G(?=C)|C(?=G)"),
             **called,
         },
     )
