@@ -67,6 +67,20 @@ def _on_core(build):
     return query
 
 
+def _on_lengths(build):
+    """A query on detected motifs that asks for names and lengths only, which are stored too: a sequence is not made anew
+    each time that its length is joined."""
+
+    def query(spark, sf_dir):
+        motifs, seqs = _core(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, "lengths")
+        if key not in _kept:
+            _kept[key] = stored(seqs.select("seq_id", "name", "gene", "length"), "lengths")
+        return build(motifs, _kept[key])
+
+    return query
+
+
 def _on_seqs(build):
     def query(spark, sf_dir):
         return build(sequences(spark, sf_dir))
@@ -361,13 +375,8 @@ def queries() -> dict:
     on_core = {
         "selected_motifs": selected,
         "g4_priority": g4_priority,
-        "hotspot_windows": hotspot_windows,
-        "hotspots": hotspots_merged,
         "hybrids": hybrid_list,
         "longest_hybrids": longest_hybrids,
-        "cluster_windows": cluster_windows,
-        "clusters": clusters_merged,
-        "cluster_profiles": cluster_profiles,
         "hybrid_pairs": hybrid_pairs,
         "hybrid_structures": hybrid_structures,
         "cooccurrence": lambda m, q: reports.cooccurrence(m),
@@ -375,10 +384,8 @@ def queries() -> dict:
         "proximity": proximity,
         "official_classes": official_classes,
         "subtype_defaults": subtype_defaults,
-        "filtered_motifs": filtered_motifs,
         "column_defaults": column_defaults,
         "disease_subset": disease_subset,
-        "cluster_subset": cluster_subset,
         "class_distribution": lambda m, q: classify.class_distribution(m),
         "subclass_distribution": lambda m, q: classify.subclass_distribution(m),
         "conservation": conserved,
@@ -386,13 +393,9 @@ def queries() -> dict:
         "formation_probability": probabilities,
         "mean_probability": mean_probability,
         "class_counts": lambda m, q: reports.class_counts(m),
-        "sequence_summary": lambda m, q: reports.sequence_summary(m, q),
-        "overview": lambda m, q: _doubles(reports.overview(m, q)),
-        "count_statistics": lambda m, q: _doubles(reports.count_statistics(m, q)),
         "class_shares": lambda m, q: _doubles(reports.shares(m, "class")),
         "top_classes": lambda m, q: _doubles(reports.top_shares(m)),
         "top_subtypes": lambda m, q: _doubles(reports.top_shares(m, "subtype", 10)),
-        "positional_density": lambda m, q: reports.positional_density(m, q),
         "class_bins": lambda m, q: reports.class_bins(m),
         "class_subtype_counts": lambda m, q: reports.class_subtype_counts(m),
         "score_pivot": lambda m, q: _doubles(reports.score_pivot(m, DETECTED_CLASSES)),
@@ -400,7 +403,6 @@ def queries() -> dict:
         "length_distribution": lambda m, q: _doubles(reports.distribution(m, "length", "subtype")),
         "length_score_trend": lambda m, q: _doubles(reports.length_score_trend(m)),
         "score_histogram": lambda m, q: reports.score_histogram(m),
-        "circular_positions": lambda m, q: _doubles(reports.circular_positions(m, q)),
         "sequence_comparison": lambda m, q: _doubles(comparison(m, q)),
         "gc_category": lambda m, q: _doubles(reports.category_statistics(comparison(m, q))),
         "gc_category_means": lambda m, q: _doubles(reports.category_class_means(comparison(m, q), DETECTED_CLASSES)),
@@ -410,6 +412,20 @@ def queries() -> dict:
         "top_sequences": lambda m, q: _doubles(reports.top_sequences(genes(m, q))),
         "comprehensive_table": lambda m, q: _doubles(reports.comprehensive_table(m)),
     }
+    on_lengths = {
+        "hotspot_windows": hotspot_windows,
+        "hotspots": hotspots_merged,
+        "cluster_windows": cluster_windows,
+        "clusters": clusters_merged,
+        "cluster_profiles": cluster_profiles,
+        "filtered_motifs": filtered_motifs,
+        "cluster_subset": cluster_subset,
+        "sequence_summary": lambda m, q: reports.sequence_summary(m, q),
+        "overview": lambda m, q: _doubles(reports.overview(m, q)),
+        "count_statistics": lambda m, q: _doubles(reports.count_statistics(m, q)),
+        "positional_density": lambda m, q: reports.positional_density(m, q),
+        "circular_positions": lambda m, q: _doubles(reports.circular_positions(m, q)),
+    }
     on_disease = {
         "clinical_counts": reports.clinical_counts,
         "clinical_table": reports.clinical_table,
@@ -420,5 +436,6 @@ def queries() -> dict:
     }
     out = {name: _on_seqs(f) for name, f in on_seqs.items()}
     out.update({name: _on_core(f) for name, f in on_core.items()})
+    out.update({name: _on_lengths(f) for name, f in on_lengths.items()})
     out.update({name: _on_disease(f) for name, f in on_disease.items()})
     return out

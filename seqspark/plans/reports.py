@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqspark.functions import sequence as S
+from seqspark.sources.stored import stored
 
 
 def per_kb(count, length) -> Column:
@@ -175,10 +176,12 @@ def gc_density_correlation(compared: DataFrame) -> DataFrame:
 def gene_summary(motifs: DataFrame, disease: DataFrame, seqs: DataFrame) -> DataFrame:
     """Per sequence its gene, length, GC and numbers of motifs and disease motifs."""
     d = disease.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_disease"))
-    rows = motifs_per_sequence(motifs, seqs).join(d, "seq_id", "left")
+    # texts stay behind, only what is told of them is joined
+    told = seqs.select("seq_id", "name", "gene", "length", S.gc_content("sequence").alias("gc"))
+    rows = motifs_per_sequence(motifs, told).join(d, "seq_id", "left")
     return rows.select(
         "seq_id", "name", F.coalesce("gene", F.lit("Unknown")).alias("gene"), "length",
-        S.gc_content("sequence").alias("gc"), "n_motifs", F.coalesce("n_disease", F.lit(0)).alias("n_disease"),
+        "gc", "n_motifs", F.coalesce("n_disease", F.lit(0)).alias("n_disease"),
         per_kb("n_motifs", "length").alias("motif_density"),
     )
 
@@ -196,6 +199,7 @@ def gene_statistics(genes: DataFrame) -> DataFrame:
 
 def top_sequences(genes: DataFrame, n: int = 10) -> DataFrame:
     """The n sequences with most motifs, with metrics in standard deviations from the mean of all."""
+    genes = stored(genes, "genes")  # read twice
     ends = genes.agg(
         *[F.avg(c).alias("m_" + c) for c in ("n_motifs", "gc", "motif_density")],
         *[F.stddev_pop(c).alias("s_" + c) for c in ("n_motifs", "gc", "motif_density")],
