@@ -45,14 +45,16 @@ def hotspot_windows(motifs: DataFrame, lengths: DataFrame, window: int = 100, mi
     step = window // 4
     rows = _window_counts(motifs, lengths, window).groupBy("seq_id", "w").agg(
         F.sum("n").alias("motif_count"),
-        F.count_distinct("class").alias("class_diversity"),
-        F.count(F.lit(1)).alias("subclass_diversity"),
-        F.count_distinct("subtype").alias("subtype_diversity"),
         F.sum("score").alias("score_sum"),
         # at most one entry per (class, subtype)
         F.collect_list(F.struct("class", "subtype", "n")).alias("parts"),
     )
-    rows = rows.where(F.col("motif_count") >= min_count)
+    # counted from the entries: two distinct counts would send each row three times
+    different = lambda name: F.size(F.array_distinct(F.array_compact(F.col("parts")[name]))).cast("long")
+    rows = rows.where(F.col("motif_count") >= min_count).select(
+        "*", different("class").alias("class_diversity"), F.size("parts").cast("long").alias("subclass_diversity"),
+        different("subtype").alias("subtype_diversity"),
+    )
     bonus = diversity_score(F.col("class_diversity"), F.col("subclass_diversity"), F.col("subtype_diversity"))
     return rows.select(
         "seq_id", (F.col("w") * step + 1).cast("int").alias("start_pos"),
