@@ -75,8 +75,10 @@ def _described(pairs: DataFrame, key: list[str]) -> DataFrame:
         F.sort_array(F.collect_list(part)).alias("contributing"),
         F.count(F.lit(1)).cast("int").alias("n_motifs"),
         F.max("r_length").alias("longest"),
-        F.sum("r_score").alias("score_sum"),
     )
+    # added up in the order of the array, so that the last bits are the same in each run
+    total = F.aggregate("contributing", F.lit(0.0), lambda a, c: a + F.coalesce(c["score"], F.lit(0.0)))
+    rows = rows.withColumn("score_sum", F.when(F.exists("contributing", lambda c: c["score"].isNotNull()), total))
     rows = rows.withColumn("class_breakdown", _breakdown(F.transform("contributing", lambda c: c["class"])))
     rows = rows.withColumn(
         "subclass_breakdown",
