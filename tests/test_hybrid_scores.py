@@ -4,11 +4,13 @@ from seqspark.operators import hybrid
 
 
 def test_scores_repeat_to_the_last_bit(spark):
-    rows = [(0, "AB"[i % 2], "x", 1 + i, 60 + i, 60, 0.1 * 3 ** i) for i in range(12)]
+    rows = [(0, "AB"[i % 2], "x", 1 + i, 100, 100 - i, 0.1 * 3 ** i) for i in range(12)]
     schema = "seq_id long, class string, subtype string, start_pos int, end_pos int, length int, score double"
-    scores = {hybrid.hybrids(spark.createDataFrame(x, schema).coalesce(1)).first()["score"] for x in (rows, rows[::-1], rows[5:] + rows[:5])}
-    assert len(scores) == 1
+    found = [hybrid.hybrids(spark.createDataFrame(x, schema).coalesce(1)).first() for x in (rows, rows[::-1], rows[5:] + rows[:5])]
+    assert len({r["score"] for r in found}) == 1
+    # from the least to the greatest start
     total = 0.0
     for r in rows:
         total += r[-1]
-    assert scores == {total * (1 + 12 * 0.2) * (71 / 60)}
+    row = found[0]
+    assert row["n_motifs"] == 12 and row["score"] == total * (1 + 12 * 0.2) * row["overlap_degree"]
